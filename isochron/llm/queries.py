@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from isochron.llm.common import table
 from isochron.llm.exact_dedup import exact_dedup
+from isochron.llm.language_id import predictions
+from isochron.llm.fingerprints import compared_with_next
+from isochron.llm.secrets import secret_report
 from isochron.llm.mixing import mix
 from isochron.llm.token_counts import encoded_lengths, length_histogram
 
@@ -24,10 +27,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions(table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared_with_next(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_fingerprints": op6_fingerprints,
+        "op8_secrets": op8_secrets,
         "op10_mixing": op10_mixing,
     }
 
