@@ -11,6 +11,7 @@ from isochron.llm.exact_dedup import exact_dedup
 from isochron.llm.language_id import predictions
 from isochron.llm.fingerprints import compared_with_next
 from isochron.llm.secrets import secret_report
+from isochron.llm.pieces import digest
 from isochron.llm.mixing import mix
 from isochron.llm.token_counts import encoded_lengths, length_histogram
 
@@ -39,6 +40,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
@@ -46,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_fingerprints": op6_fingerprints,
         "op8_secrets": op8_secrets,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_mixing": op10_mixing,
     }
 
