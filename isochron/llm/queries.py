@@ -12,6 +12,7 @@ from isochron.llm.language_id import predictions
 from isochron.llm.fingerprints import compared_with_next
 from isochron.llm.secrets import secret_report
 from isochron.llm.pieces import digest
+from isochron.llm.simhash import near_duplicates
 from isochron.llm.mixing import mix
 from isochron.llm.token_counts import encoded_lengths, length_histogram
 
@@ -44,9 +45,14 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op3_simhash": op3_simhash,
         "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_fingerprints": op6_fingerprints,
