@@ -13,6 +13,7 @@ from isochron.llm.fingerprints import compared_with_next
 from isochron.llm.secrets import secret_report
 from isochron.llm.pieces import digest
 from isochron.llm.simhash import near_duplicates
+from isochron.llm.line_dedup import kept_lines
 from isochron.llm.mixing import mix
 from isochron.llm.token_counts import encoded_lengths, length_histogram
 
@@ -49,8 +50,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_lines(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_simhash": op3_simhash,
         "op4_language_id": op4_language_id,
