@@ -3,8 +3,8 @@
 A line is the set of its words. Words are ordered by rarity: their hashes fall into 65,536 buckets,
 whose words are counted over all documents, and a word's place is (rank of its bucket, hash). Of each
 distinct line the rarest words, as many as two lines of Jaccard similarity ``least`` must have one of in common
-(the prefix), are joined with each other; pairs stay if their lengths and the places of the word
-allow that similarity, and are then verified on the words themselves. A line goes if an equal or
+(the prefix), are joined with each other; pairs stay if their lengths, the places of the word and
+64-bit parity maps of their words allow that similarity, and are then verified on the words themselves. A line goes if an equal or
 similar one occurs before it, by doc_id and line number (null ids come first).
 """
 
@@ -14,13 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isochron.llm.common import cut
+from isochron.llm.common import WORD, cut
 
 BUCKETS = 1 << 16
 
 
-def _blanks(text: Column) -> Column:
-    return F.translate(text, "\t\x0b\x0c\r", "    ")
+def _blanks(text: Column, white: str = "\t\x0b\x0c\r") -> Column:
+    for c in white:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def _blank(line: Column) -> Column:
+    return ~line.rlike(WORD)
 
 
 def words(line: Column) -> Column:
@@ -31,12 +37,12 @@ def words(line: Column) -> Column:
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos (from 0), line: what line feeds separate, without lines that are white space only. Null counts as empty."""
     rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    return rows.where(F.length(F.trim(_blanks(F.col("line")))) > 0)
+    return rows.where(~_blank(F.col("line")))
 
 
 def bucket_ranks(docs: DataFrame) -> DataFrame:
     """One row, ranks array<int>: by bucket of word hashes, its rank in ascending order of occurrences over all ``docs``."""
-    word = F.explode(F.split(F.translate(F.coalesce("text", F.lit("")), "\n\t\x0b\x0c\r", "     "), " "))
+    word = F.explode(F.split(_blanks(F.coalesce("text", F.lit("")), "\n\t\x0b\x0c\r"), " "))
     counts = docs.select(word.alias("w")).where("w <> ''").groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket")).join(counts, "bucket", "left")
     ranked = every.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.coalesce("n", F.lit(0)), "bucket")) - 1)
@@ -44,19 +50,26 @@ def bucket_ranks(docs: DataFrame) -> DataFrame:
 
 
 def similar_pairs(classes: DataFrame, ranks: Column, least: tuple[int, int]) -> DataFrame:
-    """Candidate pairs of classes (h1, h2, first): xh1, xh2, yh1, yh2, each once."""
+    """Candidate pairs of classes (h1, h2, first): xh1, xh2, xn, yh1, yh2, yn, each once; n counts distinct words.
+
+    A parity map has, of each bit, whether an odd number of the line's words hash to it; two maps
+    differ in no more bits than the lines differ in words.
+    """
     a, b = least
     place = lambda w: F.shiftleft(F.element_at(F.col("ranks"), F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int") + 1).cast("bigint") - BUCKETS // 2, 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 16))
     sets = classes.where(F.col("first.line").isNotNull()).withColumn("ranks", ranks)
-    sets = sets.select("h1", "h2", F.sort_array(F.transform(words(F.col("first.line")), place)).alias("s")).withColumn("n", F.size("s"))
+    sets = sets.select("h1", "h2", F.sort_array(F.transform(words(F.col("first.line")), place)).alias("s"))
+    parity = F.aggregate("s", F.lit(0).cast("bigint"), lambda m, w: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(63).cast("int"))))
+    sets = sets.withColumn("n", F.size("s")).withColumn("bits", parity)
     prefix = F.slice("s", 1, (F.col("n") - F.expr(f"(n * {a} + {b - 1}) div {b}") + 1).cast("int"))
-    rows = sets.select("h1", "h2", "n", F.posexplode(prefix).alias("p", "w"))
-    x, y = (rows.select("w", *(F.col(c).alias(side + c) for c in ("h1", "h2", "n", "p"))) for side in "xy")
+    rows = sets.select("h1", "h2", "n", "bits", F.posexplode(prefix).alias("p", "w"))
+    x, y = (rows.select("w", *(F.col(c).alias(side + c) for c in ("h1", "h2", "n", "p", "bits"))) for side in "xy")
     # x is the shorter one; it must meet y within a still shorter prefix
     shorter = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & ((F.col("xh1") < F.col("yh1")) | ((F.col("xh1") == F.col("yh1")) & (F.col("xh2") < F.col("yh2")))))
     near = F.expr(f"greatest(xp - (xn - (xn * {2 * a} + {a + b - 1}) div {a + b}), yn * {a} - xn * {b}) <= 0")
     overlap = F.expr(f"1 + least(xn - xp, yn - yp) - 1 >= ((xn + yn) * {a} + {a + b - 1}) div {a + b}")
-    return x.join(y, "w").where(shorter & near & overlap).select("xh1", "xh2", "yh1", "yh2").distinct()
+    apart = F.expr(f"bit_count(xbits ^ ybits) <= xn + yn - 2 * (((xn + yn) * {a} + {a + b - 1}) div {a + b})")
+    return x.join(y, "w").where(shorter & near & overlap & apart).select("xh1", "xh2", "xn", "yh1", "yh2", "yn").distinct()
 
 
 def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -67,6 +80,7 @@ def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
     Rows with the same id are taken as one document that has the lines of each. Other columns are
     ignored. An empty table gives no rows.
     """
+    a, b = least
     docs = docs.select("doc_id", "text")
     at = F.struct(F.col("doc_id"), F.col("pos"), F.col("line"))
     hashed = lines(docs).select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), at.alias("at"))
@@ -75,14 +89,12 @@ def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
     pairs = similar_pairs(classes, ranks, least)
     first_x = pairs.join(classes.select(F.col("h1").alias("xh1"), F.col("h2").alias("xh2"), F.col("first").alias("x")), ["xh1", "xh2"])
     both = first_x.join(classes.select(F.col("h1").alias("yh1"), F.col("h2").alias("yh2"), F.col("first").alias("y")), ["yh1", "yh2"])
-    a, b = least
-    both = both.withColumn("wx", words(F.col("x.line"))).withColumn("wy", words(F.col("y.line")))
-    both = both.withColumn("common", F.size(F.array_intersect("wx", "wy")))
-    similar = both.where(F.col("common") * (a + b) >= (F.size("wx") + F.size("wy")) * a)
+    common = F.array_intersect(F.split(_blanks(F.col("x.line")), " "), F.split(_blanks(F.col("y.line")), " "))
+    similar = both.where(F.size(F.array_remove(common, "")) * (a + b) >= (F.col("xn") + F.col("yn")) * a)
     y_goes = F.struct("x.doc_id", "x.pos") < F.struct("y.doc_id", "y.pos")
     gone = similar.select(*(F.when(y_goes, F.col("y" + h)).otherwise(F.col("x" + h)).alias(h) for h in ("h1", "h2"))).distinct()
     kept = classes.join(gone, ["h1", "h2"], "left_anti").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("first.pos")).alias("kept_lines"))
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.trim(_blanks(x))) > 0))
+    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~_blank(x)))
     counted = docs.select("doc_id", n_lines.alias("n_lines"))
     out = counted.join(kept.withColumnRenamed("doc_id", "__id"), counted["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id")
     out = out.withColumn("kept_lines", F.coalesce("kept_lines", F.array().cast("array<int>")))
@@ -97,7 +109,7 @@ def drop_repeated_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> Dat
     kept = kept_lines(docs, least).select(F.col("doc_id").alias("__id"), "kept_lines").withColumnRenamed("kept_lines", "__kept")
     parts = F.split("text", "\n")
     numbers = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1))
-    blank = F.filter(numbers, lambda i: F.length(F.trim(_blanks(F.get(parts, i)))) == 0)
+    blank = F.filter(numbers, lambda i: _blank(F.get(parts, i)))
     stay = F.sort_array(F.array_union(F.coalesce("__kept", F.array().cast("array<int>")), blank))
     text = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left").withColumn("text", text).select(docs.columns)
