@@ -14,6 +14,7 @@ from isochron.llm.secrets import secret_report
 from isochron.llm.pieces import digest
 from isochron.llm.simhash import near_duplicates
 from isochron.llm.line_dedup import kept_lines
+from isochron.llm.html_text import extract
 from isochron.llm.mixing import mix
 from isochron.llm.token_counts import encoded_lengths, length_histogram
 
@@ -54,6 +55,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_lines(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_fingerprints": op6_fingerprints,
+        "op7_html_extraction": op7_html_extraction,
         "op8_secrets": op8_secrets,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_mixing": op10_mixing,
