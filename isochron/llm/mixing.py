@@ -77,26 +77,18 @@ def schedule(targets: DataFrame, total: float, block: int, chunk: int = 4096, bi
     return ranked.unionByName(late.select((F.lit(slots) + F.col("rank")).alias("slot"), "source", "rank"))
 
 
-def mix(docs: DataFrame, block: int = 256, per_bucket: int = 4096) -> DataFrame:
-    """Words of each document in the mix: doc_id, size, source_size, target, taken.
+def _blocks(sized: DataFrame, targets: DataFrame, total: float, block: int, per_bucket: int) -> DataFrame:
+    """Pieces of documents with the slot of the block that they lie in.
 
-    ``docs`` has doc_id, source, text; other columns are ignored. size: number of words of the text
-    (null: 0). Documents without words take none. The shuffle orders a source's documents by the MD5
-    of the id (ties by id, then size; a null id counts as the empty string), which reruns and other engines repeat. Rows that repeat an
-    id each have their own place. An empty table gives an empty result.
+    ``sized``: doc_id, source, size, all sizes above 0; ``targets``: source, source_size, target. Columns: those, start (place in
+    the source's stream), epoch (pass over it), words (of the piece), slot (null where none takes it).
     """
-    sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
-    sized = cut(sized)
-    targets = cut(source_targets(sized).withColumn("has", F.coalesce("source", F.lit(""))).withColumn("null_source", F.col("source").isNull()))
     key = ["null_source", "has"]
-    total, n = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
-    rows = sized.withColumn("has", F.coalesce("source", F.lit(""))).withColumn("null_source", F.col("source").isNull())
-    info = targets.select(*key, "source_size", "target")
-    if total == 0:
-        return rows.join(info, key).select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"))
+    named = lambda df: df.withColumn("has", F.coalesce("source", F.lit(""))).withColumn("null_source", F.col("source").isNull())
+    info = named(targets).select(*key, "source_size", "target")
 
     # a document's place in its source's stream: running totals over buckets of the hash, then within
-    words = rows.where("size > 0").withColumn("by", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    words = named(sized).withColumn("by", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     buckets = max(1, -(-sized.count() // per_bucket))
     words = words.withColumn("bucket", F.floor(F.conv(F.substring("by", 1, 8), 16, 10).cast("bigint") * buckets / F.lit(1 << 32)))
     sums = words.groupBy(*key, "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -112,9 +104,48 @@ def mix(docs: DataFrame, block: int = 256, per_bucket: int = 4096) -> DataFrame:
     on = F.when(F.col("until") > F.col("at"), F.sequence(F.floor(F.col("at") / block), F.floor((F.col("until") - 1) / block)))
     pieces = passes.withColumn("rank", F.explode_outer(on))
     pieces = pieces.withColumn("words", F.least("until", (F.col("rank") + 1) * block) - F.greatest("at", F.col("rank") * block))
-    slots = schedule(targets.select("source", "target"), total, block)
-    slots = slots.select(F.col("source").isNull().alias("null_source"), F.coalesce("source", F.lit("")).alias("has"), "rank", "slot")
-    blocks = pieces.join(slots, [*key, "rank"], "left")
-    taken = blocks.groupBy(*key, "start", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).alias("taken"))
-    none = rows.where("size = 0").join(info, key).select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"))
+    slots = named(schedule(targets.select("source", "target"), total, block)).select(*key, "rank", "slot")
+    return pieces.join(slots, [*key, "rank"], "left").select("doc_id", "source", "size", "source_size", "target", "start", "epoch", "words", "slot")
+
+
+def _sized(docs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """doc_id, source, size of each row; targets of the sources; their total."""
+    sized = cut(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size")))
+    targets = cut(source_targets(sized))
+    return sized, targets, targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+
+
+def mix(docs: DataFrame, block: int = 256, per_bucket: int = 1024) -> DataFrame:
+    """Words of each document in the mix: doc_id, size, source_size, target, taken.
+
+    ``docs`` has doc_id, source, text; other columns are ignored. size: number of words of the text
+    (null: 0). Documents without words take none. The shuffle orders a source's documents by the MD5
+    of the id (ties by id, then size; a null id counts as the empty string), which reruns and other
+    engines repeat. Rows that repeat an id each have their own place. An empty table gives an empty result.
+    """
+    sized, targets, total = _sized(docs)
+    per = targets.select(F.col("source").alias("s"), "source_size", "target")
+    none = sized.where("size = 0").join(per, F.col("source").eqNullSafe(F.col("s")))
+    none = none.select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"))
+    if not total:
+        return none
+    blocks = _blocks(sized.where("size > 0"), targets, total, block, per_bucket)
+    taken = blocks.groupBy("source", "start", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).alias("taken"))
     return taken.select("doc_id", "size", "source_size", "target", "taken").unionByName(none)
+
+
+def mixed_documents(docs: DataFrame, block: int = 256, per_bucket: int = 1024) -> DataFrame:
+    """The mix itself: rows of ``docs`` once for each pass that takes words of them, all columns kept.
+
+    A pass that takes a part of a document takes its first words, joined by single blanks; whole
+    texts stay as they are. A column n_chars is made anew. Ids must be unique; rows with a null id are left out.
+    """
+    sized, targets, total = _sized(docs)
+    if not total:
+        return docs.limit(0)
+    blocks = _blocks(sized.where("size > 0"), targets, total, block, per_bucket).where("slot IS NOT NULL")
+    passes = blocks.groupBy(F.col("doc_id").alias("__id"), "size", "epoch").agg(F.sum("words").alias("__words")).withColumnRenamed("size", "__size").withColumnRenamed("epoch", "__epoch")
+    joined = docs.join(passes, F.col("doc_id") == F.col("__id"))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("__words").cast("int")), " ")
+    out = joined.withColumn("text", F.when(F.col("__words") < F.col("__size"), part).otherwise(F.col("text"))).select(docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out

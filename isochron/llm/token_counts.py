@@ -45,7 +45,7 @@ def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return docs.select("text").mapInArrow(encode, "n_tokens bigint")
 
 
-def length_histogram(lengths: DataFrame, width: int = 1024) -> DataFrame:
+def length_histogram(lengths: DataFrame, width: int = 64) -> DataFrame:
     """Per distinct length: n_tokens, docs, tokens, docs_longer, tokens_longer, docs_total, tokens_total, truncated_tokens, quantile.
 
     docs and tokens count documents of that length; the suffix sums docs_longer and tokens_longer
