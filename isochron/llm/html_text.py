@@ -141,18 +141,21 @@ def host(url: Column) -> Column:
 
 
 def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
     for b in batches:
-        out: list[tuple[str, str, int, int, int]] = []
-        for name, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            page = Page(source or "")
-            texts: dict[str, list[str]] = {}
-            for path, text in page.blocks:
-                texts.setdefault(path, []).append(text)
-            whole = xxhash.xxh64_intdigest("\n".join(t for _, t in page.blocks)) >> 1
-            for path in texts.keys() | page.children.keys():
-                style, content = " ".join(dict.fromkeys(page.children.get(path, []))), "\n".join(texts.get(path, []))
-                out.append((name, path, whole, xxhash.xxh64_intdigest(style) >> 1, xxhash.xxh64_intdigest(content) >> 1 if content else -1))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "page", "style", "content"])
+        for at in range(0, b.num_rows, 256):
+            out: list[tuple[str, str, int, int, int]] = []
+            part = b.slice(at, 256)
+            for name, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                page = Page(source or "")
+                texts: dict[str, list[str]] = {}
+                for path, text in page.blocks:
+                    texts.setdefault(path, []).append(text)
+                whole = xxhash.xxh64_intdigest("\n".join(t for _, t in page.blocks)) >> 1
+                for path in texts.keys() | page.children.keys():
+                    style, content = " ".join(dict.fromkeys(page.children.get(path, []))), "\n".join(texts.get(path, []))
+                    out.append((name, path, whole, xxhash.xxh64_intdigest(style) >> 1, xxhash.xxh64_intdigest(content) >> 1 if content else -1))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["host", "path", "page", "style", "content"])
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
@@ -203,6 +206,10 @@ def main_text(source: str | None, noise: frozenset[str] = frozenset()) -> str:
     return "\n\n".join(kept)
 
 
+def _frozen(paths) -> frozenset[str]:
+    return frozenset() if paths is None else frozenset(paths)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
@@ -228,7 +235,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for sources, noises in batches:
-            yield pd.Series([main_text(s, frozenset(() if x is None else x)) for s, x in zip(sources, noises, strict=True)], dtype=object)
+            yield pd.Series([main_text(s, _frozen(x)) for s, x in zip(sources, noises, strict=True)], dtype=object)
 
     out = joined.select("page_id", "url", F.pandas_udf(each, "string")("html", "noise").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -30,8 +30,8 @@ def _blank(line: Column) -> Column:
 
 
 def words(line: Column) -> Column:
-    """The distinct words of a line."""
-    return F.array_remove(F.array_distinct(F.split(_blanks(line), " ")), "")
+    """The words of a line as blanks separate them: with repeats, and empty ones between several blanks."""
+    return F.split(_blanks(line), " ")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -40,62 +40,91 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.where(~_blank(F.col("line")))
 
 
-def bucket_ranks(docs: DataFrame) -> DataFrame:
-    """One row, ranks array<int>: by bucket of word hashes, its rank in ascending order of occurrences over all ``docs``."""
+def bucket_places(docs: DataFrame) -> DataFrame:
+    """One row, places array<bigint>: by bucket of word hashes, its rank in ascending order of occurrences over all ``docs``, in the upper 16 bits."""
     word = F.explode(F.split(_blanks(F.coalesce("text", F.lit("")), "\n\t\x0b\x0c\r"), " "))
     counts = docs.select(word.alias("w")).where("w <> ''").groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket")).join(counts, "bucket", "left")
-    ranked = every.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.coalesce("n", F.lit(0)), "bucket")) - 1)
-    return ranked.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "rank"))), lambda s: s["rank"]).alias("ranks"))
+    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.coalesce("n", F.lit(0)), "bucket")) - 1
+    ranked = every.select("bucket", F.shiftleft(rank.cast("bigint") - BUCKETS // 2, 48).alias("place"))
+    return ranked.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "place"))), lambda s: s["place"]).alias("places"))
 
 
-def similar_pairs(classes: DataFrame, ranks: Column, least: tuple[int, int]) -> DataFrame:
-    """Candidate pairs of classes (h1, h2, first): xh1, xh2, xn, yh1, yh2, yn, each once; n counts distinct words.
+def word_sets(line: Column, places: Column) -> Column:
+    """The distinct words of a line as sorted numbers, rarest first: (rank of the bucket, rest of the hash), as unique as the hash."""
+    place = lambda h: F.get(places, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 16))
+    hashes = F.array_remove(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(hashes, place))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """h, size of the later class of each of ``pairs`` (xh, xsize, yh, ysize) whose lines' words are similar enough."""
+    a, b = least
+    x = classes.select(F.col("h").alias("xh"), F.col("size").alias("xsize"), F.col("first").alias("x"))
+    y = classes.select(F.col("h").alias("yh"), F.col("size").alias("ysize"), F.col("first").alias("y"))
+    both = pairs.join(x, ["xh", "xsize"]).join(y, ["yh", "ysize"])
+    wx, wy = words(F.col("x.line")), words(F.col("y.line"))
+    both = both.withColumn("common", F.array_remove(F.array_intersect(wx, wy), "")).withColumn("all", F.array_remove(F.array_union(wx, wy), ""))
+    y_goes = F.struct("x.doc_id", "x.pos") < F.struct("y.doc_id", "y.pos")
+    similar = both.where(F.size("common") * b >= F.size("all") * a)
+    return similar.select(*(F.when(y_goes, F.col("y" + c)).otherwise(F.col("x" + c)).alias(c) for c in ("h", "size"))).distinct()
+
+
+def leader_pairs(classes: DataFrame, chars: int = 24, salts: int = 16) -> DataFrame:
+    """Pairs of classes with the earliest that starts, or ends, with the same characters: xh, xsize, yh, ysize.
+
+    Groups are split by salt, each part with an earliest one of its own, so that none is in one task.
+    """
+    line = F.col("first.line")
+    ends = F.array(F.xxhash64(F.lit(1), F.left(line, F.lit(chars))), F.xxhash64(F.lit(2), F.right(line, F.lit(chars))))
+    rows = classes.where(F.length(line) >= chars).select("h", "size", F.struct("first.doc_id", "first.pos", "h", "size").alias("own"), F.explode(ends).alias("k"))
+    group = W.partitionBy("k", F.pmod("h", F.lit(salts)))
+    return rows.withColumn("lead", F.min("own").over(group)).where("lead < own").select(F.col("lead.h").alias("xh"), F.col("lead.size").alias("xsize"), F.col("h").alias("yh"), F.col("size").alias("ysize")).distinct()
+
+
+def similar_pairs(classes: DataFrame, places: Column, least: tuple[int, int]) -> DataFrame:
+    """Candidate pairs of classes (h, size, first, gone), not both gone: xh, xsize, yh, ysize, each once.
 
     A parity map has, of each bit, whether an odd number of the line's words hash to it; two maps
     differ in no more bits than the lines differ in words.
     """
     a, b = least
-    place = lambda w: F.shiftleft(F.element_at(F.col("ranks"), F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int") + 1).cast("bigint") - BUCKETS // 2, 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 16))
-    sets = classes.where(F.col("first.line").isNotNull()).withColumn("ranks", ranks)
-    sets = sets.select("h1", "h2", F.sort_array(F.transform(words(F.col("first.line")), place)).alias("s"))
+    sets = classes.withColumn("places", places).select("h", "size", "gone", word_sets(F.col("first.line"), F.col("places")).alias("s"))
     parity = F.aggregate("s", F.lit(0).cast("bigint"), lambda m, w: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(63).cast("int"))))
     sets = sets.withColumn("n", F.size("s")).withColumn("bits", parity)
     prefix = F.slice("s", 1, (F.col("n") - F.expr(f"(n * {a} + {b - 1}) div {b}") + 1).cast("int"))
-    rows = sets.select("h1", "h2", "n", "bits", F.posexplode(prefix).alias("p", "w"))
-    x, y = (rows.select("w", *(F.col(c).alias(side + c) for c in ("h1", "h2", "n", "p", "bits"))) for side in "xy")
-    # x is the shorter one; it must meet y within a still shorter prefix
-    shorter = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & ((F.col("xh1") < F.col("yh1")) | ((F.col("xh1") == F.col("yh1")) & (F.col("xh2") < F.col("yh2")))))
+    rows = sets.select("h", "size", "gone", "n", "bits", F.posexplode(prefix).alias("p", "w"))
+    x, y = (rows.select("w", *(F.col(c).alias(side + c) for c in ("h", "size", "gone", "n", "p", "bits"))) for side in "xy")
+    # x is the one with fewer words; it must meet y within a still shorter prefix
+    shorter = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & ((F.col("xh") < F.col("yh")) | ((F.col("xh") == F.col("yh")) & (F.col("xsize") < F.col("ysize")))))
     near = F.expr(f"greatest(xp - (xn - (xn * {2 * a} + {a + b - 1}) div {a + b}), yn * {a} - xn * {b}) <= 0")
-    overlap = F.expr(f"1 + least(xn - xp, yn - yp) - 1 >= ((xn + yn) * {a} + {a + b - 1}) div {a + b}")
+    overlap = F.expr(f"least(xn - xp, yn - yp) >= ((xn + yn) * {a} + {a + b - 1}) div {a + b}")
     apart = F.expr(f"bit_count(xbits ^ ybits) <= xn + yn - 2 * (((xn + yn) * {a} + {a + b - 1}) div {a + b})")
-    return x.join(y, "w").where(shorter & near & overlap & apart).select("xh1", "xh2", "xn", "yh1", "yh2", "yn").distinct()
+    open_ = ~(F.col("xgone") & F.col("ygone"))
+    return x.join(y, "w").where(shorter & near & overlap & apart & open_).select("xh", "xsize", "yh", "ysize").distinct()
 
 
 def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_lines, n_removed, kept_lines.
 
-    n_lines counts lines that are not white space only (such lines always stay and are not listed), kept_lines lists the numbers
-    of those that stay, in order. ``least`` is the Jaccard similarity as (numerator, denominator).
-    Rows with the same id are taken as one document that has the lines of each. Other columns are
-    ignored. An empty table gives no rows.
+    n_lines counts lines that are not white space only (such lines always stay and are not listed),
+    kept_lines lists the numbers of those that stay, in order. ``least`` is the Jaccard similarity as
+    (numerator, denominator). Rows with the same id are taken as one document that has the lines of
+    each. Other columns are ignored. An empty table gives no rows.
+
+    Equal lines (same XXH64 and number of bytes) form a class. Most classes of a large group of similar ones
+    are found by comparison with its first; the join then leaves out pairs of which both are known to go.
     """
-    a, b = least
     docs = docs.select("doc_id", "text")
     at = F.struct(F.col("doc_id"), F.col("pos"), F.col("line"))
-    hashed = lines(docs).select(F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), at.alias("at"))
-    classes = hashed.groupBy("h1", "h2").agg(F.min("at").alias("first"))
-    ranks = cut(bucket_ranks(docs)).scalar()
-    pairs = similar_pairs(classes, ranks, least)
-    first_x = pairs.join(classes.select(F.col("h1").alias("xh1"), F.col("h2").alias("xh2"), F.col("first").alias("x")), ["xh1", "xh2"])
-    both = first_x.join(classes.select(F.col("h1").alias("yh1"), F.col("h2").alias("yh2"), F.col("first").alias("y")), ["yh1", "yh2"])
-    common = F.array_intersect(F.split(_blanks(F.col("x.line")), " "), F.split(_blanks(F.col("y.line")), " "))
-    similar = both.where(F.size(F.array_remove(common, "")) * (a + b) >= (F.col("xn") + F.col("yn")) * a)
-    y_goes = F.struct("x.doc_id", "x.pos") < F.struct("y.doc_id", "y.pos")
-    gone = similar.select(*(F.when(y_goes, F.col("y" + h)).otherwise(F.col("x" + h)).alias(h) for h in ("h1", "h2"))).distinct()
-    kept = classes.join(gone, ["h1", "h2"], "left_anti").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("first.pos")).alias("kept_lines"))
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~_blank(x)))
-    counted = docs.select("doc_id", n_lines.alias("n_lines"))
+    hashed = lines(docs).select(F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"), at.alias("at"))
+    classes = hashed.groupBy("h", "size").agg(F.min("at").alias("first"))
+    places = cut(bucket_places(docs)).scalar()
+    soon = cut(verified(leader_pairs(classes), classes, least))
+    marked = classes.join(soon.withColumn("gone", F.lit(True)), ["h", "size"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    gone = soon.unionByName(verified(similar_pairs(marked, places, least), classes, least)).distinct()
+    kept = classes.join(gone, ["h", "size"], "left_anti").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("first.pos")).alias("kept_lines"))
+    counted = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*")).alias("n_lines"))
     out = counted.join(kept.withColumnRenamed("doc_id", "__id"), counted["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id")
     out = out.withColumn("kept_lines", F.coalesce("kept_lines", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept_lines")).alias("n_removed"), "kept_lines")
