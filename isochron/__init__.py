@@ -1 +1 @@
-"""Time-series analytics on PySpark."""
+"""Time-series analytics on PySpark: operators, sources, functions, plans and streaming over readings."""

@@ -1 +1 @@
-"""Time-series analytics on PySpark."""
+"""Column functions: site time, units, evapotranspiration, text and JSON."""

@@ -1 +1 @@
-"""Time-series analytics on PySpark."""
+"""DataFrame operators: joins, aggregates, islands, series, quality, sets, statistics, near-duplicates."""

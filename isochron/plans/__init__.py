@@ -1 +1 @@
-"""Time-series analytics on PySpark."""
+"""Compositions: water-store models, the question catalog, guarded SQL, evaluation reports."""

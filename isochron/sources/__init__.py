@@ -1 +1 @@
-"""Time-series analytics on PySpark."""
+"""Sources and sinks: delimited files, records, caches, as-of views."""

@@ -1 +1 @@
-"""Time-series analytics on PySpark."""
+"""Structured Streaming forms of the operators."""
