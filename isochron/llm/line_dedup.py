@@ -1,60 +1,235 @@
-"""Line dedup by an exact set-similarity join, in DataFrame expressions only.
+"""Line dedup by an exact set-similarity join.
 
 A line is the set of its words. Words are ordered by rarity: their hashes fall into 65,536 buckets,
 whose words are counted over all documents, and a word's place is (rank of its bucket, hash). Of each
-distinct line the rarest words, as many as two lines of Jaccard similarity ``least`` must have one of in common
-(the prefix), are joined with each other; pairs stay if their lengths, the places of the word and
-64-bit parity maps of their words allow that similarity, and are then verified on the words themselves. A line goes if an equal or
-similar one occurs before it, by doc_id and line number (null ids come first).
+distinct line the rarest words, as many as two lines of Jaccard similarity ``least`` must have one of
+in common (the prefix), are dealt out by word. Where lines meet, pairs stay if their lengths, the
+places of the word and parity maps of their words allow that similarity; they are then verified on
+the words themselves. A line goes if an equal or similar one occurs before it, by doc_id and line
+number (null ids come first).
+
+Of a group of k lines that are all alike, a join in DataFrame expressions makes k * k / 2 pairs. Here
+the task that holds a word's lines compares them in numpy and gives each line its nearest earlier
+ones only; lines with nothing near but much within reach get all, and whatever is left undecided is
+searched again without that limit. So what is found is exact.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isochron.llm.common import WORD, cut
 
 BUCKETS = 1 << 16
-
-
-def _blanks(text: Column, white: str = "\t\x0b\x0c\r") -> Column:
-    for c in white:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
+MAP_WORDS = 4  # parity maps have 64 * MAP_WORDS bits
+CACHED_WORDS = 300_000
+NEAREST, SAFE = 4, 6  # how many near lines are given, and how many words below the limit counts as near
 
 
 def _blank(line: Column) -> Column:
     return ~line.rlike(WORD)
 
 
-def words(line: Column) -> Column:
-    """The words of a line as blanks separate them: with repeats, and empty ones between several blanks."""
-    return F.split(_blanks(line), " ")
-
-
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos (from 0), line: what line feeds separate, without lines that are white space only. Null counts as empty."""
     rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     return rows.where(~_blank(F.col("line")))
 
 
-def bucket_places(docs: DataFrame) -> DataFrame:
-    """One row, places array<bigint>: by bucket of word hashes, its rank in ascending order of occurrences over all ``docs``, in the upper 16 bits."""
-    word = F.explode(F.split(_blanks(F.coalesce("text", F.lit("")), "\n\t\x0b\x0c\r"), " "))
-    counts = docs.select(word.alias("w")).where("w <> ''").groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket")).join(counts, "bucket", "left")
-    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.coalesce("n", F.lit(0)), "bucket")) - 1
-    ranked = every.select("bucket", F.shiftleft(rank.cast("bigint") - BUCKETS // 2, 48).alias("place"))
-    return ranked.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "place"))), lambda s: s["place"]).alias("places"))
+def bucket_ranks(docs: DataFrame) -> np.ndarray:
+    """By bucket of word hashes its rank in ascending order of occurrences over all ``docs`` (text): 65,536 numbers."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            found = Counter(chain.from_iterable(t.encode().split() for t in b.column(0).to_pylist() if t))
+            at = np.fromiter((xxhash.xxh64_intdigest(w) & (BUCKETS - 1) for w in found), np.int64, len(found))
+            total += np.bincount(at, np.fromiter(found.values(), np.float64, len(found)), BUCKETS).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total).astype(np.int32)), pa.array(total[total > 0])], ["bucket", "n"])
 
-def word_sets(line: Column, places: Column) -> Column:
-    """The distinct words of a line as sorted numbers, rarest first: (rank of the bucket, rest of the hash), as unique as the hash."""
-    place = lambda h: F.get(places, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 16))
-    hashes = F.array_remove(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, place))
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        counts[r.bucket] = r.n
+    ranks = np.empty(BUCKETS, np.int64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
+    return ranks
+
+
+def _prefixes(ranks: np.ndarray, least: tuple[int, int]):
+    """Function of Arrow batches of classes to the rows that are dealt out by word."""
+    a, b = least
+    place_of = ((ranks - BUCKETS // 2) << 48).tolist()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, int] = {}
+        digest = xxhash.xxh64_intdigest
+
+        def place(w: bytes) -> int:
+            h = digest(w)
+            v = cache[w] = place_of[h & (BUCKETS - 1)] | h >> 16
+            return v
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                h, size, doc, pos, line, seek = batch.slice(at, 2000).columns
+                if len(cache) > CACHED_WORDS:
+                    cache.clear()
+                get = cache.get
+                sets = [sorted({get(w) or place(w) for w in t.encode().split()}) for t in line.to_pylist()]
+                n = np.array([len(s) for s in sets], np.int64)
+                flat = np.fromiter(chain.from_iterable(sets), np.int64, n.sum())
+                row = np.repeat(np.arange(len(sets)), n)
+                maps = np.zeros((len(sets), MAP_WORDS), np.uint64)
+                bit = np.uint64(1) << (flat & 63).astype(np.uint64)
+                np.bitwise_xor.at(maps, (row, (flat >> 6) & (MAP_WORDS - 1)), bit)
+                # short lines need few bits: a map folds onto its first word without losing its bound
+                short = n <= 40
+                maps[short, 0] = np.bitwise_xor.reduce(maps[short], axis=1)
+                p = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                take = p < (n - (n * a + b - 1) // b + 1)[row]
+                row, p, w = row[take], p[take], flat[take]
+                packed = [maps[k, : 1 if s else MAP_WORDS].tobytes() for k, s in enumerate(short)]
+                pick = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w), h.take(pick), size.take(pick), doc.take(pick), pos.take(pick), pa.array(n[row].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(packed, pa.binary()).take(pick), seek.take(pick)],
+                    ["w", "h", "size", "doc", "pos", "n", "p", "map", "seek"],
+                )
+
+    return rows
+
+
+class _Group:
+    """Rows of words in order of (w, n): what a task compares."""
+
+    def __init__(self, cols: list[np.ndarray]):
+        self.w, self.h, self.size, self.doc, self.pos, self.n, self.p, self.map, self.seek = cols
+
+    @classmethod
+    def of(cls, b: pa.RecordBatch) -> _Group:
+        w, h, size, doc, pos, n, p, packed, seek = b.columns
+        whole = np.zeros((len(w), MAP_WORDS), np.uint64)
+        n = n.to_numpy()
+        short = n <= 40
+        raw = packed.to_pylist()
+        if short.any():
+            whole[short, 0] = np.frombuffer(b"".join(x for x, s in zip(raw, short, strict=True) if s), "<u8")
+        if not short.all():
+            whole[~short] = np.frombuffer(b"".join(x for x, s in zip(raw, short, strict=True) if not s), "<u8").reshape(-1, MAP_WORDS)
+        return cls([w.to_numpy(), h.to_numpy(), size.to_numpy(), doc.to_numpy(), pos.to_numpy(), n.astype(np.int64), p.to_numpy().astype(np.int64), whole, seek.to_numpy(zero_copy_only=False)])
+
+    def columns(self) -> list[np.ndarray]:
+        return [self.w, self.h, self.size, self.doc, self.pos, self.n, self.p, self.map, self.seek]
+
+    def after(self, other: _Group) -> _Group:
+        return _Group([np.concatenate([x, y]) for x, y in zip(other.columns(), self.columns(), strict=True)])
+
+    def some(self, at) -> _Group:
+        return _Group([c[at] for c in self.columns()])
+
+
+def _near(g: _Group, i: np.ndarray, j: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of rows i before j those that may be similar, how many bits they differ in, and in how many words they may."""
+    a, b = least
+    x, y = g.n[i], g.n[j]
+    keep = (y * a <= x * b) & (g.p[i] <= x - (x * 2 * a + a + b - 1) // (a + b))
+    i, j, x, y = i[keep], j[keep], x[keep], y[keep]
+    common = ((x + y) * a + a + b - 1) // (a + b)
+    keep = np.minimum(x - g.p[i], y - g.p[j]) >= common
+    i, j, most = i[keep], j[keep], (x + y - 2 * common)[keep]
+    mi, mj = g.map[i], g.map[j]
+    mixed = (g.n[i] <= 40) & (g.n[j] > 40)
+    if mixed.any():  # a folded map meets a whole one
+        mj[mixed, 0] = np.bitwise_xor.reduce(mj[mixed], axis=1)
+        mj[mixed, 1:] = 0
+    apart = np.bitwise_count(mi ^ mj).sum(axis=1).astype(np.int64)
+    keep = apart <= most
+    return i[keep], j[keep], apart[keep], most[keep]
+
+
+def _search(least: tuple[int, int], limited: bool):
+    """Function of Arrow batches of rows, sorted by (w, n), to pairs: yh, ysize, xh, xsize, apart, more.
+
+    y is the later one, and one that is sought. more: not all pairs of y are given here. A word's rows are kept while their
+    lengths are within reach of the next ones'.
+    """
+    a, b = least
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: _Group | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = _Group.of(batch)
+            new = 0
+            if kept is not None and len(kept.w) and kept.w[0] == g.w[0]:
+                new = len(kept.w)
+                g = g.after(kept)
+            starts = np.flatnonzero(np.r_[True, g.w[1:] != g.w[:-1]])
+            ends = np.r_[starts[1:], len(g.w)]
+            end = np.repeat(ends, ends - starts)
+            found = []
+            # j runs away from i in steps, for all rows at once, while a row is in reach
+            i = np.arange(len(g.w))
+            step = 1
+            while len(i):
+                i = i[i + step < end[i]]
+                i = i[g.n[i + step] * a <= g.n[i] * b]
+                j = i + step
+                there = j >= new
+                if there.any():
+                    found.append(_near(g, i[there], j[there], least))
+                step += 1
+                if step > 64 and len(i):  # long groups: each of the remaining rows against all that follow
+                    for r in i:
+                        last = min(int(end[r]), int(r) + step + int(np.searchsorted(g.n[r + step : end[r]] * a, g.n[r] * b, "right")))
+                        j = np.arange(max(r + step, new), last)
+                        if len(j):
+                            found.append(_near(g, np.full(len(j), r), j, least))
+                    break
+            i, j, apart, most = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+            out = _given(g, i, j, apart, most, limited)
+            if out is not None:
+                yield out
+            tail = np.arange(starts[-1], len(g.w))
+            kept = g.some(tail[g.n[tail] * b >= g.n[-1] * a])
+
+    return pairs
+
+
+def _given(g: _Group, i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: np.ndarray, limited: bool) -> pa.RecordBatch | None:
+    i_later = (g.doc[i] > g.doc[j]) | ((g.doc[i] == g.doc[j]) & (g.pos[i] > g.pos[j]))
+    y, x = np.where(i_later, i, j), np.where(i_later, j, i)
+    keep = g.seek[y]
+    y, x, apart, most = y[keep], x[keep], apart[keep], most[keep]
+    if not len(y):
+        return None
+    more = np.zeros(len(y), bool)
+    if limited:
+        order = np.lexsort((apart, y))
+        y, x, apart, most = y[order], x[order], apart[order], most[order]
+        first = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
+        length = np.diff(np.r_[first, len(y)])
+        rank = np.arange(len(y)) - np.repeat(first, length)
+        near = np.repeat((apart[first] <= most[first] - SAFE) & (length > 2 * NEAREST), length)
+        keep = ~near | (rank < NEAREST)
+        y, x, apart, more = y[keep], x[keep], apart[keep], near[keep]
+    return pa.RecordBatch.from_arrays([pa.array(g.h[y]), pa.array(g.size[y]), pa.array(g.h[x]), pa.array(g.size[x]), pa.array(apart.astype(np.int32)), pa.array(more)], ["yh", "ysize", "xh", "xsize", "apart", "more"])
+
+
+def candidates(classes: DataFrame, ranks: np.ndarray, least: tuple[int, int], limited: bool = True) -> DataFrame:
+    """Pairs of classes (h, size, first, seek) that may be similar, the later one sought: yh, ysize, xh, xsize, apart, more."""
+    doc = F.coalesce(F.col("first.doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    rows = classes.select("h", "size", doc.alias("doc"), F.col("first.pos").alias("pos"), F.col("first.line").alias("line"), "seek")
+    dealt = rows.mapInArrow(_prefixes(ranks, least), "w bigint, h bigint, size int, doc bigint, pos int, n int, p int, map binary, seek boolean")
+    return dealt.repartition("w").sortWithinPartitions("w", "n").mapInArrow(_search(least, limited), "yh bigint, ysize int, xh bigint, xsize int, apart int, more boolean")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -62,46 +237,19 @@ def verified(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> Da
     a, b = least
     x = classes.select(F.col("h").alias("xh"), F.col("size").alias("xsize"), F.col("first").alias("x"))
     y = classes.select(F.col("h").alias("yh"), F.col("size").alias("ysize"), F.col("first").alias("y"))
-    both = pairs.join(x, ["xh", "xsize"]).join(y, ["yh", "ysize"])
-    wx, wy = words(F.col("x.line")), words(F.col("y.line"))
-    both = both.withColumn("common", F.array_remove(F.array_intersect(wx, wy), "")).withColumn("all", F.array_remove(F.array_union(wx, wy), ""))
+    both = pairs.select("xh", "xsize", "yh", "ysize").join(x, ["xh", "xsize"]).join(y, ["yh", "ysize"])
+    common = F.array_remove(F.array_intersect(_words(F.col("x.line")), _words(F.col("y.line"))), "")
+    every = F.array_remove(F.array_union(_words(F.col("x.line")), _words(F.col("y.line"))), "")
+    both = both.withColumn("common", F.size(common)).withColumn("every", F.size(every))
     y_goes = F.struct("x.doc_id", "x.pos") < F.struct("y.doc_id", "y.pos")
-    similar = both.where(F.size("common") * b >= F.size("all") * a)
+    similar = both.where(F.col("common") * b >= F.col("every") * a)
     return similar.select(*(F.when(y_goes, F.col("y" + c)).otherwise(F.col("x" + c)).alias(c) for c in ("h", "size"))).distinct()
 
 
-def leader_pairs(classes: DataFrame, chars: int = 24, salts: int = 16) -> DataFrame:
-    """Pairs of classes with the earliest that starts, or ends, with the same characters: xh, xsize, yh, ysize.
-
-    Groups are split by salt, each part with an earliest one of its own, so that none is in one task.
-    """
-    line = F.col("first.line")
-    ends = F.array(F.xxhash64(F.lit(1), F.left(line, F.lit(chars))), F.xxhash64(F.lit(2), F.right(line, F.lit(chars))))
-    rows = classes.where(F.length(line) >= chars).select("h", "size", F.struct("first.doc_id", "first.pos", "h", "size").alias("own"), F.explode(ends).alias("k"))
-    group = W.partitionBy("k", F.pmod("h", F.lit(salts)))
-    return rows.withColumn("lead", F.min("own").over(group)).where("lead < own").select(F.col("lead.h").alias("xh"), F.col("lead.size").alias("xsize"), F.col("h").alias("yh"), F.col("size").alias("ysize")).distinct()
-
-
-def similar_pairs(classes: DataFrame, places: Column, least: tuple[int, int]) -> DataFrame:
-    """Candidate pairs of classes (h, size, first, gone), not both gone: xh, xsize, yh, ysize, each once.
-
-    A parity map has, of each bit, whether an odd number of the line's words hash to it; two maps
-    differ in no more bits than the lines differ in words.
-    """
-    a, b = least
-    sets = classes.withColumn("places", places).select("h", "size", "gone", word_sets(F.col("first.line"), F.col("places")).alias("s"))
-    parity = F.aggregate("s", F.lit(0).cast("bigint"), lambda m, w: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(63).cast("int"))))
-    sets = sets.withColumn("n", F.size("s")).withColumn("bits", parity)
-    prefix = F.slice("s", 1, (F.col("n") - F.expr(f"(n * {a} + {b - 1}) div {b}") + 1).cast("int"))
-    rows = sets.select("h", "size", "gone", "n", "bits", F.posexplode(prefix).alias("p", "w"))
-    x, y = (rows.select("w", *(F.col(c).alias(side + c) for c in ("h", "size", "gone", "n", "p", "bits"))) for side in "xy")
-    # x is the one with fewer words; it must meet y within a still shorter prefix
-    shorter = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & ((F.col("xh") < F.col("yh")) | ((F.col("xh") == F.col("yh")) & (F.col("xsize") < F.col("ysize")))))
-    near = F.expr(f"greatest(xp - (xn - (xn * {2 * a} + {a + b - 1}) div {a + b}), yn * {a} - xn * {b}) <= 0")
-    overlap = F.expr(f"least(xn - xp, yn - yp) >= ((xn + yn) * {a} + {a + b - 1}) div {a + b}")
-    apart = F.expr(f"bit_count(xbits ^ ybits) <= xn + yn - 2 * (((xn + yn) * {a} + {a + b - 1}) div {a + b})")
-    open_ = ~(F.col("xgone") & F.col("ygone"))
-    return x.join(y, "w").where(shorter & near & overlap & apart & open_).select("xh", "xsize", "yh", "ysize").distinct()
+def _words(line: Column) -> Column:
+    for c in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.split(line, " ")
 
 
 def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -112,18 +260,26 @@ def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
     (numerator, denominator). Rows with the same id are taken as one document that has the lines of
     each. Other columns are ignored. An empty table gives no rows.
 
-    Equal lines (same XXH64 and number of bytes) form a class. Most classes of a large group of similar ones
-    are found by comparison with its first; the join then leaves out pairs of which both are known to go.
+    Equal lines (same XXH64 and number of bytes) form a class.
     """
     docs = docs.select("doc_id", "text")
     at = F.struct(F.col("doc_id"), F.col("pos"), F.col("line"))
     hashed = lines(docs).select(F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"), at.alias("at"))
     classes = hashed.groupBy("h", "size").agg(F.min("at").alias("first"))
-    places = cut(bucket_places(docs)).scalar()
-    soon = cut(verified(leader_pairs(classes), classes, least))
-    marked = classes.join(soon.withColumn("gone", F.lit(True)), ["h", "size"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    gone = soon.unionByName(verified(similar_pairs(marked, places, least), classes, least)).distinct()
-    kept = classes.join(gone, ["h", "size"], "left_anti").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("first.pos")).alias("kept_lines"))
+    ranks = bucket_ranks(docs)
+    found = candidates(classes.withColumn("seek", F.lit(True)), ranks, least).repartition("yh", "ysize")
+    nearest = found.groupBy("yh", "ysize").agg(F.min(F.struct("apart", "xh", "xsize")).alias("x"), F.bool_or("more").alias("more"))
+    soon = verified(nearest.select("yh", "ysize", "x.xh", "x.xsize"), classes, least)
+    rest = found.select("yh", "ysize", "xh", "xsize").distinct().join(soon.select(F.col("h").alias("yh"), F.col("size").alias("ysize")), ["yh", "ysize"], "left_anti")
+    gone = soon.unionByName(verified(rest, classes, least)).distinct()
+    open_ = nearest.where("more").select(F.col("yh").alias("h"), F.col("ysize").alias("size")).join(gone, ["h", "size"], "left_anti")
+    decided = cut(gone.withColumn("open", F.lit(False)).unionByName(open_.withColumn("open", F.lit(True))))
+    gone = decided.where("NOT open").drop("open")
+    if decided.where("open").limit(1).count():
+        again = classes.join(decided.where("open").withColumn("seek", F.lit(True)).drop("open"), ["h", "size"], "left").withColumn("seek", F.coalesce("seek", F.lit(False)))
+        gone = gone.unionByName(verified(candidates(again, ranks, least, limited=False).select("yh", "ysize", "xh", "xsize").distinct(), classes, least)).distinct()
+    places = hashed.select("h", "size", "at.doc_id", "at.pos").groupBy("h", "size").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    kept = places.join(gone, ["h", "size"], "left_anti").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("first.pos")).alias("kept_lines"))
     counted = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*")).alias("n_lines"))
     out = counted.join(kept.withColumnRenamed("doc_id", "__id"), counted["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id")
     out = out.withColumn("kept_lines", F.coalesce("kept_lines", F.array().cast("array<int>")))
