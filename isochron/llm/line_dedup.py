@@ -11,7 +11,8 @@ number (null ids come first).
 Of a group of k lines that are all alike, a join in DataFrame expressions makes k * k / 2 pairs. Here
 the task that holds a word's lines compares them in numpy and gives each line its nearest earlier
 ones only; lines with nothing near but much within reach get all, and whatever is left undecided is
-searched again without that limit. So what is found is exact.
+searched again without that limit. So what is found is exact. The form in DataFrame expressions did
+not meet the limits with whole results; see the README for its figures.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 
 from isochron.llm.common import WORD, cut
 
-BUCKETS = 1 << 16
-MAP_WORDS = 4  # parity maps have 64 * MAP_WORDS bits
+BUCKETS, MAP_BITS = 1 << 16, 64
 CACHED_WORDS = 300_000
-NEAREST, SAFE = 4, 6  # how many near lines are given, and how many words below the limit counts as near
+NEAREST = 4  # so many of the earlier lines near a line are given, if there are more than twice as many
+MOST_WORDS = 1_000_000  # that are sent to all tasks
+FIRST = -(1 << 63)  # stands for a null id: before all others
 
 
 def _blank(line: Column) -> Column:
@@ -63,14 +65,18 @@ def bucket_ranks(docs: DataFrame) -> np.ndarray:
     return ranks
 
 
-def _prefixes(ranks: np.ndarray, least: tuple[int, int]):
-    """Function of Arrow batches of classes to the rows that are dealt out by word."""
+def _prefixes(ranks: np.ndarray, least: tuple[int, int], wanted: np.ndarray | None = None):
+    """Function of Arrow batches of lines (doc, at, line) to the rows that are dealt out by word: w, doc, at, n, p, map.
+
+    n is the number of distinct words, p the place of w among them, map the parity of the words' hashes.
+    ``wanted``: the only words to deal out.
+    """
     a, b = least
     place_of = ((ranks - BUCKETS // 2) << 48).tolist()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
-        digest = xxhash.xxh64_intdigest
+        digest, get = xxhash.xxh64_intdigest, cache.get
 
         def place(w: bytes) -> int:
             h = digest(w)
@@ -79,136 +85,104 @@ def _prefixes(ranks: np.ndarray, least: tuple[int, int]):
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                h, size, doc, pos, line, seek = batch.slice(at, 2000).columns
+                doc, pos, line = batch.slice(at, 2000).columns
                 if len(cache) > CACHED_WORDS:
                     cache.clear()
-                get = cache.get
                 sets = [sorted({get(w) or place(w) for w in t.encode().split()}) for t in line.to_pylist()]
-                n = np.array([len(s) for s in sets], np.int64)
+                n = np.fromiter(map(len, sets), np.int64, len(sets))
                 flat = np.fromiter(chain.from_iterable(sets), np.int64, n.sum())
-                row = np.repeat(np.arange(len(sets)), n)
-                maps = np.zeros((len(sets), MAP_WORDS), np.uint64)
-                bit = np.uint64(1) << (flat & 63).astype(np.uint64)
-                np.bitwise_xor.at(maps, (row, (flat >> 6) & (MAP_WORDS - 1)), bit)
-                # short lines need few bits: a map folds onto its first word without losing its bound
-                short = n <= 40
-                maps[short, 0] = np.bitwise_xor.reduce(maps[short], axis=1)
-                p = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-                take = p < (n - (n * a + b - 1) // b + 1)[row]
-                row, p, w = row[take], p[take], flat[take]
-                packed = [maps[k, : 1 if s else MAP_WORDS].tobytes() for k, s in enumerate(short)]
-                pick = pa.array(row)
+                starts = np.cumsum(n) - n
+                maps = np.bitwise_xor.reduceat(np.uint64(1) << (flat & 63).astype(np.uint64), starts)
+                taken = n - (n * a + b - 1) // b + 1
+                row = np.repeat(np.arange(len(sets)), taken)
+                p = np.arange(len(row)) - np.repeat(np.cumsum(taken) - taken, taken)
+                if wanted is not None:
+                    asked = np.isin(flat[starts[row] + p], wanted)
+                    row, p = row[asked], p[asked]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w), h.take(pick), size.take(pick), doc.take(pick), pos.take(pick), pa.array(n[row].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(packed, pa.binary()).take(pick), seek.take(pick)],
-                    ["w", "h", "size", "doc", "pos", "n", "p", "map", "seek"],
+                    [pa.array(flat[starts[row] + p]), pa.array(doc.to_numpy()[row]), pa.array(pos.to_numpy()[row]), pa.array(n[row].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(maps.view(np.int64)[row])], ["w", "doc", "at", "n", "p", "map"]
                 )
 
     return rows
 
 
-class _Group:
+class _Rows:
     """Rows of words in order of (w, n): what a task compares."""
 
-    def __init__(self, cols: list[np.ndarray]):
-        self.w, self.h, self.size, self.doc, self.pos, self.n, self.p, self.map, self.seek = cols
+    def __init__(self, columns: list[np.ndarray]):
+        self.columns = columns
+        self.w, self.doc, self.at, self.n, self.p, self.map = columns
 
     @classmethod
-    def of(cls, b: pa.RecordBatch) -> _Group:
-        w, h, size, doc, pos, n, p, packed, seek = b.columns
-        whole = np.zeros((len(w), MAP_WORDS), np.uint64)
-        n = n.to_numpy()
-        short = n <= 40
-        raw = packed.to_pylist()
-        if short.any():
-            whole[short, 0] = np.frombuffer(b"".join(x for x, s in zip(raw, short, strict=True) if s), "<u8")
-        if not short.all():
-            whole[~short] = np.frombuffer(b"".join(x for x, s in zip(raw, short, strict=True) if not s), "<u8").reshape(-1, MAP_WORDS)
-        return cls([w.to_numpy(), h.to_numpy(), size.to_numpy(), doc.to_numpy(), pos.to_numpy(), n.astype(np.int64), p.to_numpy().astype(np.int64), whole, seek.to_numpy(zero_copy_only=False)])
-
-    def columns(self) -> list[np.ndarray]:
-        return [self.w, self.h, self.size, self.doc, self.pos, self.n, self.p, self.map, self.seek]
-
-    def after(self, other: _Group) -> _Group:
-        return _Group([np.concatenate([x, y]) for x, y in zip(other.columns(), self.columns(), strict=True)])
-
-    def some(self, at) -> _Group:
-        return _Group([c[at] for c in self.columns()])
-
-
-def _near(g: _Group, i: np.ndarray, j: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs of rows i before j those that may be similar, how many bits they differ in, and in how many words they may."""
+    def of(cls, b: pa.RecordBatch) -> _Rows:
+        w, doc, at, n, p, maps = (c.to_numpy() for c in b.columns)
+        return cls([w, doc, at, n.astype(np.int64), p.astype(np.int64), maps.view(np.uint64)])
+
+    def after(self, other: _Rows) -> _Rows:
+        return _Rows([np.concatenate(c) for c in zip(other.columns, self.columns, strict=True)])
+
+    def some(self, at: np.ndarray) -> _Rows:
+        return _Rows([c[at] for c in self.columns])
+
+
+def _near(g: _Rows, i: np.ndarray, j: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """Of the pairs of rows i before j those that may be similar, in how many bits their maps differ, and in how many words they may."""
     a, b = least
     x, y = g.n[i], g.n[j]
-    keep = (y * a <= x * b) & (g.p[i] <= x - (x * 2 * a + a + b - 1) // (a + b))
-    i, j, x, y = i[keep], j[keep], x[keep], y[keep]
     common = ((x + y) * a + a + b - 1) // (a + b)
-    keep = np.minimum(x - g.p[i], y - g.p[j]) >= common
-    i, j, most = i[keep], j[keep], (x + y - 2 * common)[keep]
-    mi, mj = g.map[i], g.map[j]
-    mixed = (g.n[i] <= 40) & (g.n[j] > 40)
-    if mixed.any():  # a folded map meets a whole one
-        mj[mixed, 0] = np.bitwise_xor.reduce(mj[mixed], axis=1)
-        mj[mixed, 1:] = 0
-    apart = np.bitwise_count(mi ^ mj).sum(axis=1).astype(np.int64)
-    keep = apart <= most
+    most = x + y - 2 * common
+    apart = np.bitwise_count(g.map[i] ^ g.map[j]).astype(np.int64)
+    # the one with fewer words must meet the other within a still shorter prefix
+    keep = (apart <= most) & (y * a <= x * b) & (g.p[i] <= x - (x * 2 * a + a + b - 1) // (a + b)) & (np.minimum(x - g.p[i], y - g.p[j]) >= common)
     return i[keep], j[keep], apart[keep], most[keep]
 
 
 def _search(least: tuple[int, int], limited: bool):
-    """Function of Arrow batches of rows, sorted by (w, n), to pairs: yh, ysize, xh, xsize, apart, more.
+    """Function of Arrow batches of rows, sorted by (w, n), to pairs: ydoc, yat, xdoc, xat, apart, more.
 
-    y is the later one, and one that is sought. more: not all pairs of y are given here. A word's rows are kept while their
+    y is the later one. more: not all pairs of y are given here. A word's rows are kept while their
     lengths are within reach of the next ones'.
     """
     a, b = least
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: _Group | None = None
+        kept: _Rows | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g = _Group.of(batch)
-            new = 0
-            if kept is not None and len(kept.w) and kept.w[0] == g.w[0]:
-                new = len(kept.w)
-                g = g.after(kept)
+            g, new = _Rows.of(batch), 0
+            if kept is not None and kept.w[0] == g.w[0]:
+                g, new = g.after(kept), len(kept.w)
             starts = np.flatnonzero(np.r_[True, g.w[1:] != g.w[:-1]])
             ends = np.r_[starts[1:], len(g.w)]
             end = np.repeat(ends, ends - starts)
             found = []
             # j runs away from i in steps, for all rows at once, while a row is in reach
-            i = np.arange(len(g.w))
-            step = 1
-            while len(i):
+            i, step = np.arange(len(g.w)), 1
+            while len(i) and step <= 64:
                 i = i[i + step < end[i]]
                 i = i[g.n[i + step] * a <= g.n[i] * b]
-                j = i + step
-                there = j >= new
+                there = i + step >= new
                 if there.any():
-                    found.append(_near(g, i[there], j[there], least))
+                    found.append(_near(g, i[there], i[there] + step, least))
                 step += 1
-                if step > 64 and len(i):  # long groups: each of the remaining rows against all that follow
-                    for r in i:
-                        last = min(int(end[r]), int(r) + step + int(np.searchsorted(g.n[r + step : end[r]] * a, g.n[r] * b, "right")))
-                        j = np.arange(max(r + step, new), last)
-                        if len(j):
-                            found.append(_near(g, np.full(len(j), r), j, least))
-                    break
-            i, j, apart, most = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
-            out = _given(g, i, j, apart, most, limited)
-            if out is not None:
-                yield out
+            for r in i:  # long groups: each of the remaining rows against all that follow
+                j = np.arange(max(r + step, new), end[r])
+                if len(j):
+                    found.append(_near(g, np.full(len(j), r), j, least))
+            if found:
+                out = _given(g, *(np.concatenate(c) for c in zip(*found, strict=True)), limited)
+                if out is not None:
+                    yield out
             tail = np.arange(starts[-1], len(g.w))
             kept = g.some(tail[g.n[tail] * b >= g.n[-1] * a])
 
     return pairs
 
 
-def _given(g: _Group, i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: np.ndarray, limited: bool) -> pa.RecordBatch | None:
-    i_later = (g.doc[i] > g.doc[j]) | ((g.doc[i] == g.doc[j]) & (g.pos[i] > g.pos[j]))
+def _given(g: _Rows, i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: np.ndarray, limited: bool) -> pa.RecordBatch | None:
+    i_later = (g.doc[i] > g.doc[j]) | ((g.doc[i] == g.doc[j]) & (g.at[i] > g.at[j]))
     y, x = np.where(i_later, i, j), np.where(i_later, j, i)
-    keep = g.seek[y]
-    y, x, apart, most = y[keep], x[keep], apart[keep], most[keep]
     if not len(y):
         return None
     more = np.zeros(len(y), bool)
@@ -218,38 +192,83 @@ def _given(g: _Group, i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: np.
         first = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
         length = np.diff(np.r_[first, len(y)])
         rank = np.arange(len(y)) - np.repeat(first, length)
-        near = np.repeat((apart[first] <= most[first] - SAFE) & (length > 2 * NEAREST), length)
+        # near: clearly fewer bits apart than lines that differ in as many words as they may; of long lines maps can't tell
+        likely = MAP_BITS / 2 * (1 - (1 - 2 / MAP_BITS) ** most[first])
+        near = np.repeat((apart[first] <= 0.6 * likely) & (most[first] <= MAP_BITS // 3) & (length > 2 * NEAREST), length)
         keep = ~near | (rank < NEAREST)
         y, x, apart, more = y[keep], x[keep], apart[keep], near[keep]
-    return pa.RecordBatch.from_arrays([pa.array(g.h[y]), pa.array(g.size[y]), pa.array(g.h[x]), pa.array(g.size[x]), pa.array(apart.astype(np.int32)), pa.array(more)], ["yh", "ysize", "xh", "xsize", "apart", "more"])
+    return pa.RecordBatch.from_arrays([pa.array(g.doc[y]), pa.array(g.at[y]), pa.array(g.doc[x]), pa.array(g.at[x]), pa.array(apart.astype(np.int32)), pa.array(more)], ["ydoc", "yat", "xdoc", "xat", "apart", "more"])
+
+
+def _key() -> list[Column]:
+    """doc and at of a line: they order lines, and tell them apart (rows that share an id by 16 bits of the line's hash)."""
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), F.shiftleft(F.col("pos").cast("bigint"), 16).bitwiseOR(F.xxhash64("line").bitwiseAND(65535)).alias("at")]
+
+
+def first_lines(docs: DataFrame, with_line: bool) -> DataFrame:
+    """The first of each set of equal lines (same XXH64 and number of bytes): doc, at and, if asked for, line."""
+    keyed = lines(docs).select(F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"), F.struct(*_key(), *(["line"] if with_line else [])).alias("own"))
+    return keyed.groupBy("h", "size").agg(F.min("own").alias("first")).select("first.*")
+
 
+def candidates(firsts: DataFrame, ranks: np.ndarray, least: tuple[int, int], wanted: np.ndarray | None = None, limited: bool = True) -> DataFrame:
+    """Pairs of lines (doc, at, line) that may be similar, the later one first: ydoc, yat, xdoc, xat, apart, more.
 
-def candidates(classes: DataFrame, ranks: np.ndarray, least: tuple[int, int], limited: bool = True) -> DataFrame:
-    """Pairs of classes (h, size, first, seek) that may be similar, the later one sought: yh, ysize, xh, xsize, apart, more."""
-    doc = F.coalesce(F.col("first.doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    rows = classes.select("h", "size", doc.alias("doc"), F.col("first.pos").alias("pos"), F.col("first.line").alias("line"), "seek")
-    dealt = rows.mapInArrow(_prefixes(ranks, least), "w bigint, h bigint, size int, doc bigint, pos int, n int, p int, map binary, seek boolean")
-    return dealt.repartition("w").sortWithinPartitions("w", "n").mapInArrow(_search(least, limited), "yh bigint, ysize int, xh bigint, xsize int, apart int, more boolean")
+    ``wanted``: the only words to search. Unless ``limited``, all pairs are given.
+    """
+    dealt = firsts.select("doc", "at", "line").mapInArrow(_prefixes(ranks, least, wanted), "w bigint, doc bigint, at bigint, n int, p int, map bigint")
+    return dealt.repartition("w").sortWithinPartitions("w", "n").mapInArrow(_search(least, limited), "ydoc bigint, yat bigint, xdoc bigint, xat bigint, apart int, more boolean")
+
+
+def lines_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc, at, line of the lines that occur in ``pairs`` (ydoc, yat, xdoc, xat).
+
+    Only they leave their documents: their keys are broadcast if they are at most two million (of 16
+    bytes), else joined.
+    """
+    both = F.array(*(F.struct(F.col(s + "doc").alias("doc"), F.col(s + "at").alias("at")) for s in "yx"))
+    ids = cut(pairs.select(F.explode(both).alias("k")).select("k.*").distinct())
+    return cut(lines(docs).select(*_key(), "line").join(F.broadcast(ids) if ids.count() <= 2_000_000 else ids, ["doc", "at"], "left_semi"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """h, size of the later class of each of ``pairs`` (xh, xsize, yh, ysize) whose lines' words are similar enough."""
+def verified(pairs: DataFrame, needed: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """doc, at of the later line of each of ``pairs`` (ydoc, yat, xdoc, xat) whose words, by ``needed`` (doc, at, line), are similar enough."""
     a, b = least
-    x = classes.select(F.col("h").alias("xh"), F.col("size").alias("xsize"), F.col("first").alias("x"))
-    y = classes.select(F.col("h").alias("yh"), F.col("size").alias("ysize"), F.col("first").alias("y"))
-    both = pairs.select("xh", "xsize", "yh", "ysize").join(x, ["xh", "xsize"]).join(y, ["yh", "ysize"])
-    common = F.array_remove(F.array_intersect(_words(F.col("x.line")), _words(F.col("y.line"))), "")
-    every = F.array_remove(F.array_union(_words(F.col("x.line")), _words(F.col("y.line"))), "")
-    both = both.withColumn("common", F.size(common)).withColumn("every", F.size(every))
-    y_goes = F.struct("x.doc_id", "x.pos") < F.struct("y.doc_id", "y.pos")
-    similar = both.where(F.col("common") * b >= F.col("every") * a)
-    return similar.select(*(F.when(y_goes, F.col("y" + c)).otherwise(F.col("x" + c)).alias(c) for c in ("h", "size"))).distinct()
+    x, y = (needed.select(F.col("doc").alias(s + "doc"), F.col("at").alias(s + "at"), F.col("line").alias(s)) for s in "xy")
+    both = pairs.select("ydoc", "yat", "xdoc", "xat").join(x, ["xdoc", "xat"]).join(y, ["ydoc", "yat"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                u, v = set(p.encode().split()), set(q.encode().split())
+                alike.append(len(u & v) * (a + b) >= (len(u) + len(v)) * a)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["doc", "at"]).filter(pa.array(alike, pa.bool_()))
 
-def _words(line: Column) -> Column:
-    for c in "\t\x0b\x0c\r":
-        line = F.replace(line, F.lit(c), F.lit(" "))
-    return F.split(line, " ")
+    return both.select("ydoc", "yat", "x", "y").mapInArrow(compare, "doc bigint, at bigint").distinct()
+
+
+def similar_lines(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """doc, at of the first lines of ``docs`` that are similar to an earlier one."""
+    ranks = bucket_ranks(docs)
+    found = cut(candidates(first_lines(docs, True), ranks, least))
+    needed = lines_of(found, docs)
+    y = ["ydoc", "yat"]
+    key = lambda df: df.select(F.col("doc").alias("ydoc"), F.col("at").alias("yat"))
+    nearest = found.groupBy(*y).agg(F.min(F.struct("apart", "xdoc", "xat")).alias("x"))
+    soon = cut(verified(nearest.select(*y, "x.xdoc", "x.xat"), needed, least))
+    rest = cut(found.join(key(soon), y, "left_anti").groupBy(*y, "xdoc", "xat").agg(F.bool_or("more").alias("more")))
+    gone = cut(soon.unionByName(verified(rest, needed, least)).distinct())
+    undecided = cut(rest.where("more").select(*y).distinct().join(key(gone), y, "left_anti"))
+    if undecided.limit(1).count():
+        sought = needed.join(undecided.select(F.col("ydoc").alias("doc"), F.col("yat").alias("at")), ["doc", "at"], "left_semi")
+        prefixes = sought.mapInArrow(_prefixes(ranks, least), "w bigint, doc bigint, at bigint, n int, p int, map bigint").select("w").distinct()
+        wanted = np.array([r.w for r in prefixes.limit(MOST_WORDS + 1).collect()], np.int64)
+        rows = lines(docs).select(*_key(), "line")
+        every = candidates(rows, ranks, least, wanted if len(wanted) <= MOST_WORDS else None, limited=False)
+        pairs = cut(every.join(undecided, y, "left_semi").select(*y, "xdoc", "xat").distinct())
+        gone = gone.unionByName(verified(pairs, lines_of(pairs, docs), least)).distinct()
+    return gone
 
 
 def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -259,29 +278,13 @@ def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
     kept_lines lists the numbers of those that stay, in order. ``least`` is the Jaccard similarity as
     (numerator, denominator). Rows with the same id are taken as one document that has the lines of
     each. Other columns are ignored. An empty table gives no rows.
-
-    Equal lines (same XXH64 and number of bytes) form a class.
     """
     docs = docs.select("doc_id", "text")
-    at = F.struct(F.col("doc_id"), F.col("pos"), F.col("line"))
-    hashed = lines(docs).select(F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"), at.alias("at"))
-    classes = hashed.groupBy("h", "size").agg(F.min("at").alias("first"))
-    ranks = bucket_ranks(docs)
-    found = candidates(classes.withColumn("seek", F.lit(True)), ranks, least).repartition("yh", "ysize")
-    nearest = found.groupBy("yh", "ysize").agg(F.min(F.struct("apart", "xh", "xsize")).alias("x"), F.bool_or("more").alias("more"))
-    soon = verified(nearest.select("yh", "ysize", "x.xh", "x.xsize"), classes, least)
-    rest = found.select("yh", "ysize", "xh", "xsize").distinct().join(soon.select(F.col("h").alias("yh"), F.col("size").alias("ysize")), ["yh", "ysize"], "left_anti")
-    gone = soon.unionByName(verified(rest, classes, least)).distinct()
-    open_ = nearest.where("more").select(F.col("yh").alias("h"), F.col("ysize").alias("size")).join(gone, ["h", "size"], "left_anti")
-    decided = cut(gone.withColumn("open", F.lit(False)).unionByName(open_.withColumn("open", F.lit(True))))
-    gone = decided.where("NOT open").drop("open")
-    if decided.where("open").limit(1).count():
-        again = classes.join(decided.where("open").withColumn("seek", F.lit(True)).drop("open"), ["h", "size"], "left").withColumn("seek", F.coalesce("seek", F.lit(False)))
-        gone = gone.unionByName(verified(candidates(again, ranks, least, limited=False).select("yh", "ysize", "xh", "xsize").distinct(), classes, least)).distinct()
-    places = hashed.select("h", "size", "at.doc_id", "at.pos").groupBy("h", "size").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    kept = places.join(gone, ["h", "size"], "left_anti").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list("first.pos")).alias("kept_lines"))
+    gone = similar_lines(docs, least)
+    kept = first_lines(docs, False).join(gone, ["doc", "at"], "left_anti")
+    kept = kept.groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_set(F.shiftright("at", 16).cast("int"))).alias("kept_lines"))
     counted = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*")).alias("n_lines"))
-    out = counted.join(kept.withColumnRenamed("doc_id", "__id"), counted["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id")
+    out = counted.join(kept, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)) == F.col("__doc"), "left").drop("__doc")
     out = out.withColumn("kept_lines", F.coalesce("kept_lines", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept_lines")).alias("n_removed"), "kept_lines")
 
