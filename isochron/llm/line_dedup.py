@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isochron.llm.common import WORD, cut
+from isochron.llm.common import WORD, cut, stored
 
 BUCKETS, MAP_BITS = 1 << 16, 64
 CACHED_WORDS = 300_000
@@ -228,7 +228,7 @@ def lines_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """
     both = F.array(*(F.struct(F.col(s + "doc").alias("doc"), F.col(s + "at").alias("at")) for s in "yx"))
     ids = cut(pairs.select(F.explode(both).alias("k")).select("k.*").distinct())
-    return cut(lines(docs).select(*_key(), "line").join(F.broadcast(ids) if ids.count() <= 2_000_000 else ids, ["doc", "at"], "left_semi"))
+    return stored(lines(docs).select(*_key(), "line").join(F.broadcast(ids) if ids.count() <= 2_000_000 else ids, ["doc", "at"], "left_semi"))
 
 
 def verified(pairs: DataFrame, needed: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -251,7 +251,7 @@ def verified(pairs: DataFrame, needed: DataFrame, least: tuple[int, int]) -> Dat
 def similar_lines(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
     """doc, at of the first lines of ``docs`` that are similar to an earlier one."""
     ranks = bucket_ranks(docs)
-    found = cut(candidates(first_lines(docs, True), ranks, least))
+    found = stored(candidates(first_lines(docs, True), ranks, least))
     needed = lines_of(found, docs)
     y = ["ydoc", "yat"]
     key = lambda df: df.select(F.col("doc").alias("ydoc"), F.col("at").alias("yat"))
