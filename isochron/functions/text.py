@@ -81,8 +81,11 @@ def _last_object(text: str | None) -> str | None:
     return found
 
 
-@F.pandas_udf("string")
-def last_json_object(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def last_json_object(text: Column) -> Column:
     """The last valid JSON object in free text, with sorted keys; null if there is none."""
-    for b in batches:
-        yield b.map(_last_object)
+
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(_last_object)
+
+    return F.pandas_udf(find, "string")(text)
