@@ -318,7 +318,7 @@ def weekly_buckets(spark, sf_dir):
     return out.select("user_id", "bucket", day("start"), day("end"), "days", r("value").alias("value"), "top")
 
 
-@query(f"SELECT 'views' AS series, CAST({DAY} AS VARCHAR) AS "at", round(sum(value), 4) AS value FROM events WHERE event_type = 'view' AND {IN_WINDOW} GROUP BY 2")
+@query(f"SELECT 'views' AS series, CAST({DAY} AS VARCHAR) AS \"at\", round(sum(value), 4) AS value FROM events WHERE event_type = 'view' AND {IN_WINDOW} GROUP BY 2")
 def vocabulary_series(spark, sf_dir):
     known = {"views": series.Variable("views", "events", "value", "flux", measured=False)}
     (v,), resolution = series.prepare(["views"], known, START, END)
