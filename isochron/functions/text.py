@@ -29,7 +29,7 @@ def title(text: Column, width: int = 60) -> Column:
 def without_thoughts(text: Column) -> Column:
     """An answer without its think blocks and the fences around its code."""
     bare = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    return F.trim(F.regexp_replace(bare, r"(?m)^```\w*\s*$", ""))
+    return F.regexp_replace(F.regexp_replace(bare, r"(?m)^```\w*\s*?$", ""), r"^\s+|\s+$", "")
 
 
 def tokens(text: Column) -> Column:
