@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,12 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read again: ``cut`` for many rows, in less space.
 
-    The files go when the session ends.
+    The files go when the session ends. The shuffles that made them are needed no more; Spark removes
+    those once the JVM's collector has found them unused, which is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
+    del df
+    gc.collect()
+    jvm.System.gc()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.parquet(path)

@@ -257,7 +257,7 @@ def similar_lines(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
     key = lambda df: df.select(F.col("doc").alias("ydoc"), F.col("at").alias("yat"))
     nearest = found.groupBy(*y).agg(F.min(F.struct("apart", "xdoc", "xat")).alias("x"))
     soon = cut(verified(nearest.select(*y, "x.xdoc", "x.xat"), needed, least))
-    rest = cut(found.join(key(soon), y, "left_anti").groupBy(*y, "xdoc", "xat").agg(F.bool_or("more").alias("more")))
+    rest = stored(found.join(key(soon), y, "left_anti").groupBy(*y, "xdoc", "xat").agg(F.bool_or("more").alias("more")))
     gone = cut(soon.unionByName(verified(rest, needed, least)).distinct())
     undecided = cut(rest.where("more").select(*y).distinct().join(key(gone), y, "left_anti"))
     if undecided.limit(1).count():
