@@ -848,6 +848,159 @@ delegated(
 )
 
 
+# --- more of the inventory: sources, cases, ledgers ---------------------------------------------------
+
+
+@query("SELECT sha256('{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}') AS key, count(*) AS n FROM events GROUP BY 1")
+def request_keys(spark, sf_dir):
+    return events(spark, sf_dir).groupBy(cache.request_key("user_id", "event_type").alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH w AS (SELECT c_custkey AS key FROM customer WHERE c_custkey % 3 < 2), k AS (SELECT c_custkey AS key, c_mktsegment AS response FROM customer WHERE c_custkey % 2 = 0)
+    SELECT w.key, coalesce(k.response, 'filled ' || w.key) AS response FROM w LEFT JOIN k USING (key)
+""")
+def read_through(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("response"))
+    fill = lambda missing: missing.withColumn("response", F.concat(F.lit("filled "), F.col("key").cast("string")))
+    return cache.fetch_many(c.where("key % 3 < 2").select("key"), c.where("key % 2 = 0"), fill, "key")
+
+
+@query(f"""
+    WITH d AS (SELECT DISTINCT user_id, {DAY} AS d FROM events WHERE {IN_WINDOW}), s AS (SELECT u.user_id, CAST(x.d AS DATE) AS d FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(generate_series(DATE '2024-01-03', DATE '2024-01-27', INTERVAL 1 DAY)) AS d) x),
+    m AS (SELECT s.* FROM s ANTI JOIN d ON s.user_id = d.user_id AND s.d = d.d), i AS (SELECT *, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INT) AS g FROM m)
+    SELECT user_id, CAST(min(d) AS VARCHAR) AS start, CAST(max(d) AS VARCHAR) AS "end", count(*) AS length FROM i GROUP BY user_id, g
+""")
+def missing_ranges(spark, sf_dir):
+    e = events(spark, sf_dir)
+    spine = e.select("user_id").distinct().withColumn("d", F.explode(F.sequence(F.lit(START), F.lit(END))))
+    have = e.select("user_id", timeaxis.site_day("ts").alias("d")).distinct()
+    return cache.missing_ranges(spine, have, ["user_id"]).select("user_id", day("start"), day("end"), "length")
+
+
+@query("""
+    WITH d AS (SELECT c_mktsegment AS k, 'a' || c_nationkey AS k2, c_custkey % 7 AS v FROM customer), m AS (SELECT key, min(v) AS v FROM (SELECT k AS key, v FROM d UNION ALL SELECT k2, v FROM d) GROUP BY 1)
+    SELECT o_orderkey, v FROM orders LEFT JOIN m ON m.key = CASE WHEN o_orderkey % 2 = 0 THEN 'a' || o_orderkey % 30 ELSE 'BUILDING' END
+""")
+def lookup_by_any(spark, sf_dir):
+    dim = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("k"), F.concat(F.lit("a"), F.col("c_nationkey").cast("string")).alias("k2"), (F.col("c_custkey") % 7).alias("v"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("a"), (F.col("o_orderkey") % 30).cast("string"))).otherwise("BUILDING").alias("key"))
+    return joins.lookup_by_any(o, dim, "key", ["k", "k2"], "v").select("o_orderkey", "v")
+
+
+@query("""
+    WITH a AS (SELECT o_custkey AS case_id, avg(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS case_id, avg(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+    SELECT a.case_id, round(a.v / 7, 3) AS left_value, round(b.v / 7, 3) AS right_value FROM a JOIN b USING (case_id) WHERE a.case_id % 10 <> 0
+""")
+def paired_arms(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("arm"), F.col("o_custkey").alias("case_id"), F.col("o_totalprice").alias("value"))
+    out = joins.paired_arms(o, "F", "O", o.where("case_id % 10 = 0"))
+    return out.select("case_id", r(F.col("left_value") / 7, 3).alias("left_value"), r(F.col("right_value") / 7, 3).alias("right_value"))
+
+
+@query("""
+    WITH p AS (SELECT ['train', 'test'][1 + p_partkey % 2] AS split, p_brand AS template_id, unnest(['name', 'size']) AS param, unnest([p_name, p_size::VARCHAR]) AS value FROM part)
+    SELECT template_id, param, value, count(DISTINCT split) AS splits FROM p GROUP BY 1, 2, 3 HAVING count(DISTINCT split) > 1
+""")
+def parameter_overlaps(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    params = F.create_map(F.lit("name"), F.col("p_name"), F.lit("size"), F.col("p_size").cast("string"))
+    split = F.when(F.col("p_partkey") % 2 == 0, "train").otherwise("test")
+    return sets.value_overlaps(p.select(split.alias("split"), F.col("p_brand").alias("template_id"), params.alias("params")))
+
+
+@query("SELECT o_orderpriority, coalesce(o_orderstatus, 'all') AS status, count(*) AS n, round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 6) AS share FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus) HAVING o_orderpriority IS NOT NULL")
+def split_counts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    total = o.agg(F.sum("o_totalprice")).first()[0]
+    out = o.rollup("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), (F.sum("o_totalprice") / total).alias("share")).where("o_orderpriority IS NOT NULL")
+    return out.select("o_orderpriority", F.coalesce("o_orderstatus", F.lit("all")).alias("status"), "n", r("share", 6).alias("share"))
+
+
+@query("SELECT o_orderpriority, arg_max(o_orderkey, struct_pack(p := o_totalprice, k := o_orderkey)) AS best FROM orders GROUP BY 1")
+def best_by_two_keys(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best"))
+
+
+@query("SELECT p_partkey, ['en', 'de'][1 + (row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 + dense_rank() OVER (ORDER BY p_type)) % 2] AS language FROM part")
+def alternating_languages(spark, sf_dir):
+    n = F.row_number().over(W.partitionBy("p_type").orderBy("p_partkey")) - 1 + F.dense_rank().over(W.orderBy("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(F.lit("en"), F.lit("de")), (F.pmod(n, F.lit(2)) + 1).cast("int")).alias("language"))
+
+
+@query("SELECT l_returnflag, count(DISTINCT n) > 1 AS diverge FROM (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def arm_divergence(spark, sf_dir):
+    per = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n"))
+    return per.groupBy("l_returnflag").agg((F.count_distinct("n") > 1).alias("diverge"))
+
+
+@query("SELECT json_keys(props)::VARCHAR = '[k]' AS plain, count(*) AS n FROM events GROUP BY 1")
+def json_census(spark, sf_dir):
+    keys = F.json_object_keys("props")
+    return table(spark, sf_dir, "events").groupBy((F.sort_array(keys) == F.array(F.lit("k"))).alias("plain")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE a) AS a_only, count(*) FILTER (WHERE b) AS b_only, count(*) FILTER (WHERE a AND b) AS both, round(count(*) FILTER (WHERE a AND b) / count(*), 6) AS share FROM (SELECT event_type, value > 50 AS a, user_id % 2 = 0 AS b FROM events) GROUP BY 1")
+def confusion(spark, sf_dir):
+    e = events(spark, sf_dir).select("event_type", (F.col("value") > 50).alias("a"), (F.col("user_id") % 2 == 0).alias("b"))
+    both = F.count_if(F.col("a") & F.col("b"))
+    return e.groupBy("event_type").agg(F.count_if("a").alias("a_only"), F.count_if("b").alias("b_only"), both.alias("both"), r(both / F.count("*"), 6).alias("share"))
+
+
+@query("SELECT o_orderpriority, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS F, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS O, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'P'), 2) AS P FROM orders GROUP BY 1")
+def pivot_means(spark, sf_dir):
+    out = table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.avg("o_totalprice"))
+    return out.select("o_orderpriority", *(r(c, 2).alias(c) for c in "FOP"))
+
+
+@query("""
+    WITH s AS (SELECT n_nationkey AS k, n_nationkey % 5 + 1 AS n FROM nation) SELECT k, CAST(unnest(generate_series(1, n)) AS BIGINT) AS span FROM s
+""")
+def span_expansion(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.explode(F.sequence(F.lit(1).cast("bigint"), (F.col("n_nationkey") % 5 + 1).cast("bigint"))).alias("span"))
+
+
+@query("""
+    WITH w AS (SELECT event_id, value / 100 AS store, value % 30 AS rain FROM events) SELECT event_id, rain - (3.5 - store) > 0.01 AS refills FROM w
+""")
+def stated_values(spark, sf_dir):
+    v = F.col("value")
+    return events(spark, sf_dir).select("event_id", stores.refills(v % 30, v / 100, F.lit(3.5)).alias("refills"))
+
+
+@query(f"""
+    WITH d AS (SELECT user_id, {DAY} AS d, sum(value) AS v FROM events GROUP BY 1, 2), b AS (SELECT user_id, DATE '2024-01-15' AS today FROM (SELECT DISTINCT user_id FROM d))
+    SELECT b.user_id, round(t.v, 4) AS tomorrow, round(y.v, 4) AS yesterday, t.v > y.v AS warmer FROM b LEFT JOIN d t ON t.user_id = b.user_id AND t.d = today + 1 LEFT JOIN d y ON y.user_id = b.user_id AND y.d = today - 1
+""")
+def tomorrow_against_yesterday(spark, sf_dir):
+    d, today = daily_by_user(spark, sf_dir), dt.date(2024, 1, 15)
+    at = lambda k: F.max(F.when(F.col("d") == F.lit(today + dt.timedelta(days=k)), F.col("value")))
+    out = d.groupBy("user_id").agg(at(1).alias("t"), at(-1).alias("y"))
+    return out.select("user_id", r("t").alias("tomorrow"), r("y").alias("yesterday"), (F.col("t") > F.col("y")).alias("warmer"))
+
+
+@query("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn, sum(CAST(role = 'user' AS BIGINT))::BIGINT AS asked FROM conversations GROUP BY 1 ORDER BY last_turn DESC, conv_id")
+def recent_conversations(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"), F.count_if(F.col("role") == "user").alias("asked")).orderBy(F.desc("last_turn"), "conv_id")
+
+
+@query("""
+    WITH x AS (SELECT l_suppkey AS template_id, l_linenumber % 2 = 0 AS answer, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey, l_linenumber % 2 = 0 ORDER BY md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey)) AS n FROM lineitem)
+    SELECT template_id, answer, count(*) AS kept FROM x WHERE n <= 4 GROUP BY 1, 2
+""")
+def balanced_quotas(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("template_id"), (F.col("l_linenumber") % 2 == 0).alias("answer"), F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")).alias("by"))
+    ranked = li.withColumn("n", F.row_number().over(W.partitionBy("template_id", "answer").orderBy("by")))
+    return ranked.where("n <= 4").groupBy("template_id", "answer").agg(F.count("*").alias("kept"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(avg(CASE WHEN l_discount < 0.05 THEN l_discount END), 6) AS low_mean, round(median(l_extendedprice), 4) AS mid FROM lineitem GROUP BY 1")
+def conditional_means(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy("l_returnflag").agg(F.count("*").alias("n"), r(F.avg(F.when(F.col("l_discount") < 0.05, F.col("l_discount"))), 6).alias("low_mean"), r(F.median("l_extendedprice"), 4).alias("mid"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
