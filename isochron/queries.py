@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from isochron.functions import et0, text, timeaxis, units
 from isochron.operators import aggregates, dimensions, grouping, islands, joins, quality, series, sets, statistics
-from isochron.plans import guarded, stores
+from isochron.plans import catalog, guarded, stores
 from isochron.sources import asof, cache
 
 START, END = dt.date(2024, 1, 3), dt.date(2024, 1, 27)
@@ -766,15 +766,26 @@ def decision_flips(spark, sf_dir):
     return stores.flips(regime("a", 20.0).join(regime("b", 9.0), ["user_id", "start"]), [], "a", "b")
 
 
-_BALANCE = f"""
-    s AS (SELECT user_id, d, row_number() OVER (PARTITION BY user_id ORDER BY d) AS i, value / 30 AS p, top / 60 AS e FROM ({_DAILY})),
-    b AS (SELECT user_id, 0::BIGINT AS i, NULL::DATE AS d, 10.0::DOUBLE AS store, NULL::DOUBLE AS et, NULL::DOUBLE AS out FROM (SELECT DISTINCT user_id FROM s)
-          UNION ALL SELECT s.user_id, s.i, s.d, greatest(least(b.store + p - e * b.store / 22.8, 22.8), 0), e * b.store / 22.8, greatest(b.store + p - e * b.store / 22.8 - 22.8, 0) FROM b JOIN s ON s.user_id = b.user_id AND s.i = b.i + 1)
-"""
+def balance_sql(name: str, initial: float = 10.0, extra: float = 0.0) -> str:
+    """A recursive table of the daily balance over the days s."""
+    level = f"{name}.store + p + {extra} - e * {name}.store / 22.8"
+    return f"""
+    {name} AS (SELECT user_id, 0::BIGINT AS i, NULL::DATE AS d, {initial}::DOUBLE AS store, NULL::DOUBLE AS et, NULL::DOUBLE AS out FROM (SELECT DISTINCT user_id FROM s)
+          UNION ALL SELECT s.user_id, s.i, s.d, greatest(least({level}, 22.8), 0), e * {name}.store / 22.8, greatest({level} - 22.8, 0) FROM {name} JOIN s ON s.user_id = {name}.user_id AND s.i = {name}.i + 1)"""
+
+
+_BALANCE_DAYS = f"s AS (SELECT user_id, d, row_number() OVER (PARTITION BY user_id ORDER BY d) AS i, value / 30 AS p, top / 60 AS e FROM ({_DAILY}))"
+_BALANCE = f"{_BALANCE_DAYS}, {balance_sql('b')}"
 
 
-def balanced(spark, sf_dir, extra: float = 0.0):
-    w = daily_by_user(spark, sf_dir).select("user_id", "d", (F.col("value") / 30 + extra).alias("precip"), (F.col("top") / 60).alias("et0"))
+def effect_sql(initial: float, extra: float) -> str:
+    """Lowest stores without and with overrides."""
+    return f"""WITH RECURSIVE {_BALANCE}, {balance_sql("c", initial, extra)}
+        SELECT b.user_id, round(min(b.store), 5) AS base_value, round(min(c.store), 5) AS forced_value, round(min(c.store) - min(b.store), 5) AS effect, abs(min(c.store) - min(b.store)) < 1e-9 AS inert FROM b JOIN c USING (user_id, i) WHERE i > 0 GROUP BY 1"""
+
+
+def balanced(spark, sf_dir):
+    w = daily_by_user(spark, sf_dir).select("user_id", "d", (F.col("value") / 30).alias("precip"), (F.col("top") / 60).alias("et0"))
     return stores.balance(w, ["user_id"], "d", F.lit(22.8), F.lit(3.3), F.lit(10.0))
 
 
@@ -788,10 +799,20 @@ def dry_spells(spark, sf_dir):
     return stores.dry_spell(balanced(spark, sf_dir), ["user_id"]).select("user_id", r("min_store", 5).alias("min_store"), "drought")
 
 
-@query()
+def lowest_effect(spark, sf_dir, initial: float, extra: float):
+    days = daily_by_user(spark, sf_dir)
+
+    def low(init: float, more: float) -> DataFrame:
+        w = days.select("user_id", "d", (F.col("value") / 30 + more).alias("precip"), (F.col("top") / 60).alias("et0"))
+        return stores.balance(w, ["user_id"], "d", F.lit(22.8), F.lit(3.3), F.lit(init)).groupBy("user_id").agg(F.min("store").alias("low"))
+
+    out = stores.what_if(low(10.0, 0.0), low(initial, extra), ["user_id"], "low")
+    return out.select("user_id", *(r(c, 5).alias(c) for c in ("base_value", "forced_value", "effect")), "inert")
+
+
+@query(effect_sql(10.0, 2.0))
 def what_if_rain(spark, sf_dir):
-    least = lambda df: df.groupBy("user_id").agg(F.min("store").alias("min_store"))
-    return stores.what_if(least(balanced(spark, sf_dir)), least(balanced(spark, sf_dir, 2.0)), ["user_id"], "min_store")
+    return lowest_effect(spark, sf_dir, 10.0, 2.0)
 
 
 # --- guarded and delegated SQL -----------------------------------------------------------------------
@@ -1001,6 +1022,94 @@ def conditional_means(spark, sf_dir):
     return li.groupBy("l_returnflag").agg(F.count("*").alias("n"), r(F.avg(F.when(F.col("l_discount") < 0.05, F.col("l_discount"))), 6).alias("low_mean"), r(F.median("l_extendedprice"), 4).alias("mid"))
 
 
+# --- catalog -------------------------------------------------------------------------------------------
+
+
+@query("SELECT 10.0::DOUBLE AS value, true AS answered")
+def t06_one_threshold(spark, sf_dir):
+    return catalog.one_value(dimensions.rules(spark).where(F.col("roof").endswith("extensive")), "dry")
+
+
+@query(f"WITH RECURSIVE {_BALANCE} SELECT user_id, min(store) / 0.7 < 14 AS below FROM b WHERE i > 0 GROUP BY 1")
+def t09_store_below(spark, sf_dir):
+    return catalog.lowest(balanced(spark, sf_dir), ["user_id"], 7.0).select("user_id", (F.col("theta_min") < 14).alias("below"))
+
+
+@query(f"WITH RECURSIVE {_BALANCE} SELECT user_id, round(min(store) / 0.7, 4) AS theta_min, CAST(arg_min(d, struct_pack(s := store, d := d)) AS VARCHAR) AS at FROM b WHERE i > 0 GROUP BY 1".replace(" AS at ", ' AS "at" '))
+def t10_lowest_store(spark, sf_dir):
+    return catalog.lowest(balanced(spark, sf_dir), ["user_id"], 7.0).select("user_id", r("theta_min").alias("theta_min"), day("at"))
+
+
+@query(f"""
+    WITH d AS ({_DAILY}), w AS (SELECT user_id, d, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INT) AS g FROM d WHERE value >= 60),
+    u AS (SELECT user_id, min(d) AS start, max(d) + 1 AS e FROM w GROUP BY user_id, g),
+    v AS (SELECT u.user_id, start, e, sum(value) AS rain, sum(CASE WHEN d.d < e THEN top END) AS outflow FROM u JOIN d ON d.user_id = u.user_id AND d.d BETWEEN start AND e GROUP BY 1, 2, 3 HAVING sum(value) >= 300),
+    o AS (SELECT v.user_id, v.start, v.e, v.rain, sum(d.top) AS out FROM v JOIN d ON d.user_id = v.user_id AND d.d BETWEEN v.start AND v.e GROUP BY ALL)
+    SELECT user_id, CAST(start AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", round(out, 4) AS out_total, round(CASE WHEN (rain - out) / rain BETWEEN 0 AND 1 THEN (rain - out) / rain END, 5) AS share, (CASE WHEN (rain - out) / rain BETWEEN 0 AND 1 THEN (rain - out) / rain END) > 0.5 AS kept FROM o
+""")
+def t12_event_retention(spark, sf_dir):
+    d = daily_by_user(spark, sf_dir)
+    found = islands.wet_events(d, ["user_id"], wet=60.0, depth=300.0)
+    out = catalog.event_retention(found, d.select("user_id", "d", F.col("top").alias("value")), ["user_id"])
+    return out.select("user_id", day("start"), day("end"), r("out_total").alias("out_total"), r("share", 5).alias("share"), "kept")
+
+
+@query(f"WITH d AS ({_DAILY}) SELECT user_id, round(sum(value / 10), 4) AS rain_total, round(max(top), 4) AS tmax, sum(value / 10) > 40 AS rainy, count(DISTINCT d) = 7 AS complete FROM d WHERE d BETWEEN DATE '2024-01-16' AND DATE '2024-01-22' GROUP BY 1")
+def t13_window_weather(spark, sf_dir):
+    d = daily_by_user(spark, sf_dir).select("user_id", "d", (F.col("value") / 10).alias("precip"), F.col("top").alias("tx"))
+    out = catalog.window_weather(d, ["user_id"], dt.date(2024, 1, 16), dt.date(2024, 1, 22), 40.0)
+    return out.select("user_id", r("rain_total").alias("rain_total"), r("tmax").alias("tmax"), "rainy", "complete")
+
+
+@query("""
+    WITH r(roof, wilting, dry, capacity) AS (VALUES ('irrigated_extensive', 5.0::DOUBLE, 10.0::DOUBLE, 22.0::DOUBLE), ('non_irrigated_extensive', 4.0, 10.0, 22.0), ('semi_intensive', 10.0, 16.0, 22.0)),
+    e AS (SELECT event_id, value % 24 AS theta, value % 35 AS tmax, value % 9 AS rain FROM events)
+    SELECT event_id, roof, CASE WHEN theta <= wilting THEN 'wilting' WHEN tmax < 24 THEN 'no_heat' WHEN theta > dry THEN 'sufficient' WHEN rain - (capacity - theta) > 0.01 THEN 'refill' ELSE 'dry' END AS reason FROM e CROSS JOIN r
+""")
+def t16_stated_ladder(spark, sf_dir):
+    v = F.col("value")
+    e = events(spark, sf_dir).select("event_id", (v % 24).alias("theta"), (v % 35).alias("tmax"), (v % 9).alias("rain"), F.explode(F.array(*map(F.lit, dimensions.RULES))).alias("roof"))
+    out = e.join(F.broadcast(dimensions.rules(spark)), "roof")
+    reason = stores.decision(F.col("theta"), F.col("tmax"), stores.refills(F.col("rain"), F.col("theta"), F.col("capacity")), F.col("wilting"), F.col("dry"), F.lit(False), F.lit(False))
+    return out.select("event_id", "roof", reason.alias("reason"))
+
+
+@query("SELECT n_name, n_regionkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 3000)")
+def t17_absent_parameters(spark, sf_dir):
+    known = table(spark, sf_dir, "supplier").where("s_acctbal > 3000").select(F.col("s_nationkey").alias("n_nationkey"))
+    return catalog.missing_parameters(table(spark, sf_dir, "nation"), known, ["n_nationkey"]).select("n_name", "n_regionkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) > DATE '1998-01-17' THEN 'beyond_horizon' WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'unknown_variable' ELSE 'available' END AS status FROM orders")
+def t18_not_served(spark, sf_dir):
+    status = catalog.served(F.to_date("o_orderdate"), dt.date(1998, 1, 1), F.col("o_orderpriority"), ["1-URGENT", "2-HIGH", "3-MEDIUM"])
+    return table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"))
+
+
+@query(f"WITH RECURSIVE {_BALANCE}, m AS (SELECT user_id, d, top / 10 AS measured FROM ({_DAILY})) SELECT user_id, count(*) AS n, round(avg(abs(store - measured)), 4) AS mae, round(max(abs(store - measured)), 4) AS max_abs FROM b JOIN m USING (user_id, d) WHERE i > 0 GROUP BY 1")
+def t19_model_error(spark, sf_dir):
+    measured = daily_by_user(spark, sf_dir).select("user_id", "d", (F.col("top") / 10).alias("measured"))
+    out = aggregates.deviations(balanced(spark, sf_dir).join(measured, ["user_id", "d"]), "store", "measured", ["user_id"])
+    return out.select("user_id", "n", r("mae").alias("mae"), r("max_abs").alias("max_abs"))
+
+
+@query()
+def t22_albedo(spark, sf_dir):
+    v = F.col("value")
+    w = events(spark, sf_dir).select("event_id", F.to_date("ts").alias("d"), (10 + v % 15).alias("tm"), (15 + v % 15).alias("tx"), (5 + v % 15).alias("tn"), (40 + v % 50).alias("rf"), (v % 20).alias("w"), (500 + v % 2000).alias("gs"))
+    return stores.what_if(et0.with_et0(w, albedo=0.2), et0.with_et0(w, albedo=0.4), ["event_id"], "et0")
+
+
+@query(effect_sql(15.0, 0.0))
+def t23_initial_store(spark, sf_dir):
+    return lowest_effect(spark, sf_dir, 15.0, 0.0)
+
+
+@query(effect_sql(12.0, 1.0))
+def t26_composed_overrides(spark, sf_dir):
+    return lowest_effect(spark, sf_dir, 12.0, 1.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
