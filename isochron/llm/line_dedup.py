@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from isochron.llm.common import WORD, cut, stored
 
-BUCKETS, MAP_BITS = 1 << 16, 64
+BUCKETS = 1 << 16
+#: Lines of up to so many words have parity maps of so many 64-bit numbers: enough that maps of unlike lines differ in more bits than like lines do in words.
+MAP_SIZES = ((80, 1), (180, 2), (450, 4), (900, 8), (1 << 62, 16))
 CACHED_WORDS = 300_000
 NEAREST = 4  # so many of the earlier lines near a line are given, if there are more than twice as many
 MOST_WORDS = 1_000_000  # that are sent to all tasks
@@ -65,43 +67,69 @@ def bucket_ranks(docs: DataFrame) -> np.ndarray:
     return ranks
 
 
+def _map_size(n: np.ndarray) -> np.ndarray:
+    return np.array([k for _, k in MAP_SIZES])[np.searchsorted([m for m, _ in MAP_SIZES], n)]
+
+
 def _prefixes(ranks: np.ndarray, least: tuple[int, int], wanted: np.ndarray | None = None):
-    """Function of Arrow batches of lines (doc, at, line) to the rows that are dealt out by word: w, doc, at, n, p, map.
+    """Function of Arrow batches of documents (doc, text, ats: which lines) to the rows that are dealt out by word: w, doc, at, n, p, map.
 
     n is the number of distinct words, p the place of w among them, map the parity of the words' hashes.
     ``wanted``: the only words to deal out.
     """
     a, b = least
     place_of = ((ranks - BUCKETS // 2) << 48).tolist()
+    cache: dict[bytes, int] = {}
+    digest, get = xxhash.xxh64_intdigest, cache.get
+
+    def place(w: bytes) -> int:
+        h = digest(w)
+        v = cache[w] = place_of[h & (BUCKETS - 1)] | h >> 16
+        return v
+
+    def dealt(docs: list[int], ats: list[int], sets: list[list[int]]) -> pa.RecordBatch:
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.fromiter(chain.from_iterable(sets), np.int64, n.sum())
+        starts = np.cumsum(n) - n
+        size = _map_size(n)
+        taken = n - (n * a + b - 1) // b + 1
+        maps = np.empty(len(sets), object)
+        for k in np.unique(size):
+            own = np.flatnonzero(size == k)
+            whole = np.zeros(len(own) * k, np.uint64)
+            words = flat[np.concatenate([np.arange(s, s + c) for s, c in zip(starts[own], n[own], strict=True)])]
+            at = np.repeat(np.arange(len(own)) * k, n[own]) + (words >> 6) % k
+            np.bitwise_xor.at(whole, at, np.uint64(1) << (words & 63).astype(np.uint64))
+            raw = whole.tobytes()
+            maps[own] = [raw[8 * k * i : 8 * k * (i + 1)] for i in range(len(own))]
+        row = np.repeat(np.arange(len(sets)), taken)
+        p = np.arange(len(row)) - np.repeat(np.cumsum(taken) - taken, taken)
+        if wanted is not None:
+            asked = np.isin(flat[starts[row] + p], wanted)
+            row, p = row[asked], p[asked]
+        pick = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(flat[starts[row] + p]), pa.array(docs, pa.int64()).take(pick), pa.array(ats, pa.int64()).take(pick), pa.array(n[row].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(maps.tolist(), pa.binary()).take(pick)], ["w", "doc", "at", "n", "p", "map"]
+        )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
-        digest, get = xxhash.xxh64_intdigest, cache.get
-
-        def place(w: bytes) -> int:
-            h = digest(w)
-            v = cache[w] = place_of[h & (BUCKETS - 1)] | h >> 16
-            return v
-
+        docs, ats, sets = [], [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                doc, pos, line = batch.slice(at, 2000).columns
-                if len(cache) > CACHED_WORDS:
-                    cache.clear()
-                sets = [sorted({get(w) or place(w) for w in t.encode().split()}) for t in line.to_pylist()]
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
-                flat = np.fromiter(chain.from_iterable(sets), np.int64, n.sum())
-                starts = np.cumsum(n) - n
-                maps = np.bitwise_xor.reduceat(np.uint64(1) << (flat & 63).astype(np.uint64), starts)
-                taken = n - (n * a + b - 1) // b + 1
-                row = np.repeat(np.arange(len(sets)), taken)
-                p = np.arange(len(row)) - np.repeat(np.cumsum(taken) - taken, taken)
-                if wanted is not None:
-                    asked = np.isin(flat[starts[row] + p], wanted)
-                    row, p = row[asked], p[asked]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[starts[row] + p]), pa.array(doc.to_numpy()[row]), pa.array(pos.to_numpy()[row]), pa.array(n[row].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(maps.view(np.int64)[row])], ["w", "doc", "at", "n", "p", "map"]
-                )
+            for doc, text, own in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                parts = (text or "").split("\n")
+                for at in own:
+                    line = parts[at >> 16].encode() if at >> 16 < len(parts) else b""
+                    if digest(line, 42) & 65535 == at & 65535:
+                        docs.append(doc)
+                        ats.append(at)
+                        sets.append(sorted({get(w) or place(w) for w in line.split()}))
+                if len(sets) >= 2000:
+                    yield dealt(docs, ats, sets)
+                    docs, ats, sets = [], [], []
+                    if len(cache) > CACHED_WORDS:
+                        cache.clear()
+        if sets:
+            yield dealt(docs, ats, sets)
 
     return rows
 
@@ -111,29 +139,49 @@ class _Rows:
 
     def __init__(self, columns: list[np.ndarray]):
         self.columns = columns
-        self.w, self.doc, self.at, self.n, self.p, self.map = columns
+        self.w, self.doc, self.at, self.n, self.p, self.size, self.map = columns
 
     @classmethod
     def of(cls, b: pa.RecordBatch) -> _Rows:
-        w, doc, at, n, p, maps = (c.to_numpy() for c in b.columns)
-        return cls([w, doc, at, n.astype(np.int64), p.astype(np.int64), maps.view(np.uint64)])
+        w, doc, at, n, p = (c.to_numpy() for c in b.columns[:5])
+        n = n.astype(np.int64)
+        size, raw = _map_size(n), b.column(5).to_pylist()
+        maps = np.zeros((len(w), int(size.max(initial=1))), np.uint64)
+        for k in np.unique(size):
+            own = np.flatnonzero(size == k)
+            maps[own, :k] = np.frombuffer(b"".join(raw[i] for i in own), "<u8").reshape(-1, k)
+        return cls([w, doc, at, n, p.astype(np.int64), size, maps])
 
     def after(self, other: _Rows) -> _Rows:
-        return _Rows([np.concatenate(c) for c in zip(other.columns, self.columns, strict=True)])
+        wide = max(self.map.shape[1], other.map.shape[1])
+        maps = [np.pad(r.map, ((0, 0), (0, wide - r.map.shape[1]))) for r in (other, self)]
+        return _Rows([*(np.concatenate(c) for c in zip(other.columns[:-1], self.columns[:-1], strict=True)), np.concatenate(maps)])
 
     def some(self, at: np.ndarray) -> _Rows:
         return _Rows([c[at] for c in self.columns])
 
 
+def _apart(g: _Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the maps of rows i and j differ; the larger map is folded to the size of the smaller."""
+    out = np.zeros(len(i), np.int64)
+    sizes = g.size[i] * 64 + g.size[j]
+    for both in np.unique(sizes):
+        k, m, own = int(both // 64), int(both % 64), sizes == both
+        folded = np.bitwise_xor.reduce(g.map[j[own], :m].reshape(-1, m // k, k), axis=1)
+        out[own] = np.bitwise_count(g.map[i[own], :k] ^ folded).sum(axis=1)
+    return out
+
+
 def _near(g: _Rows, i: np.ndarray, j: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, ...]:
     """Of the pairs of rows i before j those that may be similar, in how many bits their maps differ, and in how many words they may."""
     a, b = least
     x, y = g.n[i], g.n[j]
     common = ((x + y) * a + a + b - 1) // (a + b)
-    most = x + y - 2 * common
-    apart = np.bitwise_count(g.map[i] ^ g.map[j]).astype(np.int64)
     # the one with fewer words must meet the other within a still shorter prefix
-    keep = (apart <= most) & (y * a <= x * b) & (g.p[i] <= x - (x * 2 * a + a + b - 1) // (a + b)) & (np.minimum(x - g.p[i], y - g.p[j]) >= common)
+    keep = (y * a <= x * b) & (g.p[i] <= x - (x * 2 * a + a + b - 1) // (a + b)) & (np.minimum(x - g.p[i], y - g.p[j]) >= common)
+    i, j, most = i[keep], j[keep], (x + y - 2 * common)[keep]
+    apart = _apart(g, i, j)
+    keep = apart <= most
     return i[keep], j[keep], apart[keep], most[keep]
 
 
@@ -193,8 +241,9 @@ def _given(g: _Rows, i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: np.n
         length = np.diff(np.r_[first, len(y)])
         rank = np.arange(len(y)) - np.repeat(first, length)
         # near: clearly fewer bits apart than lines that differ in as many words as they may; of long lines maps can't tell
-        likely = MAP_BITS / 2 * (1 - (1 - 2 / MAP_BITS) ** most[first])
-        near = np.repeat((apart[first] <= 0.6 * likely) & (most[first] <= MAP_BITS // 3) & (length > 2 * NEAREST), length)
+        bits = 64 * np.minimum(g.size[y[first]], g.size[x[first]])
+        likely = bits / 2 * (1 - (1 - 2 / bits) ** most[first])
+        near = np.repeat((apart[first] <= 0.6 * likely) & (most[first] <= bits // 3) & (length > 2 * NEAREST), length)
         keep = ~near | (rank < NEAREST)
         y, x, apart, more = y[keep], x[keep], apart[keep], near[keep]
     return pa.RecordBatch.from_arrays([pa.array(g.doc[y]), pa.array(g.at[y]), pa.array(g.doc[x]), pa.array(g.at[x]), pa.array(apart.astype(np.int32)), pa.array(more)], ["ydoc", "yat", "xdoc", "xat", "apart", "more"])
@@ -205,18 +254,20 @@ def _key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), F.shiftleft(F.col("pos").cast("bigint"), 16).bitwiseOR(F.xxhash64("line").bitwiseAND(65535)).alias("at")]
 
 
-def first_lines(docs: DataFrame, with_line: bool) -> DataFrame:
-    """The first of each set of equal lines (same XXH64 and number of bytes): doc, at and, if asked for, line."""
-    keyed = lines(docs).select(F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"), F.struct(*_key(), *(["line"] if with_line else [])).alias("own"))
+def first_lines(docs: DataFrame) -> DataFrame:
+    """doc, at of the first of each set of equal lines (same XXH64 and number of bytes)."""
+    keyed = lines(docs).select(F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"), F.struct(*_key()).alias("own"))
     return keyed.groupBy("h", "size").agg(F.min("own").alias("first")).select("first.*")
 
 
-def candidates(firsts: DataFrame, ranks: np.ndarray, least: tuple[int, int], wanted: np.ndarray | None = None, limited: bool = True) -> DataFrame:
-    """Pairs of lines (doc, at, line) that may be similar, the later one first: ydoc, yat, xdoc, xat, apart, more.
+def candidates(docs: DataFrame, chosen: DataFrame, ranks: np.ndarray, least: tuple[int, int], wanted: np.ndarray | None = None, limited: bool = True) -> DataFrame:
+    """Pairs of ``chosen`` lines (doc, at) of ``docs`` that may be similar, the later one first: ydoc, yat, xdoc, xat, apart, more.
 
     ``wanted``: the only words to search. Unless ``limited``, all pairs are given.
     """
-    dealt = firsts.select("doc", "at", "line").mapInArrow(_prefixes(ranks, least, wanted), "w bigint, doc bigint, at bigint, n int, p int, map bigint")
+    ats = chosen.groupBy("doc").agg(F.collect_list("at").alias("ats"))  # a document's own lines
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), "text").join(ats, "doc")
+    dealt = texts.select("doc", "text", "ats").mapInArrow(_prefixes(ranks, least, wanted), "w bigint, doc bigint, at bigint, n int, p int, map binary")
     return dealt.repartition("w").sortWithinPartitions("w", "n").mapInArrow(_search(least, limited), "ydoc bigint, yat bigint, xdoc bigint, xat bigint, apart int, more boolean")
 
 
@@ -251,7 +302,7 @@ def verified(pairs: DataFrame, needed: DataFrame, least: tuple[int, int]) -> Dat
 def similar_lines(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
     """doc, at of the first lines of ``docs`` that are similar to an earlier one."""
     ranks = bucket_ranks(docs)
-    found = stored(candidates(first_lines(docs, True), ranks, least))
+    found = stored(candidates(docs, first_lines(docs), ranks, least))
     needed = lines_of(found, docs)
     y = ["ydoc", "yat"]
     key = lambda df: df.select(F.col("doc").alias("ydoc"), F.col("at").alias("yat"))
@@ -261,11 +312,11 @@ def similar_lines(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
     gone = cut(soon.unionByName(verified(rest, needed, least)).distinct())
     undecided = cut(rest.where("more").select(*y).distinct().join(key(gone), y, "left_anti"))
     if undecided.limit(1).count():
-        sought = needed.join(undecided.select(F.col("ydoc").alias("doc"), F.col("yat").alias("at")), ["doc", "at"], "left_semi")
-        prefixes = sought.mapInArrow(_prefixes(ranks, least), "w bigint, doc bigint, at bigint, n int, p int, map bigint").select("w").distinct()
+        ats = undecided.select(F.col("ydoc").alias("doc"), F.col("yat").alias("at")).groupBy("doc").agg(F.collect_list("at").alias("ats"))
+        texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), "text").join(ats, "doc").select("doc", "text", "ats")
+        prefixes = texts.mapInArrow(_prefixes(ranks, least), "w bigint, doc bigint, at bigint, n int, p int, map binary").select("w").distinct()
         wanted = np.array([r.w for r in prefixes.limit(MOST_WORDS + 1).collect()], np.int64)
-        rows = lines(docs).select(*_key(), "line")
-        every = candidates(rows, ranks, least, wanted if len(wanted) <= MOST_WORDS else None, limited=False)
+        every = candidates(docs, lines(docs).select(*_key()), ranks, least, wanted if len(wanted) <= MOST_WORDS else None, limited=False)
         pairs = cut(every.join(undecided, y, "left_semi").select(*y, "xdoc", "xat").distinct())
         gone = gone.unionByName(verified(pairs, lines_of(pairs, docs), least)).distinct()
     return gone
@@ -281,7 +332,7 @@ def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     gone = similar_lines(docs, least)
-    kept = first_lines(docs, False).join(gone, ["doc", "at"], "left_anti")
+    kept = first_lines(docs).join(gone, ["doc", "at"], "left_anti")
     kept = kept.groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_set(F.shiftright("at", 16).cast("int"))).alias("kept_lines"))
     counted = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*")).alias("n_lines"))
     out = counted.join(kept, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)) == F.col("__doc"), "left").drop("__doc")

@@ -41,8 +41,8 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("near", [1, 4])
 def test_against_brute_force(spark, monkeypatch, near):
     rng = random.Random(near)
-    words = [f"w{int(rng.paretovariate(0.8))}" for _ in range(400)] + ["the", "of"] * 40
-    bases = [[rng.choice(words) for _ in range(rng.randint(1, 30))] for _ in range(25)]
+    words = [f"w{int(rng.paretovariate(0.3))}" for _ in range(3000)] + ["the", "of"] * 200
+    bases = [[rng.choice(words) for _ in range(rng.choice([3, 10, 30, 120, 400]))] for _ in range(25)]
     rows = []
     for i in range(150):
         lines = []
@@ -66,7 +66,7 @@ def test_a_group_of_near_copies_is_not_paired(spark):
             line[rng.randrange(30)] = f"own{rng.random()}"
         rows.append((i, " ".join(line)))
     df = frame(spark, rows).select("doc_id", "text")
-    pairs = ld.candidates(ld.first_lines(df, True), ld.bucket_ranks(df), (4, 5))
+    pairs = ld.candidates(df, ld.first_lines(df), ld.bucket_ranks(df), (4, 5))
     assert pairs.groupBy("ydoc", "yat").count().count() > 100
     assert pairs.count() < 200 * 60
     assert kept(spark, rows) == brute(rows)
