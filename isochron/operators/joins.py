@@ -100,3 +100,21 @@ def positional_join(a: DataFrame, b: DataFrame, order_a: list[str], order_b: lis
 def matched(condition: Column) -> Column:
     """1 where a condition holds, 0 where it doesn't or is null."""
     return F.coalesce(condition.cast("int"), F.lit(0))
+
+
+def leaks(literals: DataFrame, texts: DataFrame, seed_texts: DataFrame, literal: str = "literal", text: str = "text") -> DataFrame:
+    """literal, text_id: texts that hold a gold literal as a whole word which no seed text holds.
+
+    Texts and seeds are broken into words (numbers keep their point), so the search is a join by equality, not all literals against all texts.
+    """
+    words = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+(?:[.,]\p{N}+)*)"), F.lit(1)))).alias("__w"))
+    wanted = literals.select(literal).distinct().join(words(seed_texts).distinct(), F.col(literal) == F.col("__w"), "left_anti")
+    return wanted.join(words(texts, "text_id"), F.col(literal) == F.col("__w")).select(literal, "text_id")
+
+
+def nearest_text(queries: DataFrame, known: DataFrame, key: str = "key", block: str = "block") -> DataFrame:
+    """For each query the known text of the same block with the smallest edit distance: key, best, similarity (1 - distance / longer length)."""
+    longer = F.greatest(F.length(key), F.length("__k"))
+    pairs = queries.select(key, block).join(known.select(F.col(key).alias("__k"), block), block)
+    scored = pairs.withColumn("s", 1 - F.levenshtein(F.col(key), F.col("__k")) / longer)
+    return scored.groupBy(key, block).agg(F.max_by("__k", F.struct("s", "__k")).alias("best"), F.max("s").alias("similarity"))

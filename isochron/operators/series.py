@@ -8,7 +8,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isochron.functions.timeaxis import day_spine, site_day, within_site_days
+from isochron.functions.timeaxis import site_day, within_site_days
 from isochron.functions.units import fold
 from isochron.operators.aggregates import buckets
 
@@ -52,7 +52,7 @@ def gaps(days: DataFrame, keys: DataFrame, key: list[str], start: dt.date, end:
 
     Missing days are missing rows, so they come from a spine of days for each of ``keys``.
     """
-    spine = keys.select(*key).distinct().join(F.broadcast(day_spine(days.sparkSession, start, end).withColumnRenamed("d", "__d")), F.lit(True))
+    spine = keys.select(*key).distinct().withColumn("__d", F.explode(F.sequence(F.lit(start), F.lit(end))))
     there = days.where(F.col(day).between(F.lit(start), F.lit(end))).select(*key, F.col(day).alias("__d"), F.lit(1).alias("__has")).distinct()
     return spine.join(there, [*key, "__d"], "left").groupBy(*key).agg(
         F.count_if(F.col("__has").isNull()).alias("gap_days"), F.coalesce(F.max(F.when(F.col("__has").isNotNull(), F.col("__d"))) < F.lit(end), F.lit(True)).alias("truncated")

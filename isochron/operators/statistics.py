@@ -7,6 +7,7 @@ from math import comb
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Weights of the metrics in the selection score.
@@ -125,3 +126,38 @@ def trajectory_score(called: Column, required: Column, forbidden: Column) -> Col
 def recall(hits: Column, gold: Column) -> Column:
     """Share of the gold members that were hit; null without gold."""
     return F.try_divide(F.size(F.array_intersect(hits, gold)), F.nullif(F.size(F.array_distinct(gold)), F.lit(0)))
+
+
+def cluster_bootstrap(values: DataFrame, keys: list[str], cluster: str, value: str, resamples: int = 20_000, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
+    """As ``bootstrap``, but whole clusters (all items of a question) are drawn: mean, low, high, n.
+
+    A resample's mean is that of all items of the drawn clusters; clusters are reduced to sum and count first.
+    """
+    per = values.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
+    rows = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("s"), F.col("c").cast("double").alias("c")))).alias("v"), (F.sum("s") / F.sum("c")).alias("mean"))
+    draws = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    n = F.size("v")
+    pick = lambda i: F.element_at("v", (F.pmod(F.xxhash64(F.lit(seed), F.col("r"), i), n) + 1).cast("int"))
+    both = F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")), lambda acc, i: F.struct((acc["s"] + pick(i)["s"]).alias("s"), (acc["c"] + pick(i)["c"]).alias("c")))
+    drawn = draws.select(*keys, "mean", n.alias("n"), both.alias("b")).withColumn("m", F.col("b.s") / F.col("b.c"))
+    tail = (1 - confidence) / 2
+    return drawn.groupBy(*keys, "mean", "n").agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+
+
+def gains(rows: DataFrame, keys: list[str], value: str, run: str) -> DataFrame:
+    """mean, sd (0 for a single run), runs and their sorted names per keys."""
+    return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.count_distinct(run).alias("runs"), F.sort_array(F.collect_set(run)).alias("names"))
+
+
+def balanced_books(costs: DataFrame, keys: list[str], role: str, bucket: str, amount: str, relative: float = 1e-6) -> DataFrame:
+    """Whether the sums by role and the sums by bucket agree per keys: by_role, by_bucket, agree. Rows without a role or bucket count on one side only."""
+    sums = costs.groupBy(*keys).agg(F.sum(F.when(F.col(role).isNotNull(), F.col(amount))).alias("by_role"), F.sum(F.when(F.col(bucket).isNotNull(), F.col(amount))).alias("by_bucket"))
+    return sums.withColumn("agree", F.abs(F.col("by_role") - F.col("by_bucket")) <= relative * F.abs("by_role"))
+
+
+def steps_crossed(points: DataFrame, keys: list[str], at: str, spend: str, every: float) -> DataFrame:
+    """Points at which the spend has crossed a further multiple of ``every``: checkpoints of a learning curve."""
+    w = W.partitionBy(*keys).orderBy(at)
+    mark = F.floor(F.col(spend) / every)
+    marked = points.withColumn("mark", mark).withColumn("__before", F.lag(mark).over(w))
+    return marked.where(F.coalesce(F.col("mark") > F.col("__before"), F.col("mark") > 0)).drop("__before")

@@ -1110,6 +1110,89 @@ def t26_composed_overrides(spark, sf_dir):
     return lowest_effect(spark, sf_dir, 12.0, 1.0)
 
 
+@query("""
+    WITH l AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS literal FROM part UNION SELECT DISTINCT p_name FROM part)
+    SELECT literal, l_orderkey * 10 + l_linenumber AS text_id FROM l JOIN lineitem ON CAST(CAST(l_quantity AS INT) AS VARCHAR) = literal WHERE literal NOT IN (SELECT CAST(s_nationkey AS VARCHAR) FROM supplier)
+""")
+def leakage(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    literals = p.select(F.col("p_size").cast("string").alias("literal")).union(p.select("p_name")).distinct()
+    text_ = F.concat(F.lit("about "), F.col("l_quantity").cast("int").cast("string"), F.lit(", or x1.5?"))
+    texts = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("text_id"), text_.alias("text"))
+    return joins.leaks(literals, texts, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("text")))
+
+
+@query("""
+    WITH p AS (SELECT DISTINCT p_name || ' ' || p_type AS key, p_size % 5 AS block FROM part WHERE p_partkey % 10 = 0), k AS (SELECT DISTINCT p_name || ' ' || p_type AS key, p_size % 5 AS block FROM part WHERE p_partkey % 10 > 7),
+    s AS (SELECT p.key, p.block, k.key AS k, 1 - levenshtein(p.key, k.key) / greatest(length(p.key), length(k.key)) AS s FROM p JOIN k USING (block))
+    SELECT key, block, arg_max(k, struct_pack(s := s, k := k)) AS best, round(max(s), 6) AS similarity FROM s GROUP BY 1, 2
+""")
+def nearest_request(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("key"), (F.col("p_size") % 5).alias("block"))
+    of = lambda cond: p.where(cond).select("key", "block").distinct()
+    out = joins.nearest_text(of("p_partkey % 10 = 0"), of("p_partkey % 10 > 7"))
+    return out.select("key", "block", "best", r("similarity", 6).alias("similarity"))
+
+
+@query()
+def cluster_bootstrap_ci(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_custkey") % 50).alias("q"), (F.col("o_totalprice") > 250000).cast("double").alias("v"))
+    return statistics.cluster_bootstrap(o, ["o_orderpriority"], "q", "v", resamples=1000)
+
+
+@query("SELECT o_orderstatus, round(avg(o_totalprice) / 7, 3) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 3) AS sd, count(DISTINCT o_orderpriority) AS runs, array_to_string(list_sort(list_distinct(list(o_orderpriority))), '|') AS names FROM orders GROUP BY 1")
+def gain_table(spark, sf_dir):
+    out = statistics.gains(table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_totalprice", "o_orderpriority")
+    return out.select("o_orderstatus", r(F.col("mean") / 7, 3).alias("mean"), r("sd", 3).alias("sd"), "runs", F.array_join("names", "|").alias("names"))
+
+
+@query("""
+    WITH c AS (SELECT l_suppkey AS k, CASE WHEN l_linenumber < 7 THEN l_returnflag END AS role, CASE WHEN l_partkey % 50 > 0 THEN l_linestatus END AS bucket, l_quantity AS q FROM lineitem)
+    SELECT k, sum(q) FILTER (WHERE role IS NOT NULL) AS by_role, sum(q) FILTER (WHERE bucket IS NOT NULL) AS by_bucket, abs(sum(q) FILTER (WHERE role IS NOT NULL) - sum(q) FILTER (WHERE bucket IS NOT NULL)) <= 1e-6 * sum(q) FILTER (WHERE role IS NOT NULL) AS agree FROM c GROUP BY 1
+""")
+def balanced_books(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    c = li.select(F.col("l_suppkey").alias("k"), F.when(F.col("l_linenumber") < 7, F.col("l_returnflag")).alias("role"), F.when(F.col("l_partkey") % 50 > 0, F.col("l_linestatus")).alias("bucket"), F.col("l_quantity").alias("q"))
+    return statistics.balanced_books(c, ["k"], "role", "bucket", "q")
+
+
+@query("""
+    WITH s AS (SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spend, ts FROM events), m AS (SELECT *, floor(spend / 500) AS mark, lag(floor(spend / 500)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM s)
+    SELECT user_id, event_id, CAST(mark AS BIGINT) AS mark FROM m WHERE coalesce(mark > b, mark > 0)
+""")
+def learning_checkpoints(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("step", F.struct("ts", "event_id"))
+    e = e.withColumn("spend", F.sum("value").over(W.partitionBy("user_id").orderBy("step").rowsBetween(W.unboundedPreceding, 0)))
+    return statistics.steps_crossed(e, ["user_id"], "step", "spend", 500.0).select("user_id", "event_id", "mark")
+
+
+@query("SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS F, count(*) FILTER (WHERE l_linestatus = 'O') AS O FROM lineitem GROUP BY 1")
+def crosstab(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count("l_orderkey")).fillna(0)
+
+
+@query("SELECT event_type, count(*) AS scored, round(avg(value), 4) AS mean FROM (SELECT event_type, value - 10 AS value FROM events) WHERE value >= 0 GROUP BY 1")
+def sentinel_history(spark, sf_dir):
+    return events(spark, sf_dir).withColumn("value", F.col("value") - 10).where("value >= 0").groupBy("event_type").agg(F.count("*").alias("scored"), r(F.avg("value")).alias("mean"))
+
+
+@query("SELECT p_partkey, list_has_any(string_split(lower('which ' || p_name || ' is ' || p_type), ' '), ['ring', 'economy', 'l_tax']) AS leaks FROM part")
+def raw_name_leaks(spark, sf_dir):
+    question = F.concat_ws(" ", F.lit("which"), "p_name", F.lit("is"), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", F.arrays_overlap(text.tokens(question), F.array(F.lit("ring"), F.lit("economy"), F.lit("l_tax"))).alias("leaks"))
+
+
+@query("SELECT c_custkey, replace(replace('What is the balance of {roof} in {month}?', '{roof}', c_name), '{month}', '2024-0' || (c_custkey % 9 + 1)) AS question FROM customer")
+def rendered_questions(spark, sf_dir):
+    q = F.replace(F.lit("What is the balance of {roof} in {month}?"), F.lit("{roof}"), F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.replace(q, F.lit("{month}"), F.concat(F.lit("2024-0"), (F.col("c_custkey") % 9 + 1).cast("string"))).alias("question"))
+
+
+@query("SELECT event_type, approx > 0 AS counted, exact FROM (SELECT event_type, approx_count_distinct(user_id) AS approx, count(DISTINCT user_id) AS exact FROM events GROUP BY 1)")
+def approximate_distinct(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("event_type").agg((F.approx_count_distinct("user_id") > 0).alias("counted"), F.count_distinct("user_id").alias("exact"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
