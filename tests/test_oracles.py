@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -25,9 +26,9 @@ def duck():
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if pd.api.types.is_scalar(x) and pd.isna(x):
             return "null"
-        if isinstance(x, bool) or type(x).__name__ == "bool_":
+        if isinstance(x, (bool, np.bool_)):
             return str(bool(x))
         if isinstance(x, (int, float)) or hasattr(x, "dtype"):
             return f"{float(x) + 0.0:.5f}"
