@@ -54,9 +54,11 @@ def _coders(model: dict[str, bytes], level: int) -> list:
     out = []
     for content in model.values():
         content = content[: -CONTEXT * CONTEXTS] or content
+        # tables of the size that a block and its dictionary need; a level's own would take 85 MB for each language
+        fit = zstandard.ZstdCompressionParameters.from_level(level, source_size=BLOCK, dict_size=len(content), write_content_size=False)
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        out.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False))
+        d.precompute_compress(compression_params=fit)
+        out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=fit))
     return out
 
 

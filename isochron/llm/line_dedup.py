@@ -27,12 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isochron.llm.common import WORD, cut, stored
+from isochron.llm.common import WORD, cut, small_batches, stored
 
 BUCKETS = 1 << 16
 #: Lines of up to so many words have parity maps of so many 64-bit numbers: enough that maps of unlike lines differ in more bits than like lines do in words.
 MAP_SIZES = ((80, 1), (180, 2), (450, 4), (900, 8), (1 << 62, 16))
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 NEAREST = 4  # so many of the earlier lines near a line are given, if there are more than twice as many
 MOST_WORDS = 1_000_000  # that are sent to all tasks
 FIRST = -(1 << 63)  # stands for a null id: before all others
@@ -243,7 +243,7 @@ def _given(g: _Rows, i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: np.n
         # near: clearly fewer bits apart than lines that differ in as many words as they may; of long lines maps can't tell
         bits = 64 * np.minimum(g.size[y[first]], g.size[x[first]])
         likely = bits / 2 * (1 - (1 - 2 / bits) ** most[first])
-        near = np.repeat((apart[first] <= 0.6 * likely) & (most[first] <= bits // 3) & (length > 2 * NEAREST), length)
+        near = np.repeat((apart[first] <= likely / 2) & (most[first] <= bits // 3) & (length > 2 * NEAREST), length)
         keep = ~near | (rank < NEAREST)
         y, x, apart, more = y[keep], x[keep], apart[keep], near[keep]
     return pa.RecordBatch.from_arrays([pa.array(g.doc[y]), pa.array(g.at[y]), pa.array(g.doc[x]), pa.array(g.at[x]), pa.array(apart.astype(np.int32)), pa.array(more)], ["ydoc", "yat", "xdoc", "xat", "apart", "more"])
@@ -301,8 +301,10 @@ def verified(pairs: DataFrame, needed: DataFrame, least: tuple[int, int]) -> Dat
 
 def similar_lines(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
     """doc, at of the first lines of ``docs`` that are similar to an earlier one."""
-    ranks = bucket_ranks(docs)
-    found = stored(candidates(docs, first_lines(docs), ranks, least))
+    with small_batches(docs.sparkSession):
+        ranks = bucket_ranks(docs)
+    with small_batches(docs.sparkSession, 2000):
+        found = stored(candidates(docs, first_lines(docs), ranks, least))
     needed = lines_of(found, docs)
     y = ["ydoc", "yat"]
     key = lambda df: df.select(F.col("doc").alias("ydoc"), F.col("at").alias("yat"))
