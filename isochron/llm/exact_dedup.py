@@ -83,7 +83,7 @@ def repeat_filter(hashes: DataFrame, rows: int, max_filter_bits: int = 1 << 28)
 
     parts = hashes.mapInArrow(unique, "segment int, h bigint, again boolean").repartition("segment").sortWithinPartitions("segment")
     bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for r in parts.mapInArrow(build, "segment int, bits binary").toLocalIterator():
+    for r in parts.mapInArrow(build, "segment int, bits binary").collect():  # at most max_filter_bits / 8 bytes
         bits[r.segment] |= np.frombuffer(r.bits, np.uint8)
     return bits
 
