@@ -35,6 +35,7 @@ MAP_SIZES = ((80, 1), (180, 2), (450, 4), (900, 8), (1 << 62, 16))
 CACHED_WORDS = 100_000
 NEAREST = 4  # so many of the earlier lines near a line are given, if there are more than twice as many
 MOST_WORDS = 1_000_000  # that are sent to all tasks
+MOST_UNDECIDED = 20_000  # lines that are searched for again at once
 FIRST = -(1 << 63)  # stands for a null id: before all others
 
 
@@ -139,6 +140,7 @@ class _Rows:
 
     def __init__(self, columns: list[np.ndarray]):
         self.columns = columns
+        self.sought: np.ndarray | None = None  # of rows, where only some are
         self.w, self.doc, self.at, self.n, self.p, self.size, self.map = columns
 
     @classmethod
@@ -172,9 +174,16 @@ def _apart(g: _Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def _line_hash(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ at.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 def _near(g: _Rows, i: np.ndarray, j: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, ...]:
     """Of the pairs of rows i before j those that may be similar, in how many bits their maps differ, and in how many words they may."""
     a, b = least
+    if g.sought is not None:
+        keep = g.sought[i] | g.sought[j]
+        i, j = i[keep], j[keep]
     x, y = g.n[i], g.n[j]
     common = ((x + y) * a + a + b - 1) // (a + b)
     # the one with fewer words must meet the other within a still shorter prefix
@@ -185,10 +194,11 @@ def _near(g: _Rows, i: np.ndarray, j: np.ndarray, least: tuple[int, int]) -> tup
     return i[keep], j[keep], apart[keep], most[keep]
 
 
-def _search(least: tuple[int, int], limited: bool):
+def _search(least: tuple[int, int], only: np.ndarray | None = None):
     """Function of Arrow batches of rows, sorted by (w, n), to pairs: ydoc, yat, xdoc, xat, apart, more.
 
-    y is the later one. more: not all pairs of y are given here. A word's rows are kept while their
+    y is the later one. more: not all pairs of y are given here. With ``only`` (hashes of lines), all
+    pairs are given in which one of those takes part. A word's rows are kept while their
     lengths are within reach of the next ones'.
     """
     a, b = least
@@ -201,6 +211,7 @@ def _search(least: tuple[int, int], limited: bool):
             g, new = _Rows.of(batch), 0
             if kept is not None and kept.w[0] == g.w[0]:
                 g, new = g.after(kept), len(kept.w)
+            g.sought = None if only is None else np.isin(_line_hash(g.doc, g.at), only)
             starts = np.flatnonzero(np.r_[True, g.w[1:] != g.w[:-1]])
             ends = np.r_[starts[1:], len(g.w)]
             end = np.repeat(ends, ends - starts)
@@ -219,7 +230,7 @@ def _search(least: tuple[int, int], limited: bool):
                 if len(j):
                     found.append(_near(g, np.full(len(j), r), j, least))
             if found:
-                out = _given(g, *(np.concatenate(c) for c in zip(*found, strict=True)), limited)
+                out = _given(g, *(np.concatenate(c) for c in zip(*found, strict=True)), only is None)
                 if out is not None:
                     yield out
             tail = np.arange(starts[-1], len(g.w))
@@ -260,15 +271,15 @@ def first_lines(docs: DataFrame) -> DataFrame:
     return keyed.groupBy("h", "size").agg(F.min("own").alias("first")).select("first.*")
 
 
-def candidates(docs: DataFrame, chosen: DataFrame, ranks: np.ndarray, least: tuple[int, int], wanted: np.ndarray | None = None, limited: bool = True) -> DataFrame:
+def candidates(docs: DataFrame, chosen: DataFrame, ranks: np.ndarray, least: tuple[int, int], wanted: np.ndarray | None = None, only: np.ndarray | None = None) -> DataFrame:
     """Pairs of ``chosen`` lines (doc, at) of ``docs`` that may be similar, the later one first: ydoc, yat, xdoc, xat, apart, more.
 
-    ``wanted``: the only words to search. Unless ``limited``, all pairs are given.
+    ``wanted``: the only words to search. ``only``: hashes of the only lines to search for, then with all their pairs.
     """
     ats = chosen.groupBy("doc").agg(F.collect_list("at").alias("ats"))  # a document's own lines
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), "text").join(ats, "doc")
     dealt = texts.select("doc", "text", "ats").mapInArrow(_prefixes(ranks, least, wanted), "w bigint, doc bigint, at bigint, n int, p int, map binary")
-    return dealt.repartition("w").sortWithinPartitions("w", "n").mapInArrow(_search(least, limited), "ydoc bigint, yat bigint, xdoc bigint, xat bigint, apart int, more boolean")
+    return dealt.repartition("w").sortWithinPartitions("w", "n").mapInArrow(_search(least, only), "ydoc bigint, yat bigint, xdoc bigint, xat bigint, apart int, more boolean")
 
 
 def lines_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -313,14 +324,18 @@ def similar_lines(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
     rest = stored(found.join(key(soon), y, "left_anti").groupBy(*y, "xdoc", "xat").agg(F.bool_or("more").alias("more")))
     gone = cut(soon.unionByName(verified(rest, needed, least)).distinct())
     undecided = cut(rest.where("more").select(*y).distinct().join(key(gone), y, "left_anti"))
-    if undecided.limit(1).count():
-        ats = undecided.select(F.col("ydoc").alias("doc"), F.col("yat").alias("at")).groupBy("doc").agg(F.collect_list("at").alias("ats"))
-        texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), "text").join(ats, "doc").select("doc", "text", "ats")
+    # undecided lines are rare; where they were not, they would be taken in rounds of so many
+    while rows := undecided.orderBy(*y).limit(MOST_UNDECIDED).collect():
+        only = _line_hash(np.array([r.ydoc for r in rows], np.int64), np.array([r.yat for r in rows], np.int64))
+        ats = docs.sparkSession.createDataFrame([(r.ydoc, [r.yat]) for r in rows], "doc bigint, ats array<bigint>")
+        texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), "text").join(F.broadcast(ats), "doc").select("doc", "text", "ats")
         prefixes = texts.mapInArrow(_prefixes(ranks, least), "w bigint, doc bigint, at bigint, n int, p int, map binary").select("w").distinct()
         wanted = np.array([r.w for r in prefixes.limit(MOST_WORDS + 1).collect()], np.int64)
-        every = candidates(docs, lines(docs).select(*_key()), ranks, least, wanted if len(wanted) <= MOST_WORDS else None, limited=False)
+        every = candidates(docs, lines(docs).select(*_key()), ranks, least, wanted if len(wanted) <= MOST_WORDS else None, only)
         pairs = cut(every.join(undecided, y, "left_semi").select(*y, "xdoc", "xat").distinct())
-        gone = gone.unionByName(verified(pairs, lines_of(pairs, docs), least)).distinct()
+        gone = cut(gone.unionByName(verified(pairs, lines_of(pairs, docs), least)).distinct())
+        done = F.struct(*y) <= F.struct(F.lit(rows[-1].ydoc), F.lit(rows[-1].yat))
+        undecided = undecided.where(~done)
     return gone
 
 
