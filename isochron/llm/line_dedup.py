@@ -33,7 +33,8 @@ BUCKETS = 1 << 16
 #: Lines of up to so many words have parity maps of so many 64-bit numbers: enough that maps of unlike lines differ in more bits than like lines do in words.
 MAP_SIZES = ((80, 1), (180, 2), (450, 4), (900, 8), (1 << 62, 16))
 CACHED_WORDS = 100_000
-NEAREST = 4  # so many of the earlier lines near a line are given, if there are more than twice as many
+NEAREST, SURE = 4, 0.5  # so many of the earlier lines near a line are given, if there are more than twice as many and the nearest is
+#: apart by at most this share of the bits that lines at the limit would be
 MOST_WORDS = 1_000_000  # that are sent to all tasks
 MOST_UNDECIDED = 20_000  # lines that are searched for again at once
 FIRST = -(1 << 63)  # stands for a null id: before all others
@@ -194,7 +195,7 @@ def _near(g: _Rows, i: np.ndarray, j: np.ndarray, least: tuple[int, int]) -> tup
     return i[keep], j[keep], apart[keep], most[keep]
 
 
-def _search(least: tuple[int, int], only: np.ndarray | None = None):
+def _search(least: tuple[int, int], only: np.ndarray | None = None, nearest: int = NEAREST, sure: float = SURE):
     """Function of Arrow batches of rows, sorted by (w, n), to pairs: ydoc, yat, xdoc, xat, apart, more.
 
     y is the later one. more: not all pairs of y are given here. With ``only`` (hashes of lines), all
@@ -230,7 +231,7 @@ def _search(least: tuple[int, int], only: np.ndarray | None = None):
                 if len(j):
                     found.append(_near(g, np.full(len(j), r), j, least))
             if found:
-                out = _given(g, *(np.concatenate(c) for c in zip(*found, strict=True)), only is None)
+                out = _given(g, *(np.concatenate(c) for c in zip(*found, strict=True)), nearest if only is None else 0, sure)
                 if out is not None:
                     yield out
             tail = np.arange(starts[-1], len(g.w))
@@ -239,13 +240,13 @@ def _search(least: tuple[int, int], only: np.ndarray | None = None):
     return pairs
 
 
-def _given(g: _Rows, i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: np.ndarray, limited: bool) -> pa.RecordBatch | None:
+def _given(g: _Rows, i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: np.ndarray, nearest: int, sure: float) -> pa.RecordBatch | None:
     i_later = (g.doc[i] > g.doc[j]) | ((g.doc[i] == g.doc[j]) & (g.at[i] > g.at[j]))
     y, x = np.where(i_later, i, j), np.where(i_later, j, i)
     if not len(y):
         return None
     more = np.zeros(len(y), bool)
-    if limited:
+    if nearest:
         order = np.lexsort((apart, y))
         y, x, apart, most = y[order], x[order], apart[order], most[order]
         first = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
@@ -254,8 +255,8 @@ def _given(g: _Rows, i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: np.n
         # near: clearly fewer bits apart than lines that differ in as many words as they may; of long lines maps can't tell
         bits = 64 * np.minimum(g.size[y[first]], g.size[x[first]])
         likely = bits / 2 * (1 - (1 - 2 / bits) ** most[first])
-        near = np.repeat((apart[first] <= likely / 2) & (most[first] <= bits // 3) & (length > 2 * NEAREST), length)
-        keep = ~near | (rank < NEAREST)
+        near = np.repeat((apart[first] <= sure * likely) & (most[first] <= bits // 3) & (length > 2 * nearest), length)
+        keep = ~near | (rank < nearest)
         y, x, apart, more = y[keep], x[keep], apart[keep], near[keep]
     return pa.RecordBatch.from_arrays([pa.array(g.doc[y]), pa.array(g.at[y]), pa.array(g.doc[x]), pa.array(g.at[x]), pa.array(apart.astype(np.int32)), pa.array(more)], ["ydoc", "yat", "xdoc", "xat", "apart", "more"])
 
@@ -271,7 +272,7 @@ def first_lines(docs: DataFrame) -> DataFrame:
     return keyed.groupBy("h", "size").agg(F.min("own").alias("first")).select("first.*")
 
 
-def candidates(docs: DataFrame, chosen: DataFrame, ranks: np.ndarray, least: tuple[int, int], wanted: np.ndarray | None = None, only: np.ndarray | None = None) -> DataFrame:
+def candidates(docs: DataFrame, chosen: DataFrame, ranks: np.ndarray, least: tuple[int, int], wanted: np.ndarray | None = None, only: np.ndarray | None = None, nearest: int = NEAREST, sure: float = SURE) -> DataFrame:
     """Pairs of ``chosen`` lines (doc, at) of ``docs`` that may be similar, the later one first: ydoc, yat, xdoc, xat, apart, more.
 
     ``wanted``: the only words to search. ``only``: hashes of the only lines to search for, then with all their pairs.
@@ -279,7 +280,7 @@ def candidates(docs: DataFrame, chosen: DataFrame, ranks: np.ndarray, least: tup
     ats = chosen.groupBy("doc").agg(F.collect_list("at").alias("ats"))  # a document's own lines
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), "text").join(ats, "doc")
     dealt = texts.select("doc", "text", "ats").mapInArrow(_prefixes(ranks, least, wanted), "w bigint, doc bigint, at bigint, n int, p int, map binary")
-    return dealt.repartition("w").sortWithinPartitions("w", "n").mapInArrow(_search(least, only), "ydoc bigint, yat bigint, xdoc bigint, xat bigint, apart int, more boolean")
+    return dealt.repartition("w").sortWithinPartitions("w", "n").mapInArrow(_search(least, only, nearest, sure), "ydoc bigint, yat bigint, xdoc bigint, xat bigint, apart int, more boolean")
 
 
 def lines_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -310,17 +311,17 @@ def verified(pairs: DataFrame, needed: DataFrame, least: tuple[int, int]) -> Dat
     return both.select("ydoc", "yat", "x", "y").mapInArrow(compare, "doc bigint, at bigint").distinct()
 
 
-def similar_lines(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
+def similar_lines(docs: DataFrame, least: tuple[int, int], nearest: int = NEAREST, sure: float = SURE) -> DataFrame:
     """doc, at of the first lines of ``docs`` that are similar to an earlier one."""
     with small_batches(docs.sparkSession):
         ranks = bucket_ranks(docs)
     with small_batches(docs.sparkSession, 2000):
-        found = stored(candidates(docs, first_lines(docs), ranks, least))
+        found = stored(candidates(docs, first_lines(docs), ranks, least, nearest=nearest, sure=sure))
     needed = lines_of(found, docs)
     y = ["ydoc", "yat"]
     key = lambda df: df.select(F.col("doc").alias("ydoc"), F.col("at").alias("yat"))
-    nearest = found.groupBy(*y).agg(F.min(F.struct("apart", "xdoc", "xat")).alias("x"))
-    soon = cut(verified(nearest.select(*y, "x.xdoc", "x.xat"), needed, least))
+    closest = found.groupBy(*y).agg(F.min(F.struct("apart", "xdoc", "xat")).alias("x"))
+    soon = cut(verified(closest.select(*y, "x.xdoc", "x.xat"), needed, least))
     rest = stored(found.join(key(soon), y, "left_anti").groupBy(*y, "xdoc", "xat").agg(F.bool_or("more").alias("more")))
     gone = cut(soon.unionByName(verified(rest, needed, least)).distinct())
     undecided = cut(rest.where("more").select(*y).distinct().join(key(gone), y, "left_anti"))
@@ -334,8 +335,8 @@ def similar_lines(docs: DataFrame, least: tuple[int, int]) -> DataFrame:
         every = candidates(docs, lines(docs).select(*_key()), ranks, least, wanted if len(wanted) <= MOST_WORDS else None, only)
         pairs = cut(every.join(undecided, y, "left_semi").select(*y, "xdoc", "xat").distinct())
         gone = cut(gone.unionByName(verified(pairs, lines_of(pairs, docs), least)).distinct())
-        done = F.struct(*y) <= F.struct(F.lit(rows[-1].ydoc), F.lit(rows[-1].yat))
-        undecided = undecided.where(~done)
+        doc, at = rows[-1]
+        undecided = undecided.where((F.col("ydoc") > doc) | ((F.col("ydoc") == doc) & (F.col("yat") > at)))
     return gone
 
 

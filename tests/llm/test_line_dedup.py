@@ -38,9 +38,8 @@ def test_empty_table(spark):
     assert kept(spark, []) == {}
 
 
-@pytest.mark.parametrize("near", [1, 4])
-def test_against_brute_force(spark, monkeypatch, near):
-    rng = random.Random(near)
+def mixed_rows(seed):
+    rng = random.Random(seed)
     words = [f"w{int(rng.paretovariate(0.3))}" for _ in range(3000)] + ["the", "of"] * 200
     bases = [[rng.choice(words) for _ in range(rng.choice([3, 10, 30, 120, 400]))] for _ in range(25)]
     rows = []
@@ -52,10 +51,31 @@ def test_against_brute_force(spark, monkeypatch, near):
                 line[rng.randrange(len(line))] = rng.choice(words)
             lines.append(" ".join(line))
         rows.append((i, "\n".join(lines)))
-    monkeypatch.setattr(ld, "NEAREST", near)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_against_brute_force(spark, seed):
+    rows = mixed_rows(seed)
     assert kept(spark, rows) == brute(rows)
 
 
+def test_undecided_lines_are_searched_again(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"base{i}" for i in range(60)]
+    rows = []
+    for i in range(120):  # about half of these are similar to an earlier one, and few to the nearest by their maps
+        line = list(base)
+        for k in rng.sample(range(60), rng.randint(2, 9)):
+            line[k] = f"own{rng.random()}"
+        rows.append((i, " ".join(line)))
+    df = frame(spark, rows).select("doc_id", "text")
+    for most in (20_000, 3):
+        monkeypatch.setattr(ld, "MOST_UNDECIDED", most)
+        gone = {r.doc for r in ld.similar_lines(df, (4, 5), nearest=1, sure=100.0).collect()}
+        assert gone == {i for i, k in brute(rows).items() if not k}
+
+
 def test_a_group_of_near_copies_is_not_paired(spark):
     rng = random.Random(5)
     base = [f"base{i}" for i in range(30)]
