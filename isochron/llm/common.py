@@ -56,6 +56,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __row (bigint): a number of each row, rising with doc_id, nulls first.
+
+    It is doc_id itself if that is a whole number that no row lacks and no two share. Else the rows are
+    sorted by id and written with a number of their own, so that every later use sees the same one.
+    """
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    if whole and docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count() == 0:
+        return docs.withColumn("__row", F.col("doc_id").cast("bigint"))
+    by_id = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    return stored(by_id.withColumn("__row", F.monotonically_increasing_id()))
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Within it, Arrow batches have at most ``rows`` rows: for jobs over whole texts that need memory besides. The old setting comes back."""

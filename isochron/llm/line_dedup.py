@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isochron.llm.common import WORD, cut, small_batches, stored
+from isochron.llm.common import WORD, cut, row_keyed, small_batches, stored
 
 BUCKETS = 1 << 16
 #: Lines of up to so many words have parity maps of so many 64-bit numbers: enough that maps of unlike lines differ in more bits than like lines do in words.
@@ -361,13 +361,15 @@ def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """``docs`` with the text of each row reduced to the lines that stay; other columns are kept, a column n_chars is made anew.
 
-    Texts that lose all their lines become empty; null texts stay null. Ids must be unique.
+    Texts that lose all their lines become empty; null texts stay null. One row per row: rows with a null or
+    repeated id are documents of their own.
     """
-    kept = kept_lines(docs, least).select(F.col("doc_id").alias("__id"), "kept_lines").withColumnRenamed("kept_lines", "__kept")
+    keyed = row_keyed(docs)
+    kept = kept_lines(keyed.select(F.col("__row").alias("doc_id"), "text"), least).select(F.col("doc_id").alias("__row"), F.col("kept_lines").alias("__kept"))
     parts = F.split("text", "\n")
     numbers = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1))
     blank = F.filter(numbers, lambda i: _blank(F.get(parts, i)))
     stay = F.sort_array(F.array_union(F.coalesce("__kept", F.array().cast("array<int>")), blank))
     text = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left").withColumn("text", text).select(docs.columns)
+    out = keyed.join(kept, "__row", "left").withColumn("text", text).select(docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isochron.llm.common import WORD, cut
+from isochron.llm.common import WORD, cut, row_keyed
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (3, 1, 2)
@@ -80,7 +80,7 @@ def schedule(targets: DataFrame, total: float, block: int, chunk: int = 4096, bi
 def _blocks(sized: DataFrame, targets: DataFrame, total: float, block: int, per_bucket: int) -> DataFrame:
     """Pieces of documents with the slot of the block that they lie in.
 
-    ``sized``: doc_id, source, size, all sizes above 0; ``targets``: source, source_size, target. Columns: those, start (place in
+    ``sized``: doc_id, source, size (all above 0), or more columns, which break ties; ``targets``: source, source_size, target. Columns: those, start (place in
     the source's stream), epoch (pass over it), words (of the piece), slot (null where none takes it).
     """
     key = ["null_source", "has"]
@@ -93,7 +93,7 @@ def _blocks(sized: DataFrame, targets: DataFrame, total: float, block: int, per_
     words = words.withColumn("bucket", F.floor(F.conv(F.substring("by", 1, 8), 16, 10).cast("bigint") * buckets / F.lit(1 << 32)))
     sums = words.groupBy(*key, "bucket").agg(F.sum("size").alias("in_bucket"))
     sums = sums.withColumn("first", F.sum("in_bucket").over(W.partitionBy(*key).orderBy("bucket")) - F.col("in_bucket")).drop("in_bucket")
-    inner = W.partitionBy(*key, "bucket").orderBy("by", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inner = W.partitionBy(*key, "bucket").orderBy("by", "doc_id", "size", *(c for c in sized.columns if c not in ("doc_id", "source", "size"))).rowsBetween(W.unboundedPreceding, 0)
     placed = words.withColumn("start", F.sum("size").over(inner) - F.col("size")).join(sums, [*key, "bucket"]).join(info, key)
     placed = placed.withColumn("start", F.col("start") + F.col("first")).withColumn("goal", F.round("target").cast("bigint"))
 
@@ -105,12 +105,12 @@ def _blocks(sized: DataFrame, targets: DataFrame, total: float, block: int, per_
     pieces = passes.withColumn("rank", F.explode_outer(on))
     pieces = pieces.withColumn("words", F.least("until", (F.col("rank") + 1) * block) - F.greatest("at", F.col("rank") * block))
     slots = named(schedule(targets.select("source", "target"), total, block)).select(*key, "rank", "slot")
-    return pieces.join(slots, [*key, "rank"], "left").select("doc_id", "source", "size", "source_size", "target", "start", "epoch", "words", "slot")
+    return pieces.join(slots, [*key, "rank"], "left").select(*sized.columns, "source_size", "target", "start", "epoch", "words", "slot")
 
 
-def _sized(docs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """doc_id, source, size of each row; targets of the sources; their total."""
-    sized = cut(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size")))
+def _sized(docs: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame, float]:
+    """doc_id, source, size and the columns ``keep`` of each row; targets of the sources; their total."""
+    sized = cut(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"), *keep))
     targets = cut(source_targets(sized))
     return sized, targets, targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
 
@@ -138,14 +138,15 @@ def mixed_documents(docs: DataFrame, block: int = 256, per_bucket: int = 1024) -
     """The mix itself: rows of ``docs`` once for each pass that takes words of them, all columns kept.
 
     A pass that takes a part of a document takes its first words, joined by single blanks; whole
-    texts stay as they are. A column n_chars is made anew. Ids must be unique; rows with a null id are left out.
+    texts stay as they are. A column n_chars is made anew. Rows with a null or repeated id each have their own place and passes.
     """
-    sized, targets, total = _sized(docs)
+    keyed = row_keyed(docs)
+    sized, targets, total = _sized(keyed, "__row")
     if not total:
         return docs.limit(0)
     blocks = _blocks(sized.where("size > 0"), targets, total, block, per_bucket).where("slot IS NOT NULL")
-    passes = blocks.groupBy(F.col("doc_id").alias("__id"), "size", "epoch").agg(F.sum("words").alias("__words")).withColumnRenamed("size", "__size").withColumnRenamed("epoch", "__epoch")
-    joined = docs.join(passes, F.col("doc_id") == F.col("__id"))
+    passes = blocks.groupBy("__row", "size", "epoch").agg(F.sum("words").alias("__words")).withColumnRenamed("size", "__size").withColumnRenamed("epoch", "__epoch")
+    joined = keyed.join(passes, "__row")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("__words").cast("int")), " ")
     out = joined.withColumn("text", F.when(F.col("__words") < F.col("__size"), part).otherwise(F.col("text"))).select(docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out
