@@ -158,6 +158,18 @@ def test_random_strings_are_told_from_words(spark):
     assert secrets.secret_report(df.limit(0)).count() == 0
 
 
+def test_random_strings_after_an_equals_sign(spark):
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(60)]
+    before = ["PRIVATE_KEY=", "https://x.org/a?sig="]
+    df = spark.createDataFrame([(i, f"see {before[i % 2]}{s} end") for i, s in enumerate(secret)], "doc_id bigint, text string")
+    found = {r.doc_id: r.added for r in secrets.find_secrets(df).collect()}
+    at = [(4 + len(before[i % 2]), 4 + len(before[i % 2]) + 40) for i in range(60)]
+    assert sum([(a.start, a.end) for a in found[i]] == [at[i]] for i in range(60)) >= 54
+    assert [m[0] for m in secrets.CANDIDATE.finditer(f"k={secret[0]}== {secret[1]}=")] == [f"{secret[0]}==", f"{secret[1]}="]
+
+
 # SentencePiece
 
 
