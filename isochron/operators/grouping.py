@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,21 +17,78 @@ def text_shape(sql: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(masked, r"\b\d+(?:\.\d+)?\b", "?")), r"\s+", " "))
 
 
-def nearby_pairs(items: DataFrame, item: str, vector: str, most: float = 0.10, planes: int = 12) -> DataFrame:
-    """Pairs a < b of items whose vectors' cosine distance is below ``most``, among those in the same cell of signs.
+def nearby_pairs(items: DataFrame, item: str, vector: str, most: float = 0.10, pivots: int = 64, block: int = 1024) -> DataFrame:
+    """Links a < b of items whose vectors' cosine distance is below ``most``: enough of them that whatever is linked is connected.
 
-    Cells: signs of ``planes`` sums of coordinates with fixed signs (as many tables as four, each with its
-    own signs), so that near vectors meet in one of them without comparing all pairs.
+    Exact: a vector is entered in the cell of its nearest pivot and looks into the cells of all pivots whose
+    angle is at most the nearest one's and twice the widest angle of a link (triangle inequality), so two
+    linked vectors meet. Equal vectors are linked to the first of them, which stands for all. Large cells
+    are dealt to blocks: entries by hash, probes to each. A block gives a spanning forest of its links.
+    Where vectors have no clusters the angles exclude little, and the work is that of all pairs.
     """
-    unit = items.select(F.col(item).alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    kind = items.schema[item].dataType.simpleString()
+    unit = items.select(F.col(item).alias("i"), F.col(vector).cast("array<double>").alias("v")).where(F.col("i").isNotNull())
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = unit.withColumn("v", F.transform("v", lambda x: F.try_divide(x, norm)))
-    sign = lambda t, k: F.aggregate(F.transform("v", lambda x, j: F.when(F.pmod(F.xxhash64(F.lit(t), F.lit(k), j), F.lit(2)) == 0, x).otherwise(-x)), F.lit(0.0), lambda a, x: a + x) >= 0
-    cell = F.explode(F.array(*(F.concat_ws("", F.lit(f"{t}:"), *(F.when(sign(t, k), "1").otherwise("0") for k in range(planes))) for t in range(4))))
-    cells = unit.withColumn("cell", cell)
-    x, y = cells.select("cell", F.col("i").alias("a"), F.col("v").alias("va")), cells.select("cell", F.col("i").alias("b"), F.col("v").alias("vb"))
-    cosine = F.aggregate(F.zip_with("va", "vb", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    return x.join(y, "cell").where((F.col("a") < F.col("b")) & (1 - cosine < most)).select("a", "b").distinct()
+    unit = unit.where((norm > 0) & (norm < float("inf"))).withColumn("v", F.transform("v", lambda x: x / norm)).withColumn("h", F.sha2(F.to_json("v"), 256))
+    first = _cut(unit.groupBy("h").agg(F.min("i").alias("i"), F.first("v").alias("v")))
+    copies = unit.select("h", "i").join(first.select("h", F.col("i").alias("a")), "h").where("a < i").select("a", F.col("i").alias("b"))
+    drawn: dict[int, list] = {}
+    for row in first.orderBy("h").limit(pivots).collect():
+        drawn.setdefault(len(row.v), []).append(row.v)
+    reach = 2 * np.arccos(1 - most) + 1e-6
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, cell, size, probe = [], [], [], []
+            for k, v in enumerate(batch.column(1).to_pylist()):
+                own = drawn.get(len(v))
+                angles = np.zeros(1) if own is None else np.arccos(np.clip(np.array(own) @ np.array(v), -1, 1))
+                near = np.flatnonzero(angles <= angles.min() + reach)
+                at += [k] * (1 + len(near))
+                cell += [int(angles.argmin()), *near.tolist()]
+                size += [len(v)] * (1 + len(near))
+                probe += [False] + [True] * len(near)
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(cell, pa.int32()), pa.array(probe, pa.bool_()), *rows.columns], ["dim", "cell", "probe", "i", "v"])
+
+    rows = first.select("i", "v").mapInArrow(cells, f"dim int, cell int, probe boolean, i {kind}, v array<double>")
+    blocks = F.broadcast(rows.where("NOT probe").groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))  # a row per pivot
+    every = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")))
+    rows = rows.join(blocks, ["dim", "cell"]).select("dim", "cell", F.explode(every).alias("block"), "probe", "i", "v")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, entered, parent = None, [], [], {}
+
+        def find(x):
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            probe, ids, vectors = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            links, lo = [], 0
+            while lo < len(keys):
+                hi = lo + 1
+                while hi < len(keys) and keys[hi] == keys[lo] and probe[hi] == probe[lo] and hi - lo < block:
+                    hi += 1
+                if keys[lo] != now:
+                    now, names, entered, parent = keys[lo], [], [], {}
+                if not probe[lo]:
+                    names, entered = names + ids[lo:hi], entered + vectors[lo:hi]
+                elif entered:
+                    for x, y in zip(*np.nonzero(1 - np.array(entered) @ np.array(vectors[lo:hi]).T < most), strict=True):
+                        u, w = find(names[x]), find(ids[lo + y])
+                        if u != w:
+                            parent[max(u, w)] = min(u, w)
+                            links.append((min(names[x], ids[lo + y]), max(names[x], ids[lo + y])))
+                lo = hi
+            if links:
+                kinds = batch.schema.field("i").type
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], kinds), pa.array([w for _, w in links], kinds)], ["a", "b"])
+
+    dealt = rows.repartition("dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "probe")
+    return dealt.mapInArrow(met, f"a {kind}, b {kind}").unionByName(copies).distinct()
 
 
 def components(links: DataFrame, rounds: int = 30) -> DataFrame:

@@ -157,3 +157,22 @@ def test_bounds_and_aliases(spark):
     dim = spark.createDataFrame([("gravel", ["Kies", "K"])], "key string, aliases array<string>")
     rows = spark.createDataFrame([(" kies ",), ("GRAVEL",), ("other",), (None,)], "name string")
     assert [r.resolved for r in dimensions.resolve_aliases(rows, "name", dim).orderBy(F.col("name")).collect()] == [None, "gravel", "gravel", None]
+
+
+def test_nearby_vectors_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 16))
+    v = np.repeat(centres, 4, axis=0) + rng.normal(size=(240, 16)) * 0.3
+    v = np.concatenate([v, np.repeat(v[:1], 20, axis=0)])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    near = 1 - unit @ unit.T < 0.10
+    want = list(range(len(v)))
+    for _ in range(len(v)):
+        want = [min(want[j] for j in np.flatnonzero(near[i])) for i in range(len(v))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i bigint, v array<double>")
+    links = grouping.nearby_pairs(df, "i", "v", block=8).cache()
+    assert all(r.a < r.b and near[r.a, r.b] for r in links.collect())
+    root = {r.node: r.root for r in grouping.components(links).collect()}
+    assert [root.get(i, i) for i in range(len(v))] == want
