@@ -38,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read again: ``cut`` for many rows, in less space.
 
     The files go when the session ends. The shuffles that made them are needed no more; Spark removes
@@ -46,7 +46,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     jvm = spark.sparkContext._jvm
     del df
     gc.collect()
@@ -102,3 +102,13 @@ def join_groups(rows: DataFrame, key: list[str], row_key: str, aggs: list[Column
     total = partial.groupBy(*key).agg(*totals, F.collect_set("__salt").alias("__salts"))
     spread = total.withColumn("__salt", F.explode("__salts")).drop("__salts")
     return salted.join(spread, [*key, "__salt"]).drop("__salt")
+
+
+def spread_join(rows: DataFrame, other: DataFrame, key: list[str], by: list[str], salts: int = 64) -> DataFrame:
+    """``rows`` joined with ``other``, which has each ``key`` at most once, without all rows of a hot key in one task.
+
+    Rows are dealt out by ``key`` and a hash of ``by``; a row of ``other`` goes only to the salts that its rows have.
+    """
+    salted = rows.withColumn("__salt", salt(*by, salts=salts))
+    present = salted.select(*key, "__salt").distinct().join(other, key)
+    return salted.join(present, [*key, "__salt"]).drop("__salt")

@@ -1,43 +1,34 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join, in DataFrame expressions.
 
 A line is the set of its words. Words are ordered by rarity: their hashes fall into 65,536 buckets,
-whose words are counted over all documents, and a word's place is (rank of its bucket, hash). Of each
-distinct line the rarest words, as many as two lines of Jaccard similarity ``least`` must have one of
-in common (the prefix), are dealt out by word. Where lines meet, pairs stay if their lengths, the
+whose words are counted over all distinct lines, and a word's place is (rank of its bucket, hash). Of
+each distinct line the rarest words, as many as two lines of Jaccard similarity ``least`` must have one
+of in common (the prefix), are dealt out by word. Where lines meet, pairs stay if their lengths, the
 places of the word and parity maps of their words allow that similarity; they are then verified on
 the words themselves. A line goes if an equal or similar one occurs before it, by doc_id and line
 number (null ids come first).
 
-Of a group of k lines that are all alike, a join in DataFrame expressions makes k * k / 2 pairs. Here
-the task that holds a word's lines compares them in numpy and gives each line its nearest earlier
-ones only; lines with nothing near but much within reach get all, and whatever is left undecided is
-searched again without that limit. So what is found is exact. The form in DataFrame expressions did
-not meet the limits with whole results; see the README for its figures.
+The join is made in two steps, so that a group of k alike lines does not give k * k / 2 pairs. First a
+line meets, among those with the same last words of the prefix, only the line just before it and the
+first one; that decides nearly all lines of such groups. Only the lines that are still open then meet
+all earlier lines that share a word of the prefix with them. What is found is exact.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isochron.llm.common import WORD, cut, row_keyed, small_batches, stored
+from isochron.llm.common import SPACE, WORD, cut, row_keyed, salt, spread_join, stored
 
 BUCKETS = 1 << 16
-#: Lines of up to so many words have parity maps of so many 64-bit numbers: enough that maps of unlike lines differ in more bits than like lines do in words.
-MAP_SIZES = ((80, 1), (180, 2), (450, 4), (900, 8), (1 << 62, 16))
-CACHED_WORDS = 100_000
-NEAREST, SURE = 4, 0.5  # so many of the earlier lines near a line are given, if there are more than twice as many and the nearest is
-#: apart by at most this share of the bits that lines at the limit would be
-MOST_WORDS = 1_000_000  # that are sent to all tasks
-MOST_UNDECIDED = 20_000  # lines that are searched for again at once
-FIRST = -(1 << 63)  # stands for a null id: before all others
+HOT, SALTS = 4096, 64  # a word whose bucket is above average and has so many words is dealt to so many tasks
+SMALL, MIDDLE = 80, 180  # lines of up to so many words have parity maps of 64 and 128 bits; longer ones of 256
+BROADCAST_LINES = 1_000_000  # ids of lines (16 bytes each) that are sent to all tasks, counted first
+MAPS = ("m0", "m1", "m2", "m3")
 
 
 def _blank(line: Column) -> Column:
@@ -45,299 +36,158 @@ def _blank(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0), line: what line feeds separate, without lines that are white space only. Null counts as empty."""
-    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    """doc, pos (from 0), line of ``docs`` (doc, text): what line feeds separate, without lines that are white space only. Null counts as empty."""
+    # outer: no null text passes the next filter; else a test of the array for emptiness is added, which splits each text twice
+    rows = docs.select("doc", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     return rows.where(~_blank(F.col("line")))
 
 
-def bucket_ranks(docs: DataFrame) -> np.ndarray:
-    """By bucket of word hashes its rank in ascending order of occurrences over all ``docs`` (text): 65,536 numbers."""
+def single_spaced(line: Column) -> Column:
+    """The words of ``line`` with one blank between them: splitting them needs no regular expression."""
+    odd = reduce(lambda u, v: u | v, [F.contains(line, F.lit(c)) for c in ("\t", "\v", "\f", "\r", "  ")])
+    return F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            found = Counter(chain.from_iterable(t.encode().split() for t in b.column(0).to_pylist() if t))
-            at = np.fromiter((xxhash.xxh64_intdigest(w) & (BUCKETS - 1) for w in found), np.int64, len(found))
-            total += np.bincount(at, np.fromiter(found.values(), np.float64, len(found)), BUCKETS).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total).astype(np.int32)), pa.array(total[total > 0])], ["bucket", "n"])
 
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
-        counts[r.bucket] = r.n
-    ranks = np.empty(BUCKETS, np.int64)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
-    return ranks
+def words_of(line: Column) -> Column:
+    return F.split(line, " ")
 
 
-def _map_size(n: np.ndarray) -> np.ndarray:
-    return np.array([k for _, k in MAP_SIZES])[np.searchsorted([m for m, _ in MAP_SIZES], n)]
+def first_lines(docs: DataFrame) -> DataFrame:
+    """doc, pos of the first of each set of equal lines (same XXH64 and number of bytes) of ``docs`` (doc, text)."""
+    keyed = lines(docs).select(F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"), F.struct("doc", "pos").alias("own"))
+    return keyed.groupBy("h", "size").agg(F.min("own").alias("first")).select("first.*")
 
 
-def _prefixes(ranks: np.ndarray, least: tuple[int, int], wanted: np.ndarray | None = None):
-    """Function of Arrow batches of documents (doc, text, ats: which lines) to the rows that are dealt out by word: w, doc, at, n, p, map.
+def bucket_ranks(distinct: DataFrame) -> tuple[list[int], int]:
+    """By bucket of word hashes its rank in ascending order of occurrences in ``distinct`` (line); the rank from which words may be frequent."""
+    words = distinct.select(F.explode_outer(words_of(F.col("line"))).alias("w"))
+    rows = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()  # at most BUCKETS rows
+    counts = dict.fromkeys(range(BUCKETS), 0) | {r.bucket: r["count"] for r in rows}
+    order = sorted(counts, key=lambda k: (counts[k], k))
+    ranks = [0] * BUCKETS
+    for rank, bucket in enumerate(order):
+        ranks[bucket] = rank
+    frequent = max(HOT, 2 * sum(counts.values()) // BUCKETS)
+    return ranks, sum(n < frequent for n in counts.values())
 
-    n is the number of distinct words, p the place of w among them, map the parity of the words' hashes.
-    ``wanted``: the only words to deal out.
-    """
-    a, b = least
-    place_of = ((ranks - BUCKETS // 2) << 48).tolist()
-    cache: dict[bytes, int] = {}
-    digest, get = xxhash.xxh64_intdigest, cache.get
-
-    def place(w: bytes) -> int:
-        h = digest(w)
-        v = cache[w] = place_of[h & (BUCKETS - 1)] | h >> 16
-        return v
-
-    def dealt(docs: list[int], ats: list[int], sets: list[list[int]]) -> pa.RecordBatch:
-        n = np.fromiter(map(len, sets), np.int64, len(sets))
-        flat = np.fromiter(chain.from_iterable(sets), np.int64, n.sum())
-        starts = np.cumsum(n) - n
-        size = _map_size(n)
-        taken = n - (n * a + b - 1) // b + 1
-        maps = np.empty(len(sets), object)
-        for k in np.unique(size):
-            own = np.flatnonzero(size == k)
-            whole = np.zeros(len(own) * k, np.uint64)
-            words = flat[np.concatenate([np.arange(s, s + c) for s, c in zip(starts[own], n[own], strict=True)])]
-            at = np.repeat(np.arange(len(own)) * k, n[own]) + (words >> 6) % k
-            np.bitwise_xor.at(whole, at, np.uint64(1) << (words & 63).astype(np.uint64))
-            raw = whole.tobytes()
-            maps[own] = [raw[8 * k * i : 8 * k * (i + 1)] for i in range(len(own))]
-        row = np.repeat(np.arange(len(sets)), taken)
-        p = np.arange(len(row)) - np.repeat(np.cumsum(taken) - taken, taken)
-        if wanted is not None:
-            asked = np.isin(flat[starts[row] + p], wanted)
-            row, p = row[asked], p[asked]
-        pick = pa.array(row)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(flat[starts[row] + p]), pa.array(docs, pa.int64()).take(pick), pa.array(ats, pa.int64()).take(pick), pa.array(n[row].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(maps.tolist(), pa.binary()).take(pick)], ["w", "doc", "at", "n", "p", "map"]
-        )
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, ats, sets = [], [], []
-        for batch in batches:
-            for doc, text, own in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                parts = (text or "").split("\n")
-                for at in own:
-                    line = parts[at >> 16].encode() if at >> 16 < len(parts) else b""
-                    if digest(line, 42) & 65535 == at & 65535:
-                        docs.append(doc)
-                        ats.append(at)
-                        sets.append(sorted({get(w) or place(w) for w in line.split()}))
-                if len(sets) >= 2000:
-                    yield dealt(docs, ats, sets)
-                    docs, ats, sets = [], [], []
-                    if len(cache) > CACHED_WORDS:
-                        cache.clear()
-        if sets:
-            yield dealt(docs, ats, sets)
-
-    return rows
-
-
-class _Rows:
-    """Rows of words in order of (w, n): what a task compares."""
-
-    def __init__(self, columns: list[np.ndarray]):
-        self.columns = columns
-        self.sought: np.ndarray | None = None  # of rows, where only some are
-        self.w, self.doc, self.at, self.n, self.p, self.size, self.map = columns
-
-    @classmethod
-    def of(cls, b: pa.RecordBatch) -> _Rows:
-        w, doc, at, n, p = (c.to_numpy() for c in b.columns[:5])
-        n = n.astype(np.int64)
-        size, raw = _map_size(n), b.column(5).to_pylist()
-        maps = np.zeros((len(w), int(size.max(initial=1))), np.uint64)
-        for k in np.unique(size):
-            own = np.flatnonzero(size == k)
-            maps[own, :k] = np.frombuffer(b"".join(raw[i] for i in own), "<u8").reshape(-1, k)
-        return cls([w, doc, at, n, p.astype(np.int64), size, maps])
-
-    def after(self, other: _Rows) -> _Rows:
-        wide = max(self.map.shape[1], other.map.shape[1])
-        maps = [np.pad(r.map, ((0, 0), (0, wide - r.map.shape[1]))) for r in (other, self)]
-        return _Rows([*(np.concatenate(c) for c in zip(other.columns[:-1], self.columns[:-1], strict=True)), np.concatenate(maps)])
-
-    def some(self, at: np.ndarray) -> _Rows:
-        return _Rows([c[at] for c in self.columns])
-
-
-def _apart(g: _Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """In how many bits the maps of rows i and j differ; the larger map is folded to the size of the smaller."""
-    out = np.zeros(len(i), np.int64)
-    sizes = g.size[i] * 64 + g.size[j]
-    for both in np.unique(sizes):
-        k, m, own = int(both // 64), int(both % 64), sizes == both
-        folded = np.bitwise_xor.reduce(g.map[j[own], :m].reshape(-1, m // k, k), axis=1)
-        out[own] = np.bitwise_count(g.map[i[own], :k] ^ folded).sum(axis=1)
-    return out
-
-
-def _line_hash(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ at.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _near(g: _Rows, i: np.ndarray, j: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, ...]:
-    """Of the pairs of rows i before j those that may be similar, in how many bits their maps differ, and in how many words they may."""
-    a, b = least
-    if g.sought is not None:
-        keep = g.sought[i] | g.sought[j]
-        i, j = i[keep], j[keep]
-    x, y = g.n[i], g.n[j]
-    common = ((x + y) * a + a + b - 1) // (a + b)
-    # the one with fewer words must meet the other within a still shorter prefix
-    keep = (y * a <= x * b) & (g.p[i] <= x - (x * 2 * a + a + b - 1) // (a + b)) & (np.minimum(x - g.p[i], y - g.p[j]) >= common)
-    i, j, most = i[keep], j[keep], (x + y - 2 * common)[keep]
-    apart = _apart(g, i, j)
-    keep = apart <= most
-    return i[keep], j[keep], apart[keep], most[keep]
-
-
-def _search(least: tuple[int, int], only: np.ndarray | None = None, nearest: int = NEAREST, sure: float = SURE):
-    """Function of Arrow batches of rows, sorted by (w, n), to pairs: ydoc, yat, xdoc, xat, apart, more.
-
-    y is the later one. more: not all pairs of y are given here. With ``only`` (hashes of lines), all
-    pairs are given in which one of those takes part. A word's rows are kept while their
-    lengths are within reach of the next ones'.
-    """
+
+def line_sets(distinct: DataFrame, ranks: list[int], least: tuple[int, int]) -> DataFrame:
+    """doc, pos, n, parity maps and prefix of the lines of ``distinct`` (doc, pos, line): n is the number of different words, prefix the places of the rarest."""
     a, b = least
+    shifted = ",".join(str((rank - BUCKETS // 2) << 48) for rank in ranks)
+    ranking = F.split(F.lit(shifted), ",").cast("array<bigint>")  # folded to a literal
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: _Rows | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            g, new = _Rows.of(batch), 0
-            if kept is not None and kept.w[0] == g.w[0]:
-                g, new = g.after(kept), len(kept.w)
-            g.sought = None if only is None else np.isin(_line_hash(g.doc, g.at), only)
-            starts = np.flatnonzero(np.r_[True, g.w[1:] != g.w[:-1]])
-            ends = np.r_[starts[1:], len(g.w)]
-            end = np.repeat(ends, ends - starts)
-            found = []
-            # j runs away from i in steps, for all rows at once, while a row is in reach
-            i, step = np.arange(len(g.w)), 1
-            while len(i) and step <= 64:
-                i = i[i + step < end[i]]
-                i = i[g.n[i + step] * a <= g.n[i] * b]
-                there = i + step >= new
-                if there.any():
-                    found.append(_near(g, i[there], i[there] + step, least))
-                step += 1
-            for r in i:  # long groups: each of the remaining rows against all that follow
-                j = np.arange(max(r + step, new), end[r])
-                if len(j):
-                    found.append(_near(g, np.full(len(j), r), j, least))
-            if found:
-                out = _given(g, *(np.concatenate(c) for c in zip(*found, strict=True)), nearest if only is None else 0, sure)
-                if out is not None:
-                    yield out
-            tail = np.arange(starts[-1], len(g.w))
-            kept = g.some(tail[g.n[tail] * b >= g.n[-1] * a])
-
-    return pairs
-
-
-def _given(g: _Rows, i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: np.ndarray, nearest: int, sure: float) -> pa.RecordBatch | None:
-    i_later = (g.doc[i] > g.doc[j]) | ((g.doc[i] == g.doc[j]) & (g.at[i] > g.at[j]))
-    y, x = np.where(i_later, i, j), np.where(i_later, j, i)
-    if not len(y):
-        return None
-    more = np.zeros(len(y), bool)
-    if nearest:
-        order = np.lexsort((apart, y))
-        y, x, apart, most = y[order], x[order], apart[order], most[order]
-        first = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
-        length = np.diff(np.r_[first, len(y)])
-        rank = np.arange(len(y)) - np.repeat(first, length)
-        # near: clearly fewer bits apart than lines that differ in as many words as they may; of long lines maps can't tell
-        bits = 64 * np.minimum(g.size[y[first]], g.size[x[first]])
-        likely = bits / 2 * (1 - (1 - 2 / bits) ** most[first])
-        near = np.repeat((apart[first] <= sure * likely) & (most[first] <= bits // 3) & (length > 2 * nearest), length)
-        keep = ~near | (rank < nearest)
-        y, x, apart, more = y[keep], x[keep], apart[keep], near[keep]
-    return pa.RecordBatch.from_arrays([pa.array(g.doc[y]), pa.array(g.at[y]), pa.array(g.doc[x]), pa.array(g.at[x]), pa.array(apart.astype(np.int32)), pa.array(more)], ["ydoc", "yat", "xdoc", "xat", "apart", "more"])
-
-
-def _key() -> list[Column]:
-    """doc and at of a line: they order lines, and tell them apart (rows that share an id by 16 bits of the line's hash)."""
-    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), F.shiftleft(F.col("pos").cast("bigint"), 16).bitwiseOR(F.xxhash64("line").bitwiseAND(65535)).alias("at")]
+    def place(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.get(ranking, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 16))
 
+    sets = distinct.select("doc", "pos", F.sort_array(F.array_distinct(F.transform(words_of(F.col("line")), place))).alias("words"))
+    sets = sets.select("doc", "pos", "words", F.size("words").alias("n"))
+    none = F.lit(0).cast("bigint")
 
-def first_lines(docs: DataFrame) -> DataFrame:
-    """doc, at of the first of each set of equal lines (same XXH64 and number of bytes)."""
-    keyed = lines(docs).select(F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"), F.struct(*_key()).alias("own"))
-    return keyed.groupBy("h", "size").agg(F.min("own").alias("first")).select("first.*")
+    def parity(k: int, size: int) -> Column:
+        """Bits of the words that fall into number k of ``size``."""
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(63).cast("int"))
+        own = lambda h: bit(h) if size == 1 else F.when(h.bitwiseAND((size - 1) << 6) == k << 6, bit(h)).otherwise(none)
+        return F.aggregate("words", none, lambda acc, h: acc.bitwiseXOR(own(h)))
 
+    maps = [F.when(F.col("n") > MIDDLE, parity(k, 4)).when(F.col("n") > SMALL, parity(k, 2) if k < 2 else none).otherwise(parity(0, 1) if k == 0 else none).alias(MAPS[k]) for k in range(4)]
+    taken = F.col("n") - F.expr(f"(n * {a} + {b - 1}) div {b}").cast("int") + 1
+    return sets.select("doc", "pos", "n", *maps, F.slice("words", 1, taken).alias("prefix"))
 
-def candidates(docs: DataFrame, chosen: DataFrame, ranks: np.ndarray, least: tuple[int, int], wanted: np.ndarray | None = None, only: np.ndarray | None = None, nearest: int = NEAREST, sure: float = SURE) -> DataFrame:
-    """Pairs of ``chosen`` lines (doc, at) of ``docs`` that may be similar, the later one first: ydoc, yat, xdoc, xat, apart, more.
 
-    ``wanted``: the only words to search. ``only``: hashes of the only lines to search for, then with all their pairs.
-    """
-    ats = chosen.groupBy("doc").agg(F.collect_list("at").alias("ats"))  # a document's own lines
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), "text").join(ats, "doc")
-    dealt = texts.select("doc", "text", "ats").mapInArrow(_prefixes(ranks, least, wanted), "w bigint, doc bigint, at bigint, n int, p int, map binary")
-    return dealt.repartition("w").sortWithinPartitions("w", "n").mapInArrow(_search(least, only, nearest, sure), "ydoc bigint, yat bigint, xdoc bigint, xat bigint, apart int, more boolean")
+def dealt(sets: DataFrame) -> DataFrame:
+    """``sets`` with a row for each word w of the prefix, p being its place, instead of the prefix (which is never empty)."""
+    return sets.select(*(c for c in sets.columns if c != "prefix"), F.posexplode_outer("prefix").alias("p", "w"))
 
 
-def lines_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc, at, line of the lines that occur in ``pairs`` (ydoc, yat, xdoc, xat).
+def _may(x, y, least: tuple[int, int], first: bool = True) -> Column:
+    """Whether lines that meet in a word may be similar; ``x`` and ``y`` give their columns by name.
 
-    Only they leave their documents: their keys are broadcast if they are at most two million (of 16
-    bytes), else joined.
+    ``first``: that word is to be the first that both have, so that they share none before their places p of it.
     """
-    both = F.array(*(F.struct(F.col(s + "doc").alias("doc"), F.col(s + "at").alias("at")) for s in "yx"))
-    ids = cut(pairs.select(F.explode(both).alias("k")).select("k.*").distinct())
-    return stored(lines(docs).select(*_key(), "line").join(F.broadcast(ids) if ids.count() <= 2_000_000 else ids, ["doc", "at"], "left_semi"))
+    a, b = least
+    n, m = x("n").cast("bigint"), y("n").cast("bigint")
+    total = n + m
+    common = F.floor((total * a + (a + b - 1)) / F.lit(a + b))
+    may = (m * a <= n * b) & (n * a <= m * b) & (apart(x, y) <= total - 2 * common)
+    return (F.least(n - x("p"), m - y("p")) >= common) & may if first else may
+
 
+def apart(x, y) -> Column:
+    """In how many bits the parity maps of two lines differ: the larger map is folded to the size of the smaller. Never more than the words they do not share."""
+    maps = lambda side: [side(m) for m in MAPS]
+    xor = lambda *parts: reduce(lambda u, v: u.bitwiseXOR(v), parts)
+    p, q = maps(x), maps(y)
+    small = F.least(x("n"), y("n"))
+    two = F.bit_count(xor(p[0], p[2], q[0], q[2])) + F.bit_count(xor(p[1], p[3], q[1], q[3]))
+    four = reduce(lambda u, v: u + v, [F.bit_count(xor(u, v)) for u, v in zip(p, q, strict=True)])
+    return F.when(small <= SMALL, F.bit_count(xor(*p, *q))).when(small <= MIDDLE, two).otherwise(four)
 
-def verified(pairs: DataFrame, needed: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """doc, at of the later line of each of ``pairs`` (ydoc, yat, xdoc, xat) whose words, by ``needed`` (doc, at, line), are similar enough."""
+
+def verified(pairs: DataFrame, distinct: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """doc, pos of the later line of each of ``pairs`` (ydoc, ypos, xdoc, xpos) whose words, by ``distinct`` (doc, pos, line), are similar enough.
+
+    A line of many pairs goes to as many tasks as its pairs are dealt to.
+    """
     a, b = least
-    x, y = (needed.select(F.col("doc").alias(s + "doc"), F.col("at").alias(s + "at"), F.col("line").alias(s)) for s in "xy")
-    both = pairs.select("ydoc", "yat", "xdoc", "xat").join(x, ["xdoc", "xat"]).join(y, ["ydoc", "yat"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = []
-            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                u, v = set(p.encode().split()), set(q.encode().split())
-                alike.append(len(u & v) * (a + b) >= (len(u) + len(v)) * a)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["doc", "at"]).filter(pa.array(alike, pa.bool_()))
-
-    return both.select("ydoc", "yat", "x", "y").mapInArrow(compare, "doc bigint, at bigint").distinct()
-
-
-def similar_lines(docs: DataFrame, least: tuple[int, int], nearest: int = NEAREST, sure: float = SURE) -> DataFrame:
-    """doc, at of the first lines of ``docs`` that are similar to an earlier one."""
-    with small_batches(docs.sparkSession):
-        ranks = bucket_ranks(docs)
-    with small_batches(docs.sparkSession, 2000):
-        found = stored(candidates(docs, first_lines(docs), ranks, least, nearest=nearest, sure=sure))
-    needed = lines_of(found, docs)
-    y = ["ydoc", "yat"]
-    key = lambda df: df.select(F.col("doc").alias("ydoc"), F.col("at").alias("yat"))
-    closest = found.groupBy(*y).agg(F.min(F.struct("apart", "xdoc", "xat")).alias("x"))
-    soon = cut(verified(closest.select(*y, "x.xdoc", "x.xat"), needed, least))
-    rest = stored(found.join(key(soon), y, "left_anti").groupBy(*y, "xdoc", "xat").agg(F.bool_or("more").alias("more")))
-    gone = cut(soon.unionByName(verified(rest, needed, least)).distinct())
-    undecided = cut(rest.where("more").select(*y).distinct().join(key(gone), y, "left_anti"))
-    # undecided lines are rare; where they were not, they would be taken in rounds of so many
-    while rows := undecided.orderBy(*y).limit(MOST_UNDECIDED).collect():
-        only = _line_hash(np.array([r.ydoc for r in rows], np.int64), np.array([r.yat for r in rows], np.int64))
-        ats = docs.sparkSession.createDataFrame([(r.ydoc, [r.yat]) for r in rows], "doc bigint, ats array<bigint>")
-        texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"), "text").join(F.broadcast(ats), "doc").select("doc", "text", "ats")
-        prefixes = texts.mapInArrow(_prefixes(ranks, least), "w bigint, doc bigint, at bigint, n int, p int, map binary").select("w").distinct()
-        wanted = np.array([r.w for r in prefixes.limit(MOST_WORDS + 1).collect()], np.int64)
-        every = candidates(docs, lines(docs).select(*_key()), ranks, least, wanted if len(wanted) <= MOST_WORDS else None, only)
-        pairs = cut(every.join(undecided, y, "left_semi").select(*y, "xdoc", "xat").distinct())
-        gone = cut(gone.unionByName(verified(pairs, lines_of(pairs, docs), least)).distinct())
-        doc, at = rows[-1]
-        undecided = undecided.where((F.col("ydoc") > doc) | ((F.col("ydoc") == doc) & (F.col("yat") > at)))
-    return gone
+    key = lambda df, s: df.select(F.col("doc").alias(s + "doc"), F.col("pos").alias(s + "pos"), *(F.col(c).alias(s) for c in df.columns if c == "line"))
+    own = lambda s: pairs.select(F.col(s + "doc").alias("doc"), F.col(s + "pos").alias("pos"))
+    needed = own("x").unionByName(own("y")).distinct()
+    needed = stored(distinct.join(few(needed), ["doc", "pos"], "left_semi"))
+    both = spread_join(pairs, key(needed, "x"), ["xdoc", "xpos"], ["ydoc", "ypos"])
+    both = both.join(key(needed, "y"), ["ydoc", "ypos"])
+    both = both.select("ydoc", "ypos", F.array_distinct(words_of(F.col("x"))).alias("x"), F.array_distinct(words_of(F.col("y"))).alias("y"))
+    alike = F.size(F.array_intersect("x", "y")) * (a + b) >= (F.size("x") + F.size("y")) * a
+    return cut(both.where(alike).select(F.col("ydoc").alias("doc"), F.col("ypos").alias("pos")).distinct())
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """``ids`` written, with a hint to broadcast them if they were counted to be few."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids
+
+
+def similar_lines(distinct: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """doc, pos of the lines of ``distinct`` (doc, pos, line; written) that are similar to an earlier one."""
+    of = lambda prefix: lambda c: F.col(prefix + c)
+    y = ["ydoc", "ypos"]
+    ranks, frequent = bucket_ranks(distinct)
+    sets = stored(line_sets(distinct, ranks, least))
+
+    # the line before and the first one among those with the same last words of the prefix: words that copies with
+    # changes of their own still share, as such changes are rare words and come first
+    last = lambda k: F.try_element_at("prefix", F.lit(-k))
+    keys = F.array(*(F.struct(F.xxhash64(last(k), last(k + 1)).alias("key"), last(k).alias("w")) for k in (1, 2)))
+    some = sets.select("doc", "pos", "n", *MAPS, F.explode(keys).alias("k")).select("doc", "pos", "n", *MAPS, "k.*").where("w IS NOT NULL")
+    hot = F.shiftright("w", 48) + BUCKETS // 2 >= frequent
+    some = some.withColumn("salt", F.when(hot, salt("doc", "pos", salts=SALTS)).otherwise(0)).drop("w")
+    group = W.partitionBy("key", "salt").orderBy("doc", "pos")
+    known = F.struct("doc", "pos", "n", *MAPS)
+    met = some.select("*", F.lag(known).over(group).alias("last"), F.first(known).over(group.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("head")).where("last IS NOT NULL")
+    near = lambda s: F.when(_may(of(s + "."), of(""), least, first=False), F.struct(apart(of(s + "."), of("")).alias("apart"), F.col(s + ".doc").alias("xdoc"), F.col(s + ".pos").alias("xpos")))
+    found = met.select(F.col("doc").alias("ydoc"), F.col("pos").alias("ypos"), F.least(near("last"), near("head")).alias("near")).where("near IS NOT NULL")
+    found = found.groupBy(*y).agg(F.min("near").alias("near"))
+    gone = verified(cut(found.select(*y, "near.xdoc", "near.xpos")), distinct, least)
+
+    # lines that are still open meet all earlier ones
+    marked = sets.join(few(gone.withColumn("gone", F.lit(1))), ["doc", "pos"], "left").withColumn("open", F.when(F.col("gone").isNull(), 1).otherwise(0)).drop("gone")
+    marked = dealt(marked)
+    x, later = (marked.select("w", *(F.col(c).alias(s + c) for c in marked.columns if c != "w")) for s in "xy")
+    earlier = (F.col("xdoc") < F.col("ydoc")) | ((F.col("xdoc") == F.col("ydoc")) & (F.col("xpos") < F.col("ypos")))
+    # a condition on y alone would be tested before the shuffle, and the two sides could not share one
+    pairs = x.join(later, "w").where(earlier & (F.col("xopen") + 2 * F.col("yopen") >= 2) & _may(of("x"), of("y"), least))
+    pairs = stored(pairs.select(*y, "xdoc", "xpos").distinct())
+    return gone.unionByName(verified(pairs, distinct, least))
+
+
+def _kept(keyed: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """doc and kept_lines (numbers, in order) of the rows of ``keyed`` (doc: a unique number, text) that keep a line."""
+    firsts = first_lines(keyed)
+    distinct = lines(keyed).join(firsts, ["doc", "pos"], "left_semi").select("doc", "pos", single_spaced(F.col("line")).alias("line"))
+    distinct = stored(distinct, compression="zstd")
+    kept = distinct.select("doc", "pos").join(similar_lines(distinct, least), ["doc", "pos"], "left_anti")
+    return kept.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("kept_lines"))  # of one document
 
 
 def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -345,16 +195,13 @@ def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
 
     n_lines counts lines that are not white space only (such lines always stay and are not listed),
     kept_lines lists the numbers of those that stay, in order. ``least`` is the Jaccard similarity as
-    (numerator, denominator). Rows with the same id are taken as one document that has the lines of
-    each. Other columns are ignored. An empty table gives no rows.
+    (numerator, denominator). Rows with a null or repeated id are documents of their own, in order of
+    the hash of their text. Other columns are ignored. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
-    gone = similar_lines(docs, least)
-    kept = first_lines(docs).join(gone, ["doc", "at"], "left_anti")
-    kept = kept.groupBy(F.col("doc").alias("__doc")).agg(F.sort_array(F.collect_set(F.shiftright("at", 16).cast("int"))).alias("kept_lines"))
-    counted = docs.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*")).alias("n_lines"))
-    out = counted.join(kept, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)) == F.col("__doc"), "left").drop("__doc")
-    out = out.withColumn("kept_lines", F.coalesce("kept_lines", F.array().cast("array<int>")))
+    keyed = row_keyed(docs.select("doc_id", "text"))
+    kept = _kept(keyed.select(F.col("__row").alias("doc"), "text"), least)
+    counted = keyed.select("__row", "doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*")).alias("n_lines"))
+    out = counted.join(kept, F.col("__row") == F.col("doc"), "left").withColumn("kept_lines", F.coalesce("kept_lines", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept_lines")).alias("n_removed"), "kept_lines")
 
 
@@ -365,7 +212,7 @@ def drop_repeated_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> Dat
     repeated id are documents of their own.
     """
     keyed = row_keyed(docs)
-    kept = kept_lines(keyed.select(F.col("__row").alias("doc_id"), "text"), least).select(F.col("doc_id").alias("__row"), F.col("kept_lines").alias("__kept"))
+    kept = _kept(keyed.select(F.col("__row").alias("doc"), "text"), least).select(F.col("doc").alias("__row"), F.col("kept_lines").alias("__kept"))
     parts = F.split("text", "\n")
     numbers = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1))
     blank = F.filter(numbers, lambda i: _blank(F.get(parts, i)))

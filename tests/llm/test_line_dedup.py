@@ -60,35 +60,52 @@ def test_against_brute_force(spark, seed):
     assert kept(spark, rows) == brute(rows)
 
 
-def test_undecided_lines_are_searched_again(spark, monkeypatch):
-    rng = random.Random(9)
+def test_a_group_of_near_copies_is_not_paired(spark, monkeypatch):
+    rng = random.Random(5)
     base = [f"base{i}" for i in range(60)]
     rows = []
-    for i in range(120):  # about half of these are similar to an earlier one, and few to the nearest by their maps
+    for i in range(300):
         line = list(base)
-        for k in rng.sample(range(60), rng.randint(2, 9)):
-            line[k] = f"own{rng.random()}"
+        for _ in range(3):
+            line[rng.randrange(60)] = f"own{rng.random()}"
         rows.append((i, " ".join(line)))
-    df = frame(spark, rows).select("doc_id", "text")
-    for most in (20_000, 3):
-        monkeypatch.setattr(ld, "MOST_UNDECIDED", most)
-        gone = {r.doc for r in ld.similar_lines(df, (4, 5), nearest=1, sure=100.0).collect()}
-        assert gone == {i for i, k in brute(rows).items() if not k}
+    made = []
+    verified = ld.verified
+    monkeypatch.setattr(ld, "verified", lambda pairs, *rest: made.append(pairs.count()) or verified(pairs, *rest))
+    assert kept(spark, rows) == brute(rows)
+    assert sum(made) < 300 * 5
 
 
-def test_a_group_of_near_copies_is_not_paired(spark):
-    rng = random.Random(5)
-    base = [f"base{i}" for i in range(30)]
+def test_hot_words_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(ld, "HOT", 2)
+    rows = mixed_rows(7)
+    assert kept(spark, rows) == brute(rows)
+
+
+def test_near_the_limit_nothing_is_lost(spark):
+    rng = random.Random(9)
+    base = [f"base{i}" for i in range(60)]
     rows = []
-    for i in range(200):
+    for i in range(120):  # about half of these are similar to an earlier one
         line = list(base)
-        for _ in range(3):
-            line[rng.randrange(30)] = f"own{rng.random()}"
+        for k in rng.sample(range(60), rng.randint(2, 9)):
+            line[k] = f"own{rng.random()}"
         rows.append((i, " ".join(line)))
-    df = frame(spark, rows).select("doc_id", "text")
-    pairs = ld.candidates(df, ld.first_lines(df), ld.bucket_ranks(df), (4, 5))
-    assert pairs.groupBy("ydoc", "yat").count().count() > 100
-    assert pairs.count() < 200 * 60
+    assert kept(spark, rows) == brute(rows)
+
+
+def test_rows_with_null_or_repeated_ids_are_documents_of_their_own(spark):
+    rows = [(None, "a b c"), (None, "x y z"), (2, "a b c\nq"), (2, "q\nr"), (3, "x y z\nr")]
+    out = sorted((r.doc_id if r.doc_id is not None else -1, r.n_lines, r.n_removed) for r in ld.kept_lines(frame(spark, rows)).collect())
+    assert [r[:2] for r in out] == [(-1, 1), (-1, 1), (2, 2), (2, 2), (3, 2)]
+    assert all(0 <= r[2] <= r[1] for r in out)
+    assert sum(r[2] for r in out) == 4
+    texts = [r.text for r in ld.drop_repeated_lines(frame(spark, rows)).collect()]
+    assert len(texts) == 5 and sorted("\n".join(texts).split()) == sorted("a b c x y z q r".split())
+
+
+def test_white_space_and_extra_columns(spark):
+    rows = [(1, "a\tb  c\rd e"), (2, "  e d c b a "), (3, "a\u00a0b c\n\x0b\f"), (4, "a b c d e f")]
     assert kept(spark, rows) == brute(rows)
 
 
