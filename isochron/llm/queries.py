@@ -89,11 +89,19 @@ ORACLE_SQL = {
                      (SELECT sum(source_size) FROM s) * 1.5::DOUBLE AS total FROM w),
         l AS (SELECT (total - before) / rest_w AS level FROM f WHERE (total - before) / rest_w * w <= cap ORDER BY before LIMIT 1),
         t AS (SELECT source, source_size, least(cap, (SELECT level FROM l) * w) AS target FROM f),
-        p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
+        p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
                      sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS start
-              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               CAST(CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(start + size, goal % source_size) - start) END AS BIGINT) AS taken
-        FROM p
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT source, sum(need) OVER (ORDER BY source NULLS LAST) - need AS lo, sum(need) OVER (ORDER BY source NULLS LAST) AS hi
+              FROM (SELECT source, CAST((CAST(round(target) AS BIGINT) + 255) // 256 AS BIGINT) AS need FROM t) WHERE need > 0),
+        k AS (SELECT CAST(ceil(log2(max(hi))) AS INTEGER) AS k FROM c),
+        i AS (SELECT slot, list_sum([((slot >> b) & 1) << (k - 1 - b) for b in range(0, k)]) AS cell FROM k, range(CAST(2 ** k AS BIGINT)) AS r(slot)),
+        s2 AS (SELECT c.source, i.slot, row_number() OVER (PARTITION BY c.source ORDER BY i.slot) - 1 AS rank FROM i JOIN c ON i.cell >= c.lo AND i.cell < c.hi),
+        e AS (SELECT doc_id, source, start + epoch * source_size AS starts, least(start + epoch * source_size + size, goal) AS ends
+              FROM (SELECT *, unnest([0, 1]) AS epoch FROM p WHERE size > 0)),
+        x AS (SELECT e.doc_id, CAST(sum(least(ends, (rank + 1) * 256) - greatest(starts, rank * 256)) AS BIGINT) AS taken, min(slot) AS first_slot, count(*) AS n_slots
+              FROM e JOIN s2 ON s2.source IS NOT DISTINCT FROM e.source AND s2.rank >= starts // 256 AND s2.rank <= (ends - 1) // 256 WHERE ends > starts GROUP BY e.doc_id)
+        SELECT p.doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots
+        FROM p LEFT JOIN x ON p.doc_id = x.doc_id
     """,
 }

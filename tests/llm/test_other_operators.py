@@ -252,17 +252,49 @@ def test_mixing(spark):
     assert all(abs(t - k) <= 1 for k, t in taken.items())
     assert sorted(map(tuple, mixing.mix(df.repartition(3), block=64).collect()), key=str) == sorted(map(tuple, out), key=str)
     assert mixing.mix(df.limit(0)).count() == 0
-    mixed = mixing.mixed_documents(df.where("doc_id IS NOT NULL AND doc_id <> 7"), block=64)
+    mixed = mixing.mixed_documents(df, block=64)
     assert mixed.columns == df.columns
-    words = {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
-    again = {r.doc_id: r.taken for r in mixing.mix(df.where("doc_id IS NOT NULL AND doc_id <> 7"), block=64).collect()}
+    words = {(r.doc_id, r.source): r.n for r in mixed.groupBy("doc_id", "source").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
+    again = {}
+    sources = {(i, len((t or "").split())): s for i, t, s, _ in rows}
+    for r in out:
+        key = r.doc_id, sources[r.doc_id, r.size]
+        again[key] = again.get(key, 0) + r.taken
     assert {k: v for k, v in again.items() if v} == words
 
 
-def test_schedule_is_spread(spark):
-    targets = spark.createDataFrame([("a", 3000.0), ("b", 1000.0), (None, 50.0)], "source string, target double")
-    rows = mixing.schedule(targets, 4050.0, 10, chunk=16, bins=8).orderBy("slot").collect()
-    assert [r.source for r in rows].count("a") == 300 and [r.source for r in rows].count(None) == 5 and len(rows) == 405
-    assert sorted(r.rank for r in rows if r.source == "b") == list(range(100))
-    first = [r.source for r in rows[:40]]
-    assert 26 <= first.count("a") <= 33
+def slots_by_hand(needs):
+    """Filled slots in order: (slot, source, rank)."""
+    total = sum(n for _, n in needs)
+    k = max(0, total - 1).bit_length()
+    owner = [s for s, n in needs for _ in range(n)]
+    out, seen = [], {}
+    for slot in range(1 << k):
+        cell = sum((slot >> b & 1) << (k - 1 - b) for b in range(k))
+        if cell < total:
+            out.append((slot, owner[cell], seen.setdefault(owner[cell], 0)))
+            seen[owner[cell]] += 1
+    return out
+
+
+@pytest.mark.parametrize("needs", [[("a", 300), ("b", 100), (None, 5)], [("", 1)], [("x", 0), ("y", 7), ("z", 9)], [("a", 4), ("b", 4)]])
+def test_schedule(spark, needs):
+    rows = mixing.schedule(spark.createDataFrame(needs, "source string, need bigint"), sum(n for _, n in needs), bins=8).orderBy("slot").collect()
+    assert [tuple(r) for r in rows] == slots_by_hand(needs)
+    # whatever part of the schedule is taken, each source has its share of it, but for a few blocks
+    for n in range(1, len(rows) + 1):
+        for source, need in needs:
+            assert abs(sum(r.source == source for r in rows[:n]) - need * n / len(rows)) <= 4
+
+
+def test_the_mix_follows_the_schedule(spark, monkeypatch):
+    df = frame(spark, [(i, " ".join([f"w{i}"] * 100), "ab"[i % 2], None) for i in range(40)])
+    order = [r.source for r in mixing.mixed_documents(df, block=50).collect()]
+    assert all(5 <= order[k : k + 20].count("a") <= 18 for k in range(0, 40, 20))  # neither source comes first and then the other
+    before = {r.doc_id: (r.first_slot, r.n_slots) for r in mixing.mix(df, block=50).collect()}
+    points = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda needs, blocks: points(needs, blocks).where("rank > 0"))
+    less = {r.doc_id: r.taken for r in mixing.mix(df, block=50).collect()}
+    assert sum(less.values()) == 6000 - 100  # the first block of each source has no slot
+    monkeypatch.setattr(mixing, "schedule", lambda needs, blocks: points(needs, blocks).withColumn("slot", 127 - F.col("slot")))
+    assert {r.doc_id: (r.first_slot, r.n_slots) for r in mixing.mix(df, block=50).collect()} != before
