@@ -3,10 +3,16 @@
 The pages of a host are merged by the paths of their elements (tag, class, id; without positions). Of
 each path two normalised entropies over the host's pages are taken: of its presentation (the sequence
 of child elements) and of its content (the text). Boilerplate is alike on many pages and has little
-of both. A path's importance weighs its presentation and its children's importance; a branch that
-holds unimportant paths only is noise and is cut from every page of the host. Elements that HTML
-itself or their class names mark as navigation, notices and the like have no importance, and where a
-page marks its article or main part, the rest has none.
+of both. Both are blended with the importance that a path has before any page was seen (1, with the weight
+of ``PRIOR`` pages), so that a few pages that are alike do not condemn a path. A path's importance weighs its
+presentation and its children's importance; a branch that holds unimportant paths only is noise and is
+cut from every page of the host.
+
+Elements that HTML itself marks as navigation, forms and the like have no importance. Class names are
+evidence: a class (id, role) that says nothing but "related posts" or "site footer" marks its element in
+the same way; one that has such a word among others (``related-work``) only weighs the importance that the
+tree gives it, by half. Neither condemns a main part (article, main) inside, but for readers' comments. Where a page marks its article or main part, text
+outside it is left out. A page whose text all lies in forms is read as if it had none.
 """
 
 from __future__ import annotations
@@ -24,55 +30,81 @@ from pyspark.sql import functions as F
 
 from isochron.llm.common import cut, salt
 
-LEAST_PAGES, LEAST_IMPORTANCE, GAMMA = 5, 0.5, 0.9
+PRIOR, LEAST_IMPORTANCE, GAMMA = 3.0, 0.5, 0.9
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Names of HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math canvas object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title iframe".split())
+LEFT_OUT = frozenset("noscript template svg select".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle semantics object canvas".split()
+)
 CLOSED_BY_OWN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-MARGINAL = frozenset("nav footer aside form button menu dialog head fieldset".split())
+MARGINAL = frozenset("nav footer aside form button menu dialog head fieldset".split()) | LEFT_OUT
 #: Words in a class, id or role that mark what is not the article.
 MARGINAL_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs"
     " footer contentinfo sidebar aside complementary cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login signin"
     " social share sharing related recommended recommendations comment comments disqus reply replies widget pagination pager toolbar copyright search skip dialog alert".split()
 )
-HEADS, MAIN = frozenset({"header", "masthead"}), frozenset({"article", "main"})
+#: Words that say where something is or of what kind, not what it holds.
+NEUTRAL_WORDS = frozenset(
+    "left right top bottom main site page area block box list item items section container wrapper wrap inner outer link links bar panel content contents unit slot row col column"
+    " group post posts article articles story stories primary secondary global first last sticky fixed mobile desktop small large dark light form text title button buttons js is".split()
+)
+HEADS, MAIN, COMMENTS = frozenset({"header", "masthead"}), frozenset({"article", "main"}), frozenset({"comment", "comments", "reply", "replies", "disqus"})
 
 
 @functools.lru_cache(maxsize=20_000)
-def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """Name of an element in paths; whether it is marginal; a page header; a main part."""
+def _element(tag: str, attributes: str) -> tuple[str, int, bool, bool, bool]:
+    """Name of an element in paths, and what its tag and attributes say.
+
+    0, 1 (some word speaks against it) or 2 (all do: it is marginal); whether its children are, even if they are main parts; a page header; a main part.
+    """
     marks, hidden = [], False
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "")
-        name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        name, value = name.lower(), next((v for v in values if v), "")
+        if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true":
             hidden = True
-        elif value:
+        elif name in ("class", "id", "role") and value:
             marks.append((name, value))
-    words = {w.lower() for _, v in marks for w in _PART.findall(v)}
+    tokens = [{w.lower() for w in _PART.findall(v)} for _, value in marks for v in value.split()]
+    words = set().union(*tokens)
     main = tag in MAIN or ("role", "main") in marks
-    marginal = hidden or tag in MARGINAL or bool(words & MARGINAL_WORDS) and tag not in ("html", "body") and (not main or bool(words & {"comment", "comments", "reply", "replies"}))
+    free = tag in ("html", "body")
+    comments = bool(words & COMMENTS)
+    plain = any(t & MARGINAL_WORDS and t <= MARGINAL_WORDS | NEUTRAL_WORDS for t in tokens)
+    against = 2 if hidden or tag in MARGINAL or plain and not free and (not main or comments) else 1 if words & MARGINAL_WORDS and not free and not main else 0
+    for_all = hidden or tag in LEFT_OUT or against == 2 and comments
     name = tag + "".join(("#" if k == "id" else ".") + re.sub(r"\d+", "0", " ".join(sorted(v.split()))) for k, v in sorted(marks) if k != "role")
-    return name, marginal, not marginal and not main and (tag == "header" or bool(words & HEADS)) and tag not in ("html", "body"), main and not marginal
+    header = against < 2 and not main and (tag == "header" or any(t & HEADS and t <= HEADS | NEUTRAL_WORDS for t in tokens)) and not free
+    return name, against, for_all, header, main and against < 2
+
+
+def _path(parent: int, name: str) -> int:
+    """A number for the path of an element of that name below ``parent``: no longer, however deep it is."""
+    return xxhash.xxh64_intdigest(f"{parent}/{name}") >> 1
 
 
 class Page:
     """Blocks of text of a page and the shape of its tree; the whole text is parsed once, broken markup included.
 
-    ``blocks``: (path, text) in page order; ``children``: of each path, the names of child elements.
-    Marginal elements and raw text (scripts, styles and so on) are left out.
+    ``blocks``: (path, text) in page order; ``children``: of each path, the names of child elements;
+    ``paths``: of each path, its parent, its depth and whether a word speaks against it. Marginal elements and raw text (scripts, styles
+    and so on) are left out, and so is what lies below a path in ``noise``. ``forms``: whether forms are marginal.
     """
 
-    def __init__(self, source: str):
-        self.blocks: list[tuple[str, str]] = []
-        self.children: dict[str, list[str]] = {}
+    def __init__(self, source: str, noise: frozenset[int] = frozenset(), forms: bool = True):
+        self.blocks: list[tuple[int, str]] = []
+        self.children: dict[int, list[str]] = {}
+        self.paths: dict[int, tuple[int, int, bool]] = {}
         self._main: list[int] = []
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, left out, in a main part
+        # tag, path, left out (2: main parts in it as well), in a main part, depth
+        stack: list[tuple[str, int, int, bool, int]] = [("", 0, 0, False, 0)]
+        count: dict[str, int] = {}  # of open elements by tag
         text: list[str] = []
         at, n, find = 0, len(source), _TOKEN.match
 
@@ -85,6 +117,11 @@ class Page:
                         self._main.append(len(self.blocks))
                     self.blocks.append((stack[-1][1], " ".join(words)))
 
+        def close(k: int) -> None:
+            for t in stack[k:]:
+                count[t[0]] -= 1
+            del stack[k:]
+
         while at < n:
             m = find(source, at)
             at = m.end()
@@ -101,109 +138,142 @@ class Page:
                     text.append("" if tag == "wbr" else " ")
                 continue
             if m[1]:  # an end: closes down to its element, if that is open
-                if tag == "p" or any(t[0] == tag for t in stack):
+                if tag == "p" or count.get(tag):
                     flush()
-                    if any(t[0] == tag for t in stack):
-                        while stack.pop()[0] != tag:
-                            pass
+                    if count.get(tag):
+                        k = len(stack) - 1
+                        while stack[k][0] != tag:
+                            k -= 1
+                        close(k)
                 continue
-            flush()
-            if tag in RAW:
+            if tag in RAW or tag in LEFT_OUT:
                 if m[3].endswith("/"):
                     continue
                 end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else n
-                continue
-            if any(t[0] == "p" for t in stack[-4:]):  # a block ends an open paragraph
-                k = max(i for i, t in enumerate(stack) if t[0] == "p")
-                del stack[k:]
-            if tag in CLOSED_BY_OWN:
+                if end or tag in RAW:
+                    if tag != "svg":  # a picture in a line does not end its block
+                        flush()
+                    at = end.end() if end else n
+                    continue
+            flush()
+            if count.get("p"):  # a block ends a paragraph that is open near it
+                k = next((k for k in range(len(stack) - 1, max(0, len(stack) - 5), -1) if stack[k][0] == "p"), 0)
+                if k:
+                    close(k)
+            if tag in CLOSED_BY_OWN and any(count.get(t) for t in ({"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag})):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in CLOSED_BY_OWN[tag]:
                         break
                     if stack[k][0] == tag or {tag, stack[k][0]} <= {"dt", "dd"} or {tag, stack[k][0]} <= {"td", "th"}:
-                        del stack[k:]
+                        close(k)
                         break
-            name, marginal, head, main = _element(tag, m[3])
-            _, parent, out, inside = stack[-1]
+            name, against, for_all, head, main = _element(tag, m[3])
+            if tag == "form" and not forms:
+                against = min(against, 1)
+            _, parent, out, inside, depth = stack[-1]
+            path = _path(parent, name)
             self.children.setdefault(parent, []).append(name)
-            stack.append((tag, f"{parent}/{name}", out or marginal or head and not inside, inside or main))
+            self.paths.setdefault(path, (parent, depth + 1, against == 1))
+            if main and out == 1:
+                out = 0
+            if for_all or path in noise:
+                out = 2
+            elif against == 2 or head and not inside:
+                out = max(out, 1)
+            stack.append((tag, path, out, inside or main, depth + 1))
+            count[tag] = count.get(tag, 0) + 1
         flush()
 
-    def main_blocks(self) -> list[tuple[str, str]]:
+    def main_blocks(self) -> list[tuple[int, str]]:
         """The blocks of the page's main parts, or all where none is marked."""
         return [self.blocks[i] for i in self._main] or self.blocks
 
 
+def read_page(source: str | None, noise: frozenset[int] = frozenset()) -> Page:
+    """The page, null being empty; without regard to forms if all its text lies in some."""
+    source = source or ""
+    page = Page(source, noise)
+    if not page.blocks and "form" in page_tags(page):
+        page = Page(source, noise, forms=False)
+    return page
+
+
+def page_tags(page: Page) -> set[str]:
+    return {re.split("[.#]", name, maxsplit=1)[0] for names in page.children.values() for name in names}
+
+
 def host(url: Column) -> Column:
     """The host of a URL in lower case, without a port; empty where there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
 def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+    names = ["host", "path", "parent", "depth", "weak", "page", "style", "content"]
     for b in batches:
         for at in range(0, b.num_rows, 256):
-            out: list[tuple[str, str, int, int, int]] = []
+            out: list[tuple] = []
             part = b.slice(at, 256)
             for name, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                page = Page(source or "")
-                texts: dict[str, list[str]] = {}
+                page = read_page(source)
+                texts: dict[int, list[str]] = {}
                 for path, text in page.blocks:
                     texts.setdefault(path, []).append(text)
                 whole = xxhash.xxh64_intdigest("\n".join(t for _, t in page.blocks)) >> 1
-                for path in texts.keys() | page.children.keys():
+                for path, (parent, depth, weak) in page.paths.items():
                     style, content = " ".join(dict.fromkeys(page.children.get(path, []))), "\n".join(texts.get(path, []))
-                    out.append((name, path, whole, xxhash.xxh64_intdigest(style) >> 1, xxhash.xxh64_intdigest(content) >> 1 if content else -1))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["host", "path", "page", "style", "content"])
+                    out.append((name, path, parent, depth, weak, whole, xxhash.xxh64_intdigest(style) >> 1, xxhash.xxh64_intdigest(content) >> 1 if content else -1))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names)
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """host, path, pages, presentation, content: the merged tree of each host of ``pages`` (host, html).
+    """host, path, parent, depth, weak, pages, presentation, content: the merged tree of each host of ``pages`` (host, html).
 
     presentation and content are entropies over the host's different pages (equal ones count once) of
-    the elements' child sequences and texts, divided by their maximum; content is null where a path has no text. Paths on
-    fewer than LEAST_PAGES pages are left out: nothing can be said of them.
+    the elements' child sequences and texts, divided by their maximum and blended with the prior; content is null where a path has no text. Paths on
+    one page are left out: they have the prior importance.
     """
-    rows = pages.select("host", "html").mapInArrow(_style_rows, "host string, path string, page bigint, style bigint, content bigint").distinct()
+    kind = "host string, path bigint, parent bigint, depth int, weak boolean, page bigint, style bigint, content bigint"
+    rows = pages.select("host", "html").mapInArrow(_style_rows, kind).distinct()
+    key = ["host", "path"]
 
-    def entropy(value: str) -> DataFrame:
-        counts = rows.groupBy("host", "path", value).agg(F.count("*").alias("n"))
-        per = counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.max(value).alias("some"))
-        return per.where(F.col("pages") >= LEAST_PAGES).withColumn(value, 1 - F.col("nlogn") / (F.col("pages") * F.log("pages")))
+    def entropy(value: str, *more: Column) -> DataFrame:
+        counts = rows.groupBy(*key, value).agg(F.count("*").alias("n"), *more)
+        kept = [F.first(c).alias(c) for c in counts.columns if c not in (*key, value, "n")]  # the same for all rows of a path
+        per = counts.groupBy(*key).agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.max(value).alias("some"), *kept)
+        share = 1 - F.col("nlogn") / (F.col("pages") * F.log("pages"))
+        return per.where("pages > 1").withColumn(value, (F.col("pages") * share + PRIOR) / (F.col("pages") + PRIOR))
 
-    shape = entropy("style").select("host", "path", "pages", F.col("style").alias("presentation"))
-    words = entropy("content").select("host", "path", F.when(F.col("some") >= 0, F.col("content")).alias("content"))
-    return shape.join(words, ["host", "path"])
+    shape = entropy("style", *(F.max(c).alias(c) for c in ("parent", "depth", "weak")))
+    words = entropy("content").select(*key, F.when(F.col("some") >= 0, F.col("content")).alias("content"))
+    return shape.select(*key, "parent", "depth", "weak", "pages", F.col("style").alias("presentation")).join(words, key)
 
 
-def noisy_paths(tree: list[tuple[str, float, float | None]]) -> list[str]:
-    """The paths of a host's tree (path, presentation, content) whose branch holds unimportant paths only.
+def noisy_paths(tree: list[tuple[int, int, int, bool, float, float | None]]) -> list[int]:
+    """The paths of a host's tree (path, parent, depth, weak, presentation, content) whose branch holds unimportant paths only.
 
     Importance of a path: (1 - GAMMA) times its presentation plus GAMMA times the mean of its own
-    content and its children's importance; without either, its presentation alone.
+    content and its children's importance; without either, its presentation alone. Of a weak path it is halved.
     """
-    importance: dict[str, float] = {}
-    below: dict[str, list[str]] = {}
-    noisy: dict[str, bool] = {}
-    for path, presentation, content in sorted(tree, key=lambda r: -r[0].count("/")):
+    importance: dict[int, float] = {}
+    below: dict[int, list[int]] = {}
+    noisy: dict[int, bool] = {}
+    for path, parent, _, weak, presentation, content in sorted(tree, key=lambda r: (-r[2], r[0])):
         parts = [importance[c] for c in below.get(path, [])] + ([] if content is None else [content])
-        importance[path] = (1 - GAMMA) * presentation + GAMMA * sum(parts) / len(parts) if parts else presentation
-        noisy[path] = importance[path] < LEAST_IMPORTANCE and all(noisy[c] for c in below.get(path, []))
-        below.setdefault(path.rpartition("/")[0], []).append(path)
+        own = (1 - GAMMA) * presentation + GAMMA * sum(parts) / len(parts) if parts else presentation
+        importance[path] = own / 2 if weak else own
+        # what a word speaks against is judged as a whole; else a branch stays if any part of it does
+        noisy[path] = importance[path] < LEAST_IMPORTANCE and (weak or all(noisy[c] for c in below.get(path, [])))
+        below.setdefault(parent, []).append(path)
     return sorted(p for p, x in noisy.items() if x)
 
 
-def main_text(source: str | None, noise: frozenset[str] = frozenset()) -> str:
+def main_text(source: str | None, noise: frozenset[int] = frozenset()) -> str:
     """The blocks of a page that are no noise, joined by two line feeds; an empty text if there are none.
 
     ``noise``: paths whose branches are cut. A null page is taken as empty.
     """
-    kept = []
-    for path, text in Page(source or "").main_blocks():
-        if not noise or path not in noise and not any(path.startswith(p + "/") for p in noise):
-            kept.append(text)
-    return "\n\n".join(kept)
+    return "\n\n".join(text for _, text in read_page(source, noise).main_blocks())
 
 
 def _frozen(paths) -> frozenset[str]:
@@ -213,19 +283,19 @@ def _frozen(paths) -> frozenset[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    Null html gives an empty text, a null or odd url the host "" with a tree of its own. Other columns are
-    ignored. Trees go to the pages by host; a host's row goes to each salt that has pages of it, so a
+    Null html gives an empty text, a null or odd url the host "" with a tree of its own. Rows that repeat a page or its id
+    give a row each. An empty table gives no rows. Other columns are ignored. Trees go to the pages by host; a host's row goes to each salt that has pages of it, so a
     host of any size is spread. Where all trees together are small they are broadcast instead.
     """
     pages = pages.select("page_id", "url", "html").withColumn("host", host(F.col("url")))
-    trees = style_trees(pages).groupBy("host").agg(F.collect_list(F.struct("path", "presentation", "content")).alias("tree"))
+    trees = style_trees(pages).groupBy("host").agg(F.collect_list(F.struct("path", "parent", "depth", "weak", "presentation", "content")).alias("tree"))  # no page's text, and only what pages share
 
     def noise(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield b.map(lambda t: noisy_paths([(r["path"], r["presentation"], r["content"]) for r in t]))
+            yield b.map(lambda t: noisy_paths([(r["path"], r["parent"], r["depth"], r["weak"], r["presentation"], None if pd.isna(r["content"]) else r["content"]) for r in t]))
 
-    cuts = cut(trees.select("host", F.pandas_udf(noise, "array<string>")("tree").alias("noise")).where(F.size("noise") > 0))
-    size = cuts.agg(F.coalesce(F.sum(F.length(F.array_join("noise", " ")) + F.length("host")), F.lit(0))).first()[0]
+    cuts = cut(trees.select("host", F.pandas_udf(noise, "array<bigint>")("tree").alias("noise")).where(F.size("noise") > 0))
+    size = cuts.agg(F.coalesce(F.sum(8 * F.size("noise") + F.length("host")), F.lit(0))).first()[0]
     if size <= 8 << 20:
         joined = pages.join(F.broadcast(cuts), "host", "left")
     else:

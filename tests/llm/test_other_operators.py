@@ -62,6 +62,40 @@ def test_token_counts(spark):
 # language ID
 
 
+def test_languages_by_hand(spark):
+    """Sizes of encoded texts, each computed anew; one rule for all lengths."""
+    zstandard = pytest.importorskip("zstandard")
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(300)] for lang, letters in (("x", "abcdefgh"), ("y", "efghijkl"), ("z", "mnopqrst"))}
+    some = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    model = {lang: some(lang, 3000).encode() for lang in words}
+    texts = [some(lang, n) for lang in words for n in (1, 5, 60, 800, 4000)] + [some("x", 3000) + some("y", 3000), "½ 12", "Ⅻ", "", None, "é", "A" * 50_000]
+    rows = spark.createDataFrame(list(enumerate(texts * 2)), "i int, text string").select("i", li.identify(F.col("text"), model).alias("p")).select("i", "p.*").collect()
+
+    def size(data, lang, level):
+        content = model[lang][: -li.CONTEXT * li.CONTEXTS]
+        fit = zstandard.ZstdCompressionParameters.from_level(level, source_size=li.BLOCK, dict_size=len(content), write_content_size=False)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=fit).compress(data))
+
+    def cut(data, n):
+        return [data[i : i + n] for i in range(0, len(data), n)]
+
+    def margin(sizes):
+        first, second = sorted(sizes.values())[:2]
+        return 1 - first / second if second else 0.0
+
+    for i, lang, score, rejected in rows:
+        data = (texts[i % len(texts)] or "").lower().encode()
+        if not any(map(str.isalpha, data.decode())):
+            assert (lang, score, rejected) == ("und", 0.0, True)
+            continue
+        sizes = {k: sum(size(b, k, li.LEVEL) for b in cut(data, li.BLOCK)) for k in model}
+        if margin(sizes) < li.NARROW:
+            contexts = {k: [v[-li.CONTEXT * (j + 1) :][: li.CONTEXT] for j in range(li.CONTEXTS)] for k, v in model.items()}
+            sizes = {k: max(0, sum(size(c + b, k, li.CLOSE_LEVEL) - size(c, k, li.CLOSE_LEVEL) for c in contexts[k] for b in cut(data, li.CLOSE_BLOCK))) for k in model}
+        assert sizes[lang] == min(sizes.values()) and score == pytest.approx(margin(sizes)) and rejected == (score < 0.001)
+
+
 def test_language_id(spark):
     rng = random.Random(3)
     syllables = {"en": ["the", "ing", "and", "tion", "er"], "de": ["sch", "ung", "der", "keit", "ü"], "fr": ["eau", "ment", "le", "é", "oi"]}
@@ -133,6 +167,61 @@ def test_site_style_tree_cuts_what_repeats(spark):
     assert ht.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<p style="overflow:hidden">a</p><div title="the hidden garden">b</div><div data-hidden="false">c</div><div hidden>d</div>', "a|b|c"),
+        ("<article><p>one <math><mi>x</mi><mo>=</mo><mn>2</mn></math> two</p><object><p>three</p></object></article>", "one x=2 two|three"),
+        ('<section class="related-work">a</section><section class="article-alert-systems">b</section><div class="related-posts">c</div><div class="site-footer">d</div>', "a|b"),
+        ('<div class="layout with-sidebar"><article>a</article><div class="sidebar">b</div></div>', "a"),
+        ('<div class="comments"><article>a</article></div><p>b</p>', "b"),
+        ("<body><form><p>a</p><nav>b</nav></form></body>", "a"),
+        ("<form><main>a</main><p>b</p></form>", "a"),
+        ("<p>a<svg><text>b</text></svg>c</p><noscript>d</noscript><select><option>e<p>f", "ac"),
+        ("<table><tr><td>a<td>b<tr><th>c</table><dl><dt>d<dd>e</dl>", "a|b|c|d|e"),
+    ],
+)
+def test_main_text_of_odd_pages(page, text):
+    assert ht.main_text(page) == text.replace("|", "\n\n")
+
+
+def test_deep_pages_take_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert ht.main_text("<div>" * 100_000 + "x" + "</div>" * 50_000 + "<p>y") == "x\n\ny"
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_style_tree_by_hand(spark):
+    """Entropies and importance of one host, by counting."""
+    pages = [f'<div class="a"><p>{"same" if i % 3 else i}</p></div><div class="b"><i>x</i>{"<h2>t</h2>" * (i % 2)}</div><pre>{i}</pre>' for i in range(9)] + ["<p>odd</p>"]
+    df = spark.createDataFrame([("h", p) for p in pages + pages[:2]], "host string, html string")  # equal pages count once
+    found = {r.path: r for r in ht.style_trees(df).collect()}
+
+    def share(values):
+        n = len(values)
+        h = -sum(values.count(v) / n * np.log(values.count(v) / n) for v in set(values)) / np.log(n)
+        return (n * h + ht.PRIOR) / (n + ht.PRIOR)
+
+    a, b = ht._path(0, "div.a"), ht._path(0, "div.b")
+    p = ht._path(a, "p")
+    assert set(found) == {a, b, p, ht._path(b, "h2"), ht._path(0, "pre")}
+    assert found[p].content == pytest.approx(share(["same" if i % 3 else str(i) for i in range(9)])) and found[a].content is None
+    assert found[b].presentation == pytest.approx(share([i % 2 for i in range(9)])) and found[b].content == pytest.approx(share(["x"] * 9))
+    tree = [(r.path, r.parent, r.depth, r.weak, r.presentation, r.content) for r in found.values()]
+    assert ht._path(b, "h2") in ht.noisy_paths(tree) and p not in ht.noisy_paths(tree)
+
+
+def test_words_weigh_what_the_tree_says(spark):
+    page = '<div class="{}"><p>text {} of its own</p><p>always the same</p></div><div class="c"><p>body {} is its own</p></div>'
+    for name, there in (("promo-history", False), ("history", True)):
+        df = spark.createDataFrame([(i, "http://a/", page.format(name, i, i), "h") for i in range(9)], "page_id bigint, url string, html string, host string")
+        out = [r.text for r in ht.extract(df.union(df.where("page_id < 2"))).collect()]
+        assert len(out) == 11 and all(("text" in t) == there and "body" in t for t in out)
+
+
 # secrets
 
 
