@@ -1,25 +1,24 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary of sampled text; a text, in lower case, is encoded with every
-dictionary and belongs to the language that gives the fewest bytes. A narrow margin means rejection.
+dictionary and belongs to the language that gives the fewest bytes. Where the margin is narrow, however long the
+text, it is encoded again, after text of each language. A margin that is narrow still means rejection.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 BLOCK = 1 << 14  # bytes encoded at once, so that the dictionary counts in all parts of a long text
 LEVEL = 5
-SHORT, SHORT_LEVEL = 400, 19  # up to so many bytes, a text is encoded after text of each language;
-NARROW, NARROW_BYTES = 0.1, 4096  # so is one of up to so many bytes whose margin is below this
+NARROW = 0.1  # a text whose margin is below this is encoded after text of each language,
+CLOSE_BLOCK, CLOSE_LEVEL = 1 << 12, 19  # so many bytes at once
 CONTEXT, CONTEXTS = 512, 6  # bytes of that text, and how often another; headers and code tables then cost nothing extra
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -27,20 +26,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(labelled: DataFrame, rows_per_language: int = 400, dictionary_bytes: int = 110_000, longest: int = 20_000, languages: int = 256) -> dict[str, bytes]:
+def learn(labelled: DataFrame, rows_per_language: int = 400, dictionary_bytes: int = 110_000, longest: int = 20_000, all_bytes: int = 32 << 20) -> dict[str, bytes]:
     """Dictionary of each language, from a sample of ``labelled`` (doc_id, text, lang).
 
-    Bounds: the ``languages`` most frequent labels; of each about ``rows_per_language`` rows, taken by
-    a hash of their id, of at most ``longest`` characters; ``dictionary_bytes`` of text. Only this
+    Bounds: of each label about ``rows_per_language`` rows, taken by a hash of their id, of at most ``longest`` characters;
+    ``dictionary_bytes`` of text, or less where there are so many labels that all would have over ``all_bytes``. Only this
     sample reaches the driver. Rows without text or label teach nothing.
     """
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").where(F.char_length("text").between(1, longest)).select("doc_id", "text", "lang")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}  # a row for each label
     if not counts:
         return {}
+    dictionary_bytes = min(dictionary_bytes, all_bytes // len(counts))
     wanted = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows_per_language / n))))
     rows = rows.withColumn("h", F.pmod(F.xxhash64(F.lit("sample"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(1 << 30))
-    sample = rows.where(F.col("h") < F.element_at(wanted, F.col("lang"))).orderBy("h", "doc_id").limit(2 * rows_per_language * len(counts)).collect()
+    rows = rows.where(F.col("h") < F.element_at(wanted, F.col("lang"))).select("lang", "h", "doc_id", F.substring("text", 1, dictionary_bytes).alias("text"))
+    sample = rows.orderBy("h", "doc_id", "text").limit(2 * rows_per_language * len(counts)).collect()
     parts: dict[str, bytes] = {}
     for r in sample:
         if len(parts.get(r.lang, b"")) < dictionary_bytes:
@@ -69,33 +70,40 @@ def _least(sizes: list[int]) -> tuple[int, float]:
     return best, 1.0 if rest is None else 1 - sizes[best] / rest if rest else 0.0
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether ``text`` has a character of one of Unicode's categories of letters."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def identify(text: Column, model: dict[str, bytes], min_margin: float = 0.001) -> Column:
     """Struct (lang, score, rejected) of a text column.
 
     score: by how much the best language's size is below the next one's, as a share of that (0 to 1;
     1 if there is one language only). rejected: the text is null or has no letter (lang is ``und``,
     score 0), no language was learned (the same), or the score is under ``min_margin``. Ties go to the
-    language with the most labels and have a score of 0. Whole texts are encoded.
+    language with the most labels and have a score of 0. Whole texts are encoded, by one rule for all lengths.
     """
-    names = list(model)
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        usual, short = _coders(model, LEVEL), _coders(model, SHORT_LEVEL)
+        model = shared.value
+        names = list(model)
+        usual, close = _coders(model, LEVEL), _coders(model, CLOSE_LEVEL)
         before = [[x[-CONTEXT * (k + 1) :][:CONTEXT] for k in range(CONTEXTS)] for x in model.values()]
-        alone = [sum(len(c.compress(x)) for x in own) for c, own in zip(short, before, strict=True)]
+        alone = [sum(len(c.compress(x)) for x in own) for c, own in zip(close, before, strict=True)]
         for batch in batches:
             rows = []
             for t in batch:
-                if t is None or not names or not _LETTER.search(t):
+                if not names or not has_letter(t):
                     rows.append((UNKNOWN, 0.0, True))
                     continue
                 data = t.lower().encode()
-                best, score = 0, 0.0
-                if len(data) > SHORT:
-                    blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-                    best, score = _least([sum(len(c.compress(b)) for b in blocks) for c in usual])
-                if len(data) <= SHORT or score < NARROW and len(data) <= NARROW_BYTES:
-                    best, score = _least([max(0, sum(len(c.compress(x + data)) for x in own) - n) for c, own, n in zip(short, before, alone, strict=True)])
+                blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+                best, score = _least([sum(len(c.compress(b)) for b in blocks) for c in usual])
+                if score < NARROW:
+                    blocks = [data[i : i + CLOSE_BLOCK] for i in range(0, len(data), CLOSE_BLOCK)]
+                    sizes = [sum(len(c.compress(x + b)) for b in blocks for x in own) - n * len(blocks) for c, own, n in zip(close, before, alone, strict=True)]
+                    best, score = _least([max(0, n) for n in sizes])
                 rows.append((names[best], score, score < min_margin))
             yield pd.DataFrame(rows, columns=["lang", "score", "rejected"])
 
