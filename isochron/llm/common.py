@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,20 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset, one of the tests' own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+    """The folder that ``spark.checkpoint.dir`` names, or else that of the Spark context.
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, without its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (as in tests) a fresh temporary folder is set. Reliable: a lost executor loses nothing.
+    Where neither is set, as in tests, a session on this machine alone gets a temporary one; a cluster is refused, as its
+    tasks would write to folders that no other machine reads.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(spark))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, without its lineage. Reliable: a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
