@@ -10,7 +10,7 @@ number (null ids come first).
 
 The join is made in two steps, so that a group of k alike lines does not give k * k / 2 pairs. First a
 line meets, among those with the same last words of the prefix, only the line just before it and the
-first one; that decides nearly all lines of such groups. Only the lines that are still open then meet
+first one; that decides nearly all lines of such groups; where it does not, a few more are looked at. Only the lines that are still open then meet
 all earlier lines that share a word of the prefix with them. What is found is exact.
 """
 
@@ -26,13 +26,14 @@ from isochron.llm.common import SPACE, WORD, cut, row_keyed, salt, spread_join,
 
 BUCKETS = 1 << 16
 HOT, SALTS = 4096, 64  # a word whose bucket is above average and has so many words is dealt to so many tasks
-SMALL, MIDDLE = 80, 180  # lines of up to so many words have parity maps of 64 and 128 bits; longer ones of 256
+SMALL, MIDDLE = 40, 180  # lines of up to so many words have parity maps of 64 and 128 bits; longer ones of 256
+WITHIN, NEAREST = 64, 3  # so many lines before one are looked at, and so many verified, if it is like others but not like the line before or the first
 BROADCAST_LINES = 1_000_000  # ids of lines (16 bytes each) that are sent to all tasks, counted first
 MAPS = ("m0", "m1", "m2", "m3")
 
 
 def _blank(line: Column) -> Column:
-    return ~line.rlike(WORD)
+    return ~((F.ascii(line) > 32) | line.rlike(WORD))  # most lines are told by their first character
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -107,11 +108,16 @@ def _may(x, y, least: tuple[int, int], first: bool = True) -> Column:
     ``first``: that word is to be the first that both have, so that they share none before their places p of it.
     """
     a, b = least
-    n, m = x("n").cast("bigint"), y("n").cast("bigint")
-    total = n + m
-    common = F.floor((total * a + (a + b - 1)) / F.lit(a + b))
-    may = (m * a <= n * b) & (n * a <= m * b) & (apart(x, y) <= total - 2 * common)
-    return (F.least(n - x("p"), m - y("p")) >= common) & may if first else may
+    n, m = x("n"), y("n")
+    may = (m * a <= n * b) & (n * a <= m * b) & (apart(x, y) <= unlike(x, y, least))
+    return (2 * F.least(n - x("p"), m - y("p")) >= n + m - unlike(x, y, least)) & may if first else may
+
+
+def unlike(x, y, least: tuple[int, int]) -> Column:
+    """How many words similar lines may have that are not in both: of n + m words, twice as many as (n + m) a / (a + b), rounded up, are shared."""
+    a, b = least
+    total = x("n").cast("bigint") + y("n")
+    return total - 2 * F.floor((total * a + (a + b - 1)) / F.lit(a + b))
 
 
 def apart(x, y) -> Column:
@@ -165,11 +171,24 @@ def similar_lines(distinct: DataFrame, least: tuple[int, int]) -> DataFrame:
     group = W.partitionBy("key", "salt").orderBy("doc", "pos")
     known = F.struct("doc", "pos", "n", *MAPS)
     met = some.select("*", F.lag(known).over(group).alias("last"), F.first(known).over(group.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("head")).where("last IS NOT NULL")
-    near = lambda s: F.when(_may(of(s + "."), of(""), least, first=False), F.struct(apart(of(s + "."), of("")).alias("apart"), F.col(s + ".doc").alias("xdoc"), F.col(s + ".pos").alias("xpos")))
-    found = met.select(F.col("doc").alias("ydoc"), F.col("pos").alias("ypos"), F.least(near("last"), near("head")).alias("near")).where("near IS NOT NULL")
-    found = found.groupBy(*y).agg(F.min("near").alias("near"))
+    own = lambda side: F.struct(apart(side, of("")).alias("apart"), side("doc").alias("xdoc"), side("pos").alias("xpos"))
+    near = lambda s: F.when(_may(of(s + "."), of(""), least, first=False), own(of(s + ".")))
+    about = lambda s: 2 * apart(of(s + "."), of("")) <= 3 * unlike(of(s + "."), of(""), least)
+    some_near = about("last") | about("head")
+    met = met.select("key", F.col("doc").alias("ydoc"), F.col("pos").alias("ypos"), F.least(near("last"), near("head")).alias("near"), some_near.alias("some_near"))
+    met = stored(met.where("near IS NOT NULL OR some_near"))
+    found = met.where("near IS NOT NULL").groupBy(*y).agg(F.min("near").alias("near"))
     gone = verified(cut(found.select(*y, "near.xdoc", "near.xpos")), distinct, least)
 
+    # lines of groups that are alike, but not the line before or the first one, meet more of the lines before, and the nearest are verified
+    named = lambda df: df.select(F.col("doc").alias("ydoc"), F.col("pos").alias("ypos"))
+    doubtful = cut(met.where("some_near").select("key", *y).join(few(named(gone)), y, "left_anti"))
+    there = some.join(few(doubtful.select("key").distinct()), "key", "left_semi").withColumn("before", F.collect_list(known).over(group.rowsBetween(-WITHIN, -1)))
+    asked = there.join(few(doubtful.select(F.col("ydoc").alias("doc"), F.col("ypos").alias("pos")).distinct()), ["doc", "pos"], "left_semi")
+    nearest = F.slice(F.array_sort(F.transform(F.filter("before", lambda x: _may(x.__getitem__, of(""), least, first=False)), lambda x: own(x.__getitem__))), 1, NEAREST)
+    more = asked.select(F.col("doc").alias("ydoc"), F.col("pos").alias("ypos"), F.explode(nearest).alias("near")).select(*y, "near.xdoc", "near.xpos")
+    gone = cut(gone.unionByName(verified(cut(more.distinct()), distinct, least)).distinct())
+
     # lines that are still open meet all earlier ones
     marked = sets.join(few(gone.withColumn("gone", F.lit(1))), ["doc", "pos"], "left").withColumn("open", F.when(F.col("gone").isNull(), 1).otherwise(0)).drop("gone")
     marked = dealt(marked)
@@ -177,8 +196,11 @@ def similar_lines(distinct: DataFrame, least: tuple[int, int]) -> DataFrame:
     earlier = (F.col("xdoc") < F.col("ydoc")) | ((F.col("xdoc") == F.col("ydoc")) & (F.col("xpos") < F.col("ypos")))
     # a condition on y alone would be tested before the shuffle, and the two sides could not share one
     pairs = x.join(later, "w").where(earlier & (F.col("xopen") + 2 * F.col("yopen") >= 2) & _may(of("x"), of("y"), least))
-    pairs = stored(pairs.select(*y, "xdoc", "xpos").distinct())
-    return gone.unionByName(verified(pairs, distinct, least))
+    pairs = stored(pairs.select(*y, "xdoc", "xpos", apart(of("x"), of("y")).alias("apart")).distinct())
+    closest = pairs.groupBy(*y).agg(F.min(F.struct("apart", "xdoc", "xpos")).alias("near")).select(*y, "near.xdoc", "near.xpos")
+    gone = gone.unionByName(verified(closest, distinct, least))
+    rest = pairs.drop("apart").join(few(named(gone)), y, "left_anti")
+    return gone.unionByName(verified(cut(rest), distinct, least)).distinct()
 
 
 def _kept(keyed: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -200,7 +222,7 @@ def kept_lines(docs: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """
     keyed = row_keyed(docs.select("doc_id", "text"))
     kept = _kept(keyed.select(F.col("__row").alias("doc"), "text"), least)
-    counted = keyed.select("__row", "doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*")).alias("n_lines"))
+    counted = keyed.select("__row", "doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: ~_blank(line))).alias("n_lines"))
     out = counted.join(kept, F.col("__row") == F.col("doc"), "left").withColumn("kept_lines", F.coalesce("kept_lines", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept_lines")).alias("n_removed"), "kept_lines")
 
