@@ -91,30 +91,31 @@ def nearby_pairs(items: DataFrame, item: str, vector: str, most: float = 0.10, p
     return dealt.mapInArrow(met, f"a {kind}, b {kind}").unionByName(copies).distinct()
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable over ``links`` (a, b), by passing on the smallest label until nothing changes."""
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     labels = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root"))
-    for _ in range(rounds):
+    moved = 1
+    while moved:
         passed = edges.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("root").alias("near"))
         step = labels.join(passed, "u").select("u", "root", F.least("root", "near").alias("new"))
         jump = step.select("u", "new").join(step.select(F.col("u").alias("new"), F.col("new").alias("far")), "new", "left")
         step = _cut(step.join(jump.select("u", F.coalesce("far", "new").alias("low")), "u").select("u", "root", F.least("new", "low").alias("new")))
         moved = step.where("new <> root").limit(1).count()
         labels = step.select("u", F.col("new").alias("root"))
-        if not moved:
-            break
-    else:
-        raise RuntimeError("labels still move")
     return labels.select(F.col("u").alias("node"), "root")
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder of the cluster; a temporary one only where a session on this machine alone has none."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -158,7 +159,15 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def elided(rows: DataFrame, order: list[str], ends: int = 10) -> DataFrame:
-    """The first and last ``ends`` rows of a result of more than twice as many; else all. Column rank tells the place."""
-    by, every = W.partitionBy(F.lit(0)).orderBy(*order), W.partitionBy(F.lit(0))
-    ranked = rows.withColumn("rank", F.row_number().over(by)).withColumn("__n", F.count("*").over(every))
-    return ranked.where((F.col("rank") <= ends) | (F.col("rank") > F.col("__n") - ends) | (F.col("__n") <= 2 * ends)).drop("__n")
+    """The first and last ``ends`` rows of a result of more than twice as many; else all. Column rank tells the place.
+
+    Only the ends are sorted: each task keeps its own first and last rows, and the rest is counted. ``order``
+    tells rows apart and has no nulls.
+    """
+    n = rows.count()
+    number = lambda df, *by: df.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*by)))  # noqa: E731  of a few rows
+    if n <= 2 * ends:
+        return number(rows, *order)
+    last = [F.desc(c) for c in order]
+    tail = number(rows.orderBy(*last).limit(ends), *last).withColumn("rank", (F.lit(n + 1) - F.col("rank")).cast("int"))
+    return number(rows.orderBy(*order).limit(ends), *order).unionByName(tail)

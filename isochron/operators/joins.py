@@ -102,14 +102,28 @@ def matched(condition: Column) -> Column:
     return F.coalesce(condition.cast("int"), F.lit(0))
 
 
+#: A word or a number with its points: what a literal is looked up by.
+_TOKEN = r"([\p{L}\p{N}]+(?:[.,]\p{N}+)*)"
+
+
 def leaks(literals: DataFrame, texts: DataFrame, seed_texts: DataFrame, literal: str = "literal", text: str = "text") -> DataFrame:
-    """literal, text_id: texts that hold a gold literal as a whole word which no seed text holds.
+    """literal, text_id: texts that hold a gold literal (words, numbers, dates, signs) which no seed text holds.
 
-    Texts and seeds are broken into words (numbers keep their point), so the search is a join by equality, not all literals against all texts.
+    A literal is held where no word or number goes on at either end: "17" not in "17.5", "small ring" not in "small rings".
+    Literals are joined with texts by equality of their longest word, not all with all, and then looked for whole. A
+    literal without letters and digits is held by no text.
     """
-    words = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+(?:[.,]\p{N}+)*)"), F.lit(1)))).alias("__w"))
-    wanted = literals.select(literal).distinct().join(words(seed_texts).distinct(), F.col(literal) == F.col("__w"), "left_anti")
-    return wanted.join(words(texts, "text_id"), F.col(literal) == F.col("__w")).select(literal, "text_id")
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(1))
+    longest = F.array_max(F.transform(tokens(literal), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    wanted = literals.select(literal).distinct().select(F.col(literal).alias("__l"), longest.alias("__w"))
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?<!\p{N}[.,])\Q"), F.replace(F.col("__l"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])(?![.,]\p{N})"))
+
+    def holding(df: DataFrame, *keep: str) -> DataFrame:
+        words = df.select(*keep, text, F.explode(F.array_distinct(tokens(text))).alias("__w"))
+        return wanted.where("__w IS NOT NULL").join(words, "__w").where((F.col("__l") == F.col("__w")) | F.regexp_like(text, quoted)).select("__l", *keep)
+
+    known = holding(seed_texts).distinct()
+    return holding(texts, "text_id").join(known, "__l", "left_anti").select(F.col("__l").alias(literal), "text_id")
 
 
 def nearest_text(queries: DataFrame, known: DataFrame, key: str = "key", block: str = "block") -> DataFrame:

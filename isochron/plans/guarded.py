@@ -13,7 +13,11 @@ from isochron.operators.series import capped
 
 #: Text that is no code: strings, quoted names, comments.
 _QUOTED = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/)""", re.DOTALL)
-_CLOCKS = re.compile(r"\b(current_date|today)\b(?:\s*\(\s*\))?|\b(current_timestamp|localtimestamp|now|current_datetime)\b(?:\s*\(\s*\))?|\b(current_time)\b(?:\s*\(\s*\))?", re.IGNORECASE)
+#: Calls of the clock, and the names that SQL takes for such calls without parentheses; no columns of a table (r.now) and no aliases (AS today).
+_CALL = r"(?:\s*\(\s*\))"
+_CLOCKS = re.compile(
+    rf"(?P<no>(?:\.|\bas\s)\s*\w+)|\b(?P<day>current_date\b{_CALL}?|today\s*\(\s*\))|\b(?P<instant>(?:current_timestamp|localtimestamp)\b{_CALL}?|(?:now|current_datetime){_CALL})|\b(?P<time>current_time\b{_CALL}?)", re.IGNORECASE
+)
 
 
 def pinned(sql: str, as_of: dt.datetime, zone: str = SITE_ZONE) -> str:
@@ -21,9 +25,11 @@ def pinned(sql: str, as_of: dt.datetime, zone: str = SITE_ZONE) -> str:
     utc, day = naive_utc(as_of), as_of.astimezone(ZoneInfo(zone)).date()
 
     def literal(m: re.Match) -> str:
-        if m[1]:
+        if m["no"]:
+            return m[0]
+        if m["day"]:
             return f"DATE '{day}'"
-        return f"TIMESTAMP_NTZ '{utc:%Y-%m-%d %H:%M:%S}'" if m[2] else f"'{utc:%H:%M:%S}'"
+        return f"TIMESTAMP_NTZ '{utc:%Y-%m-%d %H:%M:%S}'" if m["instant"] else f"'{utc:%H:%M:%S}'"
 
     return "".join(part if k % 2 else _CLOCKS.sub(literal, part) for k, part in enumerate(_QUOTED.split(sql)))
 

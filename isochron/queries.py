@@ -619,13 +619,17 @@ def selection_score(spark, sf_dir):
 @query()
 def bootstrap_ci(spark, sf_dir):
     means = statistics.template_means(outcomes(spark, sf_dir), ["arm"], "value")
-    return statistics.bootstrap(means, ["arm"], "value", resamples=2000)
+    return statistics.bootstrap(means, ["arm"], "value")
 
 
-@query()
+@query("""
+    WITH c AS (SELECT l_returnflag, count_if(l_tax <= 0.04 AND l_discount > 0.04) AS gained, count_if(l_tax > 0.04 AND l_discount <= 0.04) AS lost FROM lineitem GROUP BY 1),
+    t AS (SELECT *, gained + lost AS n, list_sum(list_transform(range(0, least(gained, lost) + 1), i -> exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2)))) AS tail FROM c)
+    SELECT l_returnflag, gained, lost, round(least(1.0, 2 * tail), 9) AS p FROM t
+""")
 def mcnemar(spark, sf_dir):
     pairs = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_tax") > 0.04).alias("before"), (F.col("l_discount") > 0.04).alias("after"))
-    return statistics.mcnemar(pairs, ["l_returnflag"], "before", "after")
+    return statistics.mcnemar(pairs, ["l_returnflag"], "before", "after").withColumn("p", r("p", 9))
 
 
 @query("SELECT l_returnflag, round(avg(l_tax - l_discount), 6) AS mean, round(stddev_samp(l_tax - l_discount), 6) AS sd, round(abs(avg(l_tax - l_discount)) / stddev_samp(l_tax - l_discount), 6) AS ratio FROM lineitem GROUP BY 1")
@@ -945,8 +949,10 @@ def best_by_two_keys(spark, sf_dir):
 
 @query("SELECT p_partkey, ['en', 'de'][1 + (row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 + dense_rank() OVER (ORDER BY p_type)) % 2] AS language FROM part")
 def alternating_languages(spark, sf_dir):
-    n = F.row_number().over(W.partitionBy("p_type").orderBy("p_partkey")) - 1 + F.dense_rank().over(W.orderBy("p_type"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(F.lit("en"), F.lit("de")), (F.pmod(n, F.lit(2)) + 1).cast("int")).alias("language"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    types = part.select("p_type").distinct().withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("p_type")))  # a row for each type
+    n = F.row_number().over(W.partitionBy("p_type").orderBy("p_partkey")) - 1 + F.col("place")
+    return part.join(types, "p_type").select("p_partkey", F.element_at(F.array(F.lit("en"), F.lit("de")), (F.pmod(n, F.lit(2)) + 1).cast("int")).alias("language"))
 
 
 @query("SELECT l_returnflag, count(DISTINCT n) > 1 AS diverge FROM (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
@@ -1111,14 +1117,17 @@ def t26_composed_overrides(spark, sf_dir):
 
 
 @query("""
-    WITH l AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS literal FROM part UNION SELECT DISTINCT p_name FROM part)
-    SELECT literal, l_orderkey * 10 + l_linenumber AS text_id FROM l JOIN lineitem ON CAST(CAST(l_quantity AS INT) AS VARCHAR) = literal WHERE literal NOT IN (SELECT CAST(s_nationkey AS VARCHAR) FROM supplier)
+    WITH l AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS literal FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderpriority = '1-URGENT'),
+    t AS (SELECT l_orderkey * 10 + l_linenumber AS text_id, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q, strftime(l_shipdate, '%Y-%m-%d') AS d, strftime(l_shipdate, '%m') AS mm, strftime(l_shipdate, '%d') AS dd, p_name AS p FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT literal, text_id FROM l JOIN t ON literal IN (q, d, mm, dd, p) WHERE literal NOT IN (SELECT CAST(s_nationkey AS VARCHAR) FROM supplier)
 """)
 def leakage(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    literals = p.select(F.col("p_size").cast("string").alias("literal")).union(p.select("p_name")).distinct()
-    text_ = F.concat(F.lit("about "), F.col("l_quantity").cast("int").cast("string"), F.lit(", or x1.5?"))
-    texts = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("text_id"), text_.alias("text"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    days = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(day("o_orderdate").alias("literal"))
+    literals = p.select(F.col("p_size").cast("string").alias("literal")).union(p.select("p_name")).union(days).distinct()
+    text_ = F.concat(F.lit("about "), F.col("l_quantity").cast("int").cast("string"), F.lit(", or x1.5? Shipped "), day("l_shipdate"), F.lit(": "), F.col("p_name"), F.lit("."))
+    texts = table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("text_id"), text_.alias("text"))
     return joins.leaks(literals, texts, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("text")))
 
 

@@ -143,7 +143,33 @@ def test_grouping(spark):
     assert [tuple(r) for r in grouping.nearby_pairs(vectors, "i", "v").collect()] == [(0, 1)]
 
 
+def test_mcnemar_of_many_pairs(spark):
+    from math import comb
+
+    for b, c in ((0, 0), (0, 3), (20, 9), (400, 460), (5000, 5100)):
+        df = spark.createDataFrame([("k", False, True)] * b + [("k", True, False)] * c + [("k", True, True)], "k string, x boolean, y boolean")
+        n = b + c
+        exact = min(1.0, 2 * sum(comb(n, i) for i in range(min(b, c) + 1)) / 2**n) if n else 1.0
+        assert statistics.mcnemar(df, ["k"], "x", "y").first().p == pytest.approx(exact, rel=1e-8)
+
+
+def test_leaks_of_phrases_dates_and_signs(spark):
+    literals = spark.createDataFrame([(x,) for x in ("2025-06-01", "12.5 mm", "-3.5", "17", "small ring", "a\\Eb", "?", "known")], "literal string")
+    texts = spark.createDataFrame([(1, "on 2025-06-01: 12.5 mm at -3.5, 17 in all, known"), (2, "2025-06-012 12.5 mmx 3.5 17.5 small rings ?"), (3, "a small ring. a\\Eb")], "text_id int, text string")
+    found = {tuple(x) for x in joins.leaks(literals, texts, spark.createDataFrame([("well known.",)], "text string")).collect()}
+    assert found == {("2025-06-01", 1), ("12.5 mm", 1), ("-3.5", 1), ("17", 1), ("small ring", 3), ("a\\Eb", 3)}
+
+
+def test_ends_of_a_result(spark):
+    df = spark.range(100).withColumn("v", F.col("id") * 7 % 100)
+    assert sorted((x.v, x["rank"]) for x in grouping.elided(df, ["v"], 3).collect()) == [(0, 1), (1, 2), (2, 3), (97, 98), (98, 99), (99, 100)]
+    assert sorted(x["rank"] for x in grouping.elided(df.limit(5), ["v"], 3).collect()) == [1, 2, 3, 4, 5]
+
+
 def test_guard(spark):
+    when = dt.datetime(2026, 4, 20, 23, 30, tzinfo=dt.UTC)
+    assert guarded.pinned("SELECT d AS today, r.now, now FROM r", when) == "SELECT d AS today, r.now, now FROM r"
+    assert guarded.pinned("SELECT today() AS current_date, d.current_date, current_time", when) == "SELECT DATE '2026-04-21' AS current_date, d.current_date, '23:30:00'"
     at = dt.datetime(2026, 4, 20, 23, 30, tzinfo=dt.UTC)
     assert guarded.pinned("SELECT now(), 'now()', current_date -- now()", at) == "SELECT TIMESTAMP_NTZ '2026-04-20 23:30:00', 'now()', DATE '2026-04-21' -- now()"
     assert guarded.ask(spark, "SELECT id FROM range(5)", at, 3) == {"columns": ["id"], "rows": [{"id": 0}, {"id": 1}, {"id": 2}], "truncated": True}
