@@ -27,7 +27,7 @@ from isochron.llm.common import SPACE, WORD, cut, row_keyed, salt, spread_join,
 BUCKETS = 1 << 16
 HOT, SALTS = 4096, 64  # a word whose bucket is above average and has so many words is dealt to so many tasks
 SMALL, MIDDLE = 40, 180  # lines of up to so many words have parity maps of 64 and 128 bits; longer ones of 256
-WITHIN, NEAREST = 64, 3  # so many lines before one are looked at, and so many verified, if it is like others but not like the line before or the first
+WITHIN, NEAREST = 64, 8  # so many lines before one are looked at, and so many verified, if it is like others but not like the line before or the first
 BROADCAST_LINES = 1_000_000  # ids of lines (16 bytes each) that are sent to all tasks, counted first
 MAPS = ("m0", "m1", "m2", "m3")
 
@@ -109,8 +109,11 @@ def _may(x, y, least: tuple[int, int], first: bool = True) -> Column:
     """
     a, b = least
     n, m = x("n"), y("n")
-    may = (m * a <= n * b) & (n * a <= m * b) & (apart(x, y) <= unlike(x, y, least))
-    return (2 * F.least(n - x("p"), m - y("p")) >= n + m - unlike(x, y, least)) & may if first else may
+    lengths, maps = (m * a <= n * b) & (n * a <= m * b), apart(x, y) <= unlike(x, y, least)
+    if not first:
+        return lengths & maps
+    left = F.least(n - x("p"), m - y("p"))  # words that both may have from there on: at least (n + m) a / (a + b)
+    return lengths & (left * (a + b) >= (n + m) * a) & maps
 
 
 def unlike(x, y, least: tuple[int, int]) -> Column:
