@@ -623,12 +623,13 @@ def bootstrap_ci(spark, sf_dir):
 
 
 @query("""
-    WITH c AS (SELECT l_returnflag, count_if(l_tax <= 0.04 AND l_discount > 0.04) AS gained, count_if(l_tax > 0.04 AND l_discount <= 0.04) AS lost FROM lineitem GROUP BY 1),
-    t AS (SELECT *, gained + lost AS n, list_sum(list_transform(range(0, least(gained, lost) + 1), i -> exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2)))) AS tail FROM c)
+    WITH c AS (SELECT l_returnflag, count_if(l_tax <= 0.04 AND l_discount > 0.05) AS gained, count_if(l_tax > 0.04 AND l_discount <= 0.05) AS lost FROM lineitem GROUP BY 1),
+    t AS (SELECT l_returnflag, gained, lost, sum(exp(lgamma(gained + lost + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(gained + lost - i + 1.0::DOUBLE) - (gained + lost) * ln(2.0::DOUBLE))) AS tail
+          FROM (SELECT *, unnest(range(0, CAST(least(gained, lost) + 1 AS BIGINT))) AS i FROM c) GROUP BY ALL)
     SELECT l_returnflag, gained, lost, round(least(1.0, 2 * tail), 9) AS p FROM t
 """)
 def mcnemar(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_tax") > 0.04).alias("before"), (F.col("l_discount") > 0.04).alias("after"))
+    pairs = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_tax") > 0.04).alias("before"), (F.col("l_discount") > 0.05).alias("after"))
     return statistics.mcnemar(pairs, ["l_returnflag"], "before", "after").withColumn("p", r("p", 9))
 
 
