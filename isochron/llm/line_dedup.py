@@ -11,11 +11,13 @@ number (null ids come first).
 The join is made in two steps, so that a group of k alike lines does not give k * k / 2 pairs. First a
 line meets, among those with the same last words of the prefix, only the line just before it and the
 first one; that decides nearly all lines of such groups; where it does not, a few more are looked at. Only the lines that are still open then meet
-all earlier lines that share a word of the prefix with them. What is found is exact.
+all earlier lines that share a word of the prefix with them and are of about their length; the shorter of two lines
+comes with a shorter prefix. What is found is exact.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,7 @@ BUCKETS = 1 << 16
 HOT, SALTS = 4096, 64  # a word whose bucket is above average and has so many words is dealt to so many tasks
 SMALL, MIDDLE = 40, 180  # lines of up to so many words have parity maps of 64 and 128 bits; longer ones of 256
 WITHIN, NEAREST = 64, 8  # so many lines before one are looked at, and so many verified, if it is like others but not like the line before or the first
+PARTS = 2  # the join is made for one part of the words after the other, for less disk
 BROADCAST_LINES = 1_000_000  # ids of lines (16 bytes each) that are sent to all tasks, counted first
 MAPS = ("m0", "m1", "m2", "m3")
 
@@ -78,11 +81,9 @@ def line_sets(distinct: DataFrame, ranks: list[int], least: tuple[int, int]) ->
     shifted = ",".join(str((rank - BUCKETS // 2) << 48) for rank in ranks)
     ranking = F.split(F.lit(shifted), ",").cast("array<bigint>")  # folded to a literal
 
-    def place(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.get(ranking, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 16))
-
-    sets = distinct.select("doc", "pos", F.sort_array(F.array_distinct(F.transform(words_of(F.col("line")), place))).alias("words"))
+    place = lambda h: F.get(ranking, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 16))
+    hashes = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
+    sets = distinct.select("doc", "pos", F.sort_array(F.transform(hashes, place)).alias("words"))
     sets = sets.select("doc", "pos", "words", F.size("words").alias("n"))
     none = F.lit(0).cast("bigint")
 
@@ -97,9 +98,36 @@ def line_sets(distinct: DataFrame, ranks: list[int], least: tuple[int, int]) ->
     return sets.select("doc", "pos", "n", *maps, F.slice("words", 1, taken).alias("prefix"))
 
 
-def dealt(sets: DataFrame) -> DataFrame:
-    """``sets`` with a row for each word w of the prefix, p being its place, instead of the prefix (which is never empty)."""
-    return sets.select(*(c for c in sets.columns if c != "prefix"), F.posexplode_outer("prefix").alias("p", "w"))
+def band(n: Column, least: tuple[int, int]) -> Column:
+    """Number of the band of lengths of ``n``; lengths that similar lines may have are in the same band or in neighbours (a little wider than that, for rounding)."""
+    a, b = least
+    return F.floor(F.ln(n) / F.lit(max(1.001 * math.log(b / a), 1e-3))).cast("int")
+
+
+def _meeting(sets: DataFrame, least: tuple[int, int], part: int) -> DataFrame:
+    """ydoc, ypos, xdoc, xpos, apart of the pairs of ``sets`` that may be similar, y being later and open; of words of number ``part`` of PARTS.
+
+    Of two lines the shorter one comes with a shorter prefix: similar lines have at least 2 n a / (a + b)
+    words in common, n being the length of the shorter. It is dealt to its own band of lengths and the next one.
+    """
+    a, b = least
+    of = lambda prefix: lambda c: F.col(prefix + c)
+    taken = F.expr(f"n - (2 * n * {a} + {a + b - 1}) div {a + b} + 1").cast("int")
+    own = [c for c in sets.columns if c != "prefix"]
+    deal = lambda df: df.select(*own, F.posexplode_outer("prefix").alias("p", "w")).where(F.pmod("w", F.lit(PARTS)) == part)
+    # the band goes into the word's bits, as one key is sorted faster than two; words that fall together by that only add candidates
+    banded = lambda k: F.col("w").bitwiseXOR(F.shiftleft(k.cast("bigint"), 32)).alias("w")
+    near = band(F.col("n"), least)
+    long = deal(sets).select(*own, "p", banded(near))
+    short = deal(sets.withColumn("prefix", F.slice("prefix", 1, taken)))
+    short = short.select(*own, "p", "w", F.explode_outer(F.array(near, near + 1)).alias("band")).select(*own, "p", banded(F.col("band")))
+    s, l = (df.select("w", *(F.col(c).alias(k + c) for c in df.columns if c != "w")) for df, k in ((short, "s"), (long, "l")))
+    first = (F.col("sdoc") < F.col("ldoc")) | ((F.col("sdoc") == F.col("ldoc")) & (F.col("spos") < F.col("lpos")))
+    once = (F.col("sn") < F.col("ln")) | ((F.col("sn") == F.col("ln")) & first)
+    met = s.join(l, "w").where(once & _may(of("s"), of("l"), least) & F.when(first, F.col("lopen") == 1).otherwise(F.col("sopen") == 1))
+    later, earlier = (F.when(c, F.struct(F.col("ldoc").alias("doc"), F.col("lpos").alias("pos"))).otherwise(F.struct(F.col("sdoc").alias("doc"), F.col("spos").alias("pos"))) for c in (first, ~first))
+    met = met.select(later.alias("y"), earlier.alias("x"), apart(of("s"), of("l")).alias("apart"))
+    return met.select(F.col("y.doc").alias("ydoc"), F.col("y.pos").alias("ypos"), F.col("x.doc").alias("xdoc"), F.col("x.pos").alias("xpos"), "apart").distinct()
 
 
 def _may(x, y, least: tuple[int, int], first: bool = True) -> Column:
@@ -192,14 +220,9 @@ def similar_lines(distinct: DataFrame, least: tuple[int, int]) -> DataFrame:
     more = asked.select(F.col("doc").alias("ydoc"), F.col("pos").alias("ypos"), F.explode(nearest).alias("near")).select(*y, "near.xdoc", "near.xpos")
     gone = cut(gone.unionByName(verified(cut(more.distinct()), distinct, least)).distinct())
 
-    # lines that are still open meet all earlier ones
+    # lines that are still open meet all earlier ones, whether those are shorter or longer
     marked = sets.join(few(gone.withColumn("gone", F.lit(1))), ["doc", "pos"], "left").withColumn("open", F.when(F.col("gone").isNull(), 1).otherwise(0)).drop("gone")
-    marked = dealt(marked)
-    x, later = (marked.select("w", *(F.col(c).alias(s + c) for c in marked.columns if c != "w")) for s in "xy")
-    earlier = (F.col("xdoc") < F.col("ydoc")) | ((F.col("xdoc") == F.col("ydoc")) & (F.col("xpos") < F.col("ypos")))
-    # a condition on y alone would be tested before the shuffle, and the two sides could not share one
-    pairs = x.join(later, "w").where(earlier & (F.col("xopen") + 2 * F.col("yopen") >= 2) & _may(of("x"), of("y"), least))
-    pairs = stored(pairs.select(*y, "xdoc", "xpos", apart(of("x"), of("y")).alias("apart")).distinct())
+    pairs = stored(reduce(DataFrame.unionByName, [cut(_meeting(marked, least, k)) for k in range(PARTS)]).distinct())
     closest = pairs.groupBy(*y).agg(F.min(F.struct("apart", "xdoc", "xpos")).alias("near")).select(*y, "near.xdoc", "near.xpos")
     gone = gone.unionByName(verified(closest, distinct, least))
     rest = pairs.drop("apart").join(few(named(gone)), y, "left_anti")
