@@ -81,17 +81,18 @@ def line_sets(distinct: DataFrame, ranks: list[int], least: tuple[int, int]) ->
     shifted = ",".join(str((rank - BUCKETS // 2) << 48) for rank in ranks)
     ranking = F.split(F.lit(shifted), ",").cast("array<bigint>")  # folded to a literal
 
-    place = lambda h: F.get(ranking, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 16))
+    none = F.lit(0).cast("bigint")
+    # coalesce: an array without nulls is sorted as plain numbers
+    place = lambda h: F.coalesce(F.get(ranking, h.bitwiseAND(BUCKETS - 1).cast("int")), none).bitwiseOR(F.shiftrightunsigned(h, 16))
     hashes = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
     sets = distinct.select("doc", "pos", F.sort_array(F.transform(hashes, place)).alias("words"))
     sets = sets.select("doc", "pos", "words", F.size("words").alias("n"))
-    none = F.lit(0).cast("bigint")
 
     def parity(k: int, size: int) -> Column:
         """Bits of the words that fall into number k of ``size``."""
-        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(63).cast("int"))
-        own = lambda h: bit(h) if size == 1 else F.when(h.bitwiseAND((size - 1) << 6) == k << 6, bit(h)).otherwise(none)
-        return F.aggregate("words", none, lambda acc, h: acc.bitwiseXOR(own(h)))
+        flipped = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(63).cast("int")))
+        own = lambda acc, h: flipped(acc, h) if size == 1 else F.when(h.bitwiseAND((size - 1) << 6) == k << 6, flipped(acc, h)).otherwise(acc)
+        return F.aggregate("words", none, own)
 
     maps = [F.when(F.col("n") > MIDDLE, parity(k, 4)).when(F.col("n") > SMALL, parity(k, 2) if k < 2 else none).otherwise(parity(0, 1) if k == 0 else none).alias(MAPS[k]) for k in range(4)]
     taken = F.col("n") - F.expr(f"(n * {a} + {b - 1}) div {b}").cast("int") + 1
