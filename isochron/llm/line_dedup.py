@@ -56,9 +56,12 @@ def words_of(line: Column) -> Column:
     return F.split(line, " ")
 
 
-def first_lines(docs: DataFrame) -> DataFrame:
-    """doc, pos of the first of each set of equal lines (same XXH64 and number of bytes) of ``docs`` (doc, text)."""
-    keyed = lines(docs).select(F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"), F.struct("doc", "pos").alias("own"))
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """doc, pos, line of the first of each set of equal lines (same XXH64 and number of bytes) of ``docs`` (doc, text).
+
+    Equal lines are combined before the shuffle, so that one that is in many documents reaches its task once from each.
+    """
+    keyed = lines(docs).select(F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"), F.struct("doc", "pos", "line").alias("own"))
     return keyed.groupBy("h", "size").agg(F.min("own").alias("first")).select("first.*")
 
 
@@ -232,8 +235,7 @@ def similar_lines(distinct: DataFrame, least: tuple[int, int]) -> DataFrame:
 
 def _kept(keyed: DataFrame, least: tuple[int, int]) -> DataFrame:
     """doc and kept_lines (numbers, in order) of the rows of ``keyed`` (doc: a unique number, text) that keep a line."""
-    firsts = first_lines(keyed)
-    distinct = lines(keyed).join(firsts, ["doc", "pos"], "left_semi").select("doc", "pos", single_spaced(F.col("line")).alias("line"))
+    distinct = distinct_lines(keyed).withColumn("line", single_spaced(F.col("line")))
     distinct = stored(distinct, compression="zstd")
     kept = distinct.select("doc", "pos").join(similar_lines(distinct, least), ["doc", "pos"], "left_anti")
     return kept.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("kept_lines"))  # of one document
