@@ -30,7 +30,7 @@ BUCKETS = 1 << 16
 HOT, SALTS = 4096, 64  # a word whose bucket is above average and has so many words is dealt to so many tasks
 SMALL, MIDDLE = 40, 180  # lines of up to so many words have parity maps of 64 and 128 bits; longer ones of 256
 WITHIN, NEAREST = 64, 8  # so many lines before one are looked at, and so many verified, if it is like others but not like the line before or the first
-PARTS = 2  # the join is made for one part of the words after the other, for less disk
+PARTS = 3  # the join is made for one part of the words after the other, for less disk
 BROADCAST_LINES = 1_000_000  # ids of lines (16 bytes each) that are sent to all tasks, counted first
 MAPS = ("m0", "m1", "m2", "m3")
 
@@ -226,7 +226,8 @@ def similar_lines(distinct: DataFrame, least: tuple[int, int]) -> DataFrame:
 
     # lines that are still open meet all earlier ones, whether those are shorter or longer
     marked = sets.join(few(gone.withColumn("gone", F.lit(1))), ["doc", "pos"], "left").withColumn("open", F.when(F.col("gone").isNull(), 1).otherwise(0)).drop("gone")
-    pairs = stored(reduce(DataFrame.unionByName, [cut(_meeting(marked, least, k)) for k in range(PARTS)]).distinct())
+    parts = [stored(_meeting(marked, least, k)) for k in range(PARTS)]  # so that the shuffles of a part go before the next one
+    pairs = stored(reduce(DataFrame.unionByName, parts).distinct())
     closest = pairs.groupBy(*y).agg(F.min(F.struct("apart", "xdoc", "xpos")).alias("near")).select(*y, "near.xdoc", "near.xpos")
     gone = gone.unionByName(verified(closest, distinct, least))
     rest = pairs.drop("apart").join(few(named(gone)), y, "left_anti")
