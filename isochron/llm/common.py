@@ -6,6 +6,7 @@ import contextlib
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -62,6 +63,16 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffles of frames that are used no more, before a step that needs the space.
+
+    Python's references are given up by a thread that wakes once a second; only after that the JVM's collector finds what they held.
+    """
+    gc.collect()
+    time.sleep(1.5)
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with __row (bigint): a number of each row, rising with doc_id, nulls first.
 

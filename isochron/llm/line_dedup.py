@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isochron.llm.common import SPACE, WORD, cut, row_keyed, salt, spread_join, stored
+from isochron.llm.common import SPACE, WORD, cut, release_shuffles, row_keyed, salt, spread_join, stored
 
 BUCKETS = 1 << 16
 HOT, SALTS = 4096, 64  # a word whose bucket is above average and has so many words is dealt to so many tasks
@@ -226,7 +226,10 @@ def similar_lines(distinct: DataFrame, least: tuple[int, int]) -> DataFrame:
 
     # lines that are still open meet all earlier ones, whether those are shorter or longer
     marked = sets.join(few(gone.withColumn("gone", F.lit(1))), ["doc", "pos"], "left").withColumn("open", F.when(F.col("gone").isNull(), 1).otherwise(0)).drop("gone")
-    parts = [stored(_meeting(marked, least, k)) for k in range(PARTS)]  # so that the shuffles of a part go before the next one
+    parts = []
+    for k in range(PARTS):
+        release_shuffles(distinct.sparkSession)  # those of the part before
+        parts.append(stored(_meeting(marked, least, k)))
     pairs = stored(reduce(DataFrame.unionByName, parts).distinct())
     closest = pairs.groupBy(*y).agg(F.min(F.struct("apart", "xdoc", "xpos")).alias("near")).select(*y, "near.xdoc", "near.xpos")
     gone = gone.unionByName(verified(closest, distinct, least))
