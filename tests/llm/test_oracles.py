@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = queries.queries()[name](spark, SF).toPandas()
     wanted = con.sql(queries.ORACLE_SQL[name]).df()
