@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isochron.working import cut as _cut
+
 
 def text_shape(sql: Column) -> Column:
     """A statement without what varies: literals masked, lower case, white space collapsed. An approximation of its syntax tree."""
@@ -106,19 +108,6 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select(F.col("u").alias("node"), "root")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the cluster; a temporary one only where a session on this machine alone has none."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def shape_groups(items: DataFrame, item: str, shape: str) -> DataFrame:
     """item, group: equal shapes share the smallest item."""
     return items.select(item, F.min(item).over(W.partitionBy(shape)).alias("group"))

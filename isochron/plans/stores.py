@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from operator import itemgetter
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn
 
 from isochron.operators.dimensions import DECISION_H, HEAT_C, OUTFLOW_MM, REFILL_H
 
@@ -36,6 +41,57 @@ def bucket_series(steps: DataFrame, keys: list[str], index: str, rain: str, et0:
     return folded.select(*keys, F.col("f.i").alias(index), F.col("f.store").alias("store"), F.col("f.outflow").alias("outflow"), F.col("f.loss").alias("loss"))
 
 
+class _BucketFold:
+    """Table function: the rows of one key come in order, one at a time; what is kept between them is the store alone."""
+
+    def __init__(self) -> None:
+        self.store: float | None = None
+        self.read: tuple | None = None
+
+    @staticmethod
+    def analyze(steps: AnalyzeArgument, keys: AnalyzeArgument, index: AnalyzeArgument, *, rain: AnalyzeArgument, et0: AnalyzeArgument, initial: AnalyzeArgument, residual: AnalyzeArgument, capacity: AnalyzeArgument) -> AnalyzeResult:
+        """Asks for the table dealt out by the keys and sorted by index, and only for the columns it reads."""
+        if not steps.isTable:
+            raise ValueError("the first argument is a table")
+        kinds = {f.name: f.dataType for f in steps.dataType.fields}
+        by = [k.strip() for k in keys.value.split(",")]
+        named = [x.value for x in (index, rain, et0, initial, residual, capacity) if isinstance(x.value, str)]
+        if missing := [c for c in (*by, *named) if c not in kinds]:
+            raise ValueError(f"no such columns: {missing}")
+        out = T.StructType([T.StructField(c, kinds[c]) for c in (*by, index.value)])
+        for name in ("store", "outflow", "loss"):
+            out = out.add(name, T.DoubleType())
+        return AnalyzeResult(out, partitionBy=[PartitioningColumn(f"`{k}`") for k in by], orderBy=[OrderingColumn(f"`{index.value}`")], select=[SelectedColumn(f"`{c}`") for c in dict.fromkeys((*by, *named))])
+
+    def eval(self, step: Row, keys: str, index: str, *, rain: str, et0: str, initial, residual, capacity):
+        if self.read is None:  # where the columns are, once a key
+            at = {name: k for k, name in enumerate(step.__fields__)}
+            number = lambda x: itemgetter(at[x]) if isinstance(x, str) else lambda _, x=float(x): x  # noqa: E731  a column's name or a constant
+            self.read = itemgetter(*(at[k.strip()] for k in keys.split(",")), at[index]), *map(number, (rain, et0, initial, residual, capacity))
+        of, rain, et0, initial, residual, capacity = self.read
+        low, high = residual(step), capacity(step)
+        if self.store is None:
+            level, loss = initial(step), None
+        else:
+            loss = et0(step) * min(max((self.store - low) / (high - low), 0.0), 1.0)
+            level = self.store + rain(step) - loss
+        self.store = min(level, high)
+        yield (*of(step), self.store, max(level - high, 0.0), loss)
+
+
+#: The capped bucket as a table function, for ``spark.udtf.register("bucket_fold", bucket_fold)`` and then, in SQL,
+#: ``bucket_fold(TABLE(steps), 'site', 'i', rain => 'rain', et0 => 'et0', initial => 8.0, residual => 2.0, capacity => 'capacity')``: names of columns, or numbers.
+bucket_fold = udtf(_BucketFold)
+
+
+def bucket_scan(steps: DataFrame, keys: list[str], index: str, rain: str, et0: str, initial: Column, residual: Column, capacity: Column) -> DataFrame:
+    """As ``bucket_series``, for records of any length: each key's steps go through ``bucket_fold`` in order, in the memory of one step. Rows without a rain or an et0 are refused."""
+    number = lambda c, name: c.cast("double").alias(f"__{name}")
+    rows = steps.select(*keys, index, number(F.col(rain), "rain"), number(F.col(et0), "et0"), number(initial, "initial"), number(residual, "residual"), number(capacity, "capacity"))
+    named = {name: F.lit(f"__{name}") for name in ("rain", "et0", "initial", "residual", "capacity")}
+    return bucket_fold(rows.asTable(), F.lit(",".join(keys)), F.lit(index), **named)
+
+
 def features(steps: DataFrame, keys: list[str], index: str, decision: int = DECISION_H, refill: int = REFILL_H) -> DataFrame:
     """What a decision needs of a run (store, temperature, outflow per step): min_store and max_temp of the first ``decision`` steps, refill_at, has_gaps, is_empty."""
     soon, i = F.col(index) < decision, F.col(index)

@@ -1203,9 +1203,16 @@ def approximate_distinct(spark, sf_dir):
     return events(spark, sf_dir).groupBy("event_type").agg((F.approx_count_distinct("user_id") > 0).alias("counted"), F.count_distinct("user_id").alias("exact"))
 
 
+def _registered() -> None:
+    """The other modules of queries add theirs when they are imported."""
+    from isochron import queries_evaluation, queries_streams  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _registered()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_SQL)

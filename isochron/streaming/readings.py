@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from isochron.functions.timeaxis import ROWS_PER_DAY, SITE_ZONE
+from isochron.functions.timeaxis import ROWS_PER_DAY, SITE_ZONE, site_ts
 
 
 def _instant(ts: str) -> Column:
@@ -35,6 +36,27 @@ def days_of_hours(hours: DataFrame, keys: list[str], rows: int = ROWS_PER_DAY, z
     return days.where(F.col("readings") == rows)
 
 
+def site_days(readings: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", per_hour: int = 1, late: str = "2 days", zone: str = SITE_ZONE) -> DataFrame:
+    """Site days from one stream in append mode: keys, d, total, readings, hours, hours_of_day, complete.
+
+    Two aggregations in a row: readings to hours, hours with at least ``per_hour`` readings to days. Event time is the site's wall clock, so a
+    window of 24 hours of it is a site day, also where the clock changes: the spring day has 23
+    hours, and the autumn day 25, as an hour is told by its UTC time as well. complete: all of the day's hours have enough
+    readings. A day comes out once, when the watermark has passed its end; ``late`` must exceed the hour
+    by which the clock goes back. Values that are null count as readings missing.
+    """
+    clock = readings.withColumn("__clock", site_ts(ts, zone).cast("timestamp")).withColumn("__utc", F.date_trunc("hour", F.col(ts)))
+    timed = clock.withWatermark("__clock", late)
+    hours = timed.groupBy(*keys, F.window("__clock", "1 hour").alias("w"), "__utc").agg(F.sum(value).alias("__total"), F.count(value).alias("__n"))
+    enough = F.count_if(F.col("__n") >= per_hour)
+    days = hours.groupBy(*keys, F.window("w", "1 day").alias("day")).agg(F.sum("__total").alias("total"), F.sum("__n").alias("readings"), enough.alias("hours"))
+    midnight = lambda d: F.convert_timezone(F.lit(zone), F.lit("UTC"), d.cast("timestamp_ntz"))
+    d = F.to_date("day.start")
+    of_day = F.expr("timestampdiff(HOUR, __from, __to)").cast("int")
+    out = days.withColumn("__from", midnight(d)).withColumn("__to", midnight(F.date_add(d, 1))).withColumn("hours_of_day", of_day)
+    return out.select(*keys, d.alias("d"), "total", "readings", "hours", "hours_of_day", (F.col("hours") == F.col("hours_of_day")).alias("complete"))
+
+
 def sliding(readings: DataFrame, keys: list[str], length: str = "2 hours", step: str = "30 minutes", ts: str = "ts", value: str = "value", late: str = "1 hour") -> DataFrame:
     """Means over sliding windows."""
     timed = readings.withColumn("__t", _instant(ts)).withWatermark("__t", late)
@@ -74,3 +96,71 @@ def running_store(steps: DataFrame, key: str, initial: float, residual: float, c
 
     kind = steps.schema[key].dataType.simpleString()
     return steps.groupBy(key).applyInPandasWithState(advance, f"{key} {kind}, ts timestamp, store double, outflow double", "store double", "append", "NoTimeout")
+
+
+class _InOrder(StatefulProcessor):
+    """Per key: the store and the number of steps folded into it, and the steps that the watermark has not passed."""
+
+    def __init__(self, initial: float, residual: float, capacity: float) -> None:
+        self.initial, self.residual, self.capacity = initial, residual, capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", "store double, steps bigint")
+        self.pending = handle.getListState("pending", "at bigint, rain double, et0 double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the API calls by these names
+        if key[0] is not None:
+            for frame in rows:
+                came = [(int(a), float(p), float(e)) for a, p, e in zip(frame["at"], frame["rain"], frame["et0"], strict=True)]
+                self.pending.appendList(came)
+                self.handle.registerTimer(min(came)[0] // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        steps = sorted(self.pending.get()) if self.pending.exists() else []
+        due = [s for s in steps if s[0] <= passed]
+        if not due:  # folded with an earlier timer
+            return
+        store, n = self.folded.get() if self.folded.exists() else (None, 0)
+        out = []
+        for at, rain, et0 in due:
+            if store is None:
+                level, loss = self.initial, None
+            else:
+                loss = et0 * min(max((store - self.residual) / (self.capacity - self.residual), 0.0), 1.0)
+                level = store + rain - loss
+            store = min(level, self.capacity)
+            out.append((key[0], at, n, store, max(level - self.capacity, 0.0), loss))
+            n += 1
+        self.folded.update((store, n))
+        rest = steps[len(due) :]
+        if rest:
+            self.pending.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000)
+        else:
+            self.pending.clear()
+        yield pd.DataFrame(out, columns=["key", "at", "step", "store", "outflow", "loss"])
+
+    def close(self) -> None:
+        pass
+
+
+def store_in_order(steps: DataFrame, key: str, initial: float, residual: float, capacity: float, late: str = "2 days", ts: str = "ts") -> DataFrame:
+    """The capped bucket over a stream of (key, ts, rain, et0) whose rows come late: key, ts, step (from 0), store, outflow, loss.
+
+    Steps wait, sorted, until the watermark has passed them, and are folded in the order of their time; so batches in any order, and
+    any cut into batches, give the fold of the whole record, as no row is later than ``late``. Later ones
+    are dropped, and Spark counts them. A timer per key wakes it at the time of its earliest waiting step. State per key: its store and the steps of
+    ``late``, in RocksDB (see ``streaming.replay.state_on_disk``), so a restart goes on from there. Rows without a key only
+    move the clock. Steps of a key at one time are folded in order of rain, then et0. The first step starts at
+    ``initial``; its loss is null.
+    """
+    timed = steps.withColumn("__t", _instant(ts)).withWatermark("__t", late)
+    rows = timed.select(F.col(key).alias("key"), "__t", F.unix_micros("__t").alias("at"), F.col("rain").cast("double"), F.col("et0").cast("double"))
+    kind = steps.schema[key].dataType.simpleString()
+    out = rows.groupBy("key").transformWithStateInPandas(
+        _InOrder(initial, residual, capacity), f"key {kind}, at bigint, step bigint, store double, outflow double, loss double", "append", "EventTime"
+    )
+    return out.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), "step", "store", "outflow", "loss")

@@ -179,6 +179,29 @@ def test_guard(spark):
     assert guarded.select_only(spark, "SELECT 'drop table; x' AS a").first().a == "drop table; x"
 
 
+def test_guard_goes_by_the_parsed_tree(spark):
+    spark.range(4).createOrReplaceTempView("guarded_t")
+    spark.range(3).createOrReplaceTempView("guarded_u")
+    good = {
+        "WITH x AS (SELECT * FROM guarded_t) SELECT count(*) AS n FROM x JOIN guarded_u USING (id) WHERE id IN (SELECT id FROM guarded_u)": 3,
+        "SELECT count(*) AS n, 'insert into x; -- ' AS `drop` FROM guarded_t -- delete from guarded_t;\n;": 4,
+        "FROM guarded_t |> WHERE id > 1 |> AGGREGATE count(*) AS n": 2,
+        "SELECT count(*) AS n FROM (SELECT id FROM guarded_t EXCEPT SELECT id FROM guarded_u)": 1,
+        "SELECT (SELECT count(*) FROM guarded_u) AS n FROM guarded_t WINDOW w AS (ORDER BY id) LIMIT 1": 3,
+    }
+    for sql, n in good.items():
+        assert guarded.select_only(spark, sql, {"guarded_t", "guarded_u"}).first().n == n
+    bad = [
+        "FROM guarded_t INSERT INTO guarded_u SELECT id", "EXPLAIN SELECT 1", "CACHE TABLE guarded_t", "SET a = b", "BEGIN SELECT 1; END", "EXECUTE IMMEDIATE 'DROP VIEW guarded_t'", "DESCRIBE guarded_t", "USE x", "", "nonsense",
+        "SELECT reflect('java.lang.System', 'getenv')", "SELECT (SELECT max(java_method('a', 'b')) FROM guarded_t)", "SELECT x FROM (SELECT TRANSFORM(id) USING 'cat' AS (x) FROM guarded_t)", "SELECT * FROM parquet.`/etc/x`",
+        "SELECT * FROM guarded_other", "MERGE INTO guarded_t USING guarded_u ON guarded_t.id = guarded_u.id WHEN MATCHED THEN DELETE",
+    ]
+    for sql in bad:
+        with pytest.raises(ValueError):
+            guarded.select_only(spark, sql, {"guarded_t", "guarded_u"})
+    assert spark.table("guarded_t").count() == 4
+
+
 def test_bounds_and_aliases(spark):
     dim = spark.createDataFrame([("gravel", ["Kies", "K"])], "key string, aliases array<string>")
     rows = spark.createDataFrame([(" kies ",), ("GRAVEL",), ("other",), (None,)], "name string")
