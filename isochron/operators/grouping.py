@@ -131,15 +131,38 @@ def keep_one(rows: DataFrame, keys: list[str], order: list, last: bool = False)
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where("__n = 1").drop("__n")
 
 
+def _in_hash_order(rows: DataFrame, keys: list[str], key: Column, seed: int | Column, value: Column) -> DataFrame:
+    """``rows`` with __before: the sum of ``value`` over the rows of the same ``keys`` that come earlier in the order of the MD5 of seed and key.
+
+    In two levels: sums of 65,536 ranges of the hash are totalled (that many rows a key), then rows are sorted within their range. No task has more than a range.
+    """
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    hashed = rows.withColumn("__by", F.md5(F.concat_ws(":", seed.cast("string"), key.cast("string")))).withColumn("__value", value).withColumn("__range", F.conv(F.substring("__by", 1, 4), 16, 10).cast("int"))
+    sums = hashed.groupBy(*keys, "__range").agg(F.sum("__value").alias("__in"))
+    sums = sums.select(*keys, "__range", (F.sum("__in").over(W.partitionBy(*(keys or [F.lit(0)])).orderBy("__range")) - F.col("__in")).alias("__first"))
+    inner = W.partitionBy(*keys, "__range").orderBy("__by", key).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = hashed.withColumn("__upto", F.sum("__value").over(inner)).join(sums, [*keys, "__range"])
+    return placed.withColumn("__before", F.col("__first") + F.col("__upto") - F.col("__value")).drop("__by", "__value", "__range", "__first", "__upto")
+
+
 def group_split(groups: DataFrame, share: float, seed: int) -> DataFrame:
-    """Whole groups to train or test so that test gets about ``share`` of the items: group, split. ``groups``: group, n.
+    """Whole groups to train or test so that test gets about ``share`` of the items: group, split. ``groups``: group (unique), n.
+
+    Groups in an order by hash of (seed, group) fill the test side until its share is reached; the one that crosses the border goes where less is off.
+    """
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    run = _in_hash_order(groups.select("group", "n"), [], F.col("group"), seed, F.col("n"))
+    return run.select("group", F.when(F.col("__before") + F.col("n") / 2 <= total * share, "test").otherwise("train").alias("split"))
+
+
+def mini_batches(rows: DataFrame, key: str, size: int, epochs: int, seed: int) -> DataFrame:
+    """``rows`` once for each epoch, with epoch, position (from 0) and batch: an order of its own for each epoch, cut into batches of ``size``; only the last may be smaller.
 
-    Groups in an order by hash of (group, seed) fill the test side until its share is reached; the one that crosses the border goes where less is off.
+    ``key`` is unique: rows of one key come in any order. The order is that of the MD5 of (seed + epoch, key), so reruns and other engines agree; it is another one than a seeded generator's.
     """
-    order = W.partitionBy(F.lit(0)).orderBy(F.xxhash64(F.lit(seed), "group"), "group")
-    run = groups.withColumn("__up", F.sum("n").over(order)).withColumn("__goal", F.sum("n").over(W.partitionBy(F.lit(0))) * share)
-    test = (F.col("__up") - F.col("n") / 2) <= F.col("__goal")
-    return run.select("group", F.when(test, "test").otherwise("train").alias("split"))
+    each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    placed = _in_hash_order(each, ["epoch"], F.col(key), F.lit(seed) + F.col("epoch"), F.lit(1))
+    return placed.withColumnRenamed("__before", "position").withColumn("batch", F.expr(f"position DIV {int(size)}"))
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:

@@ -703,7 +703,10 @@ def near_duplicate_groups(spark, sf_dir):
     return e.select("vec_id").join(roots, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("root", "vec_id").alias("group"))
 
 
-@query()
+@query("""
+    WITH g AS (SELECT o_custkey AS "group", count(*) AS n FROM orders GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY md5('7:' || "group") ROWS UNBOUNDED PRECEDING) AS up, sum(n) OVER () AS total FROM g)
+    SELECT "group", CASE WHEN up - n / 2 <= total * 0.2::DOUBLE THEN 'test' ELSE 'train' END AS split FROM r
+""")
 def group_split(spark, sf_dir):
     sizes = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("group")).agg(F.count("*").alias("n"))
     return grouping.group_split(sizes, 0.2, 7)

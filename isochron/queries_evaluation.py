@@ -1 +1,89 @@
 """Queries of the evaluation layer and of SQL features over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from isochron.operators import grouping, nearest, trajectories
+from isochron.queries import query, table
+
+# --- order and likeness --------------------------------------------------------------------------
+
+
+@query("""
+    WITH e AS (SELECT o_orderkey, unnest([0, 1]) AS epoch FROM orders), p AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY md5((11 + epoch) || ':' || o_orderkey)) - 1 AS position FROM e)
+    SELECT o_orderkey, epoch, position, position // 64 AS batch FROM p
+""")
+def mini_batches(spark, sf_dir):
+    return grouping.mini_batches(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 64, epochs=2, seed=11)
+
+
+@query()
+def nearest_request_exact(spark, sf_dir):
+    """No SQL: DuckDB has no ratio of matching blocks; held to brute force in the tests."""
+    p = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("key"))
+    return nearest.nearest_matches(p, p)
+
+
+# --- arguments and trajectories ---------------------------------------------------------------------
+# A case is an order, its calls are its lines: the tool is the return flag, the arguments are an object of the line's columns.
+
+
+def _letter(number):
+    return F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("X")), (number % 3 + 1).cast("int"))
+
+
+def _calls(spark, sf_dir):
+    series = F.array(F.struct(F.col("l_linestatus").alias("roof")), F.struct(_letter(F.col("l_partkey")).alias("roof")))
+    window = F.struct(F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey") % 5 + 1).alias("past_days"), F.when(F.col("l_suppkey") % 2 == 1, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("start_date"), F.when(F.col("l_suppkey") % 2 == 1, F.date_format(F.date_add("l_shipdate", 3), "yyyy-MM-dd")).alias("end_date"))
+    args = F.to_json(F.struct(F.col("l_quantity").alias("qty"), series.alias("series"), window.alias("window")))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("call"), F.col("l_returnflag").alias("name"), F.parse_json(args).alias("args"))
+
+
+def _cases(spark, sf_dir):
+    flag = F.when(F.col("o_orderkey") % 2 == 0, "R").otherwise("N")
+    never = F.when(F.col("o_orderkey") % 5 == 0, F.array(F.lit("A"))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.to_date("o_orderdate").alias("today"), F.array(flag).alias("required"), never.alias("forbidden"), "o_custkey")
+
+
+def _checks(cases):
+    def check(grp, path, op, value, low=None, high=None, resolve=False):
+        value = F.lit(None).cast("string") if value is None else value
+        number = lambda x: F.lit(x).cast("double")
+        return F.struct(F.lit(grp).cast("string").alias("grp"), F.lit(path).alias("path"), F.lit(op).alias("op"), value.alias("value"), number(low).alias("low"), number(high).alias("high"), F.lit(resolve).alias("resolve"))
+
+    each = F.array(
+        check(None, "qty", "present", None, 5, 45), check(None, "series.*.roof", "set_eq", F.to_json(F.array(F.lit("F"), F.lit("O"))), None, None), check("b", "series.-1.roof", "eq", F.concat(F.lit('"'), _letter(F.col("o_custkey")), F.lit('"'))),
+        check("c", "window.end_date", "eq", F.concat(F.lit('"'), F.date_format(F.date_sub("today", 1), "yyyy-MM-dd"), F.lit('"')), resolve=True), check("c", "window.past_days", "present", None),
+    )
+    rows = cases.select("case_id", F.element_at("required", 1).alias("tool"), F.explode(each).alias("c")).select("case_id", "tool", "c.*")
+    return rows.where((F.col("op") != "set_eq") | (F.col("case_id") % 4 == 0)).withColumn("value", F.parse_json("value"))
+
+
+_LINES = """
+    c AS (SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'R' ELSE 'N' END AS tool, o_orderkey % 5 = 0 AS never, o_custkey, CAST(o_orderdate AS DATE) AS today FROM orders),
+    l AS (SELECT c.*, l_linenumber, l_quantity BETWEEN 5 AND 45 AS qty, l_partkey % 3 = o_custkey % 3 AS roof, case_id % 4 <> 0 OR l_partkey % 3 = CASE l_linestatus WHEN 'F' THEN 1 ELSE 0 END AS roofs,
+                 CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE CASE WHEN CAST(l_shipdate AS DATE) + 3 = today - 1 THEN 1 ELSE 2 END END AS missing_in_window FROM c JOIN lineitem ON l_orderkey = case_id AND l_returnflag = tool),
+    g AS (SELECT case_id, min(CAST(NOT qty AS INT) + CAST(NOT roofs AS INT)) AS a, min(CAST(NOT roof AS INT)) AS b, min(missing_in_window) AS c FROM l GROUP BY 1)
+"""
+
+
+@query(f"""
+    WITH {_LINES}, e AS (SELECT c.case_id, tool, unnest([NULL, 'b', 'c']) AS grp, unnest([coalesce(a, CASE WHEN c.case_id % 4 = 0 THEN 2 ELSE 1 END), coalesce(b, 1), coalesce(g.c, 2)]) AS missed FROM c LEFT JOIN g USING (case_id))
+    SELECT case_id, tool, grp, missed = 0 AS passed, missed FROM e
+""")
+def argument_checks(spark, sf_dir):
+    cases = _cases(spark, sf_dir)
+    return trajectories.checked_groups(_calls(spark, sf_dir), _checks(cases), cases)
+
+
+@query(f"""
+    WITH {_LINES}, n AS (SELECT l_orderkey AS case_id, list_distinct(list(l_returnflag)) AS called, list(l_returnflag) AS every FROM lineitem GROUP BY 1),
+    f AS (SELECT c.case_id, CAST(coalesce(a, 1) > 0 AS INT) + CAST(coalesce(b, 1) > 0 AS INT) + CAST(coalesce(g.c, 2) > 0 AS INT) AS failed_groups FROM c LEFT JOIN g USING (case_id)),
+    t AS (SELECT c.case_id, CAST(NOT coalesce(list_contains(called, tool), false) AS INT) AS missing, CAST(never AND coalesce(list_contains(called, 'A'), false) AS INT) AS forbidden, failed_groups,
+                 coalesce(len(list_filter(every, lambda x: x <> tool)), 0) AS extra_calls FROM c LEFT JOIN n USING (case_id) JOIN f USING (case_id))
+    SELECT *, CAST(missing + forbidden + failed_groups = 0 AS DOUBLE) AS score FROM t
+""")
+def trajectory_scores(spark, sf_dir):
+    cases = _cases(spark, sf_dir)
+    return trajectories.trajectory_scores(cases, _calls(spark, sf_dir), _checks(cases))
