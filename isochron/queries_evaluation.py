@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from isochron.operators import grouping, nearest, trajectories
-from isochron.queries import query, table
+from isochron.operators import evaluation, grouping, nearest, trajectories
+from isochron.queries import delegated, query, r, table
+from isochron.working import new_path
 
 # --- order and likeness --------------------------------------------------------------------------
 
@@ -87,3 +88,215 @@ def argument_checks(spark, sf_dir):
 def trajectory_scores(spark, sf_dir):
     cases = _cases(spark, sf_dir)
     return trajectories.trajectory_scores(cases, _calls(spark, sf_dir), _checks(cases))
+
+
+# --- comparisons, gaps, reports -----------------------------------------------------------------------
+
+_RUNS = """
+    WITH o AS (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'test_unseen' WHEN l_partkey % 2 = 0 THEN 'train' ELSE 'test_seen' END AS split, CASE WHEN l_returnflag = 'N' THEN 'base' ELSE 'tuned' END AS arm, l_suppkey AS template_id, l_partkey AS case_id,
+                      CASE WHEN l_discount >= 0.02 THEN l_extendedprice / 77777 END AS value, l_tax >= 0.075 AS excluded FROM lineitem),
+    c AS (SELECT split, arm, template_id, case_id, avg(value) AS v FROM o WHERE value IS NOT NULL GROUP BY ALL)
+"""
+
+
+def _runs(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    split = F.when(F.col("l_suppkey") % 4 == 0, "test_unseen").when(F.col("l_partkey") % 2 == 0, "train").otherwise("test_seen")
+    return li.select(
+        split.alias("split"), F.when(F.col("l_returnflag") == "N", "base").otherwise("tuned").alias("arm"), F.col("l_suppkey").alias("template_id"), F.col("l_partkey").alias("case_id"),
+        F.when(F.col("l_discount") >= 0.02, F.col("l_extendedprice") / 77777).alias("value"), (F.col("l_tax") >= 0.075).alias("excluded"), "l_quantity", "l_linenumber", "l_linestatus",
+    )
+
+
+def _drawn(groups: str, key: str) -> str:
+    """SQL of the intervals of ``groups`` (key, template_id, d)."""
+    return f"""
+    nn AS (SELECT {key}, d, row_number() OVER (PARTITION BY {key} ORDER BY template_id) - 1 AS j, count(*) OVER (PARTITION BY {key}) AS n FROM {groups} WHERE d IS NOT NULL),
+    dd AS (SELECT {key}, r, CAST('0x' || substr(md5('42:' || r || ':' || i), 1, 8) AS BIGINT) % n AS j FROM (SELECT DISTINCT {key}, n FROM nn), range(1000) AS a(r), range(100000) AS b(i) WHERE i < n),
+    mm AS (SELECT {key}, r, avg(d) AS m FROM dd JOIN nn USING ({key}, j) GROUP BY ALL),
+    iv AS (SELECT {key}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mm GROUP BY 1)
+    """
+
+
+@query(_RUNS + f""",
+    x AS (SELECT DISTINCT split, template_id, case_id FROM o WHERE excluded), u AS (SELECT split, template_id, case_id, max(v) FILTER (WHERE arm = 'base') AS a, max(v) FILTER (WHERE arm = 'tuned') AS b FROM c GROUP BY ALL),
+    k AS (SELECT u.*, a IS NOT NULL AND b IS NOT NULL AND x.split IS NULL AS paired FROM u LEFT JOIN x USING (split, template_id, case_id)),
+    t AS (SELECT split, template_id, avg(a) AS a, avg(b) AS b, avg(b) - avg(a) AS d FROM k WHERE paired GROUP BY ALL), {_drawn("t", "split")},
+    s AS (SELECT split, avg(a) AS baseline, avg(b) AS optimized, avg(d) AS difference, count(*) AS templates FROM t GROUP BY 1), z AS (SELECT split, count(*) FILTER (WHERE paired) AS cases, count(*) FILTER (WHERE NOT paired) AS dropped FROM k GROUP BY 1)
+    SELECT split, round(baseline, 6) AS baseline, round(optimized, 6) AS optimized, round(difference, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high, cases, dropped, coalesce(templates, 0) AS templates FROM z LEFT JOIN s USING (split) LEFT JOIN iv USING (split)
+""")
+def arm_comparison(spark, sf_dir):
+    out = evaluation.comparison(_runs(spark, sf_dir), "base", "tuned", "value", resamples=1000)
+    return out.select("split", *(r(c, 6).alias(c) for c in ("baseline", "optimized", "difference", "low", "high")), "cases", "dropped", "templates")
+
+
+@query(_RUNS + f""",
+    p AS (SELECT arm, split, template_id, avg(v) AS v FROM c GROUP BY ALL), w AS (SELECT arm, template_id, max(v) FILTER (WHERE split = 'train') - max(v) FILTER (WHERE split = 'test_seen') AS d FROM p GROUP BY ALL), {_drawn("w", "arm")},
+    a AS (SELECT arm, avg(v) FILTER (WHERE split = 'train') AS t, avg(v) FILTER (WHERE split = 'test_seen') AS s, avg(v) FILTER (WHERE split = 'test_unseen') AS u FROM p GROUP BY 1),
+    g AS (SELECT arm, 'train' AS from_split, 'test_seen' AS to_split, t AS f, s AS e, low, high FROM a LEFT JOIN iv USING (arm) UNION ALL SELECT arm, 'test_seen', 'test_unseen', s, u, NULL, NULL FROM a)
+    SELECT arm, from_split, to_split, round(f, 6) AS from_value, round(e, 6) AS to_value, round(f - e, 6) AS gap, round(low, 6) AS low, round(high, 6) AS high FROM g
+""")
+def generalisation_gaps(spark, sf_dir):
+    out = evaluation.gaps(_runs(spark, sf_dir), "value", resamples=1000)
+    return out.select("arm", "from_split", "to_split", *(r(c, 6).alias(c) for c in ("from_value", "to_value", "gap", "low", "high")))
+
+
+@query(_RUNS + """ SELECT arm, split, count(*) AS cases, count(*) FILTER (WHERE NOT excluded) AS included, count(*) FILTER (WHERE excluded) AS excluded, round(avg(value) FILTER (WHERE NOT excluded), 6) AS value_mean,
+    count(value) FILTER (WHERE NOT excluded) AS value_scored, count(*) FILTER (WHERE NOT excluded AND value IS NULL) AS value_skipped, round(count(value) FILTER (WHERE NOT excluded) / count(*) FILTER (WHERE NOT excluded), 6) AS value_coverage FROM o GROUP BY ALL""")
+def arm_report(spark, sf_dir):
+    return evaluation.arm_report(_runs(spark, sf_dir), ["arm", "split"], ["value"]).withColumns({c: r(c, 6) for c in ("value_mean", "value_coverage")})
+
+
+@query("""
+    WITH x AS (SELECT CASE WHEN l_returnflag = 'N' THEN 'base' ELSE 'tuned' END AS arm, unnest(CASE WHEN l_linenumber % 3 = 0 THEN ['unknown'] ELSE ['weather', 'line ' || l_linestatus] END) AS source FROM lineitem WHERE l_tax >= 0.075)
+    SELECT arm, source, count(*) AS n FROM x GROUP BY ALL
+""")
+def exclusions_by_source(spark, sf_dir):
+    sources = F.when(F.col("l_linenumber") % 3 == 1, F.array(F.lit("weather"), F.concat(F.lit("line "), "l_linestatus"))).when(F.col("l_linenumber") % 3 == 2, F.array(F.lit("weather"), F.concat(F.lit("line "), "l_linestatus")))
+    return evaluation.exclusions(_runs(spark, sf_dir).withColumn("sources", sources), ["arm"])
+
+
+@query(_RUNS + """, e AS (SELECT *, l_quantity, l_linenumber FROM (SELECT row_number() OVER () AS k, * FROM o) POSITIONAL JOIN (SELECT l_quantity, l_linenumber FROM lineitem))
+    SELECT arm, round(avg(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber END), 6) AS mean_steps, round(avg(l_quantity), 6) AS mean_tokens, round(avg(l_quantity * 2) FILTER (WHERE l_linenumber > 4), 6) AS mean_fixer_iterations,
+           count(*) FILTER (WHERE l_quantity > 40) AS parse_failures, 0 AS step_cap_exceeded, count(*) AS rollouts FROM e WHERE NOT excluded GROUP BY 1
+""")
+def rollout_diagnostics(spark, sf_dir):
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    doc = F.to_json(F.struct(F.when(n > 1, n).alias("steps"), F.struct(q.alias("total")).alias("tokens"), F.when(n > 4, q * 2).alias("fixer_iterations"), (q > 40).alias("parse_failure")))
+    out = evaluation.diagnostics(_runs(spark, sf_dir).withColumn("diagnostics", doc), ["arm"])
+    return out.select("arm", *(r(c, 6).alias(c) for c in ("mean_steps", "mean_tokens", "mean_fixer_iterations")), "parse_failures", "step_cap_exceeded", "rollouts")
+
+
+@query("""
+    WITH p AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS as_of, CAST(o_orderdate AS DATE) + CAST(o_custkey % 5 - 3 AS INTEGER) AS a, CAST(o_orderdate AS DATE) + CAST(o_custkey % 3 - 2 AS INTEGER) AS b FROM orders)
+    SELECT o_orderkey, 'window' AS param, strftime(greatest(a, b), '%Y-%m-%d') AS latest FROM p WHERE greatest(a, b) > as_of
+""")
+def days_past_as_of(spark, sf_dir):
+    d = F.to_date("o_orderdate")
+    text = lambda shift: F.date_format(F.date_add(d, shift.cast("int")), "yyyy-MM-dd")
+    window = F.concat(text(F.col("o_custkey") % 5 - 3), F.lit(".."), text(F.col("o_custkey") % 3 - 2))
+    params = F.create_map(F.lit("window"), window, F.lit("number"), F.concat(F.lit("12024-13-41 "), F.col("o_custkey").cast("string")), F.lit("roof"), F.lit("gravel"))
+    cases = table(spark, sf_dir, "orders").select("o_orderkey", d.alias("as_of"), params.alias("params"))
+    return evaluation.days_past(cases, "o_orderkey").withColumn("latest", F.date_format("latest", "yyyy-MM-dd"))
+
+
+@query("""
+    SELECT c_custkey, 'roof_b' AS param, r_name AS resolved FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE')
+""")
+def roofs_outside_pool(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    dim = table(spark, sf_dir, "region").join(nation, F.col("r_regionkey") == F.col("n_regionkey")).groupBy(F.col("r_name").alias("key")).agg(F.collect_list("n_name").alias("aliases"))
+    named = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    cases = named.select("c_custkey", F.create_map(F.lit("roof_a"), "c_mktsegment", F.lit("roof_b"), F.concat(F.lit(" "), F.lower("n_name"))).alias("params"))
+    return evaluation.outside_pool(cases, "c_custkey", dim, ["ASIA", "EUROPE"])
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey AS case_id, l_linenumber AS call, CAST(o_orderdate AS DATE) AS today, l_suppkey % 3 AS k, l_partkey % 9 - 6 AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
+    w AS (SELECT case_id, call, today, CASE k WHEN 0 THEN today + CAST(s AS INTEGER) + 3 WHEN 1 THEN CASE WHEN s < -3 THEN NULL ELSE today - 1 END ELSE CASE WHEN s < 1 THEN NULL ELSE today + CAST(s AS INTEGER) - 1 END END AS ends FROM l)
+    SELECT case_id, call, strftime(ends, '%Y-%m-%d') AS ends FROM w WHERE ends IS NULL OR ends > today
+""")
+def comparison_windows(spark, sf_dir):
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    k, s, today = F.col("l_suppkey") % 3, F.col("l_partkey") % 9 - 6, F.to_date("o_orderdate")
+    text = lambda shift: F.date_format(F.date_add(today, shift.cast("int")), "yyyy-MM-dd")
+    args = F.struct(F.when(k == 0, text(s)).alias("start_date"), F.when(k == 0, text(s + 3)).alias("end_date"), F.when(k == 1, s + 4).alias("past_days"), F.when(k == 2, s).alias("forecast_days"), (F.col("l_linestatus") == "F").alias("evaluate_against_measured"))
+    calls = joined.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("call"), F.col("l_returnflag").alias("name"), F.parse_json(F.to_json(args)).alias("args"), today.alias("today"))
+    return evaluation.windows_past(calls, "case_id", "R").withColumn("ends", F.date_format("ends", "yyyy-MM-dd"))
+
+
+@query("""
+    WITH c AS (SELECT o_orderpriority AS split, o_custkey % 7 AS template_id, o_totalprice > 400000 AS abstains FROM orders), j AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'balance' WHEN 1 THEN 'coverage' ELSE 'oracle' END AS reason FROM lineitem WHERE l_tax = 0),
+    m AS (SELECT split, template_id, count(*) AS made FROM c GROUP BY ALL), w AS (SELECT DISTINCT split, t AS template_id, 45 AS n FROM c, range(8) AS x(t))
+    SELECT 'cases' AS section, split AS key, count(*) AS n FROM c GROUP BY 2 UNION ALL SELECT 'abstentions', split, count(*) FILTER (WHERE abstains) FROM c GROUP BY 2 UNION ALL SELECT 'rejections', reason, count(*) FROM j GROUP BY 2
+    UNION ALL SELECT 'attempts', 'all', (SELECT count(*) FROM c) + (SELECT count(*) FROM j) UNION ALL SELECT 'shortfalls', split || '/' || template_id, n - coalesce(made, 0) FROM w LEFT JOIN m USING (split, template_id) WHERE n > coalesce(made, 0)
+""")
+def generation_report(spark, sf_dir):
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("split"), (F.col("o_custkey") % 7).alias("template_id"), (F.col("o_totalprice") > 400000).alias("abstains"))
+    reason = F.element_at(F.array(F.lit("balance"), F.lit("coverage"), F.lit("oracle")), F.col("l_linenumber") % 3 + 1)
+    rejections = table(spark, sf_dir, "lineitem").where("l_tax = 0").select(reason.alias("reason"))
+    wanted = cases.select("split").distinct().select("split", F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>")).alias("template_id"), F.lit(45).alias("n"))
+    return evaluation.generation_report(cases, rejections, wanted)
+
+
+@query("""
+    SELECT o_orderstatus AS arm, o_orderpriority AS split, count(*) AS rollouts, count(DISTINCT o_custkey) AS candidates, count(*) FILTER (WHERE o_orderkey % 3 > 0) AS witnessed,
+           array_to_string(list_sort(list_distinct(list(CAST(o_custkey % 4 AS VARCHAR)) FILTER (WHERE o_orderkey % 3 > 0))), ',') AS served, sum(o_orderkey) AS tokens,
+           CASE WHEN count(*) FILTER (WHERE o_totalprice < 1200) = 0 THEN round(sum(o_totalprice) / 1000, 4) END AS cost FROM orders GROUP BY ALL
+""")
+def ledger_rollup(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(
+        F.col("o_orderstatus").alias("arm"), F.col("o_orderpriority").alias("split"), F.lit(0).alias("repeat"), F.col("o_custkey").alias("candidate_id"), F.when(F.col("o_orderkey") % 3 > 0, (F.col("o_custkey") % 4).cast("string")).alias("served_model_id"),
+        F.col("o_orderkey").alias("tokens"), F.when(F.col("o_totalprice") >= 1200, F.col("o_totalprice") / 1000).alias("cost"),
+    )
+    path = new_path(spark, "ledger")
+    evaluation.write_ledger(rows, path)
+    evaluation.write_ledger(rows.where("arm = 'F'"), path)  # a condition that runs again stays one
+    return evaluation.ledger_summary(spark.read.parquet(path), ["arm", "split"]).withColumn("served", F.array_join("served", ",")).withColumn("cost", r("cost", 4))
+
+
+_SPLITS = """
+    WITH s AS (SELECT seed, c_custkey, CASE WHEN substr(md5(seed || ':' || c_custkey), 1, 1) < 'b' THEN 'train' ELSE 'test' END AS split FROM customer, (VALUES (1), (2), (3)) AS v(seed) WHERE c_custkey % 97 > 0 OR seed < 3
+               UNION ALL SELECT 2, c_custkey, 'test' FROM customer WHERE c_custkey % 50 = 1 UNION ALL SELECT 1, -1, 'test')
+"""
+
+
+def _seeded_splits(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    s = c.withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("c_custkey % 97 > 0 OR seed < 3")
+    s = s.select("seed", "c_custkey", F.when(F.substring(F.md5(F.concat_ws(":", "seed", "c_custkey")), 1, 1) < "b", "train").otherwise("test").alias("split"))
+    again = c.where("c_custkey % 50 = 1").select(F.lit(2).alias("seed"), "c_custkey", F.lit("test").alias("split"))
+    foreign = c.agg(F.lit(1).alias("seed"), F.min(F.lit(-1)).cast("bigint").alias("c_custkey"), F.lit("test").alias("split"))
+    return s.unionByName(again).unionByName(foreign)
+
+
+@query(_SPLITS + """, i AS (SELECT seed, c_custkey, count(DISTINCT split) AS n FROM s GROUP BY ALL), k AS (SELECT seed, count(*) AS items, count(*) FILTER (WHERE n > 1) AS twice, count(*) FILTER (WHERE c_custkey >= 0) AS known FROM i GROUP BY 1)
+    SELECT seed, items, twice, (SELECT count(*) FROM customer) - known AS missing, items - known AS foreign, twice = 0 AND known = (SELECT count(*) FROM customer) AND items = known AS whole FROM k""")
+def split_integrity(spark, sf_dir):
+    return evaluation.split_integrity(_seeded_splits(spark, sf_dir), table(spark, sf_dir, "customer"), "c_custkey")
+
+
+@query(_SPLITS + """, t AS (SELECT DISTINCT seed, c_custkey FROM s WHERE split = 'train'), z AS (SELECT seed AS a, count(*) AS size FROM t GROUP BY 1)
+    SELECT a.seed AS a, b.seed AS b, count(*) AS shared, round(count(*) / any_value(size), 6) AS share FROM t a JOIN t b ON a.c_custkey = b.c_custkey AND a.seed < b.seed JOIN z ON z.a = a.seed GROUP BY 1, 2""")
+def train_overlap(spark, sf_dir):
+    return evaluation.train_overlap(_seeded_splits(spark, sf_dir), "c_custkey").withColumn("share", r("share", 6))
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_size > 45 OR p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def replayable_cases(spark, sf_dir):
+    cached = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    p = table(spark, sf_dir, "part").withColumn("refuses", F.col("p_size") > 45)
+    return evaluation.replayable(p, cached, "p_partkey", "refuses", "p_partkey").select("p_partkey", "p_brand")
+
+
+@query("SELECT o_orderkey, o_custkey + o_orderkey % 2 AS o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status, o_orderkey % 2 = 0 AS found FROM orders")
+def owned_rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    asked = o.select("o_orderkey", (F.col("o_custkey") + F.col("o_orderkey") % 2).alias("o_custkey"))
+    return evaluation.owned(asked, o.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status")), "o_orderkey", "o_custkey")
+
+
+@query("""
+    SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN o_orderkey % 2 = 0 WHEN 1 THEN o_orderkey % 3 <> 2 AND abs(round(o_totalprice) - o_totalprice) <= 0.3 WHEN 2 THEN o_orderkey % 3 <> 2 AND abs(round(o_totalprice) - o_totalprice) <= 0.000002 * o_totalprice ELSE o_orderstatus = 'F' END AS matched FROM orders
+""")
+def answer_matches(spark, sf_dir):
+    k, price = F.col("o_custkey") % 4, F.col("o_totalprice")
+    expected = F.when(k == 0, F.lit("true")).when(k < 3, price.cast("string")).otherwise(F.lit('"F"'))
+    given = F.when(k == 0, F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("1")).when(k == 1, F.round(price).cast("bigint").cast("string")).when(k == 2, F.concat(F.lit('" '), F.round(price).cast("bigint").cast("string"), F.lit('"')))
+    given = F.coalesce(given, F.concat(F.lit('"'), "o_orderstatus", F.lit('"')))
+    unit = F.element_at(F.array(F.lit("L"), F.lit("mm"), F.lit("%")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    kind, within = F.when(k == 1, "abs").when(k == 2, "rel"), F.when(k == 1, 0.3).otherwise(0.000002)
+    return table(spark, sf_dir, "orders").select("o_orderkey", evaluation.answer_matches(F.parse_json(expected), F.parse_json(given), F.lit("mm"), unit, kind, within).alias("matched"))
+
+
+# --- SQL features that are handed to Spark ---------------------------------------------------------------
+
+delegated("sql_right_join", "SELECT n.n_name, count(s.s_suppkey) AS suppliers FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000 GROUP BY n.n_name")
+delegated("sql_natural_join", "SELECT k, c, s FROM (SELECT c_nationkey AS k, count(*) AS c FROM customer GROUP BY c_nationkey) a NATURAL JOIN (SELECT s_nationkey AS k, count(*) AS s FROM supplier GROUP BY s_nationkey) b")
+delegated("sql_join_using", "SELECT k, c, s FROM (SELECT c_nationkey AS k, count(*) AS c FROM customer GROUP BY c_nationkey) a LEFT JOIN (SELECT s_nationkey AS k, count(*) AS s FROM supplier GROUP BY s_nationkey) b USING (k)")
+delegated("sql_lateral_top", "SELECT c.c_custkey, t.o_orderkey, t.o_totalprice FROM customer c, LATERAL (SELECT o.o_orderkey, o.o_totalprice FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 2) t")
+delegated("sql_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey + 20 FROM nation")
+delegated("sql_union_all", "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation) u GROUP BY k")
+delegated("sql_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+delegated("sql_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")

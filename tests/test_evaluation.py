@@ -65,3 +65,80 @@ def test_one_call_passes_all_checks(spark):
     assert groups == {(1, None): (False, 1), (2, None): (True, 0), (2, "x"): (True, 0), (3, None): (False, 1)}
     scores = {r.case_id: tuple(r)[1:] for r in trajectories.trajectory_scores(cases, calls, checks).collect()}
     assert scores == {1: (0, 0, 1, 0, 0.0), 2: (0, 0, 0, 1, 1.0), 3: (0, 1, 1, 1, 0.0), 4: (0, 0, 0, 0, 1.0)}
+
+
+def test_comparison_counts_what_it_drops(spark):
+    from isochron.operators import evaluation
+
+    rows = [("s", "a", 1, 1, 1.0, False), ("s", "a", 1, 1, 3.0, False), ("s", "b", 1, 1, 4.0, False), ("s", "a", 1, 2, 9.0, False), ("s", "b", 2, 3, 1.0, False), ("s", "a", 2, 3, 0.0, True), ("s", "a", 2, 3, 0.0, False), ("s", "a", 3, 4, None, False), ("s", "b", 3, 4, 5.0, False), ("u", "a", 1, 1, 1.0, False)]
+    df = spark.createDataFrame(rows, "split string, arm string, template_id int, case_id int, value double, excluded boolean")
+    out = {r.split: r for r in evaluation.comparison(df, "a", "b", "value", resamples=50).collect()}
+    assert (out["s"].baseline, out["s"].optimized, out["s"].difference, out["s"].low, out["s"].high, out["s"].cases, out["s"].dropped, out["s"].templates) == (2.0, 4.0, 2.0, 2.0, 2.0, 1, 3, 1)
+    assert (out["u"].baseline, out["u"].low, out["u"].cases, out["u"].dropped, out["u"].templates) == (None, None, 0, 1, 0)
+    assert evaluation.comparison(df.limit(0), "a", "b", "value").count() == 0
+
+
+def test_resampled_by_hand(spark):
+    import hashlib
+
+    import numpy as np
+
+    from isochron.operators import evaluation
+
+    values = [0.5, 1.0, 4.0, 7.5, 2.0]
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)] + [("k", 9, None), ("one", 1, 3.0)], "key string, m int, v double")
+    out = {r.key: r for r in evaluation.resampled(df, ["key"], "v", "m", 200, 7).collect()}
+    pick = lambda r, i: values[int(hashlib.md5(f"7:{r}:{i}".encode()).hexdigest()[:8], 16) % 5]
+    means = [np.mean([pick(r, i) for i in range(5)]) for r in range(200)]
+    assert out["k"].n == 5 and out["k"].mean == pytest.approx(3.0)
+    assert (out["k"].low, out["k"].high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+    assert (out["one"].low, out["one"].high) == (3.0, 3.0)
+
+
+def test_gaps_without_a_split(spark):
+    from isochron.operators import evaluation
+
+    rows = [("a", "train", 1, 1, 1.0), ("a", "test_seen", 1, 2, 0.5), ("a", "train", 2, 3, 1.0)]
+    df = spark.createDataFrame(rows, "arm string, split string, template_id int, case_id int, value double")
+    out = {r.to_split: r for r in evaluation.gaps(df, "value", resamples=20).collect()}
+    assert (out["test_seen"].gap, out["test_seen"].low, out["test_seen"].high) == (0.5, 0.5, 0.5)
+    assert (out["test_unseen"].from_value, out["test_unseen"].to_value, out["test_unseen"].gap, out["test_unseen"].low) == (0.5, None, None, None)
+
+
+def test_answers(spark):
+    from isochron.operators import evaluation
+
+    cases = [
+        ("true", "true", None, None, "exact", None, True), ("true", "1", None, None, "exact", None, False), ("true", '"true"', None, None, "exact", None, False), ("12.5", '" 12.5 "', "mm", "L", "exact", None, True), ("12.5", "12.6", "mm", "mm", "abs", 0.2, True),
+        ("12.5", "12.5", "mm", "cm", "abs", 0.2, False), ("100", "102", "%θ", "%", "rel", 0.02, True), ("100", "103", "%", "%", "rel", 0.02, False), ("1", "true", None, None, "exact", None, False), ("1", "null", None, None, "exact", None, False), ("1", None, None, None, "exact", None, False),
+        ('"dry"', '"dry"', None, None, "exact", None, True), ('"1"', '"1.0"', None, None, "exact", None, False), ("1", '"x"', None, None, "abs", 5.0, False),
+    ]
+    df = spark.createDataFrame(cases, "e string, a string, eu string, au string, kind string, tol double, want boolean")
+    out = df.select("*", evaluation.answer_matches(F.parse_json("e"), F.parse_json("a"), F.col("eu"), F.col("au"), F.col("kind"), F.col("tol")).alias("got")).collect()
+    assert [(r.e, r.a) for r in out if r.got is not r.want] == []
+
+
+def test_containment(spark):
+    from isochron.operators import evaluation
+
+    rows = [(1, dt.date(2026, 4, 20), {"w": "2026-04-01..2026-04-21", "n": "no day 2026-13-01 or 12026-04-299", "l": '["2026-04-20"]', "none": None}), (2, dt.date(2026, 4, 20), {})]
+    df = spark.createDataFrame(rows, "id int, as_of date, params map<string,string>")
+    assert [(r.id, r.param, str(r.latest)) for r in evaluation.days_past(df, "id").collect()] == [(1, "w", "2026-04-21")]
+    dim = spark.createDataFrame([("gravel", ["Kies"]), ("wetland", [])], "key string, aliases array<string>")
+    cases = spark.createDataFrame([(1, {"a": " KIES", "b": "wetland", "c": "other"})], "id int, params map<string,string>")
+    assert [(r.param, r.resolved) for r in evaluation.outside_pool(cases, "id", dim, ["gravel"]).collect()] == [("b", "wetland")]
+    calls = [(1, "run", '{"evaluate_against_measured": true, "past_days": 3}'), (2, "run", '{"evaluate_against_measured": true, "forecast_days": 3}'), (3, "run", '{"forecast_days": 3}'), (4, "other", '{"evaluate_against_measured": true}'), (5, "run", '{"evaluate_against_measured": true, "past_days": 0}')]
+    calls = spark.createDataFrame([(1, *c, dt.date(2026, 4, 20)) for c in calls], "id int, call int, name string, args string, today date").withColumn("args", F.parse_json("args"))
+    assert sorted((r.call, r.ends and str(r.ends)) for r in evaluation.windows_past(calls, "id", "run").collect()) == [(2, "2026-04-22"), (5, None)]
+
+
+def test_ledger_is_replaced_by_condition(spark, tmp_path):
+    from isochron.operators import evaluation
+
+    kind = "arm string, split string, repeat int, candidate_id int, served_model_id string, tokens int, cost double"
+    rows = [("a", "s", 0, 1, "m", 10, 0.5), ("a", "s", 0, 2, None, 20, 0.25), ("b", "s", 0, 1, "n", 5, None)]
+    path = str(tmp_path / "ledger")
+    for part in (rows, rows[:2], rows[2:]):
+        evaluation.write_ledger(spark.createDataFrame(part, kind), path)
+    out = {r.arm: r for r in evaluation.ledger_summary(spark.read.parquet(path), ["arm"]).collect()}
+    assert tuple(out["a"]) == ("a", 2, 2, 1, ["m"], 30, 0.75) and tuple(out["b"]) == ("b", 1, 1, 1, ["n"], 5, None)
