@@ -102,25 +102,37 @@ def matched(condition: Column) -> Column:
     return F.coalesce(condition.cast("int"), F.lit(0))
 
 
-#: A word or a number with its points: what a literal is looked up by.
-_TOKEN = r"([\p{L}\p{N}]+(?:[.,]\p{N}+)*)"
+#: A word, or a number with its points: where a token of a text ends, a literal that ends there ends as well.
+_TOKEN = r"([\p{L}\p{N}]*\p{N}(?:[.,]\p{N}+)+|[\p{L}\p{N}]+)"
 
 
-def leaks(literals: DataFrame, texts: DataFrame, seed_texts: DataFrame, literal: str = "literal", text: str = "text") -> DataFrame:
+def _runs(tokens: Column, lengths: list[int]) -> Column:
+    """The distinct runs of so many neighbouring tokens, as texts."""
+    of = lambda n: F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), "\x00"))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    return F.array_distinct(F.flatten(F.array(*map(of, lengths))))
+
+
+def leaks(literals: DataFrame, texts: DataFrame, seed_texts: DataFrame, literal: str = "literal", text: str = "text", salts: int = 16) -> DataFrame:
     """literal, text_id: texts that hold a gold literal (words, numbers, dates, signs) which no seed text holds.
 
     A literal is held where no word or number goes on at either end: "17" not in "17.5", "small ring" not in "small rings".
-    Literals are joined with texts by equality of their longest word, not all with all, and then looked for whole. A
-    literal without letters and digits is held by no text.
+    A literal without letters and digits is held by no text. Texts are cut into runs of as many tokens as literals have, and whole runs are joined by equality,
+    dealt out by run and a hash of the text, so that a run that many texts have goes to ``salts`` tasks; only what meets is looked at character by
+    character. Each distinct text is cut once, and texts are not carried along with their runs.
     """
     tokens = lambda c: F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(1))
-    longest = F.array_max(F.transform(tokens(literal), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    wanted = literals.select(literal).distinct().select(F.col(literal).alias("__l"), longest.alias("__w"))
+    wanted = literals.select(F.col(literal).alias("__l")).where("__l IS NOT NULL").distinct().withColumn("__t", tokens("__l")).where(F.size("__t") > 0)
+    lengths = sorted(r[0] for r in wanted.select(F.size("__t")).distinct().collect())  # numbers of tokens, not literals
+    if not lengths:
+        return texts.select(F.lit(None).cast("string").alias(literal), "text_id").limit(0)
+    spread = wanted.select("__l", F.array_join("__t", "\x00").alias("__run"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?<!\p{N}[.,])\Q"), F.replace(F.col("__l"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])(?![.,]\p{N})"))
 
     def holding(df: DataFrame, *keep: str) -> DataFrame:
-        words = df.select(*keep, text, F.explode(F.array_distinct(tokens(text))).alias("__w"))
-        return wanted.where("__w IS NOT NULL").join(words, "__w").where((F.col("__l") == F.col("__w")) | F.regexp_like(text, quoted)).select("__l", *keep)
+        keyed = df.where(F.col(text).isNotNull()).select(*keep, text, F.sha2(text, 256).alias("__h"))
+        runs = keyed.groupBy("__h").agg(F.any_value(text).alias(text)).select("__h", F.explode(_runs(tokens(text), lengths)).alias("__run"))
+        met = runs.withColumn("__salt", F.pmod(F.xxhash64("__h"), F.lit(salts)).cast("int")).join(spread, ["__run", "__salt"]).select("__h", "__l")
+        return keyed.join(met, "__h").where(F.regexp_like(text, quoted)).select("__l", *keep)
 
     known = holding(seed_texts).distinct()
     return holding(texts, "text_id").join(known, "__l", "left_anti").select(F.col("__l").alias(literal), "text_id")
