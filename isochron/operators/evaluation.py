@@ -3,28 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isochron.functions.arguments import resolved_window
 from isochron.functions.text import canonical_key
-from isochron.operators.statistics import case_means, template_means
-
-
-def resampled(members: DataFrame, keys: list[str], value: str, member: str, resamples: int = 10_000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """Percentile bootstrap of the mean over the members of each group: keys, mean, low, high, n. ``member`` tells a group's members apart; null values are left out.
-
-    A draw is the MD5 of seed, resample and draw, modulo the number of members, so it is the same in any engine. Draws and members are joined by number,
-    and each resample is one partial sum: no group is gathered into a row. The work is resamples times members.
-    """
-    own = members.where(F.col(value).isNotNull())
-    numbered = own.select(*keys, F.col(value).alias("__v"), (F.row_number().over(W.partitionBy(*keys).orderBy(member)) - 1).alias("__j"))
-    sizes = own.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    draws = sizes.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("__r").cast("string"), F.col("__i").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("n")
-    means = draws.withColumn("__j", drawn.cast("int")).join(numbered, [*keys, "__j"]).groupBy(*keys, "n", "mean", "__r").agg(F.avg("__v").alias("__m"))
-    tail = (1 - confidence) / 2
-    return means.groupBy(*keys, "mean", "n").agg(F.percentile("__m", F.lit(tail)).alias("low"), F.percentile("__m", F.lit(1 - tail)).alias("high"))
+from isochron.operators.statistics import case_means, resampled, template_means
 
 
 def comparison(outcomes: DataFrame, left: str, right: str, value: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:

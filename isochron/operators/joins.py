@@ -71,6 +71,22 @@ def difference(aligned: DataFrame, left: str, right: str) -> DataFrame:
     return aligned.where(F.col(left).isNotNull() & F.col(right).isNotNull()).withColumn("diff", F.col(left) - F.col(right))
 
 
+def before_after(rows: DataFrame, keys: list[str], phase: str, value: str, before: str, after: str) -> DataFrame:
+    """Items that have both phases: keys, before, after. One aggregation, no self-join; of several rows of a phase the largest counts."""
+    of = lambda p: F.max(F.when(F.col(phase) == p, F.col(value)))
+    both = rows.where(F.col(phase).isin(before, after)).groupBy(*keys).agg(of(before).alias("before"), of(after).alias("after"))
+    return both.where(F.col("before").isNotNull() & F.col("after").isNotNull())
+
+
+def forcing_errors(forcings: DataFrame, fields: list[str], start: dt.date, end: dt.date) -> DataFrame:
+    """Forcings (field, day, value, all texts) with a reason to refuse them: unknown_field, no_day, outside_window or no_number; those without one are left out."""
+    day = F.col("day").try_cast("date")
+    reason = F.when(~F.coalesce(F.col("field").isin(fields), F.lit(False)), "unknown_field").when(day.isNull(), "no_day").when(~day.between(F.lit(start), F.lit(end)), "outside_window")
+    number = F.col("value").try_cast("double")
+    reason = reason.when(number.isNull() | F.isnan(number), "no_number")
+    return forcings.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, day: str, start: str, end: str) -> DataFrame:
     """Points (a day) with the intervals that hold them, both ends included: intervals are unrolled to days, then joined by equality."""
     unrolled = intervals.withColumn("__day", F.explode(F.sequence(start, end)))

@@ -72,19 +72,27 @@ def abstention(outcomes: DataFrame, keys: list[str]) -> DataFrame:
     return outcomes.groupBy(*keys).agg(rate(F.col("unanswerable")).alias("accuracy"), rate(~F.col("unanswerable")).alias("false_abstention"))
 
 
-def bootstrap(values: DataFrame, keys: list[str], value: str, resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
-    """Percentile bootstrap of the mean per keys: mean, low, high, n.
+def resampled(members: DataFrame, keys: list[str], value: str, member: str, resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE, weight: str | None = None) -> DataFrame:
+    """Percentile bootstrap over the members of each group: keys, mean, low, high, n. ``member`` tells a group's members apart; null values are left out.
 
-    Each member of a group (a template mean, a few dozen) has a number; draws pick numbers by hash of
-    (key, resample, draw, seed), so reruns agree. Resamples are spread over tasks and joined by equality.
+    A draw is the MD5 of seed, resample and draw, modulo the number of members, so it is the same in any engine. Draws and members are joined by number,
+    and each resample is one partial sum: no group is gathered into a row. The work is resamples times members. With a ``weight`` a member stands for that many
+    items whose sum is its value: the mean is that of the items.
     """
-    numbered = values.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("v"), F.avg(value).alias("mean"))
-    draws = numbered.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    n = F.size("v")
-    mean = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.element_at("v", (F.pmod(F.xxhash64(F.lit(seed), F.col("r"), i), n) + 1).cast("int"))) / n
-    spread = draws.select(*keys, "mean", n.alias("n"), mean.alias("m"))
+    own = members.where(F.col(value).isNotNull())
+    count = F.col(weight).cast("double") if weight else F.lit(1.0)
+    numbered = own.select(*keys, F.col(value).cast("double").alias("__v"), count.alias("__c"), (F.row_number().over(W.partitionBy(*keys).orderBy(member)) - 1).alias("__j"))
+    sizes = own.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum(value) / F.sum(count)).alias("mean"))
+    draws = sizes.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__r").cast("string"), F.col("__i").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("n")
+    means = draws.withColumn("__j", drawn.cast("int")).join(numbered, [*keys, "__j"]).groupBy(*keys, "n", "mean", "__r").agg((F.sum("__v") / F.sum("__c")).alias("__m"))
     tail = (1 - confidence) / 2
-    return spread.groupBy(*keys, "mean", "n").agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    return means.groupBy(*keys, "mean", "n").agg(F.percentile("__m", F.lit(tail)).alias("low"), F.percentile("__m", F.lit(1 - tail)).alias("high"))
+
+
+def bootstrap(values: DataFrame, keys: list[str], value: str, resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
+    """Percentile bootstrap of the mean per keys: mean, low, high, n. Members (template means, a few dozen) are numbered in the order of their values; see ``resampled``."""
+    return resampled(values, keys, value, value, resamples, seed, confidence)
 
 
 def _log_factorial(n: Column) -> Column:
@@ -133,19 +141,12 @@ def recall(hits: Column, gold: Column) -> Column:
 
 
 def cluster_bootstrap(values: DataFrame, keys: list[str], cluster: str, value: str, resamples: int = 20_000, seed: int = SEED, confidence: float = CONFIDENCE) -> DataFrame:
-    """As ``bootstrap``, but whole clusters (all items of a question) are drawn: mean, low, high, n.
+    """As ``bootstrap``, but whole clusters (all items of a question) are drawn: mean, low, high, n (clusters).
 
     A resample's mean is that of all items of the drawn clusters; clusters are reduced to sum and count first.
     """
-    per = values.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
-    rows = per.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("s"), F.col("c").cast("double").alias("c")))).alias("v"), (F.sum("s") / F.sum("c")).alias("mean"))
-    draws = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    n = F.size("v")
-    pick = lambda i: F.element_at("v", (F.pmod(F.xxhash64(F.lit(seed), F.col("r"), i), n) + 1).cast("int"))
-    both = F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")), lambda acc, i: F.struct((acc["s"] + pick(i)["s"]).alias("s"), (acc["c"] + pick(i)["c"]).alias("c")))
-    drawn = draws.select(*keys, "mean", n.alias("n"), both.alias("b")).withColumn("m", F.col("b.s") / F.col("b.c"))
-    tail = (1 - confidence) / 2
-    return drawn.groupBy(*keys, "mean", "n").agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    per = values.where(F.col(value).isNotNull()).groupBy(*keys, cluster).agg(F.sum(value).alias("__s"), F.count("*").alias("__n"))
+    return resampled(per, keys, "__s", cluster, resamples, seed, confidence, weight="__n")
 
 
 def gains(rows: DataFrame, keys: list[str], value: str, run: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn
 
+from isochron.functions.units import theta_to_mm
 from isochron.operators.dimensions import DECISION_H, HEAT_C, OUTFLOW_MM, REFILL_H
 
 
@@ -107,6 +108,16 @@ def refills(rain: Column, store: Column, capacity: Column) -> Column:
     return rain - (capacity - store) > OUTFLOW_MM
 
 
+def threshold(theta_pct: Column, regime: Column, depth_cm: Column) -> Column:
+    """A rule's threshold (% by volume) in the unit of a run: regime ``mm`` for a store of that depth, else ``theta``. The ladder is the same in both."""
+    return F.when(regime == "mm", theta_to_mm(theta_pct, depth_cm)).otherwise(theta_pct)
+
+
+def saturated(theta_pct: Column, most: Column | float) -> Column:
+    """A water content that a sensor can't report above ``most``; null stays null."""
+    return F.when(theta_pct.isNotNull(), F.least(theta_pct, F.lit(most) if isinstance(most, float) else most))
+
+
 def decision(min_store: Column, max_temp: Column, refill: Column, wilting: Column, dry: Column, is_empty: Column, has_gaps: Column) -> Column:
     """The watering ladder, first match: reasons no_forecast, missing_data, wilting, no_heat, sufficient, refill, dry."""
     return (

@@ -616,10 +616,22 @@ def selection_score(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", r(score, 6).alias("score"), "l_partkey")
 
 
-@query()
+def drawn(groups: str, key: str, resamples: int, order: str = "template_id", weight: str = "1") -> str:
+    """SQL of the bootstrap intervals (iv) of ``groups``: key, d (a sum of ``weight`` items), order."""
+    return f"""
+    nn AS (SELECT {key}, d, {weight} AS c, row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS j, count(*) OVER (PARTITION BY {key}) AS n FROM {groups} WHERE d IS NOT NULL),
+    dd AS (SELECT {key}, r, CAST('0x' || substr(md5('42:' || r || ':' || i), 1, 8) AS BIGINT) % n AS j FROM (SELECT {key}, n, r, unnest(range(n)) AS i FROM (SELECT DISTINCT {key}, n FROM nn), range({resamples}) AS a(r))),
+    mm AS (SELECT {key}, r, sum(d) / sum(c) AS m FROM dd JOIN nn USING ({key}, j) GROUP BY ALL),
+    iv AS (SELECT {key}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mm GROUP BY 1)
+    """
+
+
+@query(_OUT + f""", c AS (SELECT arm, template_id, case_id, avg(value) AS v FROM o WHERE value IS NOT NULL GROUP BY 1, 2, 3), t AS (SELECT arm, template_id, avg(v) AS d FROM c GROUP BY 1, 2), {drawn("t", "arm", 10_000, "d")}
+    SELECT arm, round(avg(d), 6) AS mean, count(*) AS n, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM t JOIN iv USING (arm) GROUP BY 1
+""")
 def bootstrap_ci(spark, sf_dir):
     means = statistics.template_means(outcomes(spark, sf_dir), ["arm"], "value")
-    return statistics.bootstrap(means, ["arm"], "value")
+    return statistics.bootstrap(means, ["arm"], "value").withColumns({c: r(c, 6) for c in ("mean", "low", "high")})
 
 
 @query("""
@@ -1147,10 +1159,13 @@ def nearest_request(spark, sf_dir):
     return out.select("key", "block", "best", r("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"""
+    WITH t AS (SELECT o_orderpriority, o_custkey % 50 AS q, sum(CAST(o_totalprice > 250000 AS INTEGER)) AS d, count(*) AS items FROM orders GROUP BY 1, 2), {drawn("t", "o_orderpriority", 1000, "q", "items")}
+    SELECT o_orderpriority, round(sum(d) / sum(items), 6) AS mean, count(*) AS n, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM t JOIN iv USING (o_orderpriority) GROUP BY 1
+""")
 def cluster_bootstrap_ci(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_custkey") % 50).alias("q"), (F.col("o_totalprice") > 250000).cast("double").alias("v"))
-    return statistics.cluster_bootstrap(o, ["o_orderpriority"], "q", "v", resamples=1000)
+    return statistics.cluster_bootstrap(o, ["o_orderpriority"], "q", "v", resamples=1000).withColumns({c: r(c, 6) for c in ("mean", "low", "high")})
 
 
 @query("SELECT o_orderstatus, round(avg(o_totalprice) / 7, 3) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 3) AS sd, count(DISTINCT o_orderpriority) AS runs, array_to_string(list_sort(list_distinct(list(o_orderpriority))), '|') AS names FROM orders GROUP BY 1")
@@ -1208,7 +1223,7 @@ def approximate_distinct(spark, sf_dir):
 
 def _registered() -> None:
     """The other modules of queries add theirs when they are imported."""
-    from isochron import queries_evaluation, queries_streams  # noqa: F401
+    from isochron import queries_evaluation, queries_sources, queries_streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from isochron.operators import evaluation, grouping, nearest, trajectories
-from isochron.queries import delegated, query, r, table
+from isochron.queries import delegated, drawn, query, r, table
 from isochron.working import new_path
 
 # --- order and likeness --------------------------------------------------------------------------
@@ -108,20 +108,10 @@ def _runs(spark, sf_dir):
     )
 
 
-def _drawn(groups: str, key: str) -> str:
-    """SQL of the intervals of ``groups`` (key, template_id, d)."""
-    return f"""
-    nn AS (SELECT {key}, d, row_number() OVER (PARTITION BY {key} ORDER BY template_id) - 1 AS j, count(*) OVER (PARTITION BY {key}) AS n FROM {groups} WHERE d IS NOT NULL),
-    dd AS (SELECT {key}, r, CAST('0x' || substr(md5('42:' || r || ':' || i), 1, 8) AS BIGINT) % n AS j FROM (SELECT DISTINCT {key}, n FROM nn), range(1000) AS a(r), range(100000) AS b(i) WHERE i < n),
-    mm AS (SELECT {key}, r, avg(d) AS m FROM dd JOIN nn USING ({key}, j) GROUP BY ALL),
-    iv AS (SELECT {key}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mm GROUP BY 1)
-    """
-
-
 @query(_RUNS + f""",
     x AS (SELECT DISTINCT split, template_id, case_id FROM o WHERE excluded), u AS (SELECT split, template_id, case_id, max(v) FILTER (WHERE arm = 'base') AS a, max(v) FILTER (WHERE arm = 'tuned') AS b FROM c GROUP BY ALL),
     k AS (SELECT u.*, a IS NOT NULL AND b IS NOT NULL AND x.split IS NULL AS paired FROM u LEFT JOIN x USING (split, template_id, case_id)),
-    t AS (SELECT split, template_id, avg(a) AS a, avg(b) AS b, avg(b) - avg(a) AS d FROM k WHERE paired GROUP BY ALL), {_drawn("t", "split")},
+    t AS (SELECT split, template_id, avg(a) AS a, avg(b) AS b, avg(b) - avg(a) AS d FROM k WHERE paired GROUP BY ALL), {drawn("t", "split", 1000)},
     s AS (SELECT split, avg(a) AS baseline, avg(b) AS optimized, avg(d) AS difference, count(*) AS templates FROM t GROUP BY 1), z AS (SELECT split, count(*) FILTER (WHERE paired) AS cases, count(*) FILTER (WHERE NOT paired) AS dropped FROM k GROUP BY 1)
     SELECT split, round(baseline, 6) AS baseline, round(optimized, 6) AS optimized, round(difference, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high, cases, dropped, coalesce(templates, 0) AS templates FROM z LEFT JOIN s USING (split) LEFT JOIN iv USING (split)
 """)
@@ -131,7 +121,7 @@ def arm_comparison(spark, sf_dir):
 
 
 @query(_RUNS + f""",
-    p AS (SELECT arm, split, template_id, avg(v) AS v FROM c GROUP BY ALL), w AS (SELECT arm, template_id, max(v) FILTER (WHERE split = 'train') - max(v) FILTER (WHERE split = 'test_seen') AS d FROM p GROUP BY ALL), {_drawn("w", "arm")},
+    p AS (SELECT arm, split, template_id, avg(v) AS v FROM c GROUP BY ALL), w AS (SELECT arm, template_id, max(v) FILTER (WHERE split = 'train') - max(v) FILTER (WHERE split = 'test_seen') AS d FROM p GROUP BY ALL), {drawn("w", "arm", 1000)},
     a AS (SELECT arm, avg(v) FILTER (WHERE split = 'train') AS t, avg(v) FILTER (WHERE split = 'test_seen') AS s, avg(v) FILTER (WHERE split = 'test_unseen') AS u FROM p GROUP BY 1),
     g AS (SELECT arm, 'train' AS from_split, 'test_seen' AS to_split, t AS f, s AS e, low, high FROM a LEFT JOIN iv USING (arm) UNION ALL SELECT arm, 'test_seen', 'test_unseen', s, u, NULL, NULL FROM a)
     SELECT arm, from_split, to_split, round(f, 6) AS from_value, round(e, 6) AS to_value, round(f - e, 6) AS gap, round(low, 6) AS low, round(high, 6) AS high FROM g

@@ -68,7 +68,7 @@ def test_one_call_passes_all_checks(spark):
 
 
 def test_comparison_counts_what_it_drops(spark):
-    from isochron.operators import evaluation
+    from isochron.operators import evaluation, statistics
 
     rows = [("s", "a", 1, 1, 1.0, False), ("s", "a", 1, 1, 3.0, False), ("s", "b", 1, 1, 4.0, False), ("s", "a", 1, 2, 9.0, False), ("s", "b", 2, 3, 1.0, False), ("s", "a", 2, 3, 0.0, True), ("s", "a", 2, 3, 0.0, False), ("s", "a", 3, 4, None, False), ("s", "b", 3, 4, 5.0, False), ("u", "a", 1, 1, 1.0, False)]
     df = spark.createDataFrame(rows, "split string, arm string, template_id int, case_id int, value double, excluded boolean")
@@ -83,7 +83,7 @@ def test_resampled_by_hand(spark):
 
     import numpy as np
 
-    from isochron.operators import evaluation
+    from isochron.operators import evaluation, statistics
 
     values = [0.5, 1.0, 4.0, 7.5, 2.0]
     df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)] + [("k", 9, None), ("one", 1, 3.0)], "key string, m int, v double")
@@ -96,7 +96,7 @@ def test_resampled_by_hand(spark):
 
 
 def test_gaps_without_a_split(spark):
-    from isochron.operators import evaluation
+    from isochron.operators import evaluation, statistics
 
     rows = [("a", "train", 1, 1, 1.0), ("a", "test_seen", 1, 2, 0.5), ("a", "train", 2, 3, 1.0)]
     df = spark.createDataFrame(rows, "arm string, split string, template_id int, case_id int, value double")
@@ -106,7 +106,7 @@ def test_gaps_without_a_split(spark):
 
 
 def test_answers(spark):
-    from isochron.operators import evaluation
+    from isochron.operators import evaluation, statistics
 
     cases = [
         ("true", "true", None, None, "exact", None, True), ("true", "1", None, None, "exact", None, False), ("true", '"true"', None, None, "exact", None, False), ("12.5", '" 12.5 "', "mm", "L", "exact", None, True), ("12.5", "12.6", "mm", "mm", "abs", 0.2, True),
@@ -119,7 +119,7 @@ def test_answers(spark):
 
 
 def test_containment(spark):
-    from isochron.operators import evaluation
+    from isochron.operators import evaluation, statistics
 
     rows = [(1, dt.date(2026, 4, 20), {"w": "2026-04-01..2026-04-21", "n": "no day 2026-13-01 or 12026-04-299", "l": '["2026-04-20"]', "none": None}), (2, dt.date(2026, 4, 20), {})]
     df = spark.createDataFrame(rows, "id int, as_of date, params map<string,string>")
@@ -133,7 +133,7 @@ def test_containment(spark):
 
 
 def test_ledger_is_replaced_by_condition(spark, tmp_path):
-    from isochron.operators import evaluation
+    from isochron.operators import evaluation, statistics
 
     kind = "arm string, split string, repeat int, candidate_id int, served_model_id string, tokens int, cost double"
     rows = [("a", "s", 0, 1, "m", 10, 0.5), ("a", "s", 0, 2, None, 20, 0.25), ("b", "s", 0, 1, "n", 5, None)]
