@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isochron.operators.ranks import numbered
+
 
 def latest_before(readings: DataFrame, bound: dt.datetime, keys: list[str] | None = None, ts: str = "ts", value: str = "value", cutoff: dt.datetime | None = None, stale_days: int = 7) -> DataFrame:
     """The last reading at or before ``bound``, per ``keys``: value, ts, age_hours, stale.
@@ -108,9 +110,8 @@ def lookup_by_any(rows: DataFrame, dim: DataFrame, key: str, keys: list[str], va
 
 
 def positional_join(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
-    """Rows of equal rank side by side; the longer side's rest has nulls. Ranks are global: for results, not for tables."""
-    number = lambda df, order: df.withColumn("__n", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
-    return number(a, order_a).join(number(b, order_b), "__n", "full_outer").drop("__n")
+    """Rows of equal rank side by side; the longer side's rest has nulls. Each side is range-sorted and numbered over all its tasks, then joined by number."""
+    return numbered(a, order_a, "__n").join(numbered(b, order_b, "__n"), "__n", "full_outer").drop("__n")
 
 
 def matched(condition: Column) -> Column:

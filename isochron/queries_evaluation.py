@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from isochron.operators import evaluation, grouping, nearest, trajectories
 from isochron.queries import delegated, drawn, query, r, table
+from isochron.sources import ledger
 from isochron.working import new_path
 
 # --- order and likeness --------------------------------------------------------------------------
@@ -226,6 +227,21 @@ def ledger_rollup(spark, sf_dir):
     return evaluation.ledger_summary(spark.read.parquet(path), ["arm", "split"]).withColumn("served", F.array_join("served", ",")).withColumn("cost", r("cost", 4))
 
 
+@query("""
+    SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'base' ELSE 'tuned' END AS arm, count(*) AS rollouts, count(DISTINCT o_custkey) AS candidates, count(*) FILTER (WHERE o_orderkey % 3 > 0) AS witnessed,
+           array_to_string(list_sort(list_distinct(list(o_orderpriority) FILTER (WHERE o_orderkey % 3 > 0))), ',') AS served, sum(o_orderkey) AS tokens, round(sum(o_totalprice) / 1000, 3) AS cost FROM orders GROUP BY 1
+""")
+def ledger_source(spark, sf_dir):
+    ledger.register(spark)
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.when(F.col("o_orderkey") % 2 == 0, "base").otherwise("tuned").alias("arm"), F.col("o_custkey").alias("candidate_id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("served_model_id"), F.col("o_orderkey").alias("tokens"), (F.col("o_totalprice") / 1000).alias("cost"), F.to_timestamp("o_orderdate").alias("at"))
+    path = new_path(spark, "ledger")
+    for arm in ("base", "tuned"):  # an append for each condition
+        rows.where(F.col("arm") == arm).write.format("ledger").mode("append").save(path)
+    out = evaluation.ledger_summary(spark.read.format("ledger").load(path), ["arm"])
+    return out.withColumn("served", F.array_join("served", ",")).withColumn("cost", r("cost", 3))
+
+
 _SPLITS = """
     WITH s AS (SELECT seed, c_custkey, CASE WHEN substr(md5(seed || ':' || c_custkey), 1, 1) < 'b' THEN 'train' ELSE 'test' END AS split FROM customer, (VALUES (1), (2), (3)) AS v(seed) WHERE c_custkey % 97 > 0 OR seed < 3
                UNION ALL SELECT 2, c_custkey, 'test' FROM customer WHERE c_custkey % 50 = 1 UNION ALL SELECT 1, -1, 'test')

@@ -159,6 +159,13 @@ def union_of_ladders(spark, sf_dir):
     return pools[0].unionByName(pools[1]).unionByName(pools[2]).distinct().orderBy("v")
 
 
+@query("SELECT count(*) AS rows, count(*) FILTER (WHERE o_custkey % 10 = 0 AND 0.01 > 1e-9 + 1e-6 * (o_totalprice + 0.01)) AS mismatches FROM orders")
+def tolerant_mismatches(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").alias("c"))
+    changed = F.when(F.col("c") % 10 == 0, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice") * (1 + 1e-9))
+    return sets.tolerant_equal(a.drop("c"), a.select("o_orderkey", changed.alias("o_totalprice")).repartition(5))
+
+
 @query("""
     SELECT l_suppkey, l_partkey, max(l_quantity) FILTER (WHERE l_linestatus = 'F') AS before, max(l_quantity) FILTER (WHERE l_linestatus = 'O') AS after FROM lineitem GROUP BY ALL HAVING before IS NOT NULL AND after IS NOT NULL
 """)

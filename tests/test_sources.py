@@ -47,3 +47,42 @@ def test_records(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text("\n".join(json.dumps({"question": q, "sql": "SELECT 1"}) for q in "ab"))
     assert [r.question for r in records.read_questions(spark, str(tmp_path / "q.txt"), "txt").collect()] == ["How much?", "When?"]
     assert records.question_column(records.read_questions(spark, str(tmp_path / "q.jsonl"), "jsonl"), True).where("asked = question").count() == 2
+
+
+def test_ledger_counts_only_committed_attempts(spark, tmp_path):
+    import pyarrow as pa
+    import pytest
+
+    from isochron.sources import ledger
+
+    ledger.register(spark)
+    path = str(tmp_path / "ledger")
+    rows = spark.createDataFrame([(k, f"m{k % 2}", None if k == 3 else k / 2) for k in range(10)], "k int, served string, cost double").repartition(3)
+    rows.write.format("ledger").mode("append").save(path)
+    kind = spark.read.format("ledger").load(path).schema
+    writer = ledger.LedgerWriter(path, kind)
+    batch = lambda k: pa.RecordBatch.from_pylist([{"k": k, "served": "x", "cost": 1.0}], pa.schema([("k", pa.int32()), ("served", pa.string()), ("cost", pa.float64())]))
+    lost, counted, failed = (writer.write(iter([batch(k)])) for k in (100, 100, 200))
+    writer.commit([counted, None, writer.write(iter([]))])
+    writer.abort([failed, None])
+    back = spark.read.format("ledger").load(path)
+    assert sorted(r.k for r in back.collect()) == [*range(10), 100]
+    assert lost.name and not (tmp_path / "ledger" / failed.name).exists()
+    assert back.where("cost IS NULL").count() == 1 and back.select("served").distinct().count() == 3
+    with pytest.raises(Exception, match="other columns"):
+        rows.drop("cost").write.format("ledger").mode("append").save(path)
+    with pytest.raises(Exception, match="only appended"):
+        rows.write.format("ledger").mode("overwrite").save(path)
+    with pytest.raises(Exception, match="no ledger"):
+        spark.read.format("ledger").load(str(tmp_path / "none"))
+
+
+def test_global_numbers(spark):
+    from isochron.operators.ranks import numbered
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.createDataFrame([(k * 7 % 50, "a") for k in range(200)] + [(None, "b")], "k int, v string").repartition(5)
+    out = numbered(df, ["k"], "n").orderBy("n").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.n for r in out] == list(range(201)) and [r.k for r in out] == [None] + sorted(k * 7 % 50 for k in range(200))
+    assert numbered(df.limit(0), ["k"]).count() == 0
