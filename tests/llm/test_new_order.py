@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from isochron.llm import fill_in_middle as fim
 from isochron.llm import prefix_trie as pt
-from isochron.llm import ranks, sharding
+from isochron.llm import sharding
+from isochron.operators import ranks
 
 
 @pytest.fixture
