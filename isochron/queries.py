@@ -496,15 +496,18 @@ def number_search(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", text.number_in(F.lit("rooms 1, 2.5 and 17 or 24"), F.col("n_nationkey").cast("string")).alias("found"))
 
 
-@query("""
+_ET0 = """
     WITH w AS (SELECT event_id, 10 + value % 15 AS tm, 15 + value % 15 AS tx, 5 + value % 15 AS tn, 40 + value % 50 AS rf, value % 20 AS w, 500 + value % 2000 AS gs, dayofyear(ts) AS j FROM events),
     t AS (SELECT *, 0.6108 * exp(17.27 * tm / (238 + tm)) AS es, gs / 8.64 / 1e6 * 86400 AS rs, 2 * pi() / 365 * j AS y, radians(51.353484) AS phi FROM w),
     u AS (SELECT *, rf / 100 * es AS ea, w / 3.6 AS u2, 4098 * 0.6108 * exp(17.27 * tm / (tm + 237.3)) / pow(tm + 237.3, 2) AS s, 0.409 * sin(y - 1.39) AS dec FROM t),
     v AS (SELECT *, acos(-tan(phi) * tan(dec)) AS om FROM u),
     x AS (SELECT *, 1440 / pi() * (1 + 0.033 * cos(y)) * (om * sin(phi) * sin(dec) + cos(phi) * cos(dec) * sin(om)) AS ra FROM v),
-    z AS (SELECT *, rs * 0.8 - 4.903e-9 * (pow(tx + 273.16, 4) + pow(tn + 273.16, 4)) / 2 * (0.34 - 0.14 * sqrt(ea)) * (1.35 * rs / ((0.75 + 2e-5 * 142) * ra) - 0.35) AS rn, 1.013e-3 * 1e6 * 100 / (0.622 * 2.45e6) AS g FROM x)
-    SELECT event_id, round((0.408 * s * rn + 900 / (273 + tm) * g * u2 * (es - ea)) / (s + g * (1 + 0.34 * u2)), 5) AS et0 FROM z
-""")
+    l AS (SELECT *, 4.903e-9 * (pow(tx + 273.16, 4) + pow(tn + 273.16, 4)) / 2 * (0.34 - 0.14 * sqrt(ea)) * (1.35 * rs / ((0.75 + 2e-5 * 142) * ra) - 0.35) AS rnl, 1.013e-3 * 1e6 * 100 / (0.622 * 2.45e6) AS g FROM x),
+    z AS (SELECT event_id, (0.408 * s * (rs * 0.8 - rnl) + 900 / (273 + tm) * g * u2 * (es - ea)) / (s + g * (1 + 0.34 * u2)) AS et0, (0.408 * s * (rs * 0.6 - rnl) + 900 / (273 + tm) * g * u2 * (es - ea)) / (s + g * (1 + 0.34 * u2)) AS bright FROM l)
+"""
+
+
+@query(_ET0 + "SELECT event_id, round(et0, 5) AS et0 FROM z")
 def et0_daily(spark, sf_dir):
     v = F.col("value")
     weather = events(spark, sf_dir).select("event_id", F.to_date("ts").alias("d"), (10 + v % 15).alias("tm"), (15 + v % 15).alias("tx"), (5 + v % 15).alias("tn"), (40 + v % 50).alias("rf"), (v % 20).alias("w"), (500 + v % 2000).alias("gs"))
@@ -772,7 +775,17 @@ def replay_windows(spark, sf_dir):
     return replay_runs(spark, sf_dir).groupBy("user_id", day("start")).agg(r(F.sum("p")).alias("rain"), F.count("*").alias("steps"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE d AS (SELECT user_id, d, value / 20 AS p, top / 40 AS e FROM ({_DAILY})),
+    w AS (SELECT a.user_id, a.d AS start, b.d - a.d AS step, b.p, b.e FROM d a JOIN d b ON a.user_id = b.user_id AND b.d BETWEEN a.d AND a.d + 6 QUALIFY count(*) OVER (PARTITION BY a.user_id, a.d) = 7),
+    f AS (SELECT user_id, start, step, cap, least(8.0::DOUBLE, cap) AS store, greatest(8.0::DOUBLE - cap, 0) AS outflow FROM w, (VALUES (20.0::DOUBLE), (9.0::DOUBLE)) AS c(cap) WHERE step = 0
+          UNION ALL SELECT w.user_id, w.start, w.step, cap, least(store + p - e * least(greatest((store - 2) / (cap - 2), 0), 1), cap), greatest(store + p - e * least(greatest((store - 2) / (cap - 2), 0), 1) - cap, 0)
+          FROM f JOIN w ON w.user_id = f.user_id AND w.start = f.start AND w.step = f.step + 1),
+    m AS (SELECT f.user_id, f.start, cap, min(store) FILTER (WHERE f.step < 2) AS low, max(10 + e * 10) FILTER (WHERE f.step < 2) AS warm, count(*) FILTER (WHERE outflow > 0.01 AND f.step BETWEEN 1 AND 7) > 0 AS refill
+          FROM f JOIN w ON w.user_id = f.user_id AND w.start = f.start AND w.step = f.step GROUP BY ALL),
+    k AS (SELECT user_id, start, cap, CASE WHEN low <= 3 THEN true WHEN warm < 24 THEN false WHEN low > 7.5 THEN false ELSE NOT refill END AS water FROM m)
+    SELECT x.water AS a, y.water AS b, count(*) AS n, x.water <> y.water AS flip FROM k x JOIN k y USING (user_id, start) WHERE x.cap = 20 AND y.cap = 9 GROUP BY ALL
+""")
 def decision_flips(spark, sf_dir):
     runs = replay_runs(spark, sf_dir)
     temps = runs.select("user_id", "start", "step", (10 + F.col("e") * 10).alias("temperature"))
@@ -1115,11 +1128,12 @@ def t19_model_error(spark, sf_dir):
     return out.select("user_id", "n", r("mae").alias("mae"), r("max_abs").alias("max_abs"))
 
 
-@query()
+@query(_ET0 + "SELECT event_id, round(et0, 5) AS base_value, round(bright, 5) AS forced_value, round(bright - et0, 5) AS effect, abs(bright - et0) < 1e-9 AS inert FROM z")
 def t22_albedo(spark, sf_dir):
     v = F.col("value")
     w = events(spark, sf_dir).select("event_id", F.to_date("ts").alias("d"), (10 + v % 15).alias("tm"), (15 + v % 15).alias("tx"), (5 + v % 15).alias("tn"), (40 + v % 50).alias("rf"), (v % 20).alias("w"), (500 + v % 2000).alias("gs"))
-    return stores.what_if(et0.with_et0(w, albedo=0.2), et0.with_et0(w, albedo=0.4), ["event_id"], "et0")
+    out = stores.what_if(et0.with_et0(w, albedo=0.2), et0.with_et0(w, albedo=0.4), ["event_id"], "et0")
+    return out.withColumns({c: r(c, 5) for c in ("base_value", "forced_value", "effect")})
 
 
 @query(effect_sql(15.0, 0.0))

@@ -277,3 +277,31 @@ def regime_switch(spark, sf_dir):
 def saturated_store(spark, sf_dir):
     theta = F.when(F.col("event_type") != "error", F.col("value") / 10)
     return events(spark, sf_dir).select("event_id", r(units.theta_to_mm(stores.saturated(theta, 14.7), 17.0)).alias("store_mm"))
+
+
+@query("SELECT vec_id * 3 + k AS id, vec_id * 3 AS \"group\" FROM embeddings, range(3) AS r(k)")
+def planted_near_groups(spark, sf_dir):
+    """Each vector comes three times: as it is, twice as long, and with its first component pushed by a fifth of its length; no others are near each other."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    pushed = F.transform("v", lambda x, k: F.when(k == 0, x + length / 5).otherwise(x))
+    copies = e.select("vec_id", F.posexplode(F.array("v", F.transform("v", lambda x: x * 2), pushed)).alias("k", "v")).select((F.col("vec_id") * 3 + F.col("k")).alias("id"), "v")
+    roots = grouping.components(grouping.nearby_pairs(copies, "id", "v", most=0.05))
+    return copies.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("group"))
+
+
+@query(f"""
+    WITH d AS (SELECT event_type, {DAY} AS d, avg(value) AS tm, sum(value) AS gs, count(*) FILTER (WHERE value < 0) AS broken FROM events GROUP BY 1, 2), w AS (SELECT *, sum(CAST(extract(day FROM d) = 20 AND event_type = 'click' AS INTEGER)) OVER (PARTITION BY event_type, date_trunc('week', d)) AS bad FROM d)
+    SELECT event_type AS site, CAST(d AS VARCHAR) AS d, round(tm, 4) AS tm, round(gs * 100, 4) AS gs FROM w WHERE bad = 0
+""")
+def weather_windows(spark, sf_dir):
+    """Weekly windows of parallel arrays as a weather service answers them, as JSON; a window with a missing value gives no day."""
+    days = events(spark, sf_dir).groupBy("event_type", timeaxis.site_day("ts").alias("d")).agg(F.avg("value").alias("tm"), F.sum("value").alias("gs"))
+    broken = (F.dayofmonth("d") == 20) & (F.col("event_type") == "click")
+    row = F.struct(F.date_format("d", "yyyy-MM-dd").alias("time"), F.when(~broken, F.col("tm")).alias("tm"), F.col("gs"))
+    windows = days.groupBy(F.col("event_type").alias("site"), F.date_trunc("week", "d").alias("week")).agg(F.sort_array(F.collect_list(row)).alias("r"))  # seven days
+    column = lambda f: F.transform("r", lambda x: x[f]).alias(f)
+    body = F.to_json(F.struct(*map(column, ("time", "tm", "gs"))))
+    daily = F.from_json(body, "time array<string>, tm array<double>, gs array<double>").alias("daily")
+    out = cache.weather_rows(windows.select("site", daily), ["tm", "gs"])
+    return out.select("site", day(), r("tm").alias("tm"), r("gs").alias("gs"))
