@@ -115,6 +115,13 @@ def complete_months(spark: SparkSession, first: dt.date, last: dt.date) -> DataF
     return months.where((F.col("start") >= F.lit(first)) & (F.col("end") <= F.lit(last))).select(F.date_format("start", "yyyy-MM").alias("month"), "start", "end")
 
 
+def months_within(bounds: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
+    """Months that lie in each row's range of days with all their days: keys, month (YYYY-MM), start, end. A range without days has none."""
+    months = F.sequence(F.trunc(first, "MM"), F.trunc(last, "MM"), F.expr("interval 1 month"))
+    rows = bounds.where(F.col(first) <= F.col(last)).select(*keys, first, last, F.explode(months).alias("start")).withColumn("end", F.last_day("start"))
+    return rows.where((F.col("start") >= F.col(first)) & (F.col("end") <= F.col(last))).select(*keys, F.date_format("start", "yyyy-MM").alias("month"), "start", "end")
+
+
 def stamp(col: str | Column, kind: str = "date") -> Column:
     """Fixed text of a day (YYYY-MM-DD) or an instant (YYYY-MM-DD HH:MM:SS)."""
     return F.date_format(col, "yyyy-MM-dd" if kind == "date" else "yyyy-MM-dd HH:mm:ss")

@@ -172,3 +172,44 @@ def answer_matches(expected: Column, actual: Column, expected_unit: Column, actu
     text = lambda v: F.try_variant_get(v, "$", "string")
     ok = F.when(boolean[0], boolean[1] & (text(expected) == text(actual))).when(wanted.isNotNull(), (unit(expected_unit) == unit(actual_unit)) & near).otherwise(text(expected) == text(actual))
     return F.coalesce(ok, F.lit(False))
+
+
+def text_report(compared: DataFrame, losses: DataFrame, metric: str) -> DataFrame:
+    """Lines of a report: section, at, line. ``compared``: as ``comparison`` gives it; ``losses``: from_split, to_split, arm, gap, low, high, as ``gaps``. What has no value is said to have none."""
+    number = lambda c: F.coalesce(F.format_string("%+.3f", c), F.lit("none"))
+    plain = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("none"))
+    interval = lambda: F.when(F.col("low").isNotNull(), F.concat(F.lit(" ["), number("low"), F.lit(", "), number("high"), F.lit("]"))).otherwise(F.lit(" (no interval)"))
+    count = lambda c: F.col(c).cast("string")
+    first = F.concat(F.lit(f"{metric} on "), "split", F.lit(": "), plain("baseline"), F.lit(" -> "), plain("optimized"), F.lit(", difference "), number("difference"), interval(), F.lit(" over "), count("templates"), F.lit(" templates, "), count("cases"), F.lit(" cases, "), count("dropped"), F.lit(" dropped"))
+    second = F.concat(F.lit(f"{metric} of "), "arm", F.lit(" from "), "from_split", F.lit(" to "), "to_split", F.lit(": "), number("gap"), interval())
+    return compared.select(F.lit("comparison").alias("section"), F.col("split").alias("at"), first.alias("line")).unionByName(losses.select(F.lit("gap").alias("section"), F.concat_ws("/", "arm", "from_split").alias("at"), second.alias("line")))
+
+
+def costs(usage: DataFrame, prices: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, bucket, tokens, eur, unmetered: tokens and their price by bucket of use. ``usage``: keys, bucket, model, tokens; ``prices``: model, eur_per_million.
+
+    eur is that of the priced tokens; unmetered is the share of the tokens whose model has no price, which makes eur a lower bound. A null number of tokens counts as none.
+    """
+    priced = usage.join(prices, "model", "left").withColumn("__t", F.coalesce("tokens", F.lit(0)))
+    return priced.groupBy(*keys, "bucket").agg(
+        F.sum("__t").alias("tokens"), F.sum(F.col("__t") / 1e6 * F.coalesce("eur_per_million", F.lit(0.0))).alias("eur"),
+        F.coalesce(F.try_divide(F.sum(F.when(F.col("eur_per_million").isNull(), F.col("__t")).otherwise(0)), F.sum("__t")), F.lit(0.0)).alias("unmetered"),
+    )
+
+
+def curve_ends(points: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """keys, first, last, best, best_at, improved: the ends of a learning curve, its best point (the earlier of equal ones) and whether the last is better than the first."""
+    out = points.groupBy(*keys).agg(F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"), F.max(value).alias("best"), F.min_by(at, F.struct(-F.col(value), F.col(at))).alias("best_at"))
+    return out.withColumn("improved", F.col("last") > F.col("first"))
+
+
+def variants(cases: DataFrame, key: str, value: str, deltas: list[float], least: float, most: float) -> DataFrame:
+    """Cases with their value and its neighbours at the given distances, as far as they stay within bounds: key, delta, variant. The distance 0 is the case itself."""
+    rows = cases.select(key, value, F.explode(F.array(*(F.lit(float(d)) for d in sorted({0.0, *deltas})))).alias("delta"))
+    return rows.withColumn("variant", F.col(value) + F.col("delta")).where(F.col("variant").between(least, most)).select(key, "delta", "variant")
+
+
+def unmatched(rows: DataFrame, known: DataFrame, key: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, rows, unmatched: how many rows have a key that ``known`` lacks; a null key is one of those."""
+    there = known.select(key).distinct().withColumn("__there", F.lit(True))
+    return rows.join(there, key, "left").groupBy(*(keys or [])).agg(F.count("*").alias("rows"), F.count_if(F.col("__there").isNull()).alias("unmatched"))

@@ -39,12 +39,16 @@ def nearby_pairs(items: DataFrame, item: str, vector: str, most: float = 0.10, p
         drawn.setdefault(len(row.v), []).append(row.v)
     reach = 2 * np.arccos(1 - most) + 1e-6
 
+    centers = {n: np.array(own) for n, own in drawn.items()}
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, cell, size, probe = [], [], [], []
-            for k, v in enumerate(batch.column(1).to_pylist()):
-                own = drawn.get(len(v))
-                angles = np.zeros(1) if own is None else np.arccos(np.clip(np.array(own) @ np.array(v), -1, 1))
+            flat, starts = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            for k in range(batch.num_rows):
+                v = flat[starts[k] : starts[k + 1]]
+                own = centers.get(len(v))
+                angles = np.zeros(1) if own is None else np.arccos(np.clip(own @ v, -1, 1))
                 near = np.flatnonzero(angles <= angles.min() + reach)
                 at += [k] * (1 + len(near))
                 cell += [int(angles.argmin()), *near.tolist()]
@@ -59,7 +63,7 @@ def nearby_pairs(items: DataFrame, item: str, vector: str, most: float = 0.10, p
     rows = rows.join(blocks, ["dim", "cell"]).select("dim", "cell", F.explode(every).alias("block"), "probe", "i", "v")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, entered, parent = None, [], [], {}
+        now, names, entered, parent = None, [], None, {}
 
         def find(x):
             while parent.get(x, x) != x:
@@ -68,18 +72,20 @@ def nearby_pairs(items: DataFrame, item: str, vector: str, most: float = 0.10, p
 
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            probe, ids, vectors = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            probe, ids = (batch.column(k).to_pylist() for k in (3, 4))
+            flat, starts = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
             links, lo = [], 0
             while lo < len(keys):
                 hi = lo + 1
                 while hi < len(keys) and keys[hi] == keys[lo] and probe[hi] == probe[lo] and hi - lo < block:
                     hi += 1
                 if keys[lo] != now:
-                    now, names, entered, parent = keys[lo], [], [], {}
+                    now, names, entered, parent = keys[lo], [], None, {}
+                vectors = flat[starts[lo] : starts[hi]].reshape(hi - lo, -1)  # of one length within a key
                 if not probe[lo]:
-                    names, entered = names + ids[lo:hi], entered + vectors[lo:hi]
-                elif entered:
-                    for x, y in zip(*np.nonzero(1 - np.array(entered) @ np.array(vectors[lo:hi]).T < most), strict=True):
+                    names, entered = names + ids[lo:hi], vectors.copy() if entered is None else np.concatenate([entered, vectors])
+                elif entered is not None:
+                    for x, y in zip(*np.nonzero(1 - entered @ vectors.T < most), strict=True):
                         u, w = find(names[x]), find(ids[lo + y])
                         if u != w:
                             parent[max(u, w)] = min(u, w)

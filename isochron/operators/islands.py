@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isochron.functions.timeaxis import SITE_ZONE, site_day
+
 
 def gap_hours(ts: str, over) -> Column:
     """Hours since the row before."""
@@ -85,3 +87,18 @@ def best_so_far(rows: DataFrame, keys: list[str], step: str, value: str) -> Data
     every = W.partitionBy(*keys)
     out = rows.withColumn("best", F.max(value).over(up))
     return out.withColumn("best_not_last", F.max(value).over(every) > F.max_by(value, step).over(every) + 1e-9)
+
+
+def event_table(events: DataFrame, readings: DataFrame, keys: list[str], outflows: list[str], per_day: int, ts: str = "ts", value: str = "value", zone: str = SITE_ZONE) -> DataFrame:
+    """Of each event (keys, start, end: site days, both included): rain, rows, coverage (rows by the rows that its days should have), max_gap_h, and the sum of each column of ``outflows``.
+
+    ``readings``: keys, ts, value (rain) and the outflows. Events are unrolled to days and meet readings by key and day. Gaps are those between readings of
+    the event; with fewer than two there is none. Events without readings have zero rows and no sums.
+    """
+    unrolled = events.select(*keys, "start", "end", F.explode(F.sequence("start", "end")).alias("__d"))
+    met = unrolled.join(readings.withColumn("__d", site_day(ts, zone)), [*keys, "__d"], "left")
+    gap = gap_hours(ts, W.partitionBy(*keys, "start", "end").orderBy(ts))
+    days = F.date_diff("end", "start") + 1
+    return met.withColumn("__gap", gap).groupBy(*keys, "start", "end").agg(
+        F.sum(value).alias("rain"), F.count(ts).alias("rows"), (F.count(ts) / (F.first(days) * per_day)).alias("coverage"), F.max("__gap").alias("max_gap_h"), *(F.sum(c).alias(c) for c in outflows)
+    )

@@ -114,11 +114,6 @@ def positional_join(a: DataFrame, b: DataFrame, order_a: list[str], order_b: lis
     return numbered(a, order_a, "__n").join(numbered(b, order_b, "__n"), "__n", "full_outer").drop("__n")
 
 
-def matched(condition: Column) -> Column:
-    """1 where a condition holds, 0 where it doesn't or is null."""
-    return F.coalesce(condition.cast("int"), F.lit(0))
-
-
 #: A word, or a number with its points: where a token of a text ends, a literal that ends there ends as well.
 _TOKEN = r"([\p{L}\p{N}]*\p{N}(?:[.,]\p{N}+)+|[\p{L}\p{N}]+)"
 

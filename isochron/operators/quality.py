@@ -17,9 +17,10 @@ def measure(readings: DataFrame, requirements: DataFrame, key: list[str], ts: st
     ``requirements``: req_id, ``key``, start_ts, end_ts (half-open). Gaps include the window's edges;
     without readings the whole window is a gap. A run counts equal readings in a row.
     """
-    need = requirements.select("req_id", *key, "start_ts", "end_ts")
-    # requirements are few beside readings; the join is by key, the window's ends are a filter of it
-    rows = need.join(readings.select(*key, F.col(ts).alias("__ts"), F.col(value).alias("__v")), key)
+    # requirements are unrolled to days, so that a reading meets those of its key and day only
+    days = F.sequence(F.to_date("start_ts"), F.to_date("end_ts"))
+    need = requirements.where("start_ts < end_ts").select("req_id", *key, "start_ts", "end_ts", F.explode(days).alias("__day"))
+    rows = need.join(readings.select(*key, F.col(ts).alias("__ts"), F.col(value).alias("__v"), F.to_date(ts).alias("__day")), [*key, "__day"])
     rows = rows.where((F.col("__ts") >= F.col("start_ts")) & (F.col("__ts") < F.col("end_ts")) & F.col("__v").isNotNull())
     w = W.partitionBy("req_id").orderBy("__ts")
     hours = lambda a, b: F.timestamp_diff("MICROSECOND", a, b) / F.lit(3.6e9)

@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 ANSWERS = {
     "T01": "t01_total_by_period", "T02": "t02_hot_day_count", "T03": "t03_paired_gap", "T04": "t04_occurred", "T05": "t05_peak_day", "T06": "t06_one_threshold", "T07": "irrigation_ladder",
     "T08": "heatwave_days", "T09": "t09_store_below", "T10": "t10_lowest_store", "T11": "irrigation_ladder", "T12": "t12_event_retention", "T13": "t13_window_weather", "T14": "t13_window_weather",
-    "T15a": "t15a_window_sum", "T15b": "t13_window_weather", "T16a": "t16_stated_ladder", "T16b": "t16_stated_ladder", "T17a": "t17_absent_parameters", "T17b": "t17_absent_parameters",
-    "T18a": "t18_not_served", "T18b": "t18_not_served", "T19": "t19_model_error", "T20": "heatwave_days", "T21": "what_if_rain", "T22": "t22_albedo", "T23": "t23_initial_store", "T24a": "pivot_diff",
-    "T24b": "t03_paired_gap", "T25": "tomorrow_against_yesterday", "T26": "t26_composed_overrides", "T27": "t17_absent_parameters",
+    "T15a": "t15a_window_sum", "T15b": "t13_window_weather", "T16a": "t16_stated_ladder", "T16b": "t16_stated_ladder", "T17a": "t17_absent_parameters", "T17b": "t17_excluded_roofs",
+    "T18a": "t18_not_served", "T18b": "t18_not_served", "T19": "t19_model_error", "T20": "t20_heatwave_expected", "T21": "what_if_rain", "T22": "t22_albedo", "T23": "t23_initial_store", "T24a": "pivot_diff",
+    "T24b": "t03_paired_gap", "T25": "t25_two_routes", "T26": "t26_composed_overrides", "T27": "t27_not_modellable",
 }
 
 
-def one_value(rows: DataFrame, value: str) -> DataFrame:
-    """The value that all rows share: value, answered; a question about several that differ has no answer."""
-    return rows.agg(F.min(value).alias("value"), (F.count_distinct(value) == 1).alias("answered"))
+def one_value(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """The value that all rows (of each ``keys``) share: value, answered; a question about several that differ has no answer."""
+    return rows.groupBy(*(keys or [])).agg(F.min(value).alias("value"), (F.count_distinct(value) == 1).alias("answered"))
 
 
 def lowest(balanced: DataFrame, keys: list[str], depth_cm: float, at: str = "d") -> DataFrame:
@@ -39,6 +39,20 @@ def missing_parameters(wanted: DataFrame, known: DataFrame, keys: list[str]) ->
     return wanted.join(known, keys, "left_anti")
 
 
+def agreed(a: DataFrame, b: DataFrame, keys: list[str], value: str, close: float = 1e-9) -> DataFrame:
+    """keys, value, answered: the value of two routes to one answer, which stands only where both have it and agree (numbers within ``close``); keys that one route lacks are not answered."""
+    both = a.select(*keys, F.col(value).alias("__a")).join(b.select(*keys, F.col(value).alias("__b")), keys, "full_outer")
+    number = a.schema[value].dataType.typeName() in ("double", "float")
+    same = F.coalesce(F.abs(F.col("__a") - F.col("__b")) <= close if number else F.col("__a") == F.col("__b"), F.lit(False))
+    return both.select(*keys, F.when(same, F.col("__a")).alias("value"), same.alias("answered"))
+
+
+def modellable(asked: DataFrame, roof: str, presets: DataFrame) -> DataFrame:
+    """``asked`` with status: ``available`` where the roof has a preset, ``excluded`` where it is a known roof without one, ``unknown`` for other names. ``presets``: roof, has_model."""
+    joined = asked.join(presets.withColumnRenamed("roof", roof), roof, "left")
+    return joined.withColumn("status", F.when(F.col("has_model"), "available").when(F.col("has_model").isNotNull(), "excluded").otherwise("unknown")).drop("has_model")
+
+
 def served(end: Column, as_of: dt.date, variable: Column, offered: list[str], horizon: int = 16) -> Column:
     """available, beyond_horizon or unknown_variable."""
     return F.when(end > F.lit(as_of + dt.timedelta(days=horizon)), "beyond_horizon").when(~variable.isin(offered), "unknown_variable").otherwise("available")

@@ -331,9 +331,14 @@ def site_hours(spark, sf_dir):
     return events(spark, sf_dir).groupBy(timeaxis.stamp(timeaxis.site_hour("ts"), "instant").alias("hour")).agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean"))
 
 
-@query("SELECT strftime(m, '%Y-%m') AS month, CAST(CAST(m AS DATE) AS VARCHAR) AS start, CAST(last_day(m) AS VARCHAR) AS \"end\" FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2025-03-01', INTERVAL 1 MONTH)) AS m) WHERE m >= DATE '2024-01-15' AND last_day(m) <= DATE '2025-03-30'")
+@query("""
+    WITH b AS (SELECT o_orderpriority, min(CAST(o_orderdate AS DATE)) AS f, max(CAST(o_orderdate AS DATE)) AS l FROM orders GROUP BY 1), m AS (SELECT *, unnest(generate_series(date_trunc('month', f), date_trunc('month', l), INTERVAL 1 MONTH)) AS m FROM b)
+    SELECT o_orderpriority, strftime(m, '%Y-%m') AS month, CAST(CAST(m AS DATE) AS VARCHAR) AS start, CAST(last_day(m) AS VARCHAR) AS "end" FROM m WHERE CAST(m AS DATE) >= f AND last_day(m) <= l
+""")
 def month_ladder(spark, sf_dir):
-    return timeaxis.complete_months(spark, dt.date(2024, 1, 15), dt.date(2025, 3, 30)).select("month", day("start"), day("end"))
+    """Complete months of each priority's record."""
+    bounds = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.min(F.to_date("o_orderdate")).alias("first"), F.max(F.to_date("o_orderdate")).alias("last"))
+    return timeaxis.months_within(bounds, ["o_orderpriority"], "first", "last").select("o_orderpriority", "month", day("start"), day("end"))
 
 
 # --- joins -----------------------------------------------------------------------------------------
@@ -461,12 +466,17 @@ def plausible_readings(spark, sf_dir):
 
 
 @query("""
-    WITH r(roof, dry, capacity, low, high) AS (VALUES ('irrigated_extensive', 10.0::DOUBLE, 22.0::DOUBLE, 1.0::DOUBLE, 60.0::DOUBLE), ('non_irrigated_extensive', 10.0, 22.0, 0.5, 60.0), ('semi_intensive', 16.0, 22.0, 1.0, 60.0))
-    SELECT roof, 'low' AS band, low AS lower, dry AS upper FROM r UNION ALL SELECT roof, 'normal', dry, capacity FROM r UNION ALL SELECT roof, 'high', capacity, high FROM r
+    WITH r(k, roof, dry, capacity, low, high) AS (VALUES (0, 'irrigated_extensive', 10.0::DOUBLE, 22.0::DOUBLE, 1.0::DOUBLE, 60.0::DOUBLE), (1, 'non_irrigated_extensive', 10.0, 22.0, 0.5, 60.0), (2, 'semi_intensive', 16.0, 22.0, 1.0, 60.0)),
+    b AS (SELECT k, roof, 'low' AS band, low AS lower, dry AS upper FROM r UNION ALL SELECT k, roof, 'normal', dry, capacity FROM r UNION ALL SELECT k, roof, 'high', capacity, high FROM r)
+    SELECT roof, band, lower, upper, count(*) AS readings FROM events JOIN b ON k = user_id % 3 AND value / 8 > lower AND value / 8 <= upper GROUP BY ALL
 """)
 def interval_bands(spark, sf_dir):
+    """Readings by the band of their roof that they lie in; a shared end belongs to the lower band."""
     bounds = spark.createDataFrame([(k, *v) for k, v in dimensions.SWC_BOUNDS.items()], "roof string, low double, high double")
-    return dimensions.bands(dimensions.rules(spark), bounds)
+    roof = F.element_at(F.array(*map(F.lit, ("irrigated_extensive", "non_irrigated_extensive", "semi_intensive"))), (F.col("user_id") % 3 + 1).cast("int"))
+    readings = events(spark, sf_dir).select(roof.alias("roof"), (F.col("value") / 8).alias("theta"))
+    met = readings.join(dimensions.bands(dimensions.rules(spark), bounds), "roof").where("theta > lower AND theta <= upper")
+    return met.groupBy("roof", "band", "lower", "upper").agg(F.count("*").alias("readings"))
 
 
 @query(r"""
@@ -1060,9 +1070,14 @@ def conditional_means(spark, sf_dir):
 # --- catalog -------------------------------------------------------------------------------------------
 
 
-@query("SELECT 10.0::DOUBLE AS value, true AS answered")
+@query("""
+    SELECT c_mktsegment, min(dry) AS value, count(DISTINCT dry) = 1 AS answered FROM (SELECT c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey % 3 = 2 THEN 16.0::DOUBLE ELSE 10.0::DOUBLE END AS dry FROM customer) GROUP BY 1
+""")
 def t06_one_threshold(spark, sf_dir):
-    return catalog.one_value(dimensions.rules(spark).where(F.col("roof").endswith("extensive")), "dry")
+    """The dry threshold of a segment's roofs, where they share one."""
+    roof = F.when((F.col("c_mktsegment") == "BUILDING") & (F.col("c_nationkey") % 3 == 2), "semi_intensive").when(F.col("c_nationkey") % 3 == 1, "irrigated_extensive").otherwise("non_irrigated_extensive")
+    plots = table(spark, sf_dir, "customer").select("c_mktsegment", roof.alias("roof")).join(dimensions.rules(spark), "roof")
+    return catalog.one_value(plots, "dry", ["c_mktsegment"])
 
 
 @query(f"WITH RECURSIVE {_BALANCE} SELECT user_id, min(store) / 0.7 < 14 AS below FROM b WHERE i > 0 GROUP BY 1")
@@ -1162,14 +1177,14 @@ def leakage(spark, sf_dir):
 
 
 @query("""
-    WITH p AS (SELECT DISTINCT p_name || ' ' || p_type AS key, p_size % 5 AS block FROM part WHERE p_partkey % 10 = 0), k AS (SELECT DISTINCT p_name || ' ' || p_type AS key, p_size % 5 AS block FROM part WHERE p_partkey % 10 > 7),
+    WITH p AS (SELECT DISTINCT p_name || ' ' || p_type AS key, p_size % 5 AS block FROM part), k AS (SELECT DISTINCT p_type || ' ' || p_name AS key, p_size % 5 AS block FROM part),
     s AS (SELECT p.key, p.block, k.key AS k, 1 - levenshtein(p.key, k.key) / greatest(length(p.key), length(k.key)) AS s FROM p JOIN k USING (block))
     SELECT key, block, arg_max(k, struct_pack(s := s, k := k)) AS best, round(max(s), 6) AS similarity FROM s GROUP BY 1, 2
 """)
 def nearest_request(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("key"), (F.col("p_size") % 5).alias("block"))
-    of = lambda cond: p.where(cond).select("key", "block").distinct()
-    out = joins.nearest_text(of("p_partkey % 10 = 0"), of("p_partkey % 10 > 7"))
+    p = table(spark, sf_dir, "part").withColumn("block", F.col("p_size") % 5)
+    of = lambda a, b: p.select(F.concat_ws(" ", a, b).alias("key"), "block").distinct()
+    out = joins.nearest_text(of("p_name", "p_type"), of("p_type", "p_name"))
     return out.select("key", "block", "best", r("similarity", 6).alias("similarity"))
 
 

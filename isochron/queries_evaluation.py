@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from isochron.operators import evaluation, grouping, nearest, trajectories
-from isochron.queries import delegated, drawn, query, r, table
+from isochron.functions import timeaxis
+from isochron.operators import dimensions, evaluation, grouping, islands, nearest, trajectories
+from isochron.plans import catalog
+from isochron.queries import DAY, daily_by_user, day, delegated, drawn, events, query, r, table
 from isochron.sources import ledger
 from isochron.working import new_path
 
@@ -296,6 +300,122 @@ def answer_matches(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", evaluation.answer_matches(F.parse_json(expected), F.parse_json(given), F.lit("mm"), unit, kind, within).alias("matched"))
 
 
+_COMPARED = _RUNS + f""",
+    x AS (SELECT DISTINCT split, template_id, case_id FROM o WHERE excluded), u AS (SELECT split, template_id, case_id, max(v) FILTER (WHERE arm = 'base') AS a, max(v) FILTER (WHERE arm = 'tuned') AS b FROM c GROUP BY ALL),
+    k AS (SELECT u.*, a IS NOT NULL AND b IS NOT NULL AND x.split IS NULL AS paired FROM u LEFT JOIN x USING (split, template_id, case_id)),
+    t AS (SELECT split, template_id, avg(a) AS a, avg(b) AS b, avg(b) - avg(a) AS d FROM k WHERE paired GROUP BY ALL), {drawn("t", "split", 1000)},
+    s AS (SELECT split, avg(a) AS baseline, avg(b) AS optimized, avg(d) AS difference, count(*) AS templates FROM t GROUP BY 1), z AS (SELECT split, count(*) FILTER (WHERE paired) AS cases, count(*) FILTER (WHERE NOT paired) AS dropped FROM k GROUP BY 1)
+"""
+
+
+@query(_COMPARED + """
+    SELECT 'comparison' AS section, split AS at, 'value on ' || split || ': ' || printf('%.3f', baseline) || ' -> ' || printf('%.3f', optimized) || ', difference ' || printf('%+.3f', difference) || ' [' || printf('%+.3f', low) || ', ' || printf('%+.3f', high)
+           || '] over ' || templates || ' templates, ' || cases || ' cases, ' || dropped || ' dropped' AS line FROM z JOIN s USING (split) JOIN iv USING (split)
+    UNION ALL SELECT 'gap', a || '/test_seen', 'value of ' || a || ' from test_seen to test_unseen: ' || printf('%+.3f', g) || ' (no interval)' FROM (
+        SELECT arm AS a, avg(m) FILTER (WHERE split = 'test_seen') - avg(m) FILTER (WHERE split = 'test_unseen') AS g FROM (SELECT arm, split, template_id, avg(v) AS m FROM c GROUP BY ALL) GROUP BY 1)
+""")
+def report_lines(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    losses = evaluation.gaps(runs, "value", resamples=50).where("from_split = 'test_seen'")
+    return evaluation.text_report(evaluation.comparison(runs, "base", "tuned", "value", resamples=1000), losses, "value")
+
+
+@query("""
+    WITH u AS (SELECT o_orderpriority AS role, CASE o_custkey % 3 WHEN 0 THEN 'billable' WHEN 1 THEN 'excluded' ELSE 'probe' END AS bucket, c_mktsegment AS model, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey * 100 END AS tokens FROM orders JOIN customer ON c_custkey = o_custkey)
+    SELECT role, bucket, CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS tokens, round(sum(coalesce(tokens, 0) / 1e6 * CASE model WHEN 'BUILDING' THEN 0.25 WHEN 'MACHINERY' THEN 1.5 ELSE 0 END), 4) AS eur,
+           round(coalesce(sum(CASE WHEN model NOT IN ('BUILDING', 'MACHINERY') THEN coalesce(tokens, 0) ELSE 0 END) / nullif(sum(coalesce(tokens, 0)), 0), 0), 6) AS unmetered FROM u GROUP BY ALL
+""")
+def priced_usage(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    bucket = F.when(F.col("o_custkey") % 3 == 0, "billable").when(F.col("o_custkey") % 3 == 1, "excluded").otherwise("probe")
+    usage = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderpriority").alias("role"), bucket.alias("bucket"), F.col("c_mktsegment").alias("model"), F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderkey") * 100).alias("tokens"))
+    prices = spark.createDataFrame([("BUILDING", 0.25), ("MACHINERY", 1.5)], "model string, eur_per_million double")
+    return evaluation.costs(usage, prices, ["role"]).withColumns({"eur": r("eur"), "unmetered": r("unmetered", 6)})
+
+
+@query("""
+    SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS first, arg_max(o_totalprice, o_orderkey) AS last, max(o_totalprice) AS best, arg_min(o_orderkey, {'a': -o_totalprice, 'b': o_orderkey}) AS best_at, arg_max(o_totalprice, o_orderkey) > arg_min(o_totalprice, o_orderkey) AS improved FROM orders GROUP BY 1
+""")
+def curve_ends(spark, sf_dir):
+    return evaluation.curve_ends(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice")
+
+
+@query("SELECT p_partkey, d AS delta, p_size + d AS variant FROM part, (VALUES (-2.0::DOUBLE), (0.0), (2.0)) AS v(d) WHERE p_size + d BETWEEN 1 AND 49")
+def value_variants(spark, sf_dir):
+    return evaluation.variants(table(spark, sf_dir, "part"), "p_partkey", "p_size", [-2, 2], 1, 49)
+
+
+@query("SELECT l_returnflag, count(*) AS rows, count(*) FILTER (WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 30)) AS unmatched FROM lineitem GROUP BY 1")
+def unmatched_keys(spark, sf_dir):
+    known = table(spark, sf_dir, "part").where("p_size < 30").select(F.col("p_partkey").alias("l_partkey"))
+    return evaluation.unmatched(table(spark, sf_dir, "lineitem"), known, "l_partkey", ["l_returnflag"])
+
+
+@query(f"""
+    WITH d AS (SELECT user_id, {DAY} AS d, sum(value) AS value FROM events GROUP BY 1, 2), w AS (SELECT user_id, d, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INT) AS g FROM d WHERE value >= 60),
+    u AS (SELECT user_id, min(d) AS start, max(d) + 1 AS e FROM w GROUP BY user_id, g), k AS (SELECT u.user_id, start, e FROM u JOIN d ON d.user_id = u.user_id AND d.d BETWEEN start AND e GROUP BY ALL HAVING sum(value) >= 300),
+    m AS (SELECT k.*, ts, value, event_type, epoch(ts - lag(ts) OVER (PARTITION BY k.user_id, start ORDER BY ts)) / 3600 AS gap FROM k JOIN events v ON v.user_id = k.user_id AND {DAY} BETWEEN start AND e)
+    SELECT user_id, CAST(start AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", round(sum(value), 4) AS rain, count(*) AS rows, round(count(*) / (any_value(e - start + 1) * 2), 6) AS coverage, round(max(gap), 4) AS max_gap_h,
+           round(sum(value) FILTER (WHERE event_type = 'click'), 4) AS out_a, round(sum(value) FILTER (WHERE event_type = 'view'), 4) AS out_b FROM m GROUP BY user_id, start, e
+""")
+def event_table(spark, sf_dir):
+    found = islands.wet_events(daily_by_user(spark, sf_dir), ["user_id"], wet=60.0, depth=300.0)
+    of = lambda k: F.when(F.col("event_type") == k, F.col("value"))
+    readings = events(spark, sf_dir).select("user_id", "ts", "value", of("click").alias("out_a"), of("view").alias("out_b"))
+    out = islands.event_table(found.select("user_id", "start", "end"), readings, ["user_id"], ["out_a", "out_b"], per_day=2)
+    return out.select("user_id", day("start"), day("end"), r("rain").alias("rain"), "rows", r("coverage", 6).alias("coverage"), r("max_gap_h").alias("max_gap_h"), r("out_a").alias("out_a"), r("out_b").alias("out_b"))
+
+
+# --- question kinds ---------------------------------------------------------------------------------------
+
+
+def _roofs(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, ("irrigated_extensive", "wetland", "gravel", "meadow"))), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("roof"))
+
+
+@query("SELECT c_custkey, CASE c_nationkey % 4 WHEN 1 THEN 'wetland' WHEN 2 THEN 'gravel' WHEN 3 THEN 'meadow' END AS roof FROM customer WHERE c_nationkey % 4 > 0")
+def t17_excluded_roofs(spark, sf_dir):
+    """Questions about roofs that the watering rules leave out have no answer."""
+    return catalog.missing_parameters(_roofs(spark, sf_dir), dimensions.rules(spark).select("roof"), ["roof"]).select("c_custkey", "roof")
+
+
+@query("SELECT c_custkey, CASE c_nationkey % 4 WHEN 2 THEN 'excluded' WHEN 3 THEN 'unknown' ELSE 'available' END AS status FROM customer")
+def t27_not_modellable(spark, sf_dir):
+    known = [(k, k in dimensions.PRESETS) for k in {*dimensions.PRESETS, *dimensions.SWC_BOUNDS}]
+    return catalog.modellable(_roofs(spark, sf_dir), "roof", spark.createDataFrame(known, "roof string, has_model boolean")).select("c_custkey", "status")
+
+
+@query(f"""
+    WITH d AS (SELECT user_id, {DAY} AS d, max(value) AS top FROM events GROUP BY 1, 2), w AS (SELECT user_id, d, top FROM d WHERE d BETWEEN DATE '2024-01-15' AND DATE '2024-01-21'),
+    i AS (SELECT user_id, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INTEGER) AS g FROM w WHERE top >= 60), n AS (SELECT user_id, max(n) AS n FROM (SELECT user_id, g, count(*) AS n FROM i GROUP BY ALL) GROUP BY 1)
+    SELECT user_id, count(DISTINCT d) = 7 AS whole, coalesce(any_value(n), 0) >= 3 AS heatwave FROM w LEFT JOIN n USING (user_id) GROUP BY user_id
+""")
+def t20_heatwave_expected(spark, sf_dir):
+    """Whether a forecast of a week has three hot days in a row, and whether it has all its days."""
+    start, end = dt.date(2024, 1, 15), dt.date(2024, 1, 21)
+    week = daily_by_user(spark, sf_dir).where(F.col("d").between(F.lit(start), F.lit(end)))
+    longest = islands.day_runs(week.where("top >= 60"), ["user_id"]).groupBy("user_id").agg(F.max("length").alias("longest"))
+    days = week.groupBy("user_id").agg((F.count_distinct("d") == 7).alias("whole"))
+    return days.join(longest, "user_id", "left").select("user_id", "whole", (F.coalesce("longest", F.lit(0)) >= 3).alias("heatwave"))
+
+
+@query(f"""
+    WITH d AS (SELECT user_id, {DAY} AS d, avg(value) AS m, min(event_type) < 'e' AS stale FROM events GROUP BY 1, 2),
+    a AS (SELECT user_id, max(m) FILTER (WHERE d = DATE '2024-01-16') AS t, max(m) FILTER (WHERE d = DATE '2024-01-14') AS y, max(m) FILTER (WHERE d = DATE '2024-01-14' AND NOT stale) AS z FROM d GROUP BY 1)
+    SELECT user_id, CASE WHEN (t > y) = (t > z) THEN t > y END AS value, coalesce((t > y) = (t > z), false) AS answered FROM a
+""")
+def t25_two_routes(spark, sf_dir):
+    """Tomorrow warmer than yesterday, by readings and by hourly sums of a cache that lacks some days; only where both say the same."""
+    e = events(spark, sf_dir).withColumn("d", timeaxis.site_day("ts"))
+    at = lambda days, k: F.max(F.when(F.col("d") == F.lit(dt.date(2024, 1, 15) + dt.timedelta(days=k)), days))
+    direct = e.groupBy("user_id", "d").agg(F.avg("value").alias("m"))
+    hours = e.groupBy("user_id", "d", F.hour("ts").alias("h")).agg(F.sum("value").alias("s"), F.count("value").alias("n"), F.min("event_type").alias("k"))
+    cached = hours.groupBy("user_id", "d").agg((F.sum("s") / F.sum("n")).alias("m"), F.min("k").alias("k")).where("k >= 'e' OR d > DATE '2024-01-15'")
+    warmer = lambda df: df.groupBy("user_id").agg((at(F.col("m"), 1) > at(F.col("m"), -1)).alias("warmer"))
+    return catalog.agreed(warmer(direct), warmer(cached), ["user_id"], "warmer")
+
+
 # --- SQL features that are handed to Spark ---------------------------------------------------------------
 
 delegated("sql_right_join", "SELECT n.n_name, count(s.s_suppkey) AS suppliers FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000 GROUP BY n.n_name")

@@ -17,12 +17,8 @@ def _instant(ts: str) -> Column:
     return F.col(ts).cast("timestamp")
 
 
-def complete_days(readings: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", rows: int = ROWS_PER_DAY, late: str = "2 days", zone: str = SITE_ZONE) -> DataFrame:
-    """Totals of complete site days: in append mode a day comes out once, when the watermark has passed its end.
-
-    Windows of a day are aligned to UTC, the site's days are not; hours are in both. So hours are
-    aggregated first and a batch over their result makes the days (see ``days_of_hours``).
-    """
+def complete_days(readings: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", late: str = "2 days") -> DataFrame:
+    """Totals of UTC hours, to be kept and made into complete site days by a batch (``days_of_hours``); ``site_days`` gives the days from the stream itself."""
     timed = readings.withColumn("__t", _instant(ts)).withWatermark("__t", late)
     hours = timed.groupBy(*keys, F.window("__t", "1 hour").alias("w")).agg(F.sum(value).alias("total"), F.count(value).alias("readings"))
     return hours.select(*keys, F.col("w.start").cast("timestamp_ntz").alias("hour"), "total", "readings")
@@ -77,7 +73,7 @@ def first_only(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "
 
 
 def running_store(steps: DataFrame, key: str, initial: float, residual: float, capacity: float) -> DataFrame:
-    """The capped bucket over a stream of (key, ts, rain, et0): key, ts, store, outflow. The store of each key is its state."""
+    """The capped bucket over a stream of (key, ts, rain, et0) that comes in order: key, ts, store, outflow. Rows are folded as they arrive; ``store_in_order`` waits for late ones."""
 
     def advance(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         store = state.get[0] if state.exists else None
