@@ -216,7 +216,7 @@ def generation_report(spark, sf_dir):
 
 @query("""
     SELECT o_orderstatus AS arm, o_orderpriority AS split, count(*) AS rollouts, count(DISTINCT o_custkey) AS candidates, count(*) FILTER (WHERE o_orderkey % 3 > 0) AS witnessed,
-           array_to_string(list_sort(list_distinct(list(CAST(o_custkey % 4 AS VARCHAR)) FILTER (WHERE o_orderkey % 3 > 0))), ',') AS served, sum(o_orderkey) AS tokens,
+           array_to_string(list_sort(list_distinct(list(CAST(o_custkey % 4 AS VARCHAR)) FILTER (WHERE o_orderkey % 3 > 0))), ',') AS served, CAST(sum(o_orderkey) AS BIGINT) AS tokens,
            CASE WHEN count(*) FILTER (WHERE o_totalprice < 1200) = 0 THEN round(sum(o_totalprice) / 1000, 4) END AS cost FROM orders GROUP BY ALL
 """)
 def ledger_rollup(spark, sf_dir):
@@ -233,7 +233,7 @@ def ledger_rollup(spark, sf_dir):
 
 @query("""
     SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'base' ELSE 'tuned' END AS arm, count(*) AS rollouts, count(DISTINCT o_custkey) AS candidates, count(*) FILTER (WHERE o_orderkey % 3 > 0) AS witnessed,
-           array_to_string(list_sort(list_distinct(list(o_orderpriority) FILTER (WHERE o_orderkey % 3 > 0))), ',') AS served, sum(o_orderkey) AS tokens, round(sum(o_totalprice) / 1000, 3) AS cost FROM orders GROUP BY 1
+           array_to_string(list_sort(list_distinct(list(o_orderpriority) FILTER (WHERE o_orderkey % 3 > 0))), ',') AS served, CAST(sum(o_orderkey) AS BIGINT) AS tokens, round(sum(o_totalprice) / 1000, 3) AS cost FROM orders GROUP BY 1
 """)
 def ledger_source(spark, sf_dir):
     ledger.register(spark)
