@@ -721,7 +721,11 @@ def text_shape_of_part():
     return grouping.text_shape(F.concat(F.lit("SELECT  'x' FROM "), F.col("p_name"), F.lit(" LIMIT "), F.lit("10"), F.lit(" OFFSET size"), F.col("p_size").cast("string")))
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND 1 - list_cosine_similarity(a.v, b.v) < 0.10),
+    g AS (SELECT vec_id AS n, vec_id AS m FROM e UNION SELECT g.n, l.b FROM g JOIN l ON g.m = l.a)
+    SELECT n AS vec_id, min(m) AS "group" FROM g GROUP BY 1
+""")
 def near_duplicate_groups(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     roots = grouping.components(grouping.nearby_pairs(e, "vec_id", "embedding", most=0.10))
