@@ -176,8 +176,8 @@ def answer_matches(expected: Column, actual: Column, expected_unit: Column, actu
 
 def text_report(compared: DataFrame, losses: DataFrame, metric: str) -> DataFrame:
     """Lines of a report: section, at, line. ``compared``: as ``comparison`` gives it; ``losses``: from_split, to_split, arm, gap, low, high, as ``gaps``. What has no value is said to have none."""
-    number = lambda c: F.coalesce(F.format_string("%+.3f", c), F.lit("none"))
-    plain = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("none"))
+    said = lambda form: lambda c: F.when(F.col(c).isNotNull(), F.format_string(form, c)).otherwise("none")  # noqa: E731  a format writes a null as a part of the word
+    number, plain = said("%+.3f"), said("%.3f")
     interval = lambda: F.when(F.col("low").isNotNull(), F.concat(F.lit(" ["), number("low"), F.lit(", "), number("high"), F.lit("]"))).otherwise(F.lit(" (no interval)"))
     count = lambda c: F.col(c).cast("string")
     first = F.concat(F.lit(f"{metric} on "), "split", F.lit(": "), plain("baseline"), F.lit(" -> "), plain("optimized"), F.lit(", difference "), number("difference"), interval(), F.lit(" over "), count("templates"), F.lit(" templates, "), count("cases"), F.lit(" cases, "), count("dropped"), F.lit(" dropped"))

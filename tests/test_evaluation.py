@@ -142,3 +142,50 @@ def test_ledger_is_replaced_by_condition(spark, tmp_path):
         evaluation.write_ledger(spark.createDataFrame(part, kind), path)
     out = {r.arm: r for r in evaluation.ledger_summary(spark.read.parquet(path), ["arm"]).collect()}
     assert tuple(out["a"]) == ("a", 2, 2, 1, ["m"], 30, 0.75) and tuple(out["b"]) == ("b", 1, 1, 1, ["n"], 5, None)
+
+
+def test_event_table(spark):
+    from isochron.operators import islands
+
+    events = spark.createDataFrame([(1, dt.date(2025, 6, 1), dt.date(2025, 6, 2)), (2, dt.date(2025, 6, 1), dt.date(2025, 6, 1))], "k int, start date, end date")
+    at = lambda d, h: dt.datetime(2025, 6, d, h)
+    rows = [(1, at(1, 1), 2.0, 0.5), (1, at(1, 7), 3.0, None), (1, at(2, 21), 1.0, 0.25), (1, at(2, 22), 9.0, 9.0), (1, dt.datetime(2025, 5, 31, 22), 4.0, None), (3, at(1, 1), 7.0, 7.0)]
+    readings = spark.createDataFrame(rows, "k int, ts timestamp_ntz, value double, out double")
+    found = {r.k: tuple(r)[3:] for r in islands.event_table(events, readings, ["k"], ["out"], per_day=2).collect()}
+    assert found == {1: (10.0, 4, 1.0, 38.0, 0.75), 2: (None, 0, 0.0, None, None)}
+
+
+def test_routes_and_roofs(spark):
+    from isochron.plans import catalog
+
+    a = spark.createDataFrame([(1, True), (2, False), (3, True), (4, None)], "k int, v boolean")
+    b = spark.createDataFrame([(1, True), (2, True), (5, True)], "k int, v boolean")
+    assert sorted(map(tuple, catalog.agreed(a, b, ["k"], "v").collect())) == [(1, True, True), (2, None, False), (3, None, False), (4, None, False), (5, None, False)]
+    x = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
+    assert sorted(map(tuple, catalog.agreed(x, x.withColumn("v", F.col("v") + F.when(F.col("k") == 2, 0.1).otherwise(1e-12)), ["k"], "v").collect())) == [(1, 1.0, True), (2, None, False)]
+    presets = spark.createDataFrame([("wetland", True), ("gravel", False)], "roof string, has_model boolean")
+    asked = spark.createDataFrame([(k, r) for k, r in enumerate(("wetland", "gravel", "meadow", None))], "k int, roof string")
+    assert {r.k: r.status for r in catalog.modellable(asked, "roof", presets).collect()} == {0: "available", 1: "excluded", 2: "unknown", 3: "unknown"}
+
+
+def test_costs_and_lines(spark):
+    from isochron.operators import evaluation
+
+    usage = spark.createDataFrame([("r", "b", "m", 1_000_000), ("r", "b", "x", 3_000_000), ("r", "c", "m", None)], "role string, bucket string, model string, tokens bigint")
+    prices = spark.createDataFrame([("m", 2.0)], "model string, eur_per_million double")
+    assert sorted(map(tuple, evaluation.costs(usage, prices, ["role"]).collect())) == [("r", "b", 4_000_000, 2.0, 0.75), ("r", "c", 0, 0.0, 0.0)]
+    compared = spark.createDataFrame([("s", 0.5, 0.75, 0.25, 0.1, 0.4, 3, 1, 2), ("u", None, None, None, None, None, 0, 4, 0)], "split string, baseline double, optimized double, difference double, low double, high double, cases int, dropped int, templates int")
+    losses = spark.createDataFrame([("a", "s", "u", None, None, None)], "arm string, from_split string, to_split string, gap double, low double, high double")
+    lines = [r.line for r in evaluation.text_report(compared, losses, "answer").orderBy("section", "at").collect()]
+    assert lines == ["answer on s: 0.500 -> 0.750, difference +0.250 [+0.100, +0.400] over 2 templates, 3 cases, 1 dropped", "answer on u: none -> none, difference none (no interval) over 0 templates, 0 cases, 4 dropped", "answer of a from s to u: none (no interval)"]
+
+
+def test_named_columns_and_json(spark):
+    from isochron.operators import dimensions
+
+    df = spark.createDataFrame([("a", 1.5, 2, "x"), ("b", float("nan"), 3, None), ("s", 2.0, 4, "y"), (None, 1.0, 5, "z")], "of string, a double, b int, s string")
+    assert [r.value for r in dimensions.column_value(df, "of").orderBy("b").collect()] == [1.5, 3.0, None, None]
+    typed = df.select("a", F.lit(dt.date(2025, 1, 2)).alias("d"), F.lit(b"\x01\xff").alias("raw"), F.lit("1.50").cast("decimal(5,2)").alias("n"), "s", F.array("b").alias("list"))
+    assert [json.loads(r.row) for r in dimensions.json_safe(typed).collect()][:2] == [{"a": 1.5, "d": "2025-01-02", "raw": "01FF", "n": "1.50", "s": "x", "list": [2]}, {"a": None, "d": "2025-01-02", "raw": "01FF", "n": "1.50", "s": None, "list": [3]}]
+    presets = dimensions.with_preset(spark.createDataFrame([("wetland", None), ("wetland", 0.3), ("meadow", 0.3)], "roof string, own double"), "roof", "own").collect()
+    assert [(r.depth_cm, r.albedo, r.open_water, r.kg) for r in presets] == [(1.7, 0.06, True, 1.0), (1.7, 0.3, True, 1.0), (None, None, None, None)]
