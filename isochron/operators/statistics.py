@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Weights of the metrics in the selection score.
 WEIGHTS = {"answer": 0.40, "trajectory": 0.30, "arguments": 0.20, "abstention": 0.10}
 RESAMPLES, SEED, CONFIDENCE = 10_000, 42, 0.95
+#: Members of all groups of a bootstrap that are sent to every task: some 10 MB.
+BROADCAST_MEMBERS = 200_000
 
 
 def case_means(outcomes: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -83,7 +85,12 @@ def resampled(members: DataFrame, keys: list[str], value: str, member: str, resa
     count = F.col(weight).cast("double") if weight else F.lit(1.0)
     numbered = own.select(*keys, F.col(value).cast("double").alias("__v"), count.alias("__c"), (F.row_number().over(W.partitionBy(*keys).orderBy(member)) - 1).alias("__j"))
     sizes = own.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum(value) / F.sum(count)).alias("mean"))
-    draws = sizes.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    # groups are few rows: their resamples are dealt to tasks by a stated number, which is not made less where rows are still few, and draw there
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = sizes.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(tasks, "__r")
+    draws = draws.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    if own.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:  # beyond that both sides are dealt out by number
+        numbered = F.broadcast(numbered)
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__r").cast("string"), F.col("__i").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("n")
     means = draws.withColumn("__j", drawn.cast("int")).join(numbered, [*keys, "__j"]).groupBy(*keys, "n", "mean", "__r").agg((F.sum("__v") / F.sum("__c")).alias("__m"))
     tail = (1 - confidence) / 2
