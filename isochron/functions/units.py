@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 def theta_to_mm(theta_pct: Column, depth_cm: Column | float) -> Column:
@@ -35,11 +36,29 @@ def rounded(x: Column, digits: int = 2) -> Column:
     return F.bround(x, digits)
 
 
+def exact_sum(x: str | Column, over: WindowSpec | None = None) -> Column:
+    """Sum as double that does not depend on the order of the rows: values are added as decimals of 12 places (further ones are rounded).
+
+    Null without values. Values of 1e15 or more, infinities and NaN are added as doubles. ``over``: a window, else an aggregate.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    total = lambda c: F.sum(c) if over is None else F.sum(c).over(over)
+    fits = F.abs(x) < 1e15
+    exact = total(F.when(fits, x).cast("decimal(28,12)")).cast("double")
+    rest = total(F.when(~fits, x.cast("double")))
+    return F.when(rest.isNull(), exact).otherwise(rest + F.coalesce(exact, F.lit(0.0)))
+
+
+def exact_mean(x: str | Column) -> Column:
+    """``exact_sum`` by the number of values; null without values."""
+    return F.try_divide(exact_sum(x), F.count(x))
+
+
 def fold(kind: str, x: str | Column) -> Column:
     """The aggregate of a kind of variable: a flux is summed, a state averaged."""
     if kind not in ("flux", "state"):
         raise ValueError(f"neither flux nor state: {kind}")
-    return F.sum(x) if kind == "flux" else F.avg(x)
+    return exact_sum(x) if kind == "flux" else exact_mean(x)
 
 
 def valid_mean(x: str) -> Column:

@@ -38,9 +38,9 @@ def occurred(readings: DataFrame, keys: list[str], value: str = "value") -> Data
 def peak_day(readings: DataFrame, keys: list[str], kind: str = "flux", ts: str = "ts", value: str = "value") -> DataFrame:
     """The day with the highest total per keys: d, value, ties (days that share it); a tie names no day."""
     days = daily(readings, kind, keys, ts, value)
-    best = days.groupBy(*keys).agg(F.max("value").alias("value"), F.max(F.struct("value", "d")).alias("top"))
-    count = days.join(best.select(*keys, F.col("value").alias("__top")), keys).where(F.col("value") == F.col("__top")).groupBy(*keys).agg(F.count("*").alias("ties"))
-    return best.join(count, keys).select(*keys, F.when(F.col("ties") == 1, F.col("top.d")).alias("d"), "value", "ties")
+    best = days.withColumn("__k", F.rank().over(W.partitionBy(*keys).orderBy(F.desc("value")))).where("__k = 1")
+    best = best.groupBy(*keys).agg(F.max("value").alias("value"), F.max("d").alias("d"), F.count("*").alias("ties"))
+    return best.select(*keys, F.when(F.col("ties") == 1, F.col("d")).alias("d"), "value", "ties")
 
 
 def station_days(weather: DataFrame, ts: str = "ts", rows_per_day: int = ROWS_PER_DAY, keys: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isochron.functions.timeaxis import SITE_ZONE, site_day
+from isochron.functions.units import exact_sum
 
 
 def gap_hours(ts: str, over) -> Column:
@@ -44,7 +45,7 @@ def wet_events(rain: DataFrame, keys: list[str], wet: float = 0.2, depth: float
     """Rain events: runs of wet days with ``tail`` days after, kept if ``depth`` mm fall in them: start, end, rain_total, days."""
     runs = day_runs(rain.where(F.col(value) >= wet), keys, day).withColumn("end", F.date_add("end", tail))
     unrolled = runs.withColumn(day, F.explode(F.sequence("start", "end")))
-    sums = unrolled.join(rain.select(*keys, day, value), [*keys, day]).groupBy(*keys, "start", "end").agg(F.sum(value).alias("rain_total"), F.count("*").alias("days"))
+    sums = unrolled.join(rain.select(*keys, day, value), [*keys, day]).groupBy(*keys, "start", "end").agg(exact_sum(value).alias("rain_total"), F.count("*").alias("days"))
     return sums.where(F.col("rain_total") >= depth)
 
 

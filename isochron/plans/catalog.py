@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isochron.functions.units import exact_sum
+
 #: Question kind -> the query that shows it on the driver's tables.
 ANSWERS = {
     "T01": "t01_total_by_period", "T02": "t02_hot_day_count", "T03": "t03_paired_gap", "T04": "t04_occurred", "T05": "t05_peak_day", "T06": "t06_one_threshold", "T07": "irrigation_ladder",
@@ -64,6 +66,6 @@ def event_retention(events: DataFrame, daily_out: DataFrame, keys: list[str], ta
     Shares outside 0 to 1 have no answer: more flowed out than fell.
     """
     days = events.withColumn("d", F.explode(F.sequence("start", "end")))
-    out = days.join(daily_out, [*keys, "d"], "left").groupBy(*keys, "start", "end", "rain_total").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("out_total"))
+    out = days.join(daily_out, [*keys, "d"], "left").groupBy(*keys, "start", "end", "rain_total").agg(exact_sum(F.coalesce("value", F.lit(0.0))).alias("out_total"))
     share = F.try_divide(F.col("rain_total") - F.col("out_total"), "rain_total")
     return out.withColumn("share", F.when(share.between(0, 1), share)).withColumn("kept", F.col("share") > target)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from isochron.functions import et0, text, units
 from isochron.operators import aggregates, dimensions, grouping, islands, joins, quality, series, sets, statistics
-from isochron.plans import guarded, stores
+from isochron.plans import catalog, guarded, stores
 
 D = dt.date
 
@@ -225,3 +225,23 @@ def test_nearby_vectors_against_brute_force(spark):
     assert all(r.a < r.b and near[r.a, r.b] for r in links.collect())
     root = {r.node: r.root for r in grouping.components(links).collect()}
     assert [root.get(i, i) for i in range(len(v))] == want
+
+
+def test_sums_do_not_depend_on_order(spark):
+    up, down = [0.1, 0.2, 0.3], [0.3, 0.2, 0.1]
+    rows = [(k, i, v) for k, own in (("a", up), ("b", down), ("c", [float("nan"), 1.0, None]), ("d", [None] * 3), ("e", [1e300, 1.0, -1e300])) for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "k string, i int, v double").coalesce(1)
+    out = {r.k: (r.s, r.m) for r in df.groupBy("k").agg(units.exact_sum("v").alias("s"), units.exact_mean("v").alias("m")).collect()}
+    assert out["a"] == out["b"] == (0.6, 0.6 / 3) and out["d"] == (None, None) and out["e"][0] == 1.0 and str(out["c"][0]) == "nan"
+
+
+def test_equal_totals_tie_in_any_order(spark):
+    rows = [(u, dt.datetime(2024, 1, d, 10 + i), v) for u in (7, None) for d, own in ((14, [0.1, 0.2, 0.3]), (16, [0.3, 0.2, 0.1])) for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "user_id bigint, ts timestamp_ntz, value double").coalesce(1)
+    assert sorted(tuple(r)[1:] for r in aggregates.peak_day(df, ["user_id"]).collect()) == [(None, 0.6, 2)] * 2
+
+
+def test_an_event_that_all_flowed_out_of_keeps_nothing(spark):
+    event = spark.createDataFrame([(1, D(2024, 1, 1), D(2024, 1, 3), 0.6)], "k int, start date, end date, rain_total double")
+    out = spark.createDataFrame([(1, D(2024, 1, i + 1), v) for i, v in enumerate((0.1, 0.2, 0.3))], "k int, d date, value double").coalesce(1)
+    assert tuple(catalog.event_retention(event, out, ["k"]).first())[4:] == (0.6, 0.0, False)
