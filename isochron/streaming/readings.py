@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from isochron.functions.timeaxis import ROWS_PER_DAY, SITE_ZONE, site_ts
+from isochron.functions.units import exact_mean
 
 
 def _instant(ts: str) -> Column:
@@ -54,9 +55,9 @@ def site_days(readings: DataFrame, keys: list[str], ts: str = "ts", value: str =
 
 
 def sliding(readings: DataFrame, keys: list[str], length: str = "2 hours", step: str = "30 minutes", ts: str = "ts", value: str = "value", late: str = "1 hour") -> DataFrame:
-    """Means over sliding windows."""
+    """Means over sliding windows, from exact sums: the same for any order of arrival."""
     timed = readings.withColumn("__t", _instant(ts)).withWatermark("__t", late)
-    out = timed.groupBy(*keys, F.window("__t", length, step).alias("w")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    out = timed.groupBy(*keys, F.window("__t", length, step).alias("w")).agg(exact_mean(value).alias("mean"), F.count("*").alias("n"))
     return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "mean", "n")
 
 
