@@ -9,7 +9,7 @@ from isochron.llm.language_id import keep_identified
 from isochron.llm.line_dedup import drop_repeated_lines
 from isochron.llm.mixing import mixed_documents
 from isochron.llm.pieces import encode
-from isochron.llm.shingles import drop_near_copies
+from isochron.llm.simhash import keep_first
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies (Jaccard similarity of 5-word shingles 0.8 or more) the row with the smallest id, nulls last; texts without words are alike."""
-    return drop_near_copies(docs)
+    """Of each group of texts whose SimHash fingerprints are linked (4 or fewer differing bits) the row with the smallest id, nulls last; texts without words are alike."""
+    return keep_first(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

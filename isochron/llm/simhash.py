@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isochron.llm.common import cut, join_groups, salt
+from isochron.llm.common import cut, join_groups, row_keyed, salt
 from isochron.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -265,3 +265,12 @@ def drop_near_duplicates(docs: DataFrame, size: int = 4, most: int = 4) -> DataF
     """The rows of ``docs`` whose doc_id is its component's smallest, with all their columns. Rows with a null id stay."""
     gone = near_duplicates(docs, size, most).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")
+
+
+def keep_first(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
+    """Of each component one row of ``docs``, with all columns: that with the smallest doc_id (nulls last), of repeated ids any one."""
+    keyed = row_keyed(docs)
+    found = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), size, most)
+    ids = keyed.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row")).alias("own"))
+    stay = found.select(F.col("doc_id").alias("__row"), "component_id").join(ids, "__row").groupBy("component_id").agg(F.min("own").alias("own"))
+    return keyed.join(stay.select(F.col("own.row").alias("__row")), "__row", "left_semi").select(docs.columns)

@@ -36,3 +36,16 @@ def test_null_and_repeated_ids(spark):
     # 1.5 times all words are taken, each pass being the start of a row's own text
     assert sum(len(t.split()) for _, t in mixed) == round(1.5 * sum(len(t.split()) for t in texts))
     assert all(any(i == j and u.split()[: len(t.split())] == t.split() for j, u in whole) for i, t in mixed)
+
+
+def test_near_dedup_is_by_simhash(spark):
+    import corpus_pipeline as cp
+    from isochron.llm.simhash import fingerprint
+
+    words = [f"w{i * i % 101}" for i in range(400)]
+    texts = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(0, 400, 20)]
+    pairs = [(a, b) for a in texts for b in texts if a < b and (fingerprint(a) ^ fingerprint(b)).bit_count() <= 4]
+    far = next(t for t in (" ".join(words[k:] + words[:k] + ["end"] * k) for k in range(1, 400)) if min((fingerprint(t) ^ fingerprint(x)).bit_count() for x in texts) > 8)
+    a, b = pairs[0]
+    df = spark.createDataFrame([(None, a, "p"), (5, b, "q"), (5, far, "r"), (9, None, "s"), (10, " ", "t")], "doc_id bigint, text string, source string")
+    assert sorted(r.source for r in cp.near_dedup(spark, df, "").collect()) == ["q", "r", "s"]
