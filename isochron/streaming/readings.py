@@ -96,68 +96,77 @@ def running_store(steps: DataFrame, key: str, initial: float, residual: float, c
 
 
 class _InOrder(StatefulProcessor):
-    """Per key: the store and the number of steps folded into it, and the steps that the watermark has not passed."""
+    """Per group of keys: the stores and the numbers of steps folded into them, and the steps that the watermark has not passed."""
 
-    def __init__(self, initial: float, residual: float, capacity: float) -> None:
-        self.initial, self.residual, self.capacity = initial, residual, capacity
+    def __init__(self, kind: str, initial: float, residual: float, capacity: float) -> None:
+        self.kind, self.initial, self.residual, self.capacity = kind, initial, residual, capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.folded = handle.getValueState("folded", "store double, steps bigint")
-        self.pending = handle.getListState("pending", "at bigint, rain double, et0 double")
+        self.folded = handle.getListState("folded", f"key {self.kind}, store double, steps bigint")
+        self.pending = handle.getListState("pending", f"key {self.kind}, at bigint, rain double, et0 double")
+        self.woken = set()  # groups folded in this batch: a later timer finds nothing due
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the API calls by these names
         if key[0] is not None:
-            for frame in rows:
-                came = [(int(a), float(p), float(e)) for a, p, e in zip(frame["at"], frame["rain"], frame["et0"], strict=True)]
-                self.pending.appendList(came)
-                self.handle.registerTimer(min(came)[0] // 1000)
+            came = [x for f in rows for x in zip(*(f[c].tolist() for c in ("key", "at", "rain", "et0")), strict=True)]
+            self.pending.appendList(came)
+            self.handle.registerTimer(min(x[1] for x in came) // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        steps = sorted(self.pending.get()) if self.pending.exists() else []
-        due = [s for s in steps if s[0] <= passed]
-        if not due:  # folded with an earlier timer
+        if key[0] in self.woken:
             return
-        store, n = self.folded.get() if self.folded.exists() else (None, 0)
-        out = []
-        for at, rain, et0 in due:
+        self.woken.add(key[0])
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        steps = sorted(tuple(x) for x in self.pending.get()) if self.pending.exists() else []
+        stores = {k: (store, n) for k, store, n in self.folded.get()} if self.folded.exists() else {}
+        out, rest = [], []
+        for step in steps:
+            k, at, rain, et0 = step
+            if at > passed:
+                rest.append(step)
+                continue
+            store, n = stores.get(k, (None, 0))
             if store is None:
                 level, loss = self.initial, None
             else:
                 loss = et0 * min(max((store - self.residual) / (self.capacity - self.residual), 0.0), 1.0)
                 level = store + rain - loss
             store = min(level, self.capacity)
-            out.append((key[0], at, n, store, max(level - self.capacity, 0.0), loss))
-            n += 1
-        self.folded.update((store, n))
-        rest = steps[len(due) :]
+            out.append((k, at, n, store, max(level - self.capacity, 0.0), loss))
+            stores[k] = store, n + 1
+        if out:
+            self.folded.put([(k, *x) for k, x in stores.items()])
+            if rest:
+                self.pending.put(rest)
+            else:
+                self.pending.clear()
         if rest:
-            self.pending.put(rest)
-            self.handle.registerTimer(rest[0][0] // 1000)
-        else:
-            self.pending.clear()
-        yield pd.DataFrame(out, columns=["key", "at", "step", "store", "outflow", "loss"])
+            self.handle.registerTimer(min(x[1] for x in rest) // 1000)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "at", "step", "store", "outflow", "loss"])
 
     def close(self) -> None:
         pass
 
 
-def store_in_order(steps: DataFrame, key: str, initial: float, residual: float, capacity: float, late: str = "2 days", ts: str = "ts") -> DataFrame:
+def store_in_order(steps: DataFrame, key: str, initial: float, residual: float, capacity: float, late: str = "2 days", ts: str = "ts", groups: int = 1024) -> DataFrame:
     """The capped bucket over a stream of (key, ts, rain, et0) whose rows come late: key, ts, step (from 0), store, outflow, loss.
 
     Steps wait, sorted, until the watermark has passed them, and are folded in the order of their time; so batches in any order, and
     any cut into batches, give the fold of the whole record, as no row is later than ``late``. Later ones
-    are dropped, and Spark counts them. A timer per key wakes it at the time of its earliest waiting step. State per key: its store and the steps of
+    are dropped, and Spark counts them. Keys are dealt to ``groups`` by hash, as each call of a state costs milliseconds, however few rows it has; a group is read whole
+    by a task. A timer per group wakes it at the time of its earliest waiting step. State per key: its store and the steps of
     ``late``, in RocksDB (see ``streaming.replay.state_on_disk``), so a restart goes on from there. Rows without a key only
     move the clock. Steps of a key at one time are folded in order of rain, then et0. The first step starts at
     ``initial``; its loss is null.
     """
     timed = steps.withColumn("__t", _instant(ts)).withWatermark("__t", late)
-    rows = timed.select(F.col(key).alias("key"), "__t", F.unix_micros("__t").alias("at"), F.col("rain").cast("double"), F.col("et0").cast("double"))
+    group = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    rows = timed.select(group.alias("group"), F.col(key).alias("key"), "__t", F.unix_micros("__t").alias("at"), F.col("rain").cast("double"), F.col("et0").cast("double"))
     kind = steps.schema[key].dataType.simpleString()
-    out = rows.groupBy("key").transformWithStateInPandas(
-        _InOrder(initial, residual, capacity), f"key {kind}, at bigint, step bigint, store double, outflow double, loss double", "append", "EventTime"
+    out = rows.groupBy("group").transformWithStateInPandas(
+        _InOrder(kind, initial, residual, capacity), f"key {kind}, at bigint, step bigint, store double, outflow double, loss double", "append", "EventTime"
     )
     return out.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), "step", "store", "outflow", "loss")

@@ -29,7 +29,7 @@ def replayed(rows: DataFrame, ts: str, seed: int, spread_hours: int, batches: in
     """``rows`` as a stream of ``batches`` batches, with an instant ``ts``: a row comes up to ``spread_hours`` after its time, by hash of the row and ``seed``.
 
     A last batch has one row of nulls, but for a time ``late_hours`` and a day after the record: a heartbeat that moves the watermark past the record's end.
-    A batch may be many files, which the source takes in order of their making. So no row is later
+    A batch has as many files as a shuffle has tasks (fewer, of few rows); the source takes that many at once, in order of their making. So no row is later
     than a watermark of ``late_hours`` if that covers the spread and the length of a batch; less is refused. Rows without a time are left out: they have no place in a stream.
     """
     spark = rows.sparkSession
@@ -48,11 +48,13 @@ def replayed(rows: DataFrame, ts: str, seed: int, spread_hours: int, batches: in
     held = new_path(spark, "arrivals")
     dealt.write.partitionBy("__batch").parquet(held)
     arrived = spark.read.schema(dealt.schema).parquet(held)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k in range(batches):  # one after another, as the source goes by the files' times
-        arrived.where(F.col("__batch") == k).drop("__batch").write.mode("append").parquet(path)
+        arrived.where(F.col("__batch") == k).drop("__batch").repartition(files).write.mode("append").parquet(path)
+    at_once = max(1, len(spark.read.schema(timed.schema).parquet(path).inputFiles()) // batches)
     beat = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != ts else F.timestamp_micros(F.lit(first + span + (late_hours + 24) * 3_600_000_000)).alias(ts) for f in timed.schema.fields]
     spark.range(1).select(beat).write.mode("append").parquet(path)
-    return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", at_once).parquet(path)
 
 
 def drained(stream: DataFrame, timeout: int = 3600) -> DataFrame:

@@ -46,6 +46,13 @@ def test_late_steps_are_folded_in_order(spark, seed, batches):
     assert sorted(r.step for r in found.where("k = 1").collect()) == list(range(60))
 
 
+def test_keys_share_groups(spark):
+    steps = steps_of(spark, 30, 40).withColumn("k", F.concat(F.lit("s"), "k"))
+    found = replay.drained(stream.store_in_order(replay.replayed(steps, "ts", 2, 12, 3, 72), "k", 12.0, 2.0, 22.0, "72 hours", groups=4))
+    wanted = stores.bucket_series(steps, ["k"], "ts", "rain", "et0", F.lit(12.0), F.lit(2.0), F.lit(22.0))
+    assert found.count() == 1200 and found.drop("step").exceptAll(wanted.select("k", "ts", "store", "outflow", "loss")).count() == 0
+
+
 def test_the_batches_are_out_of_order(spark):
     source = replay.replayed(steps_of(spark, 1, 60), "ts", 1, 12, 3, 72)
     q = source.select("ts").writeStream.format("memory").queryName("arrivals").outputMode("append").trigger(availableNow=True).start()
