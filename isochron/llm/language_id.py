@@ -2,12 +2,12 @@
 
 Each language has a raw-content zstandard dictionary of sampled text; a text, in lower case, is encoded with every
 dictionary and belongs to the language that gives the fewest bytes. Where the margin is narrow, however long the
-text, it is encoded again, after text of each language. A margin that is narrow still means rejection.
+text, it is encoded again by the same coders, after text of each language. A margin that is narrow still means rejection.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +17,7 @@ UNKNOWN = "und"
 BLOCK = 1 << 14  # bytes encoded at once, so that the dictionary counts in all parts of a long text
 LEVEL = 5
 NARROW = 0.1  # a text whose margin is below this is encoded after text of each language,
-CLOSE_BLOCK, CLOSE_LEVEL = 1 << 12, 19  # so many bytes at once
+CLOSE_BLOCK, CLOSE_LEVEL = 1 << 12, LEVEL  # so many bytes at once; more effort (19) takes 6 times as long and judges worse
 CONTEXT, CONTEXTS = 512, 6  # bytes of that text, and how often another; headers and code tables then cost nothing extra
 
 
@@ -49,7 +49,7 @@ def learn(labelled: DataFrame, rows_per_language: int = 400, dictionary_bytes: i
     return {lang: parts[lang] for lang in counts if lang in parts}
 
 
-def _coders(model: dict[str, bytes], level: int) -> list:
+def _coders(model: dict[str, bytes], level: int = LEVEL) -> list:
     import zstandard
 
     out = []
@@ -70,6 +70,25 @@ def _least(sizes: list[int]) -> tuple[int, float]:
     return best, 1.0 if rest is None else 1 - sizes[best] / rest if rest else 0.0
 
 
+def _judge(model: dict[str, bytes]) -> Callable[[bytes], tuple[int, float]]:
+    """A function of a text: which language of ``model`` it is in, and by what share its size is below the next one's."""
+    usual = _coders(model)
+    close = usual if CLOSE_LEVEL == LEVEL else _coders(model, CLOSE_LEVEL)
+    before = [[x[-CONTEXT * (k + 1) :][:CONTEXT] for k in range(CONTEXTS)] for x in model.values()]
+    alone = [sum(len(c.compress(x)) for x in own) for c, own in zip(close, before, strict=True)]
+
+    def judge(data: bytes) -> tuple[int, float]:
+        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        best, score = _least([sum(len(c.compress(b)) for b in blocks) for c in usual])
+        if score < NARROW:
+            blocks = [data[i : i + CLOSE_BLOCK] for i in range(0, len(data), CLOSE_BLOCK)]
+            sizes = [sum(len(c.compress(x + b)) for b in blocks for x in own) - n * len(blocks) for c, own, n in zip(close, before, alone, strict=True)]
+            best, score = _least([max(0, n) for n in sizes])
+        return best, score
+
+    return judge
+
+
 def has_letter(text: str | None) -> bool:
     """Whether ``text`` has a character of one of Unicode's categories of letters."""
     return text is not None and any(map(str.isalpha, text))
@@ -87,23 +106,14 @@ def identify(text: Column, model: dict[str, bytes], min_margin: float = 0.001) -
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        names = list(model)
-        usual, close = _coders(model, LEVEL), _coders(model, CLOSE_LEVEL)
-        before = [[x[-CONTEXT * (k + 1) :][:CONTEXT] for k in range(CONTEXTS)] for x in model.values()]
-        alone = [sum(len(c.compress(x)) for x in own) for c, own in zip(close, before, strict=True)]
+        names, judge = list(model), _judge(model)
         for batch in batches:
             rows = []
             for t in batch:
                 if not names or not has_letter(t):
                     rows.append((UNKNOWN, 0.0, True))
                     continue
-                data = t.lower().encode()
-                blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-                best, score = _least([sum(len(c.compress(b)) for b in blocks) for c in usual])
-                if score < NARROW:
-                    blocks = [data[i : i + CLOSE_BLOCK] for i in range(0, len(data), CLOSE_BLOCK)]
-                    sizes = [sum(len(c.compress(x + b)) for b in blocks for x in own) - n * len(blocks) for c, own, n in zip(close, before, alone, strict=True)]
-                    best, score = _least([max(0, n) for n in sizes])
+                best, score = judge(t.lower().encode())
                 rows.append((names[best], score, score < min_margin))
             yield pd.DataFrame(rows, columns=["lang", "score", "rejected"])
 

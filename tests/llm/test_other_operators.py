@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -96,6 +97,27 @@ def test_languages_by_hand(spark):
         assert sizes[lang] == min(sizes.values()) and score == pytest.approx(margin(sizes)) and rejected == (score < 0.001)
 
 
+def test_narrow_texts_take_no_more_than_their_contexts():
+    """A text between two languages is encoded six times more, with the contexts; at level 19 that took over 100 times as long as the first pass."""
+    pytest.importorskip("zstandard")
+    rng = random.Random(5)
+    syllables = ["ka", "lo", "mi", "ner", "to", "sal", "bru", "ep"]
+    words = {lang: ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(2000)] for lang in "xy"}
+    some = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    model = {lang: some(lang, 15_000).encode() for lang in words}
+    data = " ".join(some(lang, 200) for _ in range(60) for lang in words).encode()
+    judge, coders = li._judge(model), li._coders(model, li.LEVEL)
+
+    def took(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    once = lambda: [c.compress(data[i : i + li.BLOCK]) for c in coders for i in range(0, len(data), li.BLOCK)]
+    plain, all_ = min(took(once) for _ in range(3)), min(took(lambda: judge(data)) for _ in range(3))
+    assert judge(data)[1] < li.NARROW and all_ < 25 * plain, all_ / plain
+
+
 def test_language_id(spark):
     rng = random.Random(3)
     syllables = {"en": ["the", "ing", "and", "tion", "er"], "de": ["sch", "ung", "der", "keit", "ü"], "fr": ["eau", "ment", "le", "é", "oi"]}
