@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def _items(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
+def _with(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of ``value``, which is computed once a row: an expression that is named twice in a lambda or a branch is computed twice."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def walk(doc: Column, path: Column | str) -> Column:
     """What a dotted path leads to: a struct of found (array<variant>) and lost (boolean).
 
@@ -27,18 +34,22 @@ def walk(doc: Column, path: Column | str) -> Column:
     path = F.lit(path) if isinstance(path, str) else path
 
     def one(v: Column, segment: Column) -> Column:
-        members, items = _members(v), _items(v)
-        place = segment.try_cast("int")
-        place = F.when(place < 0, place + F.size(items) + 1).otherwise(place + 1)  # from 1
-        inside = place.between(1, F.size(items))
-        return F.when(members.isNotNull(), F.when(F.map_contains_key(members, segment), F.array(members[segment])).otherwise(none)).when(items.isNotNull() & inside, F.array(F.get(items, place - 1))).otherwise(none)
+        def reached(of: Column) -> Column:
+            members, items = of["members"], of["items"]
+            place = segment.try_cast("int")
+            item = F.try_element_at(items, F.when(place < 0, place).otherwise(place + 1))  # from 1, or from the end
+            return F.when(members.isNotNull(), F.when(F.map_contains_key(members, segment), F.array(members[segment])).otherwise(none)).when(items.isNotNull() & item.isNotNull(), F.array(item)).otherwise(none)
+
+        return _with(F.struct(_members(v).alias("members"), _items(v).alias("items")), reached)
 
     def step(state: Column, segment: Column) -> Column:
-        each = F.flatten(F.transform(state["found"], lambda v: F.when(segment == "*", F.coalesce(_items(v), none)).otherwise(one(v, segment))))
-        lists = F.forall(state["found"], lambda v: _items(v).isNotNull())
-        star = state["star"] | (segment == "*")
-        lost = state["lost"] | F.when(segment == "*", ~state["star"] & ~lists).otherwise(~state["star"] & (F.size(each) == 0))
-        return F.struct(each.alias("found"), star.alias("star"), lost.alias("lost"))
+        def after(each: Column) -> Column:
+            lists = F.forall(state["found"], lambda v: _items(v).isNotNull())
+            star = state["star"] | (segment == "*")
+            lost = state["lost"] | F.when(segment == "*", ~state["star"] & ~lists).otherwise(~state["star"] & (F.size(each) == 0))
+            return F.struct(each.alias("found"), star.alias("star"), lost.alias("lost"))
+
+        return _with(F.flatten(F.transform(state["found"], lambda v: F.when(segment == "*", F.coalesce(_items(v), none)).otherwise(one(v, segment)))), after)
 
     start = F.struct(F.when(doc.isNull(), none).otherwise(F.array(doc)).alias("found"), F.lit(False).alias("star"), doc.isNull().alias("lost"))
     return F.aggregate(F.split(path, r"\."), start, step)
@@ -46,11 +57,8 @@ def walk(doc: Column, path: Column | str) -> Column:
 
 def canonical(v: Column) -> Column:
     """A text that is the same for equal JSON values: 1 and 1.0 are, "1", true and 1 are not; null for no value at all, ``null`` for JSON's. Keys of objects are in order."""
-    kind = F.schema_of_variant(v)
-    number = F.lit(False)
-    for k in _NUMBERS:
-        number = number | kind.startswith(k)
-    return F.when(number, F.concat(F.lit("n"), F.try_variant_get(v, "$", "double").cast("string"))).otherwise(F.to_json(v))
+    kind = F.substring_index(F.schema_of_variant(v), "(", 1)  # DECIMAL has digits behind it
+    return F.when(kind.isin(*_NUMBERS), F.concat(F.lit("n"), F.try_variant_get(v, "$", "double").cast("string"))).otherwise(F.to_json(v))
 
 
 def as_number(v: Column) -> Column:
@@ -93,7 +101,7 @@ def passed(rows: DataFrame) -> DataFrame:
     df = rows.withColumn("__walk", walk(F.col("args"), path)).withColumn("__many", many)
     df = df.withColumn("__found", F.col("__walk.found")).withColumn("__lost", F.col("__walk.lost")).withColumn("__single", F.get(F.col("__walk.found"), F.lit(0)))
     parent = F.when(path.contains("."), F.get(walk(F.col("args"), F.regexp_replace(path, r"\.[^.]*$", ""))["found"], F.lit(0))).otherwise(F.col("args"))
-    df = df.withColumn("__window", F.when(F.col("resolve"), resolved_window(parent, F.col("today"))))
+    df = df.withColumn("__window", F.when(F.col("resolve"), _with(parent, lambda of: resolved_window(of, F.col("today")))))
     many, found, lost, single, value = (F.col(c) for c in ("__many", "__found", "__lost", "__single", "value"))
     day = F.when(leaf.isin("start", "start_date"), F.col("__window.start")).when(leaf.isin("end", "end_date"), F.col("__window.end"))
 

@@ -189,3 +189,17 @@ def test_named_columns_and_json(spark):
     assert [json.loads(r.row) for r in dimensions.json_safe(typed).collect()][:2] == [{"a": 1.5, "d": "2025-01-02", "raw": "01FF", "n": "1.50", "s": "x", "list": [2]}, {"a": None, "d": "2025-01-02", "raw": "01FF", "n": "1.50", "s": None, "list": [3]}]
     presets = dimensions.with_preset(spark.createDataFrame([("wetland", None), ("wetland", 0.3), ("meadow", 0.3)], "roof string, own double"), "roof", "own").collect()
     assert [(r.depth_cm, r.albedo, r.open_water, r.kg) for r in presets] == [(1.7, 0.06, True, 1.0), (1.7, 0.3, True, 1.0), (None, None, None, None)]
+
+
+def test_checks_of_arguments_compute_each_step_once(spark):
+    """Expressions that are named twice in a lambda or a branch are computed twice: the walk to a window's object was, fifteen times a row."""
+    rows = spark.createDataFrame([(1, '{"a": {"b": 1}}', "a.b", "eq", "1", None, None, False, None)], "i int, a string, path string, op string, v string, low double, high double, resolve boolean, today date")
+    done = arguments.passed(rows.select(F.parse_json("a").alias("args"), "path", "op", F.parse_json("v").alias("value"), "low", "high", "resolve", "today"))
+    plan = done.select("ok")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 2 and plan.count("map<string,variant>") + plan.count("MapType") <= 12
+
+
+def test_places_in_lists_from_both_ends(spark):
+    for path, found in (("l.0", ["1"]), ("l.-1", ["null"]), ("l.-3", ["1"]), ("l.2", ["null"]), ("l.3", []), ("l.-4", []), ("l.x", []), ("o.0", ["2"])):
+        row = spark.range(1).select(arguments.walk(F.parse_json(F.lit('{"l": [1, "a", null], "o": {"0": 2}}')), path).alias("w")).select(F.transform("w.found", lambda x: F.to_json(x)).alias("f"), "w.lost").first()
+        assert (row.f, row.lost) == (found, not found), path
