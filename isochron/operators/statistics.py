@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isochron.working import cut
+
 #: Weights of the metrics in the selection score.
 WEIGHTS = {"answer": 0.40, "trajectory": 0.30, "arguments": 0.20, "abstention": 0.10}
 RESAMPLES, SEED, CONFIDENCE = 10_000, 42, 0.95
@@ -74,25 +81,61 @@ def abstention(outcomes: DataFrame, keys: list[str]) -> DataFrame:
     return outcomes.groupBy(*keys).agg(rate(F.col("unanswerable")).alias("accuracy"), rate(~F.col("unanswerable")).alias("false_abstention"))
 
 
+def _drawn_in_tasks(draws: DataFrame, numbered: DataFrame, seed: int) -> DataFrame:
+    """__g, __m (the mean of the resample) of each row of ``draws`` (__g, __r). ``numbered`` (__g, __j, __v, __c) is sent to every task: counted before.
+
+    The draws of a resample are the same for all groups but for the modulus; they are made once for those of a batch.
+    """
+    rows = sorted(tuple(r) for r in numbered.select("__g", "__j", "__v", "__c").collect())
+    groups = {g: [(v, c) for *_, v, c in own] for g, own in itertools.groupby(rows, key=lambda r: r[0])}
+    shared = draws.sparkSession.sparkContext.broadcast({g: np.array(own).T.copy() for g, own in groups.items()})
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        texts = [str(i).encode() for i in range(max((x.shape[1] for x in of.values()), default=0))]
+        for batch in batches:
+            todo = sorted(zip(batch["__r"].to_pylist(), batch["__g"].to_pylist(), strict=True))
+            out = []
+            for k, own in itertools.groupby(todo, key=lambda x: x[0]):
+                own = [g for _, g in own]
+                start = hashlib.md5(f"{seed}:{k}:".encode(), usedforsecurity=False)
+                heads = []
+                for t in texts[: max(of[g].shape[1] for g in own)]:
+                    h = start.copy()
+                    h.update(t)
+                    heads.append(h.digest()[:4])
+                heads = np.frombuffer(b"".join(heads), ">u4").astype(np.int64)
+                for g in own:
+                    n = of[g].shape[1]
+                    total, items = of[g][:, heads[:n] % n].sum(axis=1)
+                    out.append((g, float(total / items)))
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int32()), pa.array([m for _, m in out], pa.float64())], ["__g", "__m"])
+
+    return draws.select("__g", "__r").mapInArrow(draw, "__g int, __m double")
+
+
 def resampled(members: DataFrame, keys: list[str], value: str, member: str, resamples: int = RESAMPLES, seed: int = SEED, confidence: float = CONFIDENCE, weight: str | None = None) -> DataFrame:
     """Percentile bootstrap over the members of each group: keys, mean, low, high, n. ``member`` tells a group's members apart; null values are left out.
 
-    A draw is the MD5 of seed, resample and draw, modulo the number of members, so it is the same in any engine. Draws and members are joined by number,
-    and each resample is one partial sum: no group is gathered into a row. The work is resamples times members. With a ``weight`` a member stands for that many
+    A draw is the MD5 of seed, resample and draw, modulo the number of members, so it is the same in any engine. Up to
+    ``BROADCAST_MEMBERS`` members go to every task, which draws whole resamples; more are joined with the draws by number, and each resample is one partial sum. Groups with a null key are left out. The work is resamples times members. With a ``weight`` a member stands for that many
     items whose sum is its value: the mean is that of the items.
     """
-    own = members.where(F.col(value).isNotNull())
+    own = members.where(F.col(value).isNotNull()).dropna(subset=keys)
     count = F.col(weight).cast("double") if weight else F.lit(1.0)
     numbered = own.select(*keys, F.col(value).cast("double").alias("__v"), count.alias("__c"), (F.row_number().over(W.partitionBy(*keys).orderBy(member)) - 1).alias("__j"))
-    sizes = own.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum(value) / F.sum(count)).alias("mean"))
+    numbered = cut(numbered)  # used by the counts, the members and their numbers
+    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum("__v") / F.sum("__c")).alias("mean"))
+    sizes = sizes.withColumn("__g", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*keys)))  # a row for each group
     # groups are few rows: their resamples are dealt to tasks by a stated number, which is not made less where rows are still few, and draw there
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = sizes.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(tasks, "__r")
-    draws = draws.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    if own.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:  # beyond that both sides are dealt out by number
-        numbered = F.broadcast(numbered)
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__r").cast("string"), F.col("__i").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("n")
-    means = draws.withColumn("__j", drawn.cast("int")).join(numbered, [*keys, "__j"]).groupBy(*keys, "n", "mean", "__r").agg((F.sum("__v") / F.sum("__c")).alias("__m"))
+    if numbered.count() <= BROADCAST_MEMBERS:
+        means = _drawn_in_tasks(draws, numbered.join(sizes.select(*keys, "__g"), keys), seed).join(F.broadcast(sizes), "__g")
+    else:  # both sides are dealt out by number
+        draws = draws.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+        drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__r").cast("string"), F.col("__i").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("n")
+        means = draws.withColumn("__j", drawn.cast("int")).join(numbered, [*keys, "__j"]).groupBy(*keys, "n", "mean", "__r").agg((F.sum("__v") / F.sum("__c")).alias("__m"))
     tail = (1 - confidence) / 2
     return means.groupBy(*keys, "mean", "n").agg(F.percentile("__m", F.lit(tail)).alias("low"), F.percentile("__m", F.lit(1 - tail)).alias("high"))
 

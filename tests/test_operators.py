@@ -245,3 +245,18 @@ def test_an_event_that_all_flowed_out_of_keeps_nothing(spark):
     event = spark.createDataFrame([(1, D(2024, 1, 1), D(2024, 1, 3), 0.6)], "k int, start date, end date, rain_total double")
     out = spark.createDataFrame([(1, D(2024, 1, i + 1), v) for i, v in enumerate((0.1, 0.2, 0.3))], "k int, d date, value double").coalesce(1)
     assert tuple(catalog.event_retention(event, out, ["k"]).first())[4:] == (0.6, 0.0, False)
+
+
+def test_resamples_are_drawn_without_a_row_for_each_draw(spark, monkeypatch):
+    """Whole resamples in tasks, with the same numbers as the join of draws and members beyond the limit."""
+    rows = [(g, m, float((m * 7 + g) % 11), m % 3 + 1) for g in (1, 2) for m in range(40 + g)] + [(None, 1, 1.0, 1), (1, 99, None, 1)]
+    df = spark.createDataFrame(rows, "g int, m int, v double, w int")
+    out = statistics.resampled(df, ["g"], "v", "m", 300, weight="w")
+    assert "__i" not in out._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(statistics, "BROADCAST_MEMBERS", 0)
+    joined = statistics.resampled(df, ["g"], "v", "m", 300, weight="w")
+    assert "__i" in joined._jdf.queryExecution().optimizedPlan().toString() and out.columns == joined.columns
+    mine, theirs = ({r.g: r for r in d.collect()} for d in (out, joined))
+    assert mine.keys() == theirs.keys() == {1, 2}
+    for g, r in mine.items():
+        assert tuple(r) == pytest.approx(tuple(theirs[g]), rel=1e-12)
