@@ -17,8 +17,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id or a text are judged one by one. Without labels nothing is learned, and nothing stays.
     """
-    with small_batches(spark):  # of whole texts
-        return stored(keep_identified(docs))
+    return keep_identified(docs)  # not stored here: whoever runs the stage writes it, and a second copy would stay on disk through all stages
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

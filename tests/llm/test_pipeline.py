@@ -49,3 +49,13 @@ def test_near_dedup_is_by_simhash(spark):
     a, b = pairs[0]
     df = spark.createDataFrame([(None, a, "p"), (5, b, "q"), (5, far, "r"), (9, None, "s"), (10, " ", "t")], "doc_id bigint, text string, source string")
     assert sorted(r.source for r in cp.near_dedup(spark, df, "").collect()) == ["q", "r", "s"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
+def test_language_id_leaves_no_second_copy(spark):
+    """What the stage returns is read from its input; a copy of its own stayed on disk through all later stages."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = cp.language_id(spark, docs, SF)
+    assert kept.inputFiles() == docs.inputFiles() and 0 < kept.count() <= docs.count()
