@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isochron.operators.ranks import numbered
+from isochron.working import cut
 
 
 def latest_before(readings: DataFrame, bound: dt.datetime, keys: list[str] | None = None, ts: str = "ts", value: str = "value", cutoff: dt.datetime | None = None, stale_days: int = 7) -> DataFrame:
@@ -115,39 +116,103 @@ def positional_join(a: DataFrame, b: DataFrame, order_a: list[str], order_b: lis
 
 
 #: A word, or a number with its points: where a token of a text ends, a literal that ends there ends as well.
-_TOKEN = r"([\p{L}\p{N}]*\p{N}(?:[.,]\p{N}+)+|[\p{L}\p{N}]+)"
-
-
-def _runs(tokens: Column, lengths: list[int]) -> Column:
-    """The distinct runs of so many neighbouring tokens, as texts."""
-    of = lambda n: F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), "\x00"))).otherwise(F.expr("CAST(array() AS array<string>)"))
-    return F.array_distinct(F.flatten(F.array(*map(of, lengths))))
+_TOKEN = r"[\p{L}\p{N}]++(?:(?<=\p{N})[.,]\p{N}++)*+"
+
+
+#: Literals are told apart by so many classes of their first tokens.
+_CLASSES = 1 << 16
+#: So many literals, counted first, are sent to all tasks; more are shuffled.
+_FEW = 200_000
+
+
+def _parts(c: Column) -> Column:
+    """What lies before, between and after the tokens, and the tokens, by turns: an odd number of texts. NUL marks the cuts and is written in another way."""
+    marked = F.regexp_replace(F.replace(F.replace(c, F.lit("\x01"), F.lit("\x01\x03")), F.lit("\x00"), F.lit("\x01\x02")), _TOKEN, "\x00$0\x00")
+    return F.split(marked, "\x00")
+
+
+def _class(token: Column) -> Column:
+    return F.xxhash64(token).bitwiseAND(_CLASSES - 1).cast("int")
+
+
+def _run(parts: Column, i: Column, n: Column | int) -> Column:
+    """``n`` tokens from number ``i`` on (from 1), with what lies between them."""
+    return F.array_join(F.slice(parts, 2 * i, 2 * (n if isinstance(n, Column) else F.lit(n)) - 1), "")
+
+
+def _alone(parts: Column, i: Column, n: Column | int) -> Column:
+    """Whether no word or number goes on before or after ``n`` tokens from number ``i`` on."""
+    before, after = F.get(parts, 2 * i - 2), F.get(parts, 2 * (i + n) - 2)
+    point = lambda c: c.isin(".", ",")
+    starts = (i == 1) | ((before != "") & ~(point(before) & F.get(parts, 2 * i - 3).rlike(r"\p{N}\z")))
+    ends = (2 * (i + n) - 1 == F.size(parts)) | ((after != "") & ~(point(after) & F.get(parts, 2 * (i + n) - 1).rlike(r"\A\p{N}")))
+    return starts & ends
+
+
+def _holding(rows: DataFrame, wanted: DataFrame, text: str, keep: list[str], salts: int) -> DataFrame:
+    """__l and ``keep`` of the rows whose ``text`` holds a literal of ``wanted`` (__l, __first, __n, __core, __signs; written)."""
+    kinds = [tuple(r) for r in wanted.select("__n", "__signs").distinct().sort("__n", "__signs").collect()]  # numbers of tokens, not literals
+    if not kinds:
+        return rows.select(F.lit(None).cast("string").alias("__l"), *keep).limit(0)
+    bits = {k: 1 << min(x, 62) for x, k in enumerate(kinds)}
+    bit = F.coalesce(*(F.when((F.col("__n") == n) & (F.col("__signs") == signs), F.lit(b).cast("bigint")) for (n, signs), b in bits.items()))
+    masks = [0] * _CLASSES
+    for k, mask in wanted.groupBy(_class(F.col("__first"))).agg(F.bit_or(bit)).collect():  # at most _CLASSES rows
+        masks[k] = mask
+    mask = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")  # folded to a literal
+
+    p = F.col("__p")
+    cut_ = rows.select(*keep, text, _parts(F.col(text)).alias("__p"))
+    numbers = F.when(F.size(p) > 1, F.sequence(F.lit(1), F.floor(F.size(p) / 2).cast("int")))
+    starts = F.filter(F.transform(numbers, lambda i: F.struct(i.alias("i"), F.get(mask, _class(F.get(p, 2 * i - 1))).alias("m"))), lambda x: x["m"] != 0)
+
+    def runs(n: int, signs: bool) -> Column:
+        whole = lambda x: (x["m"].bitwiseAND(F.lit(bits[n, signs]).cast("bigint")) != 0) & (2 * (x["i"] + n) - 1 <= F.size(p))
+        found = F.filter("__s", lambda x: whole(x) if signs else whole(x) & _alone(p, x["i"], n))
+        return F.array_distinct(F.transform(found, lambda x: _run(p, x["i"], n)))
+
+    # a text that has a token twice has its runs made distinct within its row; of others each token is a row, and its runs are made where it is some literal's first
+    firsts = wanted.select("__first", "__n", "__signs").distinct()
+    few = wanted.count() <= _FEW
+    twice = F.size(F.array_distinct("__words")) < F.size("__words") if few else F.lit(True)
+    cut_ = cut_.select(*keep, text, "__p", F.filter(p, lambda x, i: i % 2 == 1).alias("__words"))
+    cut_ = cut_.select("*", twice.alias("__twice")).withColumn("__s", F.when(F.col("__twice"), starts))
+    own = F.flatten(F.array(*(F.transform(runs(n, signs), lambda core: F.concat(F.lit("1" if signs else "0"), core)) for n, signs in kinds)))  # noqa: B023
+    # outer: else a test of the array for emptiness is added, which makes it twice; a null text has no row
+    cored = cut_.select(*keep, text, "__p", "__twice", F.posexplode_outer(F.when(F.col("__twice"), own).otherwise(F.col("__words"))).alias("__i", "__r")).where("__r IS NOT NULL")
+    core, signs = F.substring("__r", 2, 2**31 - 1), F.startswith("__r", F.lit("1"))
+    if few:
+        i, n = F.col("__i") + 1, F.col("__n")
+        cored = cored.withColumn("__first", F.when(~F.col("__twice"), F.col("__r"))).join(F.broadcast(firsts), "__first", "left").where("__twice OR __n IS NOT NULL")
+        whole = (2 * (i + n) - 1 <= F.size(p)) & (F.col("__signs") | _alone(p, i, n))
+        core, signs = F.when(F.col("__twice"), core).when(whole, _run(p, i, n)), F.when(F.col("__twice"), signs).otherwise(F.col("__signs"))
+    cored = cored.select(*keep, core.alias("__core"), signs.alias("__signs"), F.when(signs, F.col(text)).alias("__text")).where("__core IS NOT NULL")  # only literals with signs are looked at again
+    key, own = ["__core", "__signs"], wanted.select("__l", "__core", "__signs")
+    if few:
+        met = cored.join(F.broadcast(own), key)
+    else:
+        spread = own.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = cored.withColumn("__salt", F.pmod(F.xxhash64("__core", *keep), F.lit(salts)).cast("int")).join(spread, [*key, "__salt"])
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?<!\p{N}[.,])\Q"), F.replace(F.col("__l"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])(?![.,]\p{N})"))
+    return met.where(~F.col("__signs") | F.regexp_like("__text", quoted)).select("__l", *keep)
 
 
 def leaks(literals: DataFrame, texts: DataFrame, seed_texts: DataFrame, literal: str = "literal", text: str = "text", salts: int = 16) -> DataFrame:
     """literal, text_id: texts that hold a gold literal (words, numbers, dates, signs) which no seed text holds.
 
     A literal is held where no word or number goes on at either end: "17" not in "17.5", "small ring" not in "small rings".
-    A literal without letters and digits is held by no text. Texts are cut into runs of as many tokens as literals have, and whole runs are joined by equality,
-    dealt out by run and a hash of the text, so that a run that many texts have goes to ``salts`` tasks; only what meets is looked at character by
-    character. Each distinct text is cut once, and texts are not carried along with their runs.
+    A literal without letters and digits is held by no text. Texts are cut into tokens once, where they are read. Where a token's class is that of the first
+    one of some literals, runs of as many tokens as those have are joined with the literals by equality: with all of them in each task if
+    they were counted to be few, else dealt out by run and a hash of the text's id. Runs that stand alone are those of plain literals; only a literal that starts
+    or ends with signs is looked for in the text, character by character.
     """
-    tokens = lambda c: F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(1))
-    wanted = literals.select(F.col(literal).alias("__l")).where("__l IS NOT NULL").distinct().withColumn("__t", tokens("__l")).where(F.size("__t") > 0)
-    lengths = sorted(r[0] for r in wanted.select(F.size("__t")).distinct().collect())  # numbers of tokens, not literals
-    if not lengths:
-        return texts.select(F.lit(None).cast("string").alias(literal), "text_id").limit(0)
-    spread = wanted.select("__l", F.array_join("__t", "\x00").alias("__run"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?<!\p{N}[.,])\Q"), F.replace(F.col("__l"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])(?![.,]\p{N})"))
-
-    def holding(df: DataFrame, *keep: str) -> DataFrame:
-        keyed = df.where(F.col(text).isNotNull()).select(*keep, text, F.sha2(text, 256).alias("__h"))
-        runs = keyed.groupBy("__h").agg(F.any_value(text).alias(text)).select("__h", F.explode(_runs(tokens(text), lengths)).alias("__run"))
-        met = runs.withColumn("__salt", F.pmod(F.xxhash64("__h"), F.lit(salts)).cast("int")).join(spread, ["__run", "__salt"]).select("__h", "__l")
-        return keyed.join(met, "__h").where(F.regexp_like(text, quoted)).select("__l", *keep)
-
-    known = holding(seed_texts).distinct()
-    return holding(texts, "text_id").join(known, "__l", "left_anti").select(F.col("__l").alias(literal), "text_id")
+    p = F.col("__p")
+    known = literals.select(F.col(literal).alias("__l")).where("__l IS NOT NULL").distinct().select("__l", _parts(F.col("__l")).alias("__p")).where(F.size("__p") > 1)
+    n = F.floor(F.size(p) / 2).cast("int")
+    signs = (F.get(p, F.lit(0)) != "") | (F.element_at(p, -1) != "")
+    wanted = cut(known.select("__l", F.get(p, F.lit(1)).alias("__first"), n.alias("__n"), _run(p, F.lit(1), n).alias("__core"), signs.alias("__signs")))
+    gold = cut(wanted.join(_holding(seed_texts, wanted, text, [], salts).distinct(), "__l", "left_anti"))
+    return _holding(texts, gold, text, ["text_id"], salts).select(F.col("__l").alias(literal), "text_id")
 
 
 def nearest_text(queries: DataFrame, known: DataFrame, key: str = "key", block: str = "block") -> DataFrame:

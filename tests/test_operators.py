@@ -160,6 +160,30 @@ def test_leaks_of_phrases_dates_and_signs(spark):
     assert found == {("2025-06-01", 1), ("12.5 mm", 1), ("-3.5", 1), ("17", 1), ("small ring", 3), ("a\\Eb", 3)}
 
 
+def test_leaks_are_those_of_the_pattern_and_come_once_a_text(spark, monkeypatch):
+    import re
+
+    literals = ["a", "1.5", "a b", "b a b", "-3", "(a)", "x,5", "5", "..a", "1.5x", "a\x00b", "\x01", "a\n", "é", "5,", "known", "1"]
+    texts = ["a b a b a", "1.5x 1.5 1.5", "-3 3 -3", "1-3", "(a) a", "x,5 5,5 5", "..a .a ...a", "a\x00b", "a\x01b a b", "a\n", "1.a a", "5,,6", "5,x5", "é éa", "xé", "", None, "5.x", "a.1", "1,a 1", "known", "1.5,2 1", "5,"]
+    rows = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "text_id int, text string")
+    # tokens as they were, by Python's classes of letters and digits
+    held = lambda x, t: re.search(rf"(?<![^\W_])(?<!\d[.,]){re.escape(x)}(?![^\W_])(?![.,]\d)", t or "") and re.search(r"[^\W_]", x)
+    wanted = sorted((x, i) for x in literals for i, t in [*enumerate(texts), (0, texts[0])] if x != "known" and held(x, t))
+    seeds = spark.createDataFrame([("known,",)], "text string")
+    given = spark.createDataFrame([(x,) for x in [*literals, None, "a"]], "literal string")
+    for few in (joins._FEW, 0):
+        monkeypatch.setattr(joins, "_FEW", few)
+        assert sorted(tuple(r) for r in joins.leaks(given, rows, seeds).collect()) == wanted
+
+
+def test_leaks_do_not_shuffle_texts(spark):
+    rows = spark.range(1000).select(F.col("id").alias("text_id"), F.concat(F.lit("about 17, on 2025-06-01: "), F.col("id").cast("string")).alias("text"))
+    plan = joins.leaks(spark.createDataFrame([("2025-06-01",), ("17",)], "literal string"), rows, spark.createDataFrame([("known",)], "text string"))
+    assert plan.count() == 2000
+    side = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [__h" not in side and "sha2" not in side
+
+
 def test_ends_of_a_result(spark):
     df = spark.range(100).withColumn("v", F.col("id") * 7 % 100)
     assert sorted((x.v, x["rank"]) for x in grouping.elided(df, ["v"], 3).collect()) == [(0, 1), (1, 2), (2, 3), (97, 98), (98, 99), (99, 100)]
