@@ -31,7 +31,7 @@ def stream_store(spark, sf_dir):
         CAST(epoch(CAST(d + 1 AS TIMESTAMP) AT TIME ZONE 'Europe/Berlin') - epoch(CAST(d AS TIMESTAMP) AT TIME ZONE 'Europe/Berlin') AS INTEGER) // 3600 AS hours_of_day FROM g)
 """)
 def stream_site_days(spark, sf_dir):
-    out = replay.drained(readings.site_days(_replayed(events(spark, sf_dir), 2), ["event_type"], late=f"{_LATE} hours"))
+    out = replay.drained(readings.site_days(_replayed(events(spark, sf_dir).select("event_type", "ts", "value"), 2), ["event_type"], late=f"{_LATE} hours"))
     return out.select("event_type", day(), r("total").alias("total"), "readings", "hours", "hours_of_day", "complete")
 
 

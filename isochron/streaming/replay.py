@@ -34,7 +34,7 @@ def replayed(rows: DataFrame, ts: str, seed: int, spread_hours: int, batches: in
     """
     spark = rows.sparkSession
     timed = rows.where(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp"))
-    lo, hi = timed.agg(F.min(ts), F.max(ts)).first()
+    lo, hi, first = timed.agg(F.min(ts), F.max(ts), F.min(F.unix_micros(F.col(ts)))).first()
     path = new_path(spark, "stream")
     if lo is None:
         timed.write.parquet(path)
@@ -43,7 +43,6 @@ def replayed(rows: DataFrame, ts: str, seed: int, spread_hours: int, batches: in
     span = int((hi - lo).total_seconds()) * 1_000_000 + spread_hours * 3_600_000_000 + 1_000_001
     if span / batches / 3.6e9 + spread_hours > late_hours:
         raise ValueError("late_hours must cover the spread and a batch")
-    first = timed.agg(F.min(F.unix_micros(F.col(ts)))).first()[0]
     dealt = timed.withColumn("__batch", F.least(F.floor((arrives - F.lit(first)) * batches / F.lit(span)), F.lit(batches - 1)).cast("int"))
     held = new_path(spark, "arrivals")
     dealt.write.partitionBy("__batch").parquet(held)

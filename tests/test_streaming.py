@@ -108,3 +108,13 @@ def test_bucket_as_a_table_function(spark):
         spark.sql(sql.replace("'cap'", "'depth'"), t=steps)
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_site_days_replay_only_what_they_need(spark, monkeypatch):
+    from isochron import queries_streams
+
+    seen = []
+    monkeypatch.setattr(queries_streams.replay, "replayed", lambda rows, *_: seen.append(rows.columns) or rows)
+    monkeypatch.setattr(queries_streams.replay, "drained", lambda out: out)
+    assert queries_streams.stream_site_days(spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == [["event_type", "ts", "value"]]
