@@ -154,6 +154,7 @@ def _holding(rows: DataFrame, wanted: DataFrame, text: str, keep: list[str], sal
     kinds = [tuple(r) for r in wanted.select("__n", "__signs").distinct().sort("__n", "__signs").collect()]  # numbers of tokens, not literals
     if not kinds:
         return rows.select(F.lit(None).cast("string").alias("__l"), *keep).limit(0)
+    signed = any(signs for _, signs in kinds)
     bits = {k: 1 << min(x, 62) for x, k in enumerate(kinds)}
     bit = F.coalesce(*(F.when((F.col("__n") == n) & (F.col("__signs") == signs), F.lit(b).cast("bigint")) for (n, signs), b in bits.items()))
     masks = [0] * _CLASSES
@@ -186,7 +187,9 @@ def _holding(rows: DataFrame, wanted: DataFrame, text: str, keep: list[str], sal
         cored = cored.withColumn("__first", F.when(~F.col("__twice"), F.col("__r"))).join(F.broadcast(firsts), "__first", "left").where("__twice OR __n IS NOT NULL")
         whole = (2 * (i + n) - 1 <= F.size(p)) & (F.col("__signs") | _alone(p, i, n))
         core, signs = F.when(F.col("__twice"), core).when(whole, _run(p, i, n)), F.when(F.col("__twice"), signs).otherwise(F.col("__signs"))
-    cored = cored.select(*keep, core.alias("__core"), signs.alias("__signs"), F.when(signs, F.col(text)).alias("__text")).where("__core IS NOT NULL")  # only literals with signs are looked at again
+    # no literal's run is empty; a run that may be null would be made twice, to test it before the join. Only literals with signs are looked for in the text again
+    core, signs = F.coalesce(core, F.lit("")), F.coalesce(signs, F.lit(False))
+    cored = cored.select(*keep, core.alias("__core"), signs.alias("__signs"), F.when(signs, F.col(text)).alias("__text") if signed else F.lit(None).cast("string").alias("__text"))
     key, own = ["__core", "__signs"], wanted.select("__l", "__core", "__signs")
     if few:
         met = cored.join(F.broadcast(own), key)
