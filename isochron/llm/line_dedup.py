@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join, in DataFrame expressions.
 
 A line is the set of its words. Words are ordered by rarity: their hashes fall into 65,536 buckets,
-whose words are counted over all distinct lines, and a word's place is (rank of its bucket, hash). Of
+whose words are counted over all distinct lines, and a word's place is (rank of its bucket, rest of its hash). Of
 each distinct line the rarest words, as many as two lines of Jaccard similarity ``least`` must have one
 of in common (the prefix), are dealt out by word. Where lines meet, pairs stay if their lengths, the
 places of the word and parity maps of their words allow that similarity; they are then verified on
@@ -28,8 +28,9 @@ from isochron.llm.common import SPACE, WORD, cut, release_shuffles, row_keyed, s
 
 BUCKETS = 1 << 16
 HOT, SALTS = 4096, 64  # a word whose bucket is above average and has so many words is dealt to so many tasks
-SMALL, MIDDLE = 40, 180  # lines of up to so many words have parity maps of 64 and 128 bits; longer ones of 256
+SMALL, MIDDLE = 72, 180  # lines of up to so many words have parity maps of 64 and 128 bits; longer ones of 256
 WITHIN, NEAREST = 64, 8  # so many lines before one are looked at, and so many verified, if it is like others but not like the line before or the first
+WIDTH = 3  # bands of lengths are so many times as wide as similar lines' lengths may be apart
 PARTS = 3  # the join is made for one part of the words after the other, for less disk
 BROADCAST_LINES = 1_000_000  # ids of lines (16 bytes each) that are sent to all tasks, counted first
 MAPS = ("m0", "m1", "m2", "m3")
@@ -65,10 +66,14 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return keyed.groupBy("h", "size").agg(F.min("own").alias("first")).select("first.*")
 
 
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 48)
+
+
 def bucket_ranks(distinct: DataFrame) -> tuple[list[int], int]:
     """By bucket of word hashes its rank in ascending order of occurrences in ``distinct`` (line); the rank from which words may be frequent."""
     words = distinct.select(F.explode_outer(words_of(F.col("line"))).alias("w"))
-    rows = words.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()  # at most BUCKETS rows
+    rows = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count().collect()  # at most BUCKETS rows
     counts = dict.fromkeys(range(BUCKETS), 0) | {r.bucket: r["count"] for r in rows}
     order = sorted(counts, key=lambda k: (counts[k], k))
     ranks = [0] * BUCKETS
@@ -79,16 +84,19 @@ def bucket_ranks(distinct: DataFrame) -> tuple[list[int], int]:
 
 
 def line_sets(distinct: DataFrame, ranks: list[int], least: tuple[int, int]) -> DataFrame:
-    """doc, pos, n, parity maps and prefix of the lines of ``distinct`` (doc, pos, line): n is the number of different words, prefix the places of the rarest."""
+    """doc, pos, n, parity maps, bands and prefix of the lines of ``distinct`` (doc, pos, line): n is the number of different words, band that of n, reach that of the longest similar lines, prefix the places of the rarest words."""
     a, b = least
-    shifted = ",".join(str((rank - BUCKETS // 2) << 48) for rank in ranks)
+    # by the first 16 bits of a hash what turns them into the rank: xor with it makes a place of a hash
+    turned = [(rank - BUCKETS // 2) % BUCKETS ^ bucket for bucket, rank in enumerate(ranks)]
+    shifted = ",".join(str((t - BUCKETS * (t >= BUCKETS // 2)) << 48) for t in turned)
     ranking = F.split(F.lit(shifted), ",").cast("array<bigint>")  # folded to a literal
 
     none = F.lit(0).cast("bigint")
+    # Functions of arrays are not compiled: as few steps a word as can be, array_distinct and sort_array, which are compiled, around them.
     # coalesce: an array without nulls is sorted as plain numbers
-    place = lambda h: F.coalesce(F.get(ranking, h.bitwiseAND(BUCKETS - 1).cast("int")), none).bitwiseOR(F.shiftrightunsigned(h, 16))
-    hashes = F.array_distinct(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
-    sets = distinct.select("doc", "pos", F.sort_array(F.transform(hashes, place)).alias("words"))
+    place = lambda h: h.bitwiseXOR(F.coalesce(F.get(ranking, _bucket(h)), none))
+    places = F.transform(F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)), place)
+    sets = distinct.select("doc", "pos", F.sort_array(F.array_distinct(places)).alias("words"))
     sets = sets.select("doc", "pos", "words", F.size("words").alias("n"))
 
     def parity(k: int, size: int) -> Column:
@@ -99,32 +107,33 @@ def line_sets(distinct: DataFrame, ranks: list[int], least: tuple[int, int]) ->
 
     maps = [F.when(F.col("n") > MIDDLE, parity(k, 4)).when(F.col("n") > SMALL, parity(k, 2) if k < 2 else none).otherwise(parity(0, 1) if k == 0 else none).alias(MAPS[k]) for k in range(4)]
     taken = F.col("n") - F.expr(f"(n * {a} + {b - 1}) div {b}").cast("int") + 1
-    return sets.select("doc", "pos", "n", *maps, F.slice("words", 1, taken).alias("prefix"))
+    bands = band(F.col("n"), least).alias("band"), band(F.expr(f"n * {b} div {a} + 1"), least).alias("reach")
+    return sets.select("doc", "pos", "n", *maps, *bands, F.slice("words", 1, taken).alias("prefix"))
 
 
 def band(n: Column, least: tuple[int, int]) -> Column:
-    """Number of the band of lengths of ``n``; lengths that similar lines may have are in the same band or in neighbours (a little wider than that, for rounding)."""
+    """Number of the band of lengths of ``n``: a band is WIDTH times as wide as the reach of a similar line's length (a little wider, for rounding), so that most lines have all longer ones like them in their own band."""
     a, b = least
-    return F.floor(F.ln(n) / F.lit(max(1.001 * math.log(b / a), 1e-3))).cast("int")
+    return F.floor(F.ln(n) / F.lit(WIDTH * max(1.001 * math.log(b / a), 1e-3))).cast("int")
 
 
 def _meeting(sets: DataFrame, least: tuple[int, int], part: int) -> DataFrame:
     """ydoc, ypos, xdoc, xpos, apart of the pairs of ``sets`` that may be similar, y being later and open; of words of number ``part`` of PARTS.
 
     Of two lines the shorter one comes with a shorter prefix: similar lines have at least 2 n a / (a + b)
-    words in common, n being the length of the shorter. It is dealt to its own band of lengths and the next one.
+    words in common, n being the length of the shorter. It is dealt to its own band of lengths, and to the next one if similar lines may be in that.
     """
     a, b = least
     of = lambda prefix: lambda c: F.col(prefix + c)
     taken = F.expr(f"n - (2 * n * {a} + {a + b - 1}) div {a + b} + 1").cast("int")
-    own = [c for c in sets.columns if c != "prefix"]
-    deal = lambda df: df.select(*own, F.posexplode_outer("prefix").alias("p", "w")).where(F.pmod("w", F.lit(PARTS)) == part)
+    own = [c for c in sets.columns if c not in ("band", "reach", "prefix")]
+    deal = lambda df: df.select(*own, "band", "reach", F.posexplode_outer("prefix").alias("p", "w")).where(F.pmod("w", F.lit(PARTS)) == part)
     # the band goes into the word's bits, as one key is sorted faster than two; words that fall together by that only add candidates
     banded = lambda k: F.col("w").bitwiseXOR(F.shiftleft(k.cast("bigint"), 32)).alias("w")
-    near = band(F.col("n"), least)
-    long = deal(sets).select(*own, "p", banded(near))
+    long = deal(sets).select(*own, "p", banded(F.col("band")))
     short = deal(sets.withColumn("prefix", F.slice("prefix", 1, taken)))
-    short = short.select(*own, "p", "w", F.explode_outer(F.array(near, near + 1)).alias("band")).select(*own, "p", banded(F.col("band")))
+    bands = F.when(F.col("reach") > F.col("band"), F.array("band", "reach")).otherwise(F.array("band"))
+    short = short.select(*own, "p", "w", F.explode_outer(bands).alias("band")).select(*own, "p", banded(F.col("band")))
     s, l = (df.select("w", *(F.col(c).alias(k + c) for c in df.columns if c != "w")) for df, k in ((short, "s"), (long, "l")))
     first = (F.col("sdoc") < F.col("ldoc")) | ((F.col("sdoc") == F.col("ldoc")) & (F.col("spos") < F.col("lpos")))
     once = (F.col("sn") < F.col("ln")) | ((F.col("sn") == F.col("ln")) & first)
@@ -240,7 +249,7 @@ def similar_lines(distinct: DataFrame, least: tuple[int, int]) -> DataFrame:
 def _kept(keyed: DataFrame, least: tuple[int, int]) -> DataFrame:
     """doc and kept_lines (numbers, in order) of the rows of ``keyed`` (doc: a unique number, text) that keep a line."""
     distinct = distinct_lines(keyed).withColumn("line", single_spaced(F.col("line")))
-    distinct = stored(distinct, compression="zstd")
+    distinct = stored(distinct)
     kept = distinct.select("doc", "pos").join(similar_lines(distinct, least), ["doc", "pos"], "left_anti")
     return kept.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("kept_lines"))  # of one document
 

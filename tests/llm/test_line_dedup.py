@@ -113,3 +113,36 @@ def test_texts(spark):
     rows = [(1, "a b c d e\nx"), (2, "a b c d e\n\ny"), (3, None), (4, "x")]
     out = {r.doc_id: (r.text, r.extra, r.n) for r in ld.drop_repeated_lines(frame(spark, rows)).collect()}
     assert out == {1: ("a b c d e\nx", "x", 2), 2: ("\ny", "x", 2), 3: (None, "x", 2), 4: ("", "x", 2)}
+
+
+def test_a_line_is_dealt_to_few_bands_and_meets_all_lengths_it_may_be_like(spark):
+    rows = [(n, 0, " ".join(f"w{k}" for k in range(n))) for n in range(1, 500)]
+    distinct = spark.createDataFrame(rows, "doc bigint, pos int, line string")
+    sets = {r.n: r for r in ld.line_sets(distinct, ld.bucket_ranks(distinct)[0], (4, 5)).collect()}
+    assert sorted(sets) == list(range(1, 500))
+    for n in range(1, 401):
+        assert {sets[m].band for m in range(n, n * 5 // 4 + 1) if m in sets} <= {sets[n].band, sets[n].reach}
+    assert sum(1 + (r.reach > r.band) for r in sets.values()) < 1.5 * len(sets)
+
+
+def test_rarest_words_come_first(spark):
+    rows = [(i, 0, f"own{i} the of and rare{i % 2}") for i in range(40)]
+    distinct = spark.createDataFrame(rows, "doc bigint, pos int, line string")
+    ranks, _ = ld.bucket_ranks(distinct)
+    sets = ld.line_sets(distinct, ranks, (1, 5)).collect()  # prefixes of all words
+    assert all(r.n == 5 and list(r.prefix) == sorted(r.prefix) for r in sets)
+    assert len({r.prefix[0] for r in sets}) == 40 and len({r.prefix[1] for r in sets}) == 2
+    assert len({tuple(sorted(r.prefix[2:])) for r in sets}) == 1
+
+
+def test_lengths_about_those_where_parity_maps_grow(spark):
+    rng = random.Random(11)
+    rows = []
+    for size in (70, 72, 75, 178, 180, 183):
+        base = [f"s{size // 100}b{i}" for i in range(size)]
+        for _ in range(12):
+            line = list(base)
+            for k in rng.sample(range(size), rng.randint(1, size // 6)):
+                line[k] = f"own{rng.random()}"
+            rows.append((len(rows), " ".join(line)))
+    assert kept(spark, rows) == brute(rows)
