@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isochron.functions.timeaxis import ROWS_PER_DAY, site_day, within_site_days
-from isochron.functions.units import fold, half_hours_to_joule, ms_to_kmh, valid_mean
+from isochron.functions.units import fold, half_hours_to_joule, ms_to_kmh, sum_in_order, valid_mean
 
 
 def period_total(readings: DataFrame, start: dt.date, end: dt.date, keys: list[str] | None = None, ts: str = "ts", value: str = "value") -> DataFrame:
@@ -18,10 +18,13 @@ def period_total(readings: DataFrame, start: dt.date, end: dt.date, keys: list[s
     return rows.groupBy(*(keys or [])).agg(F.sum(value).alias("total"), F.count(value).alias("readings"))
 
 
-def daily(readings: DataFrame, kind: str, keys: list[str] | None = None, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Per site day (d) and keys: value (sum of a flux, mean of a state) and readings; nulls don't count."""
-    rows = readings.where(F.col(value).isNotNull()).withColumn("d", site_day(ts))
-    return rows.groupBy(*(keys or []), "d").agg(fold(kind, value).alias("value"), F.count("*").alias("readings"))
+def daily(readings: DataFrame, kind: str, keys: list[str] | None = None, ts: str = "ts", value: str = "value", order: list[str] | None = None) -> DataFrame:
+    """Per site day (d) and keys: value (sum of a flux, mean of a state) and readings; nulls don't count. ``order``: values are added as floats in this order, else exactly."""
+    rows, by, folded = readings.where(F.col(value).isNotNull()).withColumn("d", site_day(ts)), [*(keys or []), "d"], fold(kind, value)
+    if order:
+        rows = rows.withColumn("__sum", sum_in_order(value, by, order))
+        folded = F.first("__sum") if kind == "flux" else F.first("__sum") / F.count("*")
+    return rows.groupBy(*by).agg(folded.alias("value"), F.count("*").alias("readings"))
 
 
 def days_above(readings: DataFrame, threshold: float, keys: list[str] | None = None, ts: str = "ts", value: str = "value") -> DataFrame:
@@ -35,9 +38,9 @@ def occurred(readings: DataFrame, keys: list[str], value: str = "value") -> Data
     return readings.groupBy(*keys).agg((F.sum(value) > 0).alias("occurred"), F.count(value).alias("readings"))
 
 
-def peak_day(readings: DataFrame, keys: list[str], kind: str = "flux", ts: str = "ts", value: str = "value") -> DataFrame:
-    """The day with the highest total per keys: d, value, ties (days that share it); a tie names no day."""
-    days = daily(readings, kind, keys, ts, value)
+def peak_day(readings: DataFrame, keys: list[str], kind: str = "flux", ts: str = "ts", value: str = "value", order: list[str] | None = None) -> DataFrame:
+    """The day with the highest total per keys: d, value, ties (days that share it); a tie names no day. ``order`` is that of ``daily``."""
+    days = daily(readings, kind, keys, ts, value, order)
     best = days.withColumn("__k", F.rank().over(W.partitionBy(*keys).orderBy(F.desc("value")))).where("__k = 1")
     best = best.groupBy(*keys).agg(F.max("value").alias("value"), F.max("d").alias("d"), F.count("*").alias("ties"))
     return best.select(*keys, F.when(F.col("ties") == 1, F.col("d")).alias("d"), "value", "ties")
