@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isochron.functions.timeaxis import SITE_ZONE, site_day
-from isochron.functions.units import exact_sum
+from isochron.functions.units import exact_sum, sum_in_order
 
 
 def gap_hours(ts: str, over) -> Column:
@@ -41,11 +41,17 @@ def day_runs(days: DataFrame, keys: list[str], day: str = "d") -> DataFrame:
     return rows.withColumn("__i", island).groupBy(*keys, "__i").agg(F.min("__d").alias("start"), F.max("__d").alias("end"), F.count("*").alias("length")).drop("__i")
 
 
-def wet_events(rain: DataFrame, keys: list[str], wet: float = 0.2, depth: float = 10.0, tail: int = 1, day: str = "d", value: str = "value") -> DataFrame:
-    """Rain events: runs of wet days with ``tail`` days after, kept if ``depth`` mm fall in them: start, end, rain_total, days."""
+def wet_events(rain: DataFrame, keys: list[str], wet: float = 0.2, depth: float = 10.0, tail: int = 1, day: str = "d", value: str = "value", exact: bool = True) -> DataFrame:
+    """Rain events: runs of wet days with ``tail`` days after, kept if ``depth`` mm fall in them: start, end, rain_total, days.
+
+    Unless ``exact``, days are added as floats in their order.
+    """
     runs = day_runs(rain.where(F.col(value) >= wet), keys, day).withColumn("end", F.date_add("end", tail))
     unrolled = runs.withColumn(day, F.explode(F.sequence("start", "end")))
-    sums = unrolled.join(rain.select(*keys, day, value), [*keys, day]).groupBy(*keys, "start", "end").agg(exact_sum(value).alias("rain_total"), F.count("*").alias("days"))
+    met, by, total = unrolled.join(rain.select(*keys, day, value), [*keys, day]), [*keys, "start", "end"], exact_sum(value)
+    if not exact:
+        met, total = met.withColumn("__sum", sum_in_order(value, by, [day])), F.first("__sum")
+    sums = met.groupBy(*by).agg(total.alias("rain_total"), F.count("*").alias("days"))
     return sums.where(F.col("rain_total") >= depth)
 
 
