@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isochron.functions.units import exact_sum
+from isochron.functions.units import exact_sum, sum_in_order
 
 #: Question kind -> the query that shows it on the driver's tables.
 ANSWERS = {
@@ -60,12 +60,16 @@ def served(end: Column, as_of: dt.date, variable: Column, offered: list[str], ho
     return F.when(end > F.lit(as_of + dt.timedelta(days=horizon)), "beyond_horizon").when(~variable.isin(offered), "unknown_variable").otherwise("available")
 
 
-def event_retention(events: DataFrame, daily_out: DataFrame, keys: list[str], target: float = 0.5) -> DataFrame:
+def event_retention(events: DataFrame, daily_out: DataFrame, keys: list[str], target: float = 0.5, exact: bool = True) -> DataFrame:
     """Share of each rain event that stayed (events: keys, start, end, rain_total; daily_out: keys, d, value), and whether it exceeds ``target``.
 
-    Shares outside 0 to 1 have no answer: more flowed out than fell.
+    Shares outside 0 to 1 have no answer: more flowed out than fell. Unless ``exact``, days are added as floats in their order.
     """
     days = events.withColumn("d", F.explode(F.sequence("start", "end")))
-    out = days.join(daily_out, [*keys, "d"], "left").groupBy(*keys, "start", "end", "rain_total").agg(exact_sum(F.coalesce("value", F.lit(0.0))).alias("out_total"))
+    met, by, flowed = days.join(daily_out, [*keys, "d"], "left"), [*keys, "start", "end", "rain_total"], F.coalesce("value", F.lit(0.0))
+    total = exact_sum(flowed)
+    if not exact:
+        met, total = met.withColumn("__sum", sum_in_order(flowed, by, ["d"])), F.first("__sum")
+    out = met.groupBy(*by).agg(total.alias("out_total"))
     share = F.try_divide(F.col("rain_total") - F.col("out_total"), "rain_total")
     return out.withColumn("share", F.when(share.between(0, 1), share)).withColumn("kept", F.col("share") > target)
