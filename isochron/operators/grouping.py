@@ -19,84 +19,125 @@ def text_shape(sql: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(masked, r"\b\d+(?:\.\d+)?\b", "?")), r"\s+", " "))
 
 
-def nearby_pairs(items: DataFrame, item: str, vector: str, most: float = 0.10, pivots: int = 64, block: int = 1024) -> DataFrame:
+def nearby_pairs(items: DataFrame, item: str, vector: str, most: float = 0.10, pivots: int = 64, block: int = 1024, held: int = 1 << 25) -> DataFrame:
     """Links a < b of items whose vectors' cosine distance is below ``most``: enough of them that whatever is linked is connected.
 
-    Exact: a vector is entered in the cell of its nearest pivot and looks into the cells of all pivots whose
-    angle is at most the nearest one's and twice the widest angle of a link (triangle inequality), so two
-    linked vectors meet. Equal vectors are linked to the first of them, which stands for all. Large cells
-    are dealt to blocks: entries by hash, probes to each. A block gives a spanning forest of its links.
-    Where vectors have no clusters the angles exclude little, and the work is that of all pairs.
+    Exact: a vector is entered in the cell of its nearest pivot and has to meet the cells of all pivots whose angle is at most the nearest
+    one's and twice the widest angle of a link (triangle inequality). Equal vectors are linked to the first of them, which stands for all.
+    Cells, laid end to end, are cut into some 16 groups, of ``block`` vectors at least and ``held`` bytes at most, and a vector goes to the
+    pairs of its group with each group that it has to meet: at most 16 copies of it are dealt, until groups are of ``held`` bytes. Of a pair
+    of groups a task holds the first; products are made in single precision, and what is close to ``most`` is told in double.
+    A pair of groups gives a spanning forest of its links. Where vectors have no clusters the angles exclude little, and the work is that of all pairs.
     """
-    kind = items.schema[item].dataType.simpleString()
-    unit = items.select(F.col(item).alias("i"), F.col(vector).cast("array<double>").alias("v")).where(F.col("i").isNotNull())
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = unit.where((norm > 0) & (norm < float("inf"))).withColumn("v", F.transform("v", lambda x: x / norm)).withColumn("h", F.sha2(F.to_json("v"), 256))
-    first = _cut(unit.groupBy("h").agg(F.min("i").alias("i"), F.first("v").alias("v")))
+    kind, given = items.schema[item].dataType.simpleString(), items.schema[vector].dataType.simpleString()
+    given = given if given == "array<float>" else "array<double>"
+    unit = items.select(F.col(item).alias("i"), F.col(vector).cast(given).alias("v")).where(F.col("i").isNotNull())
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = unit.where((norm > 0) & (norm < float("inf"))).withColumn("h", F.sha2(F.to_json("v"), 256))
+    first = _cut(unit.groupBy("h").agg(F.min(F.struct("i", "v")).alias("own")).select("h", "own.i", "own.v"))
     copies = unit.select("h", "i").join(first.select("h", F.col("i").alias("a")), "h").where("a < i").select("a", F.col("i").alias("b"))
     drawn: dict[int, list] = {}
     for row in first.orderBy("h").limit(pivots).collect():
         drawn.setdefault(len(row.v), []).append(row.v)
     reach = 2 * np.arccos(1 - most) + 1e-6
 
-    centers = {n: np.array(own) for n, own in drawn.items()}
+    def units(v: np.ndarray) -> np.ndarray:
+        v = v.astype(np.float64)
+        return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+    centers = {n: units(np.array(own)) for n, own in drawn.items()}
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, cell, size, probe = [], [], [], []
             flat, starts = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
-            for k in range(batch.num_rows):
-                v = flat[starts[k] : starts[k + 1]]
-                own = centers.get(len(v))
-                angles = np.zeros(1) if own is None else np.arccos(np.clip(own @ v, -1, 1))
-                near = np.flatnonzero(angles <= angles.min() + reach)
-                at += [k] * (1 + len(near))
-                cell += [int(angles.argmin()), *near.tolist()]
-                size += [len(v)] * (1 + len(near))
-                probe += [False] + [True] * len(near)
-            rows = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(cell, pa.int32()), pa.array(probe, pa.bool_()), *rows.columns], ["dim", "cell", "probe", "i", "v"])
-
-    rows = first.select("i", "v").mapInArrow(cells, f"dim int, cell int, probe boolean, i {kind}, v array<double>")
-    blocks = F.broadcast(rows.where("NOT probe").groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))  # a row per pivot
-    every = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")))
-    rows = rows.join(blocks, ["dim", "cell"]).select("dim", "cell", F.explode(every).alias("block"), "probe", "i", "v")
+            size = np.diff(starts)
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                v = units(np.stack([flat[starts[k] : starts[k + 1]] for k in at]))
+                angles = np.arccos(np.clip(v @ centers[n].T, -1, 1)) if n in centers else np.zeros((len(v), 1))
+                row, cell = np.nonzero(angles <= angles.min(axis=1, keepdims=True) + reach)
+                near = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(v) + 1)), pa.int32()), pa.array(cell, pa.int32()))
+                own = batch.take(pa.array(at))
+                columns = [pa.array(np.full(len(v), n), pa.int32()), pa.array(angles.argmin(axis=1), pa.int32()), near, *own.columns]
+                yield pa.RecordBatch.from_arrays(columns, ["dim", "cell", "near", "i", "v"])
+
+    placed = first.select("i", "v").mapInArrow(cells, f"dim int, cell int, near array<int>, i {kind}, v {given}")
+    total, before = F.sum("n").over(W.partitionBy("dim")), F.sum("n").over(W.partitionBy("dim").orderBy("cell")) - F.col("n")
+    width = F.greatest(F.lit(block), F.least(F.ceil(total / 16), F.ceil(F.lit(held) / (F.col("dim") * (4 if given == "array<float>" else 8)))))
+    spans = placed.groupBy("dim", "cell").agg(F.count("*").alias("n")).select("dim", "cell", "n", before.alias("before"), width.alias("width"))  # a row per pivot
+    group = lambda at: F.floor(at / F.col("width")).cast("int")
+    ends = F.struct("cell", F.sequence(group(F.col("before")), group(F.col("before") + F.col("n") - 1)).alias("groups"))
+    ends = spans.groupBy("dim").agg(F.map_from_entries(F.collect_list(ends)).alias("ends"))
+    rows = placed.join(F.broadcast(spans), ["dim", "cell"]).join(F.broadcast(ends), "dim")
+    met_groups = F.array_distinct(F.flatten(F.filter(F.transform("near", lambda c: F.try_element_at("ends", c)), lambda x: x.isNotNull())))
+    rows = rows.select("dim", group(F.col("before") + F.pmod(F.xxhash64("i"), F.col("n"))).alias("g"), F.explode(met_groups).alias("t"), "i", "v")
+    rows = rows.select("dim", F.least("g", "t").alias("x"), F.greatest("g", "t").alias("y"), (F.col("g") > F.col("t")).alias("probe"), "i", "v")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, entered, parent = None, [], None, {}
-
-        def find(x):
-            while parent.get(x, x) != x:
-                parent[x] = x = parent.get(parent[x], parent[x])
-            return x
+        now, names, entered, parent, piece = None, [], [], np.arange(0), 512  # rows whose products stay in a core's cache
+
+        def roots(x: np.ndarray) -> np.ndarray:
+            top = parent[x]
+            while not np.array_equal(up := parent[top], top):
+                top = up
+            parent[x] = top
+            return top
+
+        def linked(one: tuple, two: tuple) -> tuple[np.ndarray, np.ndarray]:
+            """Rows of the two pieces that are near each other."""
+            (at, v, u), (to, w, z) = one, two
+            like, slack = u @ z.T, 1.2e-7 * (u.shape[1] + 8)
+            if like.max() <= 1 - most - slack:
+                return np.arange(0), np.arange(0)
+            x, y = np.nonzero(like > 1 - most - slack)
+            if at == to:
+                x, y = x[x < y], y[x < y]
+            open_ = np.flatnonzero(like[x, y] <= 1 - most + slack)
+            far = []
+            for k in range(0, len(open_), piece):
+                some = open_[k : k + piece]
+                a, b = v[x[some]].astype(np.float64), w[y[some]].astype(np.float64)
+                cosine = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+                far.append(some[~(1 - cosine < most)])
+            if far:
+                x, y = np.delete(x, np.concatenate(far)), np.delete(y, np.concatenate(far))
+            return x + at, y + to
 
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            probe, ids = (batch.column(k).to_pylist() for k in (3, 4))
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
             flat, starts = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
-            links, lo = [], 0
-            while lo < len(keys):
-                hi = lo + 1
-                while hi < len(keys) and keys[hi] == keys[lo] and probe[hi] == probe[lo] and hi - lo < block:
-                    hi += 1
-                if keys[lo] != now:
-                    now, names, entered, parent = keys[lo], [], None, {}
-                vectors = flat[starts[lo] : starts[hi]].reshape(hi - lo, -1)  # of one length within a key
-                if not probe[lo]:
-                    names, entered = names + ids[lo:hi], vectors.copy() if entered is None else np.concatenate([entered, vectors])
-                elif entered is not None:
-                    for x, y in zip(*np.nonzero(1 - entered @ vectors.T < most), strict=True):
-                        u, w = find(names[x]), find(ids[lo + y])
-                        if u != w:
-                            parent[max(u, w)] = min(u, w)
-                            links.append((min(names[x], ids[lo + y]), max(names[x], ids[lo + y])))
-                lo = hi
+            turns = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], axis=0)) + 1
+            links = []
+            for lo, hi in zip([0, *turns], [*turns, batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                key, probe = tuple(int(c[lo]) for c in keys[:3]), bool(keys[3][lo])
+                if key != now:
+                    now, names, entered, parent = key, [], [], np.arange(0)
+                for at in range(lo, hi, piece):
+                    to = min(at + piece, hi)
+                    v = flat[starts[at] : starts[to]].reshape(to - at, -1)  # of one length within a key
+                    own = len(parent), v.copy(), units(v).astype(np.float32)
+                    parent = np.concatenate([parent, np.arange(len(parent), len(parent) + to - at)])
+                    names += batch.column(4).slice(at, to - at).to_pylist()
+                    if not probe:
+                        entered.append(own)
+                    for other in entered if probe or key[1] == key[2] else []:
+                        x, y = linked(other, own)
+                        while len(x):  # each tree that has a link is hung into one with a lower number
+                            p, q = roots(x), roots(y)
+                            apart = p != q
+                            x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+                            tops, k = np.unique(np.maximum(p, q), return_index=True)
+                            parent[tops] = np.minimum(p, q)[k]
+                            links += [(names[x[j]], names[y[j]]) for j in k]
+            links = [(min(pair), max(pair)) for pair in links if pair[0] != pair[1]]
             if links:
                 kinds = batch.schema.field("i").type
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], kinds), pa.array([w for _, w in links], kinds)], ["a", "b"])
 
-    dealt = rows.repartition("dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "probe")
-    return dealt.mapInArrow(met, f"a {kind}, b {kind}").unionByName(copies).distinct()
+    dealt = rows.repartition("dim", "x", "y").sortWithinPartitions("dim", "x", "y", "probe")
+    return _cut(dealt.mapInArrow(met, f"a {kind}, b {kind}").unionByName(copies).distinct())  # so that the pairs are compared once
 
 
 def components(links: DataFrame) -> DataFrame:
